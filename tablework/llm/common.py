@@ -62,5 +62,49 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.where(F.lit(False))
+#: ASCII white space, the only word separator of `[^\x20\x09-\x0D]+`.
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64; grown as longer batches come."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        out = []
+        for base in (_BASE, _INVERSE):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[:] = out
+    return _POWERS
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, split at ASCII white space, and the number of words of each text.
+
+    A word's hash is that of its bytes alone, the same in every process. lower: A-Z count as a-z.
+    """
+    joined = b"\n".join(texts)
+    joined = joined.lower() if lower else joined
+    hashes, sizes = [], ranges(np.array([len(x) + 1 for x in texts], np.int64))
+    buf = np.frombuffer(joined, np.uint8)
+    inside = ~IS_SPACE[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    counts = np.diff(np.searchsorted(starts, sizes))
+    step = 1 << 20
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + step)))
+            a, b = starts[at], ends[to - 1]
+            power, inverse = _powers(max(step, int(b - a)) + 1)
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((buf[a:b].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=total[1:])
+            x, y = starts[at:to] - a, ends[at:to] - a
+            hashes.append((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
+            at = to
+    return mix(np.concatenate([np.zeros(0, np.uint64), *hashes])), counts

@@ -53,11 +53,11 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; sets: (id, items), items distinct."""
-    both = F.size(F.array_intersect("p", "q"))
+    linked = F.exists(F.array(F.array_intersect("p", "q")), lambda i: 100 * F.size(i) >= percent * (F.size("p") + F.size("q") - F.size(i)))
     return (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("items").alias("p")), "a")
-        .where(100 * both >= percent * (F.size("p") + F.size("q") - both))
+        .where(linked)
         .select("a", "b")
     )
 
@@ -79,7 +79,8 @@ def _by_difference(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     n = apart.select("lead", "lead_label", "id", "size", "label").distinct()
     n = n.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("items").alias("c")), "lead")
-    n = n.withColumn("more", F.sort_array(F.array_except("items", "c"))).withColumn("less", F.sort_array(F.array_except("c", "items")))
+    both = F.struct(F.sort_array(F.array_except("items", "c")).alias("more"), F.sort_array(F.array_except("c", "items")).alias("less"))
+    n = n.select("lead", "lead_label", "id", "size", "label", F.inline(F.array(both)))  # inline: else each use computes them anew
     need = F.expr(f"(100L * size(less) + {percent}L * size(more)) div {100 + percent}").cast("int")
     n = n.withColumn("all", F.concat("more", "less")).withColumn("first", F.slice("all", 1, F.size("all") - need))
     index = n.select("lead", "id", "size", "label", F.explode("first").alias("item"))

@@ -15,41 +15,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import byte_texts, long_lists, mix, stage
+from tablework.llm.common import byte_texts, long_lists, mix, stage, word_hashes
 from tablework.llm.linking import bucket_links
 
 #: Signature: BANDS bands of ROWS values; two values come from each permutation.
 BANDS, ROWS = 32, 5
-#: Words hashed are remembered, up to so many a task.
-REMEMBERED = 400_000
-
-
-class Words(dict):
-    """Word to 64-bit hash; hashes are the same in every process."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def shingle_sets(texts: list[bytes], words: Words, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the width-word shingles of each text, A-Z lower-cased and split at ASCII space.
 
     A text of fewer words gives its whole sequence as one shingle; without words the set is empty.
     """
-    if len(words) > REMEMBERED:
-        words.clear()
-    split = [x.lower().split() for x in texts]
-    flat = np.fromiter(map(words.__getitem__, (w for ws in split for w in ws)), np.uint64, sum(map(len, split)))
+    flat, counts = word_hashes(texts, lower=True)
     out, at = [], 0
     with np.errstate(over="ignore"):
-        for ws in split:
-            h, at = flat[at : at + len(ws)], at + len(ws)
-            n = max(1, len(h) - width + 1) if len(h) else 0
-            total = np.zeros(n, np.uint64)
-            for k in range(min(width, len(h))):
-                total = mix(total + h[k : k + n]) + np.uint64(k + 1)
-            out.append(np.unique(total))
+        total = np.zeros(len(flat), np.uint64)
+        for k in range(width):
+            total[: len(flat) - k] = mix(total[: len(flat) - k] + flat[k:]) + np.uint64(k + 1)
+        for n in counts.tolist():
+            if n >= width:
+                out.append(np.unique(total[at : at + n - width + 1]))
+            else:
+                whole = np.zeros(min(n, 1), np.uint64)
+                for h in flat[at : at + n]:
+                    whole = mix(whole + h) + np.uint64(0x5851F42D4C957F2D)
+                out.append(whole)
+            at += n
     return out
 
 
@@ -77,10 +67,9 @@ def signatures(docs: DataFrame, width: int = 2, n_bands: int = BANDS, rows: int
     factors = permutations((n_bands * rows + 1) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                sets = shingle_sets(byte_texts(part["text"]), words, width)
+                sets = shingle_sets(byte_texts(part["text"]), width)
                 digests = np.array([xxhash.xxh128_intdigest(s.tobytes()) >> k & (2**64 - 1) for s in sets for k in (64, 0)], np.uint64).view(np.int64).reshape(-1, 2)
                 keys = [bands(s, factors, n_bands, rows) if len(s) else np.zeros(0, np.uint64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -95,10 +84,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, items): the full shingle sets of the documents named in ids (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                found = shingle_sets(byte_texts(part["text"]), words, width)
+                found = shingle_sets(byte_texts(part["text"]), width)
                 values = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], long_lists(values, np.array([len(s) for s in found]))], ["id", "items"])
 
