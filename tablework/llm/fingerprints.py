@@ -19,12 +19,12 @@ WIDTH, PERMUTATIONS = 2, 32
 PLACE_BITS = 24
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value), value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _smaller(s: Column, bound: Column) -> Column:
+def smaller(s: Column, bound: Column) -> Column:
     """How many values of s, which is sorted, are smaller than bound; by bisection."""
     step = lambda lo, b: F.when((lo + b <= F.size(s)) & (F.get(s, lo + b - 1) < bound), lo + b).otherwise(lo)
     halves = F.filter(F.array(*(F.lit(1 << b) for b in range(PLACE_BITS - 1, -1, -1))), lambda b: b <= F.size(s))
@@ -49,7 +49,7 @@ def _numbered(s: Column) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         again = (i > 0) & (_high(F.get(s, i - 1)) == _high(x))
-        new = _base(F.xxhash64(_high(x), i - _smaller(s, _base(x)))).bitwiseOR(_place(x))
+        new = _base(F.xxhash64(_high(x), i - smaller(s, _base(x)))).bitwiseOR(_place(x))
         return F.when(again, new).otherwise(x)
 
     return F.transform(s, one)
@@ -59,7 +59,7 @@ def _tuple(u: Column, mask: int) -> Column:
     """The hash of the two values that come first from mask on, cyclically, in text order."""
     pair = lambda f, g: F.when((F.size(u) < 2) | (_place(f) < _place(g)), F.hash(_high(f), F.when(F.size(u) > 1, _high(g)))).otherwise(F.hash(_high(g), _high(f)))
     at = lambda k: F.get(u, F.pmod(k, F.size(u)))
-    return _let(_smaller(u, F.lit(mask)), lambda k: _let(at(k), lambda f: _let(at(k + 1), lambda g: pair(f, g))))
+    return let(smaller(u, F.lit(mask)), lambda k: let(at(k), lambda f: let(at(k + 1), lambda g: pair(f, g))))
 
 
 def fingerprint(text: Column, width: int = WIDTH, permutations: int = PERMUTATIONS) -> Column:
@@ -69,9 +69,9 @@ def fingerprint(text: Column, width: int = WIDTH, permutations: int = PERMUTATIO
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0)), lambda w: F.xxhash64(w))
     mer = lambda h: lambda x, i: _base(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, width)))).bitwiseOR(i.cast("long"))
-    values = _let(tokens, lambda h: F.sort_array(F.transform(h, mer(h))))
-    numbered = _let(values, lambda s: F.sort_array(_numbered(s)))
-    return _let(numbered, lambda u: F.when(F.size(u) > 0, F.array(*(_tuple(u, m) for m in masks))).otherwise(F.array().cast("array<int>")))
+    values = let(tokens, lambda h: F.sort_array(F.transform(h, mer(h))))
+    numbered = let(values, lambda s: F.sort_array(_numbered(s)))
+    return let(numbered, lambda u: F.when(F.size(u) > 0, F.array(*(_tuple(u, m) for m in masks))).otherwise(F.array().cast("array<int>")))
 
 
 def likeness(a: Column, b: Column) -> Column:
