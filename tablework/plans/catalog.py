@@ -1,4 +1,441 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablework.functions import conditions
+from tablework.operators import columns as C
+from tablework.operators import profile as P
+from tablework.operators import relations as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, table: str, sql: str | None, *more: str):
+    """Register function(table, *more tables) under name."""
+
+    def put(f):
+        QUERIES[name] = lambda spark, d: f(*(spark.read.parquet(f"{d}/{t}.parquet") for t in (table, *more)))
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def r(c: str | Column, digits: int = 4) -> Column:
+    return F.round(c, digits)
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    return df.withColumns({n: r(n, digits) for n in names})
+
+
+LI = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LIK = ", ".join(LI)
+
+
+@query("group_aggregate", "lineitem", """
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+       round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def _(t):
+    return t.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp")).groupBy("l_returnflag", "l_linestatus").agg(
+        r(F.sum("l_quantity"), 2).alias("sum_qty"), r(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), r(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("filter_conditions", "orders", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_orderstatus IS DISTINCT FROM 'P' AND o_totalprice BETWEEN 1000 AND 300000 AND o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')
+  AND regexp_matches(o_orderpriority, '-') AND o_orderkey > 10 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1999-06-30' AND o_custkey IS NOT NULL
+  AND NOT (o_orderpriority = '5-LOW' AND o_orderpriority IS NOT NULL)""")
+def _(t):
+    return conditions.filter_rows(t, [
+        {"column": "o_orderstatus", "op": "not_equals", "value": "P"}, {"column": "o_totalprice", "op": "between", "min": 1000, "max": 300000},
+        {"column": "o_orderpriority", "op": "isin", "values": ["1-URGENT", "2-HIGH", "5-LOW"]}, {"column": "o_orderpriority", "op": "contains", "value": "-"},
+        {"column": "o_orderkey", "op": "gt", "value": 10}, {"column": "o_orderdate", "op": "date_range", "start": "1996-01-01", "end": "1999-06-30"},
+        {"column": "o_custkey", "op": "not_null"}, {"column": "o_orderpriority", "op": "not_isin", "values": ["5-LOW"]},
+    ]).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("filter_text", "customer", """
+SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer') AND NOT regexp_matches(c_name, '13') AND regexp_matches(c_mktsegment, '(?i)build|auto')""")
+def _(t):
+    return conditions.filter_rows(t, [{"column": "c_name", "op": "starts_with", "value": "Customer"}, {"column": "c_name", "op": "not_contains", "value": "13"}, {"column": "c_mktsegment", "op": "icontains", "value": "build|auto"}]).select("c_custkey", "c_name")
+
+
+@query("filter_quantile", "orders", """
+SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN (SELECT quantile_cont(o_totalprice, 0.1) FROM orders) AND (SELECT quantile_cont(o_totalprice, 0.9) FROM orders)""")
+def _(t):
+    return conditions.filter_rows(t, [{"column": "o_totalprice", "op": "quantile_between", "min": 0.1, "max": 0.9}]).select("o_orderkey", "o_totalprice")
+
+
+@query("top_n", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25")
+def _(t):
+    return C.top_n(t, "o_totalprice", 25, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+@query("cap_outliers_iqr", "orders", """
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) a, quantile_cont(o_totalprice, 0.75) b FROM orders)
+SELECT o_orderkey, round(CASE WHEN o_totalprice < a - 1.5 * (b - a) THEN a - 1.5 * (b - a) WHEN o_totalprice > b + 1.5 * (b - a) THEN b + 1.5 * (b - a) ELSE o_totalprice END, 4) AS o_totalprice FROM orders, q""")
+def _(t):
+    return rounded(C.cap_outliers(t.select("o_orderkey", "o_totalprice"), "o_totalprice"), "o_totalprice")
+
+
+@query("cap_outliers_std", "orders", """
+WITH q AS (SELECT avg(o_totalprice) m, stddev_samp(o_totalprice) s FROM orders)
+SELECT o_orderkey, round(CASE WHEN o_totalprice < m - 3 * s THEN m - 3 * s WHEN o_totalprice > m + 3 * s THEN m + 3 * s ELSE o_totalprice END, 3) AS o_totalprice FROM orders, q""")
+def _(t):
+    return rounded(C.cap_outliers(t.select("o_orderkey", "o_totalprice"), "o_totalprice", "std"), "o_totalprice", digits=3)
+
+
+@query("winsorize", "lineitem", f"""
+WITH q AS (SELECT quantile_cont(l_extendedprice, 0.05) a, quantile_cont(l_extendedprice, 0.95) b FROM lineitem)
+SELECT {LIK}, round(CASE WHEN l_extendedprice < a THEN a WHEN l_extendedprice > b THEN b ELSE l_extendedprice END, 4) AS l_extendedprice FROM lineitem, q""")
+def _(t):
+    return rounded(C.winsorize(t.select(*LI, "l_extendedprice"), "l_extendedprice"), "l_extendedprice")
+
+
+@query("normalize_minmax", "part", "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 6) AS scaled FROM part")
+def _(t):
+    return rounded(C.normalize(t, "p_retailprice", "minmax", "scaled").select("p_partkey", "scaled"), "scaled", digits=6)
+
+
+@query("normalize_zscore", "part", "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 5) AS scaled FROM part")
+def _(t):
+    return rounded(C.normalize(t, "p_retailprice", "zscore", "scaled").select("p_partkey", "scaled"), "scaled", digits=5)
+
+
+@query("robust_scale", "part", "WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) a, quantile_cont(p_retailprice, 0.5) m, quantile_cont(p_retailprice, 0.75) b FROM part) SELECT p_partkey, round((p_retailprice - m) / (b - a), 6) AS scaled FROM part, q")
+def _(t):
+    return rounded(C.robust_scale(t, "p_retailprice", "scaled").select("p_partkey", "scaled"), "scaled", digits=6)
+
+
+def with_nulls(t: DataFrame) -> DataFrame:
+    """events with nulls in value where event_id is a multiple of 3 or 4."""
+    return t.select("event_id", "user_id", "event_type", "ts", F.when((F.col("event_id") % 3 != 0) & (F.col("event_id") % 4 != 0), F.col("value")).alias("value"))
+
+
+NULLED = "(SELECT event_id, user_id, event_type, ts, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN value END AS value FROM events)"
+
+for strategy, sql in (("mean", "avg(value) OVER ()"), ("median", "(SELECT median(value) FROM e)")):
+    query(f"fill_nulls_{strategy}", "events", f"WITH e AS {NULLED} SELECT event_id, round(coalesce(value, {sql}), 4) AS value FROM e")(lambda t, s=strategy: rounded(C.fill_nulls(with_nulls(t), "value", s).select("event_id", "value"), "value"))
+for strategy, sql in (("ffill", "last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"), ("bfill", "first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")):
+    query(f"fill_nulls_{strategy}", "events", f"WITH e AS {NULLED} SELECT event_id, user_id, {sql} AS value FROM e")(lambda t, s=strategy: C.fill_nulls(with_nulls(t), "value", s, ["event_id"], ["user_id"]).select("event_id", "user_id", "value"))
+
+
+@query("fill_nulls_mode", "events", """WITH e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM events),
+m AS (SELECT event_type AS v FROM e WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT event_id, coalesce(event_type, v) AS event_type FROM e, m""")
+def _(t):
+    return C.fill_nulls(t.select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type")), "event_type", "mode")
+
+
+@query("drop_duplicates", "lineitem", "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1")
+def _(t):
+    return C.drop_duplicates(t.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"])
+
+
+@query("dedup_none", "orders", "SELECT o_orderkey, o_custkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) = 1")
+def _(t):
+    return C.drop_duplicates(t.select("o_orderkey", "o_custkey"), ["o_custkey"], [], "none")
+
+
+@query("label_encode", "customer", "SELECT c_custkey, c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS code FROM customer")
+def _(t):
+    return C.label_encode(t.select("c_custkey", "c_mktsegment"), "c_mktsegment", "code").select("c_custkey", "c_mktsegment", "code")
+
+
+@query("ordinal_encode", "orders", "SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE -1 END AS BIGINT) AS code FROM orders WHERE o_orderstatus IS NOT NULL")
+def _(t):
+    return C.ordinal_encode(t.where("o_orderstatus is not null"), "o_orderstatus", ["O", "F"], "code").select("o_orderkey", F.col("code").cast("long").alias("code"))
+
+
+@query("binary_encode", "events", f"WITH e AS {NULLED} SELECT event_id, CAST(coalesce(value > 50, false) AS INTEGER) AS high, CAST(coalesce(event_type = 'click', false) AS INTEGER) AS click FROM e")
+def _(t):
+    return C.binary_encode(C.binary_encode(with_nulls(t), "value", "high", threshold=50), "event_type", "click", value="click").select("event_id", "high", "click")
+
+
+@query("frequency_encode", "events", "SELECT event_id, count(*) OVER (PARTITION BY event_type) AS n FROM events")
+def _(t):
+    return C.frequency_encode(t, "event_type", "n").select("event_id", "n")
+
+
+@query("frequency_encode_share", "events", "SELECT event_id, round(count(*) OVER (PARTITION BY event_type) / count(*) OVER (), 6) AS share FROM events")
+def _(t):
+    return rounded(C.frequency_encode(t, "event_type", "share", True).select("event_id", "share"), "share", digits=6)
+
+
+@query("one_hot", "events", "SELECT event_id, CAST(event_type = 'click' AS INTEGER) AS event_type_click, CAST(event_type = 'view' AS INTEGER) AS event_type_view FROM events")
+def _(t):
+    return C.one_hot(t, "event_type", ["click", "view"]).select("event_id", "event_type_click", "event_type_view")
+
+
+@query("keep_frequent", "part", "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) >= 90 THEN p_brand ELSE 'Other' END AS brand FROM part")
+def _(t):
+    return C.keep_frequent(t, "p_brand", "brand", 90).select("p_partkey", "brand")
+
+
+@query("extract_regex", "customer", "SELECT c_custkey, CASE WHEN regexp_matches(c_name, '0*([1-9][0-9]*)$') THEN regexp_extract(c_name, '0*([1-9][0-9]*)$', 1) END AS number FROM customer")
+def _(t):
+    return C.extract_regex(t, "c_name", "0*([1-9][0-9]*)$", "number", 1).select("c_custkey", "number")
+
+
+@query("regex_replace", "orders", "SELECT o_orderkey, regexp_replace(o_orderpriority, '^([0-9])-(.*)$', '\\2 (\\1)', 'g') AS o_orderpriority FROM orders")
+def _(t):
+    return C.regex_replace(t.select("o_orderkey", "o_orderpriority"), "o_orderpriority", r"^([0-9])-(.*)$", r"\2 (\1)")
+
+
+@query("split_combine", "orders", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS level, split_part(o_orderpriority, '-', 2) AS label, concat_ws('/', o_orderstatus, o_orderpriority) AS both FROM orders")
+def _(t):
+    return C.combine_columns(C.split_column(t, "o_orderpriority", "-", ["level", "label"]), ["o_orderstatus", "o_orderpriority"], "both", "/").select("o_orderkey", "level", "label", "both")
+
+
+@query("str_slice", "customer", "SELECT c_custkey, substring(c_name, 3, 5) AS middle, right(c_name, 4) AS tail FROM customer")
+def _(t):
+    return C.str_slice(C.str_slice(t, "c_name", "middle", 2, 7), "c_name", "tail", -4).select("c_custkey", "middle", "tail")
+
+
+@query("clean_text", "part", "SELECT p_partkey, array_to_string(list_transform(string_split(trim(lower(p_name)), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS p_name FROM part WHERE regexp_full_match(p_name, '[a-zA-Z ]*')")
+def _(t):
+    return C.clean_text(t.where(F.col("p_name").rlike("^[a-zA-Z ]*$")), ["p_name"]).select("p_partkey", "p_name")
+
+
+@query("cast_column", "orders", "SELECT o_orderkey, TRY_CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS level, TRY_CAST(o_orderstatus AS DOUBLE) AS nothing FROM orders")
+def _(t):
+    t = t.withColumn("level", F.substring("o_orderpriority", 1, 1)).withColumn("nothing", F.col("o_orderstatus"))
+    return C.cast_column(C.cast_column(t, "level", "int"), "nothing", "float").select("o_orderkey", "level", "nothing")
+
+
+@query("replace_values", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(t):
+    return C.replace_values(t.select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": "done", "O": "open"})
+
+
+@query("add_column", "lineitem", f"SELECT {LIK}, round(((l_extendedprice - l_discount) * l_quantity) / 7 + 1, 2) AS made FROM lineitem")
+def _(t):
+    return rounded(C.add_column(t, "made", "l_extendedprice - l_discount * l_quantity / 7 + 1").select(*LI, "made"), "made", digits=2)
+
+
+@query("conditional_assign", "part", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 10 THEN 'middle' ELSE 'small' END AS class FROM part")
+def _(t):
+    return C.conditional_assign(t, "class", [(F.col("p_size") > 40, "large"), (F.col("p_size") > 10, "middle")], "small").select("p_partkey", "class")
+
+
+@query("numeric_transforms", "customer", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 4) AS root, round(ln(1 + abs(c_acctbal)), 6) AS log, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal > 5000 THEN 5000 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(t):
+    t = C.log_transform(C.sqrt_transform(t, "c_acctbal", "root").withColumn("size", F.abs("c_acctbal")), "size", "log")
+    return rounded(rounded(C.clip_values(t, "c_acctbal", 0.0, 5000.0).select("c_custkey", "root", "log", "c_acctbal"), "root"), "log", digits=6)
+
+
+@query("round_values", "customer", "SELECT c_custkey, round_even(c_acctbal, 0) AS c_acctbal FROM customer")
+def _(t):
+    return C.round_values(t.select("c_custkey", "c_acctbal"), "c_acctbal", 0)
+
+
+@query("bin_column", "part", "WITH q AS (SELECT CAST(min(p_size) AS DOUBLE) a, CAST(max(p_size) AS DOUBLE) b FROM part) SELECT p_partkey, CAST(least(greatest(ceil((p_size - a) / ((b - a) / 4)) - 1, 0), 3) AS INTEGER) AS bin FROM part, q")
+def _(t):
+    return C.bin_column(t, "p_size", "bin", 4).select("p_partkey", "bin")
+
+
+@query("qbin_column", "part", "WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) a, quantile_cont(p_retailprice, 0.5) b, quantile_cont(p_retailprice, 0.75) c FROM part) SELECT p_partkey, CAST(p_retailprice > a AS INTEGER) + CAST(p_retailprice > b AS INTEGER) + CAST(p_retailprice > c AS INTEGER) AS bin FROM part, q")
+def _(t):
+    return C.qbin_column(t, "p_retailprice", "bin", 4).select("p_partkey", "bin")
+
+
+@query("date_diff", "lineitem", f"SELECT {LIK}, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS BIGINT) AS days, CAST(round_even(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) / 30.44, 0) AS BIGINT) AS months FROM lineitem JOIN orders ON l_orderkey = o_orderkey", "orders")
+def _(t, o):
+    t = t.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({c: F.to_date(c) for c in ("o_orderdate", "l_shipdate")})
+    return C.date_diff(C.date_diff(t, "l_shipdate", "o_orderdate", "days"), "l_shipdate", "o_orderdate", "months", "months").select(*LI, "days", "months")
+
+
+@query("date_parts", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek FROM orders")
+def _(t):
+    t = C.date_parts(t, "o_orderdate")
+    return t.select("o_orderkey", *(c for c in t.columns if c.startswith("o_orderdate_")))
+
+
+RANKS = {"dense": "dense_rank() OVER w", "min": "rank() OVER w", "max": "rank() OVER w + count(*) OVER (PARTITION BY event_type, round(value)) - 1", "average": "rank() OVER w + (count(*) OVER (PARTITION BY event_type, round(value)) - 1) / 2", "first": "row_number() OVER (PARTITION BY event_type ORDER BY round(value), event_id)"}
+for method, sql in RANKS.items():
+    query(f"rank_{method}", "events", f"SELECT event_id, CAST({sql} AS DOUBLE) AS pos FROM events WINDOW w AS (PARTITION BY event_type ORDER BY round(value))")(
+        lambda t, m=method: C.rank_column(t.withColumn("value", F.round("value")), "value", "pos", m, True, ["event_id"], ["event_type"]).select("event_id", "pos"))
+
+W = "OVER (PARTITION BY user_id ORDER BY event_id)"
+for kind, sql in (("lag", f"lag(value) {W}"), ("lead", f"lead(value) {W}"), ("diff", f"value - lag(value) {W}")):
+    query(f"shift_{kind}", "events", f"WITH e AS {NULLED} SELECT event_id, round({sql}, 6) AS shifted FROM e")(lambda t, k=kind: rounded(C.shift(with_nulls(t), "value", "shifted", k, ["event_id"], ["user_id"]).select("event_id", "shifted"), "shifted", digits=6))
+
+
+@query("pct_change", "events", f"WITH e AS {NULLED}, f AS (SELECT event_id, user_id, last_value(value IGNORE NULLS) {W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM e) SELECT event_id, round(100 * (x / nullif(lag(x) {W}, 0) - 1), 3) AS pct FROM f")
+def _(t):
+    return rounded(C.shift(with_nulls(t), "value", "pct", "pct_change", ["event_id"], ["user_id"]).select("event_id", "pct"), "pct", digits=3)
+
+
+ROLL = f"{W[:-1]} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+for agg, sql in (("mean", "avg"), ("sum", "sum"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"), ("count", "count"), ("median", "median")):
+    query(f"rolling_{agg}", "events", f"WITH e AS {NULLED} SELECT event_id, CASE WHEN count(value) {ROLL} >= 2 THEN round({sql}(value) {ROLL}, 4) END AS rolled FROM e" if agg != "count" else f"WITH e AS {NULLED} SELECT event_id, CASE WHEN count(value) {ROLL} >= 2 THEN count(value) {ROLL} END AS rolled FROM e")(
+        lambda t, a=agg: (lambda d: d if a == "count" else rounded(d, "rolled"))(C.rolling(with_nulls(t), "value", "rolled", 7, a, ["event_id"], ["user_id"], 2).select("event_id", "rolled")))
+RUN = f"{W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+for agg in ("sum", "max", "min"):
+    query(f"cumulative_{agg}", "events", f"WITH e AS {NULLED} SELECT event_id, CASE WHEN value IS NOT NULL THEN round({agg}(value) {RUN}, 4) END AS total FROM e")(lambda t, a=agg: rounded(C.cumulative(with_nulls(t), "value", "total", a, ["event_id"], ["user_id"]).select("event_id", "total"), "total"))
+query("ewm", "events", None)(lambda t: rounded(C.ewm(with_nulls(t).select("event_id", "user_id", "value"), "value", "ewm", 7, ["event_id"], ["user_id"]).select("event_id", "ewm"), "ewm"))
+
+for how, sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    query(f"merge_{how}", "orders", f"WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 7 <> 0), c AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0) SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, c_name FROM o {sql} c ON o_custkey = c_custkey", "customer")(
+        lambda o, c, h=how: R.merge(o.where("o_custkey % 7 <> 0").select("o_orderkey", "o_custkey"), c.where("c_custkey % 5 <> 0").select("c_custkey", "c_name"), "o_custkey", "c_custkey", h))
+
+
+@query("merge_null_keys", "events", """WITH l AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN event_type END AS k FROM events), r AS (SELECT k, count(*) AS n FROM l GROUP BY 1)
+SELECT l.k AS k, event_id, n FROM l JOIN r ON l.k IS NOT DISTINCT FROM r.k""")
+def _(t):
+    left = t.select("event_id", F.when(F.col("user_id") % 2 == 0, F.col("event_type")).alias("k"))
+    return R.merge(left, left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "k").select("k", "event_id", "n")
+
+
+@query("unmatched_keys", "customer", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", "orders")
+def _(c, o):
+    return R.unmatched_keys(c, o, "c_custkey", "o_custkey")
+
+
+@query("concat_rows", "customer", "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS __source FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, 'supplier' FROM supplier", "supplier")
+def _(c, s):
+    return R.concat_rows({"customer": c.select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")), "supplier": s.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))})
+
+
+@query("concat_rows_common", "customer", "SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier", "supplier")
+def _(c, s):
+    return R.concat_rows({"c": c.select(F.col("c_name").alias("name"), "c_acctbal"), "s": s.select(F.col("s_name").alias("name"))}, False, None)
+
+
+@query("aggregate", "lineitem", "SELECT l_returnflag, round(sum(l_quantity), 2) AS l_quantity_sum, round(avg(l_quantity), 4) AS l_quantity_mean, round(median(l_extendedprice), 4) AS l_extendedprice_median, round(stddev_samp(l_extendedprice), 2) AS l_extendedprice_std, count(DISTINCT l_suppkey) AS l_suppkey_nunique FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1")
+def _(t):
+    out = R.aggregate(t, ["l_returnflag"], {"l_quantity": ["sum", "mean"], "l_extendedprice": ["median", "std"], "l_suppkey": ["nunique"]})
+    return rounded(rounded(out, "l_quantity_mean", "l_extendedprice_median"), "l_quantity_sum", "l_extendedprice_std", digits=2)
+
+
+@query("value_counts", "part", "SELECT p_brand AS value, count(*) AS count, round(100 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM part GROUP BY 1")
+def _(t):
+    return rounded(R.value_counts(t, "p_brand"), "pct", digits=6)
+
+
+@query("pivot", "orders", "SELECT o_orderpriority, coalesce(round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2), 0) AS F, coalesce(round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2), 0) AS O FROM orders GROUP BY 1")
+def _(t):
+    return R.pivot(t, ["o_orderpriority"], "o_orderstatus", ["F", "O"], r(F.sum("o_totalprice"), 2), 0.0)
+
+
+@query("melt", "part", "SELECT p_partkey, variable, value FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) UNPIVOT (value FOR variable IN (p_size, p_retailprice))")
+def _(t):
+    return R.melt(t.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_partkey"], ["p_size", "p_retailprice"])
+
+
+@query("cross_tabulate", "events", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1")
+def _(t):
+    return R.cross_tabulate(t, "user_id", "event_type", ["click", "view"])
+
+
+@query("cross_tabulate_index", "orders", "SELECT o_orderpriority, round(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')), 6) AS F, round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')), 6) AS O FROM orders GROUP BY 1")
+def _(t):
+    return rounded(R.cross_tabulate(t, "o_orderpriority", "o_orderstatus", ["F", "O"], "index"), "F", "O", digits=6)
+
+
+for freq, unit, step, label in (("D", "day", "1 day", "b"), ("H", "hour", "1 hour", "b"), ("W", "week", "7 days", "b + INTERVAL 6 DAY"), ("M", "month", "1 month", "CAST(last_day(b) AS TIMESTAMP)"), ("Q", "quarter", "3 months", "CAST(last_day(b + INTERVAL 2 MONTH) AS TIMESTAMP)"), ("Y", "year", "1 year", "CAST(last_day(b + INTERVAL 11 MONTH) AS TIMESTAMP)")):
+    source, date, value = ("events", "ts", "value") if freq == "H" else ("orders", "o_orderdate", "o_totalprice")
+    query(f"resample_{freq}", source, f"""WITH g AS (SELECT CAST(date_trunc('{unit}', {date}) AS TIMESTAMP) AS b, sum({value}) AS s, count({value}) AS n, avg({value}) AS m FROM {source} GROUP BY 1),
+c AS (SELECT unnest(generate_series((SELECT min(b) FROM g), (SELECT max(b) FROM g), INTERVAL '{step}')) AS b)
+SELECT CAST({label} AS TIMESTAMP) AS bucket, round(coalesce(s, 0), 2) AS sum, coalesce(n, 0) AS count, round(m, 6) AS mean FROM c LEFT JOIN g USING (b)""")(
+        lambda t, f=freq, d=date, v=value: rounded(rounded(R.resample(t, d, f, v, ["sum", "count", "mean"]), "mean", digits=6), "sum", digits=2))
+
+
+@query("period_comparison", "orders", """WITH s AS (SELECT sum(o_totalprice) FILTER (WHERE date_trunc('month', o_orderdate) = DATE '1997-03-01') AS c, sum(o_totalprice) FILTER (WHERE date_trunc('month', o_orderdate) = DATE '1996-03-01') AS p FROM orders)
+SELECT round(c, 2) AS current, round(p, 2) AS reference, round(c - p, 2) AS delta, round(100 * (c - p) / abs(p), 4) AS pct, CASE WHEN c IS NULL OR p IS NULL THEN 'no_data' WHEN c > p THEN 'up' WHEN c < p THEN 'down' ELSE 'flat' END AS direction FROM s""")
+def _(t):
+    return rounded(rounded(R.period_comparison(t, "o_orderdate", "o_totalprice", "M", "1997-03-01", "1996-03-01"), "pct"), "current", "reference", "delta", digits=2)
+
+
+@query("cohort", "orders", "SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
+def _(t):
+    return rounded(R.cohort(t, "o_orderpriority", "o_orderdate", "o_totalprice"), "total", digits=2)
+
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("describe", "lineitem", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, CAST(max({c}) AS DOUBLE) AS max, round(skewness({c}), 4) AS skew, round(kurtosis({c}), 4) AS kurtosis FROM lineitem""" for c in NUMBERS))
+def _(t):
+    return rounded(P.describe(t, NUMBERS), "mean", "std", "q25", "q50", "q75", "skew", "kurtosis")
+
+
+@query("scan_nulls_zeros", "events", f"""WITH e AS {NULLED} SELECT 'value' AS "column", count(*) FILTER (WHERE value IS NULL) AS nulls, CAST(0 AS BIGINT) AS null_like, count(*) FILTER (WHERE value = 0) AS zeros FROM e
+UNION ALL SELECT 'event_type', count(*) FILTER (WHERE event_type IS NULL), count(*) FILTER (WHERE trim(event_type) IN ('', '-', 'N/A', 'null', 'None')), 0 FROM e""")
+def _(t):
+    return P.scan_nulls_zeros(with_nulls(t), ["value", "event_type"])
+
+
+@query("check_outliers", "lineitem", " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(any_value(a) - 1.5 * (any_value(b) - any_value(a)), 6) AS low, round(any_value(b) + 1.5 * (any_value(b) - any_value(a)), 6) AS high, count(*) FILTER (WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outliers FROM lineitem, (SELECT quantile_cont({c}, 0.25) a, quantile_cont({c}, 0.75) b FROM lineitem)""" for c in NUMBERS[:2]))
+def _(t):
+    return rounded(P.check_outliers(t, NUMBERS[:2]), "low", "high", digits=6)
+
+
+@query("detect_anomalies", "events", """WITH q AS (SELECT quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b, avg(value) m, stddev_samp(value) s FROM events)
+SELECT event_id, CAST(value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS INTEGER) AS value_iqr_flag, CAST(abs(value - m) > 3 * s AS INTEGER) AS value_zscore_flag, CAST(value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS INTEGER) + CAST(abs(value - m) > 3 * s AS INTEGER) AS _anomaly_score FROM events, q""")
+def _(t):
+    return P.detect_anomalies(t, "value").select("event_id", "value_iqr_flag", "value_zscore_flag", "_anomaly_score")
+
+
+query("validate", "events", None)(lambda t: P.validate(with_nulls(t), ["event_id", "event_type", "value"]))
+
+
+@query("correlation_pearson", "lineitem", """SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem""")
+def _(t):
+    return rounded(P.correlation(t, NUMBERS), "r", digits=6)
+
+
+@query("correlation_spearman", "lineitem", """WITH k AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS y FROM lineitem) SELECT 'l_quantity' AS a, 'l_discount' AS b, round(corr(x, y), 6) AS r FROM k""")
+def _(t):
+    return rounded(P.correlation(t, ["l_quantity", "l_discount"], "spearman"), "r", digits=6)
+
+
+@query("t_test", "orders", """WITH s AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') n1, count(*) FILTER (WHERE o_orderstatus = 'O') n2, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') m1, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') m2, var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'F') v1, var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'O') v2 FROM orders), d AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d FROM s)
+SELECT round(d / sqrt(1 / n1 + 1 / n2), 6) AS statistic, n1 + n2 - 2 AS df, round(d, 6) AS cohens_d FROM d""")
+def _(t):
+    return rounded(P.t_test(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", "cohens_d", digits=6)
+
+
+@query("anova", "orders", """WITH g AS (SELECT o_orderpriority, count(*) n, avg(o_totalprice) m, var_pop(o_totalprice) * count(*) w FROM orders GROUP BY 1), a AS (SELECT sum(n) n, count(*) k, sum(w) w, sum(n * m) / sum(n) gm FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) b FROM g, a)
+SELECT round(b / (k - 1) / (w / (n - k)), 4) AS statistic, round(b / (b + w), 6) AS eta_squared FROM a, b""")
+def _(t):
+    return rounded(rounded(P.anova(t, "o_totalprice", "o_orderpriority"), "statistic"), "eta_squared", digits=6)
+
+
+@query("chi_square", "orders", """WITH c AS (SELECT o_orderpriority a, o_orderstatus b, count(*) o FROM orders GROUP BY 1, 2), r AS (SELECT a, sum(o) r FROM c GROUP BY 1), k AS (SELECT b, sum(o) k FROM c GROUP BY 1), n AS (SELECT sum(o) n FROM c), e AS (SELECT r.a, k.b, r * k / n AS e FROM r, k, n)
+SELECT round(sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e), 4) AS statistic, CAST((count(DISTINCT e.a) - 1) * (count(DISTINCT e.b) - 1) AS BIGINT) AS df FROM e LEFT JOIN c ON c.a = e.a AND c.b = e.b""")
+def _(t):
+    return rounded(P.chi_square(t, "o_orderpriority", "o_orderstatus"), "statistic")
+
+
+@query("ols", "lineitem", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem")
+def _(t):
+    return rounded(rounded(P.ols(t, "l_extendedprice", "l_quantity"), "slope", "intercept"), "r2", digits=6)
+
+
+@query("word_frequency", "part", "SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(lower(p_name), '\\s+')) AS word FROM part) WHERE word <> '' GROUP BY 1")
+def _(t):
+    return P.word_frequency(t, "p_name")
+
+
+@query("rollup_totals", "orders", "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total, count(*) AS count FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def _(t):
+    return rounded(P.rollup_totals(t, ["o_orderstatus", "o_orderpriority"], "o_totalprice"), "total", digits=2)
+
+
+@query("histogram", "part", "SELECT CAST(floor(p_retailprice / 50.0) * 50.0 AS DOUBLE) AS start, count(*) AS count FROM part GROUP BY 1")
+def _(t):
+    return P.histogram(t, "p_retailprice", 50.0)
+
+
+@query("sankey_edges", "customer", "SELECT c_mktsegment AS source, CAST(c_nationkey AS VARCHAR) AS target, count(*) AS weight FROM customer GROUP BY 1, 2")
+def _(t):
+    return t.groupBy(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
