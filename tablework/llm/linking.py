@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.llm.common import stage
@@ -73,19 +73,31 @@ def _by_difference(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Candidate pairs of different labels in large buckets, from how their sets differ from the bucket's central one c.
 
     Let R = c - y and A = y - c. If x isn't linked with c but is with y, x shares more than
-    (100 |R| + percent |A|) / (100 + percent) of the elements in R and A with y (from the sizes of the intersections).
-    So x has one of the first |R| + |A| - that number of them, in any fixed order; A comes first, as what few others have.
-    Of two labels one isn't c's, and that side looks up all its elements. No link is lost.
+    need(y) = (100 |R| + percent |A|) / (100 + percent) of the elements in R and A with y (from the sizes of the
+    intersections). In any fixed order, the first element they share is then followed by need(y) or more in both. The order
+    is by how many of the bucket's members have an element, the rarest first, so few pairs meet. Of two labels one isn't
+    c's, and that side is x; where y isn't linked with c either, need(x) holds too. Jaccard distances are a metric, so
+    distances to c differ by no more than a link's. No link is lost.
     """
     n = apart.select("lead", "lead_label", "id", "size", "label").distinct()
     n = n.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("items").alias("c")), "lead")
-    both = F.struct(F.sort_array(F.array_except("items", "c")).alias("more"), F.sort_array(F.array_except("c", "items")).alias("less"))
+    both = F.struct(F.array_except("items", "c").alias("more"), F.array_except("c", "items").alias("less"), F.size("items").alias("own"))
     n = n.select("lead", "lead_label", "id", "size", "label", F.inline(F.array(both)))  # inline: else each use computes them anew
+    total, union = F.size("more") + F.size("less"), F.size("less") + F.col("own")
     need = F.expr(f"(100L * size(less) + {percent}L * size(more)) div {100 + percent}").cast("int")
-    n = n.withColumn("all", F.concat("more", "less")).withColumn("first", F.slice("all", 1, F.size("all") - need))
-    index = n.select("lead", "id", "size", "label", F.explode("first").alias("item"))
-    probe = n.where("label <> lead_label").select("lead", "id", "size", "label", F.explode("all").alias("item"))
-    return _pairs(probe, index, ["lead", "item"], "x.label <> y.label", percent)
+    n = n.select("lead", "id", "size", "label", (F.col("label") == F.col("lead_label")).alias("led"), need.alias("need"), (total / union).alias("away"), F.concat("more", "less").alias("all"))
+    each = stage(n.select("lead", "id", "size", "label", "led", "need", "away", F.explode("all").alias("item")), "differences")
+    # an element of led members alone meets nobody
+    shared = each.groupBy("lead", "item").agg(F.count(F.lit(1)).alias("times"), F.min("led").alias("all_led")).where("times > 1 and not all_led").drop("all_led")
+    each = each.join(shared, ["lead", "item"])
+    by = Window.partitionBy("lead", "id")
+    # elements that aren't shared come first, then by times
+    after = F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("times", "item"))
+    each = stage(each.withColumn("after", after).where("after >= need or not led"), "differences")
+    index = each.where("after >= need")
+    probe = each.where("not led")
+    which = "x.label <> y.label and (y.led or x.id < y.id) and least(x.after, y.after) >= greatest(y.need, if(y.led, 0, x.need))"
+    return _pairs(probe, index, ["lead", "item"], f"{which} and abs(x.away - y.away) <= {(100 - percent) / 100 + 1e-9}", percent)
 
 
 def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
