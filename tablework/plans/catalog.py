@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tablework.functions import conditions
 from tablework.operators import columns as C
+from tablework.operators import inference as I
 from tablework.operators import profile as P
 from tablework.operators import relations as R
+from tablework.operators import series as S
+from tablework.plans import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -439,3 +442,91 @@ def _(t):
 @query("sankey_edges", "customer", "SELECT c_mktsegment AS source, CAST(c_nationkey AS VARCHAR) AS target, count(*) AS weight FROM customer GROUP BY 1, 2")
 def _(t):
     return t.groupBy(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+@query("one_sample_t", "orders", "SELECT round((avg(o_totalprice) - 150000) / (stddev_samp(o_totalprice) / sqrt(count(*))), 5) AS statistic, count(*) - 1 AS df FROM orders")
+def _(t):
+    return rounded(I.one_sample_t(t, "o_totalprice", 150000.0), "statistic", digits=5)
+
+
+@query("paired_t", "lineitem", "SELECT round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 5) AS statistic, count(*) - 1 AS df FROM lineitem")
+def _(t):
+    return rounded(I.paired_t(t, "l_discount", "l_tax"), "statistic", digits=5)
+
+
+@query("proportion_z", "orders", """WITH s AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') n1, count(*) FILTER (WHERE o_orderstatus = 'O') n2, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 200000) h1, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_totalprice > 200000) h2 FROM orders)
+SELECT round((h1 / n1 - h2 / n2) / sqrt((h1 + h2) / (n1 + n2) * (1 - (h1 + h2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) AS statistic, round(h1 / n1, 6) AS share_1, round(h2 / n2, 6) AS share_2 FROM s""")
+def _(t):
+    return rounded(I.proportion_z(t, F.col("o_totalprice") > 200000, "o_orderstatus", "F", "O"), "statistic", "share_1", "share_2", digits=6)
+
+
+@query("levene", "orders", """WITH d AS (SELECT o_orderpriority p, abs(o_totalprice - median(o_totalprice) OVER (PARTITION BY o_orderpriority)) AS d FROM orders), g AS (SELECT p, count(*) n, avg(d) m, var_pop(d) * count(*) w FROM d GROUP BY 1), a AS (SELECT sum(n) n, count(*) k, sum(w) w, sum(n * m) / sum(n) gm FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) b FROM g, a)
+SELECT round(b / (k - 1) / (w / (n - k)), 4) AS statistic FROM a, b""")
+def _(t):
+    return rounded(I.levene(t, "o_totalprice", "o_orderpriority"), "statistic")
+
+
+RANKED = "SELECT {g} AS g, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {v}) AS t FROM {t}"
+
+
+@query("kruskal", "lineitem", f"""WITH k AS ({RANKED.format(g="l_returnflag", v="l_quantity", t="lineitem")}), c AS (SELECT 1 - sum(CAST(t AS DOUBLE) * t - 1) / (CAST(count(*) AS DOUBLE) * count(*) * count(*) - count(*)) AS c, CAST(count(*) AS DOUBLE) AS n FROM k), s AS (SELECT sum(r) * sum(r) / count(*) AS q FROM k GROUP BY g)
+SELECT round((12 / (any_value(n) * (any_value(n) + 1)) * sum(q) - 3 * (any_value(n) + 1)) / any_value(c), 4) AS statistic, count(*) - 1 AS df FROM s, c""")
+def _(t):
+    return rounded(I.kruskal(t, "l_quantity", "l_returnflag"), "statistic")
+
+
+@query("mann_whitney", "orders", f"""WITH k AS ({RANKED.format(g="o_orderstatus", v="o_totalprice", t="(SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O'))")}), u AS (SELECT sum(r) FILTER (WHERE g = 'F') - count(*) FILTER (WHERE g = 'F') * (count(*) FILTER (WHERE g = 'F') + 1) / 2 AS u, count(*) FILTER (WHERE g = 'F') * count(*) FILTER (WHERE g = 'O') AS n FROM k)
+SELECT round(u, 2) AS statistic, round(1 - 2 * u / n, 6) AS rank_biserial FROM u""")
+def _(t):
+    return rounded(rounded(I.mann_whitney(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", digits=2), "rank_biserial", digits=6)
+
+
+@query("wilcoxon", "lineitem", """WITH d AS (SELECT round(100 * (l_discount - l_tax)) AS d FROM lineitem), k AS (SELECT d > 0 AS up, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)
+SELECT round(least(sum(r) FILTER (WHERE up), sum(r) FILTER (WHERE NOT up)), 2) AS statistic FROM k""")
+def _(t):
+    t = t.select(F.round(100 * (F.col("l_discount") - F.col("l_tax"))).alias("d"), F.lit(0.0).alias("z"))
+    return rounded(I.wilcoxon(t, "d", "z"), "statistic", digits=2)
+
+
+query("box_cox", "part", None)(lambda t: rounded(I.box_cox(t, "p_retailprice", "moved")[0].select("p_partkey", "moved"), "moved"))
+
+
+@query("compare_datasets", "orders", """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 1)
+SELECT count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NULL) AS only_b, count(*) FILTER (WHERE a.k = b.k) AS in_both, count(*) FILTER (WHERE a.k = b.k AND a.v IS DISTINCT FROM b.v) AS changed FROM a FULL JOIN b ON a.k = b.k""")
+def _(t):
+    a = t.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    b = t.where("o_orderkey % 5 <> 1").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 10 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("v"))
+    return I.compare_datasets(a, b, ["k"])
+
+
+@query("text_profile", "part", "SELECT count(p_name) AS texts, count(*) FILTER (WHERE p_name IS NULL) AS nulls, count(*) FILTER (WHERE trim(p_name) = '') AS blanks, count(DISTINCT p_name) AS distinct, min(length(p_name)) AS shortest, max(length(p_name)) AS longest, round(avg(length(p_name)), 4) AS mean_length, CAST(sum(len(list_filter(string_split_regex(p_name, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words FROM part")
+def _(t):
+    return rounded(I.text_profile(t, "p_name"), "mean_length")
+
+
+MONTHS = "m AS (SELECT date_trunc('month', o_orderdate) AS mon, sum(o_totalprice) AS y FROM orders GROUP BY 1), b AS (SELECT y, row_number() OVER (ORDER BY mon) - 1 AS i FROM m)"
+
+
+@query("trend", "orders", f"WITH {MONTHS} SELECT round(regr_slope(y, i), 2) AS slope, round(regr_intercept(y, i), 2) AS intercept, round(regr_r2(y, i), 6) AS r2 FROM b")
+def _(t):
+    return rounded(rounded(S.trend(t, "o_orderdate", "o_totalprice"), "slope", "intercept", digits=2), "r2", digits=6)
+
+
+@query("autocorrelation", "orders", f"""WITH {MONTHS}, d AS (SELECT i, y - avg(y) OVER () AS d, count(*) OVER () AS n FROM b), l AS (SELECT unnest(generate_series(1, 12)) AS lag), p AS (SELECT lag, (SELECT sum(x.d * z.d) FROM d x JOIN d z ON x.i = z.i + lag) / (SELECT sum(d * d) FROM d) AS acf, (SELECT max(n) FROM d) AS n FROM l)
+SELECT CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf, abs(acf) > 2 / sqrt(n) AS significant FROM p WHERE lag <= n // 2""")
+def _(t):
+    return rounded(S.autocorrelation(t, "o_orderdate", "o_totalprice"), "acf", digits=6)
+
+
+@query("smoothed_level", "orders", f"WITH {MONTHS} SELECT round(sum(pow(0.7, (SELECT max(i) FROM b) - i) * CASE WHEN i = 0 THEN 1 ELSE 0.3 END * y), 2) AS level FROM b")
+def _(t):
+    return rounded(S.smoothed_level(t, "o_orderdate", "o_totalprice"), "level", digits=2)
+
+
+@query("saved_steps", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' ELSE o_orderstatus END AS o_orderstatus, round(o_totalprice / 1000 - 1, 6) AS thousands FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 1000 AND 250000")
+def _(t):
+    steps = [
+        {"op": "filter_isin", "column": "o_orderpriority", "values": ["1-URGENT", "2-HIGH"]}, {"op": "filter_between", "column": "o_totalprice", "min": 1000, "max": 250000},
+        {"op": "replace_values", "column": "o_orderstatus", "mapping": {"F": "done"}}, {"op": "add_column", "name": "thousands", "expression": "o_totalprice / 1000 - 1"},
+    ]
+    return rounded(pipelines.apply(t, steps).select("o_orderkey", "o_orderstatus", "thousands"), "thousands", digits=6)
