@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import byte_texts, mix, stage
+from tablework.llm.common import byte_texts, discard, mix, stage
 
 #: Bytes of a sample suffix's name; neighbouring starts that are looked at together.
 NAME, BLOCK = 32, 32
@@ -189,9 +189,13 @@ def repeated_spans(docs: DataFrame, classes: DataFrame, length: int) -> DataFram
     places = samples.join(_repeated(samples, "name"), "name").select("doc_id", "place").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     places = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     blocks = stage(_blocks(docs.join(places, "doc_id"), length), "blocks")
+    discard(samples)
     hulls = stage(_repeated(blocks, "hull"), "hulls")
     cores = _repeated(blocks, "core").select("core", F.lit(True).alias("again"))
-    known = stage(blocks.join(hulls, "hull", "left").join(cores, "core", "left"), "blocks")
+    # a block neither of whose hashes repeats holds no repeated string
+    known = blocks.join(hulls, "hull", "left").join(cores, "core", "left").where("leader is not null or again")
+    known = stage(known.select("doc_id", "first", "last", "core", "at", "leader", "again"), "blocks")
+    discard(blocks, hulls)
     whole = known.where("leader is not null").select("doc_id", "first", "last")
     unsure = known.where("leader is null and again")
     # what an unsure block may share with blocks that repeat as a whole: one block of each such hull
@@ -199,7 +203,9 @@ def repeated_spans(docs: DataFrame, classes: DataFrame, length: int) -> DataFram
     starts = unsure.unionByName(peers).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     strings = stage(_strings(docs.join(starts, "doc_id"), length), "strings")
     single = strings.join(_repeated(strings, "string"), "string").select("doc_id", "first", F.col("first").alias("last"))
-    return whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = stage(whole.union(single).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    discard(known, strings)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -213,7 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     docs = docs.select("doc_id", "text")
     seen = stage(_texts(docs), "texts")
     classes = stage(seen.where(F.col("n_bytes") >= length).groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    spans = stage(repeated_spans(docs, classes, length), "spans")
+    spans = repeated_spans(docs, classes, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
