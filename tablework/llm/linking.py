@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.llm.common import stage
+from tablework.llm.common import discard, stage
 
 #: In buckets of up to so many places, members that are still apart are compared directly.
 FEW = 8
@@ -38,8 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = stage(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, stage(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         old, mark = mark, _mark(e)
+        discard(before)
         if old == mark:
             break
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
@@ -51,9 +52,13 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(full, "key")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; sets: (id, items), items distinct."""
-    linked = F.exists(F.array(F.array_intersect("p", "q")), lambda i: 100 * F.size(i) >= percent * (F.size("p") + F.size("q") - F.size(i)))
+def similar(pairs: DataFrame, sets: DataFrame, percent: int, set_of: Callable[[Column], Column] = lambda items: items) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    sets: (id, items); set_of makes the set, an array of distinct values, from items.
+    """
+    enough = lambda s: F.exists(F.array(F.array_intersect(s["p"], s["q"])), lambda i: 100 * F.size(i) >= percent * (F.size(s["p"]) + F.size(s["q"]) - F.size(i)))
+    linked = F.exists(F.array(F.struct(set_of(F.col("p")).alias("p"), set_of(F.col("q")).alias("q"))), enough)
     return (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("items").alias("p")), "a")
@@ -100,19 +105,21 @@ def _by_difference(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return _pairs(probe, index, ["lead", "item"], f"{which} and abs(x.away - y.away) <= {(100 - percent) / 100 + 1e-9}", percent)
 
 
-def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, set_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, component) of all members that are linked with another.
 
     members: (key, id, size), one row a bucket and id; size: of the id's set. sets_of: takes distinct ids (id) and gives
-    their sets (id, items array<long>). Links are pairs of members of one bucket with 100 * intersection >= percent * union.
+    their sets (id, items array<long>), or what set_of makes these arrays from. Links are pairs of members of one bucket
+    with 100 * intersection >= percent * union.
     """
-    m = stage(shared_buckets(members), "buckets")
+    compare = {"set_of": set_of} if set_of else {}
+    full = m = stage(shared_buckets(members), "buckets")
     central = m.groupBy("id").agg(F.sum("places").alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "id", "size")).alias("best")
     leaders = m.join(central, "id").groupBy("key").agg(best).select("key", "best.id", "best.size")
     sets = stage(sets_of(central.select("id")), "sets")
     first = stage(_pairs(m, leaders, ["key"], "x.id <> y.id", percent), "pairs")
-    links = stage(similar(first, sets, percent), "links")
+    links = stage(similar(first, sets, percent, **compare), "links")
     found = components(links)
     m = m.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     apart = m.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
@@ -121,6 +128,11 @@ def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     many = m.where(F.col("places") > FEW)
     leaders = leaders.join(many.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("lead"))
     leaders = leaders.join(found.select(F.col("id").alias("lead"), "component"), "lead", "left").select("key", "lead", F.coalesce("component", "lead").alias("lead_label"))
-    more = _pairs(few, few, ["key"], "x.label < y.label", percent).union(_by_difference(many.join(leaders, "key"), sets, percent))
+    wide = sets
+    if set_of:
+        wide = stage(sets.join(many.select("id").distinct(), "id", "left_semi").select("id", set_of(F.col("items")).alias("items")), "sets")
+    more = _pairs(few, few, ["key"], "x.label < y.label", percent).union(_by_difference(many.join(leaders, "key"), wide, percent))
     more = stage(more.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    return components(links.union(similar(more, sets, percent)))
+    out = components(links.union(similar(more, sets, percent, **compare)))
+    discard(full, m, first, more, links, sets, *([wide] if set_of else []))
+    return out

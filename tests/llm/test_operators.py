@@ -245,6 +245,24 @@ def test_lines(spark, none):
     assert kept[1] == "  \nunique text of the second document, as long as the first" and 4 not in kept and kept[2] is None and kept[3] == ""
 
 
+def test_line_bands_bring_near_lines_together(spark):
+    r = random.Random(8)
+    pairs = []
+    for n in [1, 2, 3, 5, 8, 11, 15] * 6 + [20, 30, 60, 200] * 30:
+        ws = [r.choice(WORDS) + r.choice(WORDS) for _ in range(n)]
+        changed = list(ws)
+        changed[r.randrange(n)] += "x"
+        pairs.append((" ".join(ws), " ".join(changed)))
+    cut = lambda s: {s[i : i + 8] for i in range(max(1, len(s) - 7))}
+    near = [k for k, (a, b) in enumerate(pairs) if len(cut(a) & cut(b)) >= 0.8 * len(cut(a) | cut(b))]
+    table = spark.createDataFrame([(2 * k + j, line) for k, both in enumerate(pairs) for j, line in enumerate(both)], "key long, line string")
+    keys = collections.defaultdict(set)
+    for x in lines.signatures(table).collect():
+        keys[x["id"]].add(x["key"])
+    found = [k for k in near if keys[2 * k] & keys[2 * k + 1]]
+    assert len(near) > 60 and len(found) >= 0.98 * len(near)
+
+
 def test_language(spark, none):
     r = random.Random(1)
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
