@@ -34,7 +34,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where(remainder(5) != 0).join(labels, "doc_id"), docs)
+    # labels grow with the corpus, so they are merged with it at every size and never broadcast
+    model = toxicity.fit(docs.where(remainder(5) != 0).join(labels.hint("merge"), "doc_id"), docs)
     return toxicity.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
