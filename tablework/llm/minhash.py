@@ -30,7 +30,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         total = np.zeros(len(flat), np.uint64)
         for k in range(width):
-            total[: len(flat) - k] = mix(total[: len(flat) - k] + flat[k:]) + np.uint64(k + 1)
+            most = max(0, len(flat) - k)  # shingles that begin so early that they have a word k
+            total[:most] = mix(total[:most] + flat[k:]) + np.uint64(k + 1)
         for n in counts.tolist():
             if n >= width:
                 out.append(np.unique(total[at : at + n - width + 1]))

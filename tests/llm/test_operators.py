@@ -77,6 +77,15 @@ def test_near_duplicates(docs, none, rows):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_shingles_of_few_words(spark):
+    for width in (2, 5):
+        for n in range(7):
+            text = " ".join(f"w{i}" for i in range(n))
+            assert [len(s) for s in minhash.shingle_sets([text.encode()], width)] == [max(min(n, 1), n - width + 1)]
+            table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+            assert [(r["doc_id"], r["size"]) for r in minhash.signatures(table, width).collect()] == [(1, max(min(n, 1), n - width + 1))]
+
+
 def test_large_group_of_near_copies(spark):
     r = random.Random(2)
     base = [f"b{i}" for i in range(100)]
