@@ -22,8 +22,6 @@ SHINGLE, PERCENT = 8, 80
 #: Lines of at most SMALL distinct shingles have a band for each: at 80 % similarity such a pair always shares one, others with
 #: a chance of 99.7 %.
 CLASSES, ROWS, SMALL = 8, 3, 12
-#: From where on lines are signed by a sample of their shingles, and up to where by all.
-SHORT = (100, 130)
 #: Characters of a piece, within which shingles are cut, so that cutting takes time in proportion to the line.
 PIECE = 32
 
@@ -64,14 +62,10 @@ def _bands(shingles: Column) -> Column:
 def signatures(lines: DataFrame) -> DataFrame:
     """(key, id) for every band of lines (key, line): id is the line's key, key that of the band.
 
-    Lines of up to SHORT[1] characters are signed over all their shingles, lines from SHORT[0] on over those that begin a
-    word, which are a sample of them by content. Lines in between have both, as linked lines differ in size by a fifth at most.
+    Lines of every length are signed over all their distinct shingles.
     """
-    size = F.length("line")
-    every = F.when(size <= SHORT[1], F.flatten(F.transform(_pieces(F.col("line")), _cut)))
-    begun = F.when(size >= SHORT[0], F.regexp_extract_all("line", F.lit(f"(?s)(?=(\\S.{{{SHINGLE - 1}}}))\\S++ ?"), F.lit(1)))
-    both = F.filter(F.array(every, begun), lambda x: F.size(x) > 0)
-    return lines.select(F.explode(F.flatten(F.transform(both, _bands))).alias("band"), F.col("key").alias("id")).select(F.col("band").alias("key"), "id")
+    every = F.flatten(F.transform(_pieces(F.col("line")), _cut))
+    return lines.select(F.explode(_bands(every)).alias("band"), F.col("key").alias("id")).select(F.col("band").alias("key"), "id")
 
 
 def _cut(piece: Column) -> Column:

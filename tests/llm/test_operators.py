@@ -272,6 +272,29 @@ def test_line_bands_bring_near_lines_together(spark):
     assert len(near) > 60 and len(found) >= 0.98 * len(near)
 
 
+def test_line_bands_of_long_lines_with_few_words(spark):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789/+"
+    data = lambda n: "".join(r.choice(letters) for _ in range(n))
+    pairs = []
+    for n in (140, 200, 400, 3000):
+        for _ in range(6):
+            line = data(n)
+            pairs += [(line, "#" + line[1:]), (line, line[: n // 2] + "#" + line[n // 2 + 1 :])]
+            two = f"{line} {data(n)}"
+            pairs.append((two, "#" + two[1:]))
+            rule = data(9)
+            pairs += [(rule * (n // 9), rule * (n // 5)), ("|---" * (n // 4), "|---" * n + "|")]
+    cut = lambda s: {s[i : i + 8] for i in range(max(1, len(s) - 7))}
+    near = [k for k, (a, b) in enumerate(pairs) if len(cut(a) & cut(b)) >= 0.8 * len(cut(a) | cut(b))]
+    table = spark.createDataFrame([(2 * k + j, line) for k, both in enumerate(pairs) for j, line in enumerate(both)], "key long, line string")
+    keys = collections.defaultdict(set)
+    for x in lines.signatures(table).collect():
+        keys[x["id"]].add(x["key"])
+    found = [k for k in near if keys[2 * k] & keys[2 * k + 1]]
+    assert len(near) > 100 and len(found) >= 0.98 * len(near)
+
+
 def test_language(spark, none):
     r = random.Random(1)
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
