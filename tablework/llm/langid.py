@@ -2,7 +2,8 @@
 
 Every slot of the filter holds a bitmask of languages. The slots that an n-gram hashes to, combined by AND, give all
 languages that contain it at once. A text's n-grams are counted per language, the counts are corrected for the filter's
-false positives in each language, and the largest decides.
+false positives in each language, and the largest decides. All learned n-grams are set; a second bit a language tells where
+an n-gram is typical of it, and where it isn't, it weighs less.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tablework.llm.common import mix, stage
 
-#: n-gram length; slots of the filter and hashes an n-gram; n-grams a language holds at most, the most frequent ones.
-N, SLOTS, HASHES, MOST_NGRAMS = 4, 1 << 21, 3, 150_000
-#: A language holds the n-grams whose rate in it is at least this share of their highest rate in any language, and that it has so often.
-SHARE, LEAST = 0.25, 3
+#: n-gram length; hashes an n-gram; rate of false positives a language at most, from which slots follow.
+N, HASHES, WRONG = 4, 3, 0.01
+#: An n-gram whose rate in a language is below this share of its highest rate in any language counts this share there, others 1.
+SHARE = 0.25
+#: n-grams that reach the driver at a time.
+AT_ONCE = 2_000_000
 UNKNOWN = "und"
 CHUNK = 2_000_000
 
@@ -46,7 +49,13 @@ def ngrams(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray, np.nda
     doc = np.repeat(np.arange(len(texts)), sizes)
     basic = np.minimum(codes, 0xFFFF)
     letter = np.where(codes < 0x10000, _LETTER[basic], True)
-    codes = np.where(letter, np.where(codes < 0x10000, _LOWER[basic], codes), 32)
+    lower = np.where(letter, np.where(codes < 0x10000, _LOWER[basic], codes), 32)
+    if len(high := np.flatnonzero(codes >= 0x10000)):
+        seen, which = np.unique(codes[high], return_inverse=True)
+        chars = [chr(c) for c in seen.tolist()]
+        letter[high] = np.array([c.isalpha() for c in chars])[which]
+        lower[high] = np.array([ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in chars], np.uint32)[which]
+    codes = lower
     letters = np.bincount(doc[letter], minlength=len(texts))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first other character after a letter
@@ -72,32 +81,39 @@ def _slots(hashes: np.ndarray, slots: int, count: int) -> list[np.ndarray]:
     return out
 
 
+def slots_for(n: int, hashes: int = HASHES, wrong: float = WRONG) -> int:
+    """Slots, a power of two, at which n n-grams in one language give at most this rate of false positives."""
+    need = n * hashes / -np.log1p(-(wrong ** (1 / hashes)))
+    return 1 << max(10, int(np.ceil(np.log2(max(1, need)))))
+
+
 class LanguageFilter:
-    """languages: names, one bit each; masks: (slots, planes) bytes; wrong: each language's rate of false positives."""
+    """languages: names, two bits each, that an n-gram occurs and that it is typical; masks: (slots, planes) bytes; wrong: each bit's rate of false positives."""
 
-    def __init__(self, languages: list[str], slots: int = SLOTS, hashes: int = HASHES):
-        self.languages, self.slots, self.hashes = languages, slots, hashes
-        self.masks = np.zeros((slots, max(1, -(-len(languages) // 8))), np.uint8)
-        self.wrong = np.zeros(len(languages))
+    def __init__(self, languages: list[str], n_ngrams: int = 0, hashes: int = HASHES):
+        self.languages, self.slots, self.hashes = languages, slots_for(n_ngrams, hashes), hashes
+        self.masks = np.zeros((self.slots, max(1, -(-2 * len(languages) // 8))), np.uint8)
+        self.wrong = np.zeros(2 * len(languages))
 
-    def add(self, language: int, hashes: np.ndarray) -> None:
-        for slot in _slots(hashes, self.slots, self.hashes):
-            np.bitwise_or.at(self.masks[:, language // 8], slot, np.uint8(1 << language % 8))
+    def add(self, language: int, hashes: np.ndarray, typical: np.ndarray) -> None:
+        for bit, own in ((2 * language, hashes), (2 * language + 1, hashes[typical])):
+            for slot in _slots(own, self.slots, self.hashes):
+                np.bitwise_or.at(self.masks[:, bit // 8], slot, np.uint8(1 << bit % 8))
 
     def seal(self) -> None:
-        for k in range(len(self.languages)):
+        for k in range(len(self.wrong)):
             self.wrong[k] = (self.masks[:, k // 8] >> (k % 8) & 1).mean() ** self.hashes
 
     def counts(self, hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-        """(texts, languages): n-grams of each text that the language holds, less the expected false positives."""
+        """(texts, languages): n-grams of each text that the language holds, less the expected false positives, weighed."""
         found = None
         for slot in _slots(hashes, self.slots, self.hashes):
             found = self.masks[slot] if found is None else found & self.masks[slot]
         total = np.bincount(doc, minlength=n_docs).astype(float)
         out = np.zeros((n_docs, len(self.languages)))
-        for k in range(len(self.languages)):
+        for k, wrong in enumerate(self.wrong):
             hits = np.bincount(doc, weights=found[:, k // 8] >> (k % 8) & 1, minlength=n_docs)
-            out[:, k] = np.maximum(0, (hits - total * self.wrong[k]) / max(1e-9, 1 - self.wrong[k]))
+            out[:, k // 2] += (1 - SHARE if k % 2 else SHARE) * np.maximum(0, (hits - total * wrong) / max(1e-9, 1 - wrong))
         return out
 
 
@@ -112,10 +128,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             at = to
 
 
-def fit(labelled: DataFrame, n: int = N, most: int = MOST_NGRAMS) -> LanguageFilter:
-    """A filter from (text, lang), over all its rows; rows without a language or text teach nothing.
+def fit(labelled: DataFrame, n: int = N) -> LanguageFilter:
+    """A filter of all n-grams of (text, lang), over all its rows; rows without a language or text teach nothing.
 
-    n-grams are counted within tasks, then by Spark. What reaches the driver is bounded: most n-grams a language.
+    n-grams are counted within tasks, then by Spark, and reach the driver AT_ONCE at a time; the filter's size is in
+    proportion to their number.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,21 +146,25 @@ def fit(labelled: DataFrame, n: int = N, most: int = MOST_NGRAMS) -> LanguageFil
     rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, ngram long, n long")
     counts = rows.groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
     # an n-gram has one row a language at most; totals has one row a language
-    by_gram = counts.where(F.col("n") >= LEAST).groupBy("ngram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"))
+    by_gram = counts.groupBy("ngram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"))
     by_gram = stage(by_gram, "ngrams")
     pairs = by_gram.select("ngram", F.explode("ns").alias("lang", "n"))
     totals = {r["lang"]: r["t"] for r in pairs.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     languages = sorted(totals)
-    out = LanguageFilter(languages)
+    n_ngrams = by_gram.count() if languages else 0
+    out = LanguageFilter(languages, n_ngrams)
     if not languages:
         return out
     total = F.create_map(*(F.lit(x) for name in languages for x in (name, float(totals[name]))))
-    rates = by_gram.select("ngram", F.transform_values("ns", lambda k, v: v / F.element_at(total, k)).alias("rates"), "ns")
+    rates = by_gram.select("ngram", F.transform_values("ns", lambda k, v: v / F.element_at(total, k)).alias("rates"))
     top = F.array_max(F.map_values("rates"))
-    kept = rates.select("ngram", F.explode(F.map_filter("rates", lambda k, v: v >= SHARE * top)).alias("lang", "rate"))
+    each = rates.select("ngram", top.alias("top"), F.explode("rates").alias("lang", "rate"))
+    each = each.select("ngram", "lang", (F.col("rate") >= SHARE * F.col("top")).alias("typical"))
+    parts = -(-n_ngrams // AT_ONCE)
     for k, name in enumerate(languages):
-        own = kept.where(F.col("lang") == name).orderBy(F.desc("rate"), "ngram").limit(most).select("ngram").toArrow()
-        out.add(k, own["ngram"].to_numpy().view(np.uint64))
+        for part in range(parts):
+            own = each.where((F.col("lang") == name) & (F.pmod("ngram", F.lit(parts)) == part)).select("ngram", "typical").toArrow()
+            out.add(k, own["ngram"].to_numpy().view(np.uint64), own["typical"].to_numpy().astype(bool))
     out.seal()
     return out
 
@@ -155,7 +176,7 @@ def predict(docs: DataFrame, model: LanguageFilter, n: int = N) -> DataFrame:
     0 where no language has any of the n-grams. Null texts and texts without a letter are "und" with score 0. Texts are read
     whole; repeated rows are predicted each; an empty table gives no rows; other columns aren't read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS bytes for each eight languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # slots bytes for each four languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -310,6 +310,19 @@ def test_language(spark, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_language_letters_beyond_the_basic_plane_and_rare_ngrams(spark):
+    rows = [("abcde abcde abcde " * 50, "aa"), ("fghij fghij " * 50 + "abcde", "bb"), ("zyxwv", "cc"), ("\U00010428\U00010429\U0001042a\U0001042b", "dd")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    for k, (text, _) in enumerate(rows):
+        hashes, doc, _ = langid.ngrams([text])
+        # every n-gram of every language is held, however rare it is there
+        assert model.counts(hashes, doc, 1)[0, k] > 0 and all(model.counts(h[None], doc[:1], 1)[0, k] > 0 for h in set(hashes))
+    new = ["\U0001f600\U0001f602 \U0001f923", "\U0001f600 12 !!", "zyxwv", "\U00010400\U00010401\U00010402\U00010403"]
+    docs = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(docs, model).collect()}
+    assert got[0] == got[1] == ("und", 0.0) and got[2][0] == "cc" and got[3][0] == "dd"
+
+
 def test_toxicity(spark, none):
     r = random.Random(4)
     rows = []
