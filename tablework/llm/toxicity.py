@@ -7,6 +7,7 @@ trigram model of the corpus picks the likeliest restoration. Words of the restor
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -22,8 +23,10 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c",
 }
-#: Log costs of the channel: a look-alike, a dropped repeat, a dropped separator, a sign kept as it is.
-LOOK, REPEAT, SEPARATOR, KEPT = -1.0, -0.5, -0.5, -6.0
+#: Log costs of the channel: a look-alike, a dropped repeat, a dropped separator, a sign kept as it is, a sign dropped at
+#: an end of the token, where it may be punctuation or is one of LETTERLIKE.
+LOOK, REPEAT, SEPARATOR, KEPT, EDGE, LETTER_EDGE = -1.0, -0.5, -0.5, -6.0, -1.0, -3.0
+LETTERLIKE = "@$€£"
 #: Words the model may use, those with the most evidence; words with fewer toxic documents aren't considered.
 MOST_WORDS, LEAST_DOCS = 2_000, 4
 #: Labelled rows that the logistic model is fitted on at most, by smallest hash of doc_id; word counts take all rows.
@@ -32,14 +35,13 @@ MOST_ROWS = 50_000
 MOST_CHARS = 128
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Single characters with one separator between them, within a text or within a token.
-_SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
-_DOTTED = re.compile(r"^\W*(\w(?:[.\-_*]\w){2,})\W*$")
+#: Single characters, letters, digits or look-alike signs, with one space between them.
+_SPACED = re.compile(r"(?<!\S)[\w{0}](?: [\w{0}]){{2,}}(?!\S)".format(re.escape("".join(c for c in LOOKS if not c.isdigit()))))
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
-_ENDS = re.compile(r"^[^\w@$€£]+|[^\w@$€£]+$|([@$€£])\1+$")
-_SIGNS = frozenset(LOOKS)
-#: Longer tokens are words or data, not a spelt-out word; they are taken as they are.
-LONGEST = 80
+_SEPARATORS = " .-_*"
+#: What is at the ends of a token and neither a letter, a digit nor a look-alike.
+_ENDS = re.compile(r"^(?:[^\w{0}]|_)+|(?:[^\w{0}]|_)+$".format(re.escape("".join(LOOKS))))
+_NOISE = frozenset(LOOKS) | frozenset(_SEPARATORS)
 
 
 class CharModel:
@@ -48,8 +50,17 @@ class CharModel:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.total = max(1, sum(v for k, v in counts.items() if len(k) == 1))
+        self.known: dict[tuple[str, str, str], float] = {}
 
     def log(self, a: str, b: str, c: str) -> float:
+        found = self.known.get((a, b, c))
+        if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            found = self.known[a, b, c] = self._log(a, b, c)
+        return found
+
+    def _log(self, a: str, b: str, c: str) -> float:
         n = self.counts.get
         one = (n(c, 0) + 0.5) / (self.total + 64)
         two = n(b + c, 0) / max(1, n(b, 0))
@@ -57,36 +68,73 @@ class CharModel:
         return math.log(0.6 * three + 0.3 * two + 0.1 * one)
 
 
-def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a token: for each character what it may have been, with log costs; '' where it is dropped."""
-    out: list[list[tuple[str, float]]] = []
+def readings(token: str, whole: bool = False) -> Iterator[list[tuple[str, float]]]:
+    """The lattice of a token: for each character what it may have been, with log costs; '' where it is dropped.
+
+    whole: look-alike signs are all taken as written for letters, none dropped as punctuation or as a repeat.
+    """
+    first = next((i for i, c in enumerate(token) if c.isalnum()), len(token))
+    last = next((i for i in range(len(token) - 1, -1, -1) if token[i].isalnum()), -1)
     for i, c in enumerate(token):
         if c in LOOKS:
-            own = [(x, LOOK) for x in LOOKS[c]] + [(c, KEPT)] + ([("", REPEAT)] if i and token[i - 1] == c else [])
-        elif c in " .-_*":
+            own = [(x, LOOK) for x in LOOKS[c]] + [(c, KEPT)]
+            if not whole:
+                if i and token[i - 1] == c:
+                    own.append(("", REPEAT))
+                elif i < first or i > last:
+                    own.append(("", LETTER_EDGE if c in LETTERLIKE else EDGE))
+        elif c in _SEPARATORS:
             own = [("", SEPARATOR), (" ", KEPT)]
+        elif (i < first or i > last) and not c.isalnum():
+            own = [("", 0.0)]
         else:
             own = [(c, 0.0)]
             if i and token[i - 1] == c:
                 run = i + 1 < len(token) and token[i + 1] == c or i > 1 and token[i - 2] == c
                 own = [(c, 0.0 if not run else REPEAT), ("", REPEAT if run else KEPT)]
-        out.append(own)
-    return out
-
-
-def decode(token: str, model: CharModel) -> str:
-    """The likeliest reading of a token: Viterbi over the last two characters written."""
-    paths: dict[tuple[str, str], tuple[float, str]] = {(" ", " "): (0.0, "")}
-    for own in [*readings(token), [(" ", 0.0)]]:
-        step: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+        yield own
+
+
+def _settled(back: list[dict], states: set) -> tuple[list[str], list[dict], set]:
+    """What all paths to states have in common, written out, the steps after it and the state it ends in."""
+    at = len(back)
+    while at and len(states) > 1:
+        at -= 1
+        states = {back[at][s][0] for s in states}
+    if len(states) > 1:
+        return [], back, set()
+    (state,) = end = states
+    out = []
+    for step in reversed(back[:at]):
+        state, c = step[state]
+        out.append(c)
+    return out[::-1], back[at:], end
+
+
+def decode(token: str, model: CharModel, whole: bool = False) -> str:
+    """The likeliest reading of a token: Viterbi over the last two characters written, in time proportional to its length."""
+    scores = {(" ", " "): 0.0}
+    back: list[dict] = []
+    done: list[str] = []
+    log, limit = model.log, 512
+    for own in itertools.chain(readings(token, whole), [[(" ", 0.0)]]):
+        step: dict[tuple[str, str], float] = {}
+        came: dict[tuple[str, str], tuple[tuple[str, str], str]] = {}
+        for state, score in scores.items():
+            a, b = state
             for c, cost in own:
-                key = (b, c) if c else (a, b)
-                new = (score + cost + (model.log(a, b, c) if c else 0.0), text + c)
+                key = (b, c) if c else state
+                new = score + cost + (log(a, b, c) if c else 0.0)
                 if key not in step or new > step[key]:
-                    step[key] = new
-        paths = step
-    return max(paths.values())[1].strip()
+                    step[key], came[key] = new, (state, c)
+        scores = step
+        back.append(came)
+        if len(back) >= limit:
+            out, back, _ = _settled(back, set(scores))
+            done += out
+            limit = 2 * len(back) + 512
+    best = max(scores, key=lambda s: (scores[s], s))
+    return "".join(done + _settled(back, {best})[0]).strip()
 
 
 def char_model(docs: DataFrame, most: int = MOST_CHARS) -> CharModel:
@@ -145,11 +193,19 @@ class Restorer(dict):
     def restored(self, token: str) -> list[str]:
         """The words of a white-space separated token as written, and those of its restoration where it may be noisy."""
         words = _WORD.findall(token)
-        if (len(words) == 1 and len(words[0]) == len(token) and not _REPEATED.search(token)) or not words or len(token) > LONGEST:
+        if len(words) == 1 and len(words[0]) == len(token) and not _REPEATED.search(token):
             return words
         core = _ENDS.sub("", token)
-        if _DOTTED.match(core) or _REPEATED.search(core) or not _SIGNS.isdisjoint(core):
-            words += _WORD.findall(decode(core, self.model))
+        if not _NOISE.isdisjoint(core) or _REPEATED.search(core):
+            words += self.decoded(core)
+        return words
+
+    def decoded(self, core: str) -> list[str]:
+        """Words of the likeliest reading, and of that which takes every sign for a letter where the two may differ."""
+        words = _WORD.findall(decode(core, self.model))
+        signs = [i for i, c in enumerate(core) if c in LOOKS]
+        if any(i in (0, len(core) - 1) or core[i - 1] == core[i] for i in signs):
+            words += _WORD.findall(decode(core, self.model, whole=True))
         return words
 
     def words(self, text: str) -> set:
@@ -157,7 +213,7 @@ class Restorer(dict):
         text = text.lower()
         found = set().union(*map(self.__getitem__, set(text.split())))
         for m in _SPACED.finditer(text):
-            found.update(self.use(_WORD.findall(decode(m[0], self.model)) if len(m[0]) <= LONGEST else ()))
+            found.update(self.use(self.decoded(m[0])))
         return found
 
 

@@ -339,3 +339,35 @@ def test_toxicity(spark, none):
     assert got[5]["score"] == got[6]["score"]
     assert toxicity.fit(none.withColumn("toxic", F.lit(1)), none).words == ()
     assert toxicity.score(none, model).count() == 0
+
+
+def test_restored_words_in_any_disguise():
+    r = random.Random(6)
+    known = ["ass", "dumbass", "idiot", "leet", "shit", "moron", "riot", "the", "stop", "hit"]
+    counts = collections.Counter()
+    for w in known * 50:
+        text = f" {w} "
+        for n in (1, 2, 3):
+            counts.update(text[i : i + n] for i in range(len(text) - n + 1))
+    restorer = toxicity.Restorer(toxicity.CharModel(counts))
+    for text, word in [("@$$", "ass"), ("455", "ass"), ("1337", "leet"), ("a$$", "ass"), ("dumba$$!", "dumbass"), ("!diot", "idiot"), ("(!diot!)", "idiot"), ("id-iot", "idiot"), ("$ h 1 t", "shit"), ("stop!!", "stop"), ("m.o.r.o.n", "moron"), ("1d10t.", "idiot")]:
+        assert word in restorer.words(f"the {text} the"), text
+    sentence = " ".join("1d10t".join("the" for _ in range(60)))
+    assert "idiot" in " ".join(restorer.words(sentence)) and len(sentence) > 80
+    assert "moron" in restorer.words("mor" + "o" * 90 + "n")
+    # the traced paths give what growing strings gave
+    for _ in range(30):
+        token = "".join(r.choice("as1d!0t.m$") for _ in range(r.choice([1, 5, 40, 700])))
+        paths = {(" ", " "): (0.0, "")}
+        for own in [*toxicity.readings(token), [(" ", 0.0)]]:
+            step = {}
+            for (a, b), (score, text) in paths.items():
+                for c, cost in own:
+                    key, new = (b, c) if c else (a, b), score + cost + (restorer.model.log(a, b, c) if c else 0.0)
+                    if key not in step or new > step[key][0]:
+                        step[key] = new, text + c
+            paths = step
+        best = max(paths, key=lambda s: (paths[s][0], s))
+        assert toxicity.decode(token, restorer.model) == paths[best][1].strip()
+    # in proportion to length
+    assert len(toxicity.decode("1d10t" * 4000, restorer.model)) > 10000
