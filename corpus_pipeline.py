@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm import lines, minhash, packing, quality, secrets
-from tablework.llm.common import stage
+from tablework.llm.common import by_row, stage
 from tablework.llm.queries import tokenizer_path
 
 #: Line dedup, union-find, signatures and packing are beyond plain SQL; tests/llm/test_pipeline.py uses brute force.
@@ -17,20 +17,22 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    kept = quality.quality(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Rows that the quality rules reject go, whatever their doc_id."""
+    return by_row(lambda rows: rows.join(quality.quality(rows).where("kept").select("doc_id"), "doc_id", "left_semi"))(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal or similar lines the first stays; documents left without any line go."""
+    """Of equal or similar lines the first stays, by doc_id; rows left without any line go. Null doc_ids come last."""
     return lines.drop_duplicate_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents (five-word shingles, similarity of 0.8 or more) the one with the smallest doc_id stays."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of near-duplicate documents (five-word shingles, similarity of 0.8 or more) the one with the smallest doc_id stays.
+
+    Nulls come after all others; rows that share a doc_id are documents of their own, in the order of their texts.
+    """
+    near = lambda rows: minhash.near_duplicates(rows, width=5, percent=80).where("kept").select("doc_id")
+    return by_row(lambda rows: rows.join(near(rows), "doc_id", "left_semi"))(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

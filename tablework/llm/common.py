@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -43,6 +44,23 @@ def discard(*staged: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_row(function):
+    """function(docs, ...) where docs may have null or repeated doc_ids: it sees each row as a document of its own.
+
+    Where doc_ids aren't unique, rows are numbered by doc_id (nulls last) and text, staged under their numbers as doc_id and
+    given their own back; otherwise doc_ids are taken as they are.
+    """
+
+    @functools.wraps(function)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+        if odd.isEmpty():
+            return function(docs, *args, **more)
+        rows = docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("own_doc_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
+        found = function(stage(rows, "rows"), *args, **more)
+        return found.withColumn("doc_id", F.col("own_doc_id")).select(*docs.columns)
+
+    return run
 
 
 def ranges(lengths: np.ndarray) -> np.ndarray:

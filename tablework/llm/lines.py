@@ -12,7 +12,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import stage
+from tablework.llm.common import by_row, stage
 from tablework.llm.fingerprints import let
 from tablework.llm.linking import bucket_links
 
@@ -110,10 +110,11 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "line_no", "group_id", F.col("head.doc_id").alias("first_doc_id"), F.col("head.line_no").alias("first_line_no"), kept.alias("kept"))
 
 
+@by_row
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that line_duplicates() doesn't keep; documents left without any line go, empty ones stay.
 
-    n_chars, where docs has it, is counted anew for changed texts.
+    Rows with null or repeated doc_ids are documents of their own, so of repeated rows the first alone stays. n_chars, where docs has it, is counted anew for changed texts.
     """
     gone = line_duplicates(docs).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", i.cast("long")))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.llm.common import stage
+from tablework.llm.common import by_row, stage
 
 
 @dataclass(frozen=True)
@@ -109,8 +109,9 @@ def summary(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+@by_row
 def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every finding in text replaced by mark; overlapping findings by one. Null texts stay null."""
+    """docs with every finding in text replaced by mark; overlapping findings by one. Null texts stay null; every row has its own cuts, whatever its doc_id."""
     found = find_secrets(docs, None, rules).where(F.size("spans") > 0)
     hits = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
     by = Window.partitionBy("doc_id").orderBy("start", "end")

@@ -27,3 +27,19 @@ def test_stages(spark, tmp_path):
     key = lambda rows: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)
     assert key(p.run(spark, str(tmp_path)).collect()) == key(seen[4])
     assert lines and minhash
+
+
+def test_null_and_repeated_doc_ids(spark):
+    text = lambda c, n=40: " ".join(f"{c}{i}{c}{c}" for i in range(n))
+    clean, other, third = text("a"), text("b"), text("c")
+    rows = [(None, clean), (None, "too short"), (7, other), (7, "short too"), (7, f"{third}\npassword=abcdef123"), (8, text("d"))]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    good = [rows[0], rows[2], rows[4], rows[5]]
+    assert key(p.quality_rules(spark, make(rows), "")) == sorted(good, key=str)
+    assert key(p.near_dedup(spark, make([*good, good[0], good[1]]), "")) == sorted(good, key=str)
+    cut = [(i, t.replace("password=abcdef123", "[secret]")) for i, t in good]
+    assert key(p.secret_scan(spark, make(good), "")) == sorted(cut, key=str)
+    # the line numbers of one row aren't taken for another's: the second line of one goes, that of the other stays
+    two = [(7, f"{clean}\n{other}"), (7, f"{third}\n{text('e')}"), (6, other), (None, clean)]
+    assert key(p.line_dedup(spark, make(two), "")) == sorted([(6, other), (7, clean), two[1]], key=str)
