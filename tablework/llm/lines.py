@@ -6,106 +6,99 @@ is DataFrame expressions.
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import by_row, stage
+from tablework.llm.common import by_row, discard, stage
 from tablework.llm.fingerprints import let
 from tablework.llm.linking import bucket_links
 
 #: Characters of a shingle; similarity in percent from which lines are linked.
 SHINGLE, PERCENT = 8, 80
-#: The signature: one permutation, cut into CLASSES at equal distances; a band is the ROWS values that follow a cut, cyclically.
-#: Lines of at most SMALL distinct shingles have a band for each: at 80 % similarity such a pair always shares one, others with
-#: a chance of 99.7 %.
-CLASSES, ROWS, SMALL = 8, 3, 12
-#: Characters of a piece, within which shingles are cut, so that cutting takes time in proportion to the line.
-PIECE = 32
+#: The signature: MINIMA least values of each of two hashes, under as many orders; ROWS of them make a band. Two lines of 80 %
+#: similarity share a band with a chance of 99.6 %.
+MINIMA, ROWS = 12, 3
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, key): every line (split at \\n) that holds more than white space, from 0; key: its normal form's hash.
+    """(doc_id, line_no, line, key, other): every line (split at \\n) that holds more than white space, from 0.
 
-    Normal form: lower case, runs of white space as one space, none at the ends.
+    key and other: two hashes of its normal form, 128 bits together. Normal form: lower case, runs of white space as one space, none at the ends.
     """
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     # most lines have single spaces alone, and a search for others costs far less than a replacement
     others = reduce(or_, (F.col("line").contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")))
     single = F.when(others, F.regexp_replace("line", r"\s+", " ")).otherwise(F.col("line"))
     each = each.select("doc_id", "line_no", F.trim(F.lower(single)).alias("line"))
-    return each.where("line <> ''").withColumn("key", F.xxhash64("line"))
+    return each.where("line <> ''").withColumn("key", F.xxhash64("line")).withColumn("other", F.xxhash64(F.lit(1), "line"))
 
 
-def _pieces(line: Column) -> Column:
-    """Overlapping pieces of a line, such that every shingle lies within one; a line shorter than a shingle is its only piece."""
-    pattern = f"(?s)(?=(.{{{SHINGLE},{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(found)
+def _masks() -> list[int]:
+    draw = random.Random(7)
+    return [draw.getrandbits(64) - (1 << 63) for _ in range(MINIMA)]
 
 
-def _bands(shingles: Column) -> Column:
-    """Band keys of a line: hashes of the ROWS values from each cut of the permutation on, or from each value on if there are few."""
-    values = F.sort_array(F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x))))
-    place = lambda x: F.shiftright(x, 64 - (CLASSES - 1).bit_length())
+def _starts(points: Column) -> Column:
+    """Where the shingles of a line begin, given its UTF-32 form; a line shorter than a shingle is its own shingle."""
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(points), 2) - SHINGLE, F.lit(0)))
 
-    def of(u: Column) -> Column:
-        begins = lambda x, i: (F.size(u) <= SMALL) | (i == 0) | (place(x) != place(F.get(u, i - 1)))
-        follow = lambda x, i: F.xxhash64(x, *(F.get(u, F.pmod(i + k, F.size(u))) for k in range(1, ROWS)))
-        return F.array_compact(F.transform(u, lambda x, i: F.when(begins(x, i), follow(x, i))))
 
-    return let(values, of)
+def _shingle(points: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(points, 4 * at + 1, F.lit(4 * SHINGLE)))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(key, id) for every band of lines (key, line): id is the line's key, key that of the band.
+def signatures(distinct: DataFrame) -> DataFrame:
+    """(key, id) for every band of distinct lines (id, line), signed over all their shingles.
 
-    Lines of every length are signed over all their distinct shingles.
+    A shingle's hash is put in as many orders as there are masks; the least value under each is one of the signature. Rows of
+    a line lie in one task, so the least values are found before anything is shuffled.
     """
-    every = F.flatten(F.transform(_pieces(F.col("line")), _cut))
-    return lines.select(F.explode(_bands(every)).alias("band"), F.col("key").alias("id")).select(F.col("band").alias("key"), "id")
+    points = distinct.select("id", F.encode("line", "UTF-32").alias("u"))
+    each = points.select("id", "u", F.explode(_starts(F.col("u"))).alias("at")).select("id", _shingle(F.col("u"), F.col("at")).alias("h"))
+    each = each.withColumn("g", F.xxhash64("h"))
+    least = [F.min(F.col(c).bitwiseXOR(F.lit(m))).alias(f"{c}{k}") for c in ("h", "g") for k, m in enumerate(_masks())]
+    names = [f"{c}{k}" for c in ("h", "g") for k in range(MINIMA)]
+    bands = [F.xxhash64(F.lit(k), *names[k : k + ROWS]) for k in range(0, 2 * MINIMA, ROWS)]
+    return each.groupBy("id").agg(*least).select(F.explode(F.array(*bands)).alias("key"), "id")
 
 
-def _cut(piece: Column) -> Column:
-    """The shingles of a piece; a piece shorter than a shingle is its own."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(piece) - (SHINGLE - 1), F.lit(1))), lambda i: F.substring(piece, i, F.lit(SHINGLE)))
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's shingles."""
+    of = lambda u: F.transform(_starts(u), lambda at: _shingle(u, at))
+    return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of))
 
 
-def _set(line: Column) -> Column:
-    """The distinct shingle hashes of a line."""
-    return F.array_distinct(F.transform(F.flatten(F.transform(_pieces(line), _cut)), lambda x: F.xxhash64(x)))
+def line_groups(distinct: DataFrame) -> DataFrame:
+    """(id, component): for every distinct line (id, line) that is linked with another, the smallest id reachable.
 
-
-def line_groups(docs: DataFrame) -> DataFrame:
-    """(key, component): for every distinct line of docs (doc_id, text) that is linked with another, the smallest key reachable.
-
-    Sets are eight times as large as lines, so lines are what is staged and joined; sets are built where pairs are compared.
+    Sets are many times as large as lines, so lines are what is staged and joined; sets are built where lines are compared.
     """
-    each = lines_of(docs).select("key", "line")
-    # sizes aren't compared: that of a line's set isn't known before its set is built
-    members = signatures(each).dropDuplicates(["key", "id"]).withColumn("size", F.lit(1))
-    distinct = each.dropDuplicates(["key"]).select(F.col("key").alias("id"), F.col("line").alias("items"))
-    found = bucket_links(members, lambda ids: distinct.join(ids, "id", "left_semi"), PERCENT, _set)
-    return found.select(F.col("id").alias("key"), "component")
+    lines = distinct.select("id", F.col("line").alias("items"))
+    return bucket_links(signatures(distinct), lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes)
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """One row a line: doc_id, line_no, group_id, first_doc_id, first_line_no, kept.
 
     Lines of equal normal form, and lines whose sets of 8-character shingles have a Jaccard similarity of 0.8 or more, are
-    linked; of each component the first line by doc_id and line_no is kept. Null and empty texts have no lines, and lines
+    linked; of each component the first line by doc_id and line_no is kept; group_id is one number a component and may differ
+    from run to run. doc_ids must be distinct (drop_duplicate_lines() takes any). Null and empty texts have no lines, and lines
     of white space alone are none; a line shorter than a shingle is its own shingle; an empty table gives no rows; other
     columns aren't read.
     """
-    groups = stage(line_groups(docs), "groups")
-    each = lines_of(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "key")
-    firsts = each.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    firsts = stage(firsts.join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("group_id")), "firsts")
-    heads = firsts.groupBy("group_id").agg(F.min("first").alias("head"))
-    named = firsts.join(heads, "group_id").select("key", "group_id", "head")
-    out = each.join(named, "key")
+    each = lines_of(docs)
+    distinct = stage(each.groupBy("key", "other", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "lines")
+    groups = line_groups(distinct)
+    named = distinct.select("key", "other", "id").join(groups, "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))
+    named = each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "key", "other").join(named, ["key", "other"])
+    named = stage(named.select("doc_id", "line_no", "group_id"), "groups")
+    discard(distinct)
+    heads = named.groupBy("group_id").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
+    out = named.join(heads, "group_id")
     kept = (F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.line_no") == F.col("line_no"))
     return out.select("doc_id", "line_no", "group_id", F.col("head.doc_id").alias("first_doc_id"), F.col("head.line_no").alias("first_line_no"), kept.alias("kept"))
 
@@ -116,10 +109,13 @@ def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
 
     Rows with null or repeated doc_ids are documents of their own, so of repeated rows the first alone stays. n_chars, where docs has it, is counted anew for changed texts.
     """
-    gone = line_duplicates(docs).where("not kept").groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("gone", i.cast("long")))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    new = docs.join(gone, "doc_id", "left").withColumn("text", text).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
+    gone = line_duplicates(docs).where("not kept").groupBy("doc_id").agg(F.collect_list(F.col("line_no").cast("int")).alias("gone"))
+    rest = lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "gone"), lambda i: F.get(own, i))
+    text = let(F.split("text", "\n", -1), lambda own: F.array_join(rest(own), "\n"))
+    # columns of docs are packed, so that none of its names can clash
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")).join(gone, "doc_id", "left")
+    rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(text)).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
+    new = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return new.select(*docs.columns)
+        new = new.withField("n_chars", F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(new.alias("row")).select("row.*")

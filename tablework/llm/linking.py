@@ -1,9 +1,9 @@
 """Links between the members of band buckets, and the components they form.
 
-A bucket that holds a large group of near copies is never expanded into all its pairs. Its most central member (the one
-that shares the most bucket places) is compared with the rest; what that links needs no more comparisons, and only members
-that are still apart are compared across the border between them. So no link between parts is lost and a group of n near
-copies costs about n comparisons.
+A bucket that holds a large group of near copies is never expanded into all its pairs. Its most central member, the lead
+(the one that shares the most bucket places), is compared with the rest; what that links needs no more comparisons. Members
+that are still apart are compared by how they differ from what most of them have, so that only those meet that differ from it
+in the same way. No link between parts is lost and a group of n near copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablework.llm.common import discard, stage
 
-#: In buckets of up to so many places, members that are still apart are compared directly.
+#: Where a lead has up to so many members, those that are still apart are compared directly.
 FEW = 8
 
 
@@ -47,92 +47,120 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """(key, id, size, places): the members of buckets that hold two or more; places: how many they hold."""
+    """(key, id, places): the members of buckets that hold two or more; places: how many they hold."""
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
     return members.join(full, "key")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int, set_of: Callable[[Column], Column] = lambda items: items) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+def differences(pairs: DataFrame, sets: DataFrame, set_of: Callable[[Column], Column] = lambda items: items) -> DataFrame:
+    """(lead, id, n, more, less) for pairs (lead, id): size of the lead's set, what the other set has besides, what it lacks.
 
-    sets: (id, items); set_of makes the set, an array of distinct values, from items.
+    sets: (id, items); set_of makes an array of the set's values from items. So every set is built once for each lead it is
+    compared with, and all later comparisons work on these differences.
     """
-    enough = lambda s: F.exists(F.array(F.array_intersect(s["p"], s["q"])), lambda i: 100 * F.size(i) >= percent * (F.size(s["p"]) + F.size(s["q"]) - F.size(i)))
-    linked = F.exists(F.array(F.struct(set_of(F.col("p")).alias("p"), set_of(F.col("q")).alias("q"))), enough)
-    return (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("q")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("items").alias("p")), "a")
-        .where(linked)
-        .select("a", "b")
-    )
-
-
-def _pairs(x: DataFrame, y: DataFrame, on: list[str], which: str, percent: int) -> DataFrame:
-    near = f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)"
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-    found = x.alias("x").join(y.alias("y"), [*same, F.expr(which), F.expr(near)])
+    both = pairs.join(sets.select("id", F.col("items").alias("p")), "id").join(sets.select(F.col("id").alias("lead"), F.col("items").alias("c")), "lead")
+    both = both.select("lead", "id", F.inline(F.array(F.struct(set_of(F.col("p")).alias("p"), F.array_distinct(set_of(F.col("c"))).alias("c")))))
+    return both.select("lead", "id", F.size("c").alias("n"), F.array_except("p", "c").alias("more"), F.array_except("c", "p").alias("less"))
+
+
+def _linked(percent: int) -> str:
+    """Whether the two sets x and y, known by their differences from one and the same set, are linked."""
+    inter = "(x.n - x.lacks - y.lacks + size(array_intersect(x.every, y.every)))"
+    return f"100L * least(x.own, y.own) >= {percent}L * greatest(x.own, y.own) and {100 + percent}L * {inter} >= {percent}L * (x.own + y.own)"
+
+
+def _compared(few: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different labels, where a lead has FEW members at most."""
+    found = few.alias("x").join(few.alias("y"), F.expr(f"x.lead = y.lead and x.label < y.label and {_linked(percent)}"))
     return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _by_difference(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different labels in large buckets, from how their sets differ from the bucket's central one c.
+def _from_core(many: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """many with run 0: differences from the core, the set of what most members of the lead have; and run 1: members near the core, as they are.
 
-    Let R = c - y and A = y - c. If x isn't linked with c but is with y, x shares more than
+    free: in run 0, that a member wouldn't be linked with the core; in run 1, that it isn't in the lead's component. Also gives
+    what was staged for it.
+    """
+    each = many.select("lead", "members", F.explode(F.array(F.struct("more", F.lit(False).alias("kept")), F.struct(F.col("less").alias("more"), F.lit(True).alias("kept")))).alias("s"))
+    often = each.select("lead", "members", F.explode("s.more").alias("item"), "s.kept").groupBy("lead", "members", "item", "kept").count().where("2 * count > members")
+    pick = lambda kept: F.coalesce(F.collect_list(F.when(F.col("kept") == kept, F.col("item"))), F.array().cast("array<long>"))
+    turned = often.groupBy("lead").agg(pick(False).alias("gained"), pick(True).alias("lost"))
+    core = many.join(turned, "lead", "left")
+    for c in ("gained", "lost"):
+        core = core.withColumn(c, F.coalesce(c, F.array().cast("array<long>")))
+    more = F.concat(F.array_except("more", "gained"), F.array_except("lost", "less"))
+    less = F.concat(F.array_except("less", "lost"), F.array_except("gained", "more"))
+    own = (F.col("n") - F.size("lost") + F.size("gained")).alias("n")
+    core = core.select("lead", "lead_label", "id", "label", F.inline(F.array(F.struct(own, more.alias("more"), less.alias("less"), F.struct("n", "more", "less").alias("was")))))
+    core = core.withColumn("free", F.expr(f"100L * (n - size(less)) < {percent}L * (n + size(more))"))
+    core = stage(core, "core")
+    near = core.where("not free").select("lead", "lead_label", "id", "label", "was.*")
+    mixed = near.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("lead")
+    near = near.join(mixed, "lead").withColumn("free", F.expr("label <> lead_label")).withColumn("run", F.lit(1))
+    return core.drop("was").withColumn("run", F.lit(0)).unionByName(near).drop("lead_label"), core
+
+
+def _by_difference(runs: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (lead, a, b) of different labels, from how their sets differ from one set c, the same for a lead and run.
+
+    Let R = c - y and A = y - c. If x isn't linked with c (it is free) but is with y, x shares more than
     need(y) = (100 |R| + percent |A|) / (100 + percent) of the elements in R and A with y (from the sizes of the
     intersections). In any fixed order, the first element they share is then followed by need(y) or more in both. The order
-    is by how many of the bucket's members have an element, the rarest first, so few pairs meet. Of two labels one isn't
-    c's, and that side is x; where y isn't linked with c either, need(x) holds too. Jaccard distances are a metric, so
-    distances to c differ by no more than a link's. No link is lost.
+    is by how many members have an element, the rarest first, so few pairs meet; elements that the same members have are
+    taken together. Where y is free too, need(x) holds as well. Jaccard distances are a metric, so distances to c differ by
+    no more than a link's. No link is lost.
     """
-    n = apart.select("lead", "lead_label", "id", "size", "label").distinct()
-    n = n.join(sets, "id").join(sets.select(F.col("id").alias("lead"), F.col("items").alias("c")), "lead")
-    both = F.struct(F.array_except("items", "c").alias("more"), F.array_except("c", "items").alias("less"), F.size("items").alias("own"))
-    n = n.select("lead", "lead_label", "id", "size", "label", F.inline(F.array(both)))  # inline: else each use computes them anew
-    total, union = F.size("more") + F.size("less"), F.size("less") + F.col("own")
     need = F.expr(f"(100L * size(less) + {percent}L * size(more)) div {100 + percent}").cast("int")
-    n = n.select("lead", "id", "size", "label", (F.col("label") == F.col("lead_label")).alias("led"), need.alias("need"), (total / union).alias("away"), F.concat("more", "less").alias("all"))
-    each = stage(n.select("lead", "id", "size", "label", "led", "need", "away", F.explode("all").alias("item")), "differences")
-    # an element of led members alone meets nobody
-    shared = each.groupBy("lead", "item").agg(F.count(F.lit(1)).alias("times"), F.min("led").alias("all_led")).where("times > 1 and not all_led").drop("all_led")
-    each = each.join(shared, ["lead", "item"])
-    by = Window.partitionBy("lead", "id")
-    # elements that aren't shared come first, then by times
-    after = F.count(F.lit(1)).over(by) - F.row_number().over(by.orderBy("times", "item"))
-    each = stage(each.withColumn("after", after).where("after >= need or not led"), "differences")
-    index = each.where("after >= need")
-    probe = each.where("not led")
-    which = "x.label <> y.label and (y.led or x.id < y.id) and least(x.after, y.after) >= greatest(y.need, if(y.led, 0, x.need))"
-    return _pairs(probe, index, ["lead", "item"], f"{which} and abs(x.away - y.away) <= {(100 - percent) / 100 + 1e-9}", percent)
-
-
-def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, set_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    away = (F.size("more") + F.size("less")) / F.greatest(F.col("n") + F.size("more"), F.lit(1))
+    each = runs.select("lead", "run", "id", "label", "free", need.alias("need"), away.alias("away"), F.explode(F.concat("more", "less")).alias("item"))
+    each = stage(each, "differences")
+    # an element of one member, or of none that is free, brings no pair together
+    shared = each.groupBy("lead", "run", "item").agg(F.count(F.lit(1)).alias("times"), F.bit_xor(F.xxhash64("id")).alias("having"), F.max("free").alias("any_free"))
+    each = each.join(shared.where("times > 1 and any_free"), ["lead", "run", "item"])
+    parts = each.groupBy("lead", "run", "id", "label", "free", "need", "away", "times", "having").agg(F.count(F.lit(1)).alias("w"))
+    from_here = Window.partitionBy("lead", "run", "id").orderBy(F.desc("times"), F.desc("having"))
+    parts = parts.withColumn("after", F.sum("w").over(from_here.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    parts = stage(parts.where("after >= need or free"), "differences")
+    which = "x.free and x.label <> y.label and (not y.free or x.id < y.id) and least(x.after, y.after) >= greatest(y.need, if(y.free, x.need, 0))"
+    which += f" and abs(x.away - y.away) <= {(100 - percent) / 100 + 1e-9}"
+    x, y = parts.where("free").alias("x"), parts.where("after >= need").alias("y")
+    found = x.join(y, [*(F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("lead", "run", "times", "having")), F.expr(which)])
+    found = found.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.min("x.lead").alias("lead"))
+    found = stage(found, "pairs")
+    discard(each, parts)
+    return found
+
+
+def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, set_of: Callable[[Column], Column] = lambda items: items) -> DataFrame:
     """(id, component) of all members that are linked with another.
 
-    members: (key, id, size), one row a bucket and id; size: of the id's set. sets_of: takes distinct ids (id) and gives
-    their sets (id, items array<long>), or what set_of makes these arrays from. Links are pairs of members of one bucket
-    with 100 * intersection >= percent * union.
+    members: (key, id), one row a bucket and id. sets_of: takes distinct ids (id) and gives their sets (id, items array<long>),
+    or what set_of makes these arrays from. Links are pairs of members of one bucket with
+    100 * intersection >= percent * union.
     """
-    compare = {"set_of": set_of} if set_of else {}
-    full = m = stage(shared_buckets(members), "buckets")
+    m = stage(shared_buckets(members), "buckets")
     central = m.groupBy("id").agg(F.sum("places").alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("s"), "id", "size")).alias("best")
-    leaders = m.join(central, "id").groupBy("key").agg(best).select("key", "best.id", "best.size")
+    best = F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("best")
+    leaders = m.join(central, "id").groupBy("key").agg(best).select("key", F.col("best.id").alias("lead"))
+    led = m.join(leaders, "key").where("id <> lead").select("lead", "id").distinct()
     sets = stage(sets_of(central.select("id")), "sets")
-    first = stage(_pairs(m, leaders, ["key"], "x.id <> y.id", percent), "pairs")
-    links = stage(similar(first, sets, percent, **compare), "links")
-    found = components(links)
-    m = m.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    apart = m.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    m = stage(m.join(apart, "key"), "apart")
-    few = m.where(F.col("places") <= FEW)
-    many = m.where(F.col("places") > FEW)
-    leaders = leaders.join(many.select("key").distinct(), "key", "left_semi").select("key", F.col("id").alias("lead"))
-    leaders = leaders.join(found.select(F.col("id").alias("lead"), "component"), "lead", "left").select("key", "lead", F.coalesce("component", "lead").alias("lead_label"))
-    wide = sets
-    if set_of:
-        wide = stage(sets.join(many.select("id").distinct(), "id", "left_semi").select("id", set_of(F.col("items")).alias("items")), "sets")
-    more = _pairs(few, few, ["key"], "x.label < y.label", percent).union(_by_difference(many.join(leaders, "key"), wide, percent))
-    more = stage(more.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    out = components(links.union(similar(more, sets, percent, **compare)))
-    discard(full, m, first, more, links, sets, *([wide] if set_of else []))
+    apart = stage(differences(led, sets, set_of), "apart")
+    discard(m, sets)
+    links = stage(apart.where(f"100L * (n - size(less)) >= {percent}L * (n + size(more))").select(F.col("lead").alias("a"), F.col("id").alias("b")), "links")
+    found = stage(components(links), "found")
+    none = F.array().cast("array<long>")
+    # the lead is a member without differences; a lead whose members are all in one component needs no more comparisons
+    d = apart.union(apart.groupBy("lead").agg(F.min("n").alias("n")).select("lead", F.col("lead").alias("id"), "n", none.alias("more"), none.alias("less")))
+    d = d.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = d.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("members")).where("l <> h").select("lead", "members")
+    d = d.join(mixed, "lead").join(found.select(F.col("id").alias("lead"), F.col("component").alias("lead_label")), "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead"))
+    d = stage(d.withColumn("every", F.concat("more", "less")).withColumn("lacks", F.size("less")).withColumn("own", F.col("n") + F.size("more") - F.size("less")), "apart")
+    many = d.where(F.col("members") > FEW)
+    runs, core = _from_core(many, percent)
+    pairs = _by_difference(runs, percent)
+    discard(core)
+    side = lambda at, name: many.select("lead", F.col("id").alias(at), F.struct("n", "lacks", "own", "every").alias(name))
+    more = pairs.join(side("a", "x"), ["lead", "a"]).join(side("b", "y"), ["lead", "b"]).where(F.expr(_linked(percent))).select("a", "b")
+    out = components(links.union(_compared(d.where(F.col("members") <= FEW), percent)).union(more))
+    discard(apart, links, found, d, pairs)
     return out

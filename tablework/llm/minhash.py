@@ -20,6 +20,8 @@ from tablework.llm.linking import bucket_links
 
 #: Signature: BANDS bands of ROWS values; two values come from each permutation.
 BANDS, ROWS = 32, 5
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the width-word shingles of each text, A-Z lower-cased and split at ASCII space.
 
@@ -107,7 +109,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, n_bands:
     full = seen.where("size > 0")
     classes = stage(full.groupBy("size", "high", "low").agg(F.min("doc_id").alias("id")), "classes")
     heads = full.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi")
-    members = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "size")
+    members = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     found = bucket_links(members, lambda ids: sets_of(docs, ids, width), percent)
     named = classes.join(found, "id", "left").select("size", "high", "low", F.coalesce("component", "id").alias("component_id"))
     out = seen.select("doc_id", "size", "high", "low").join(named, ["size", "high", "low"], "left")

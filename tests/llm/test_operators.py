@@ -102,6 +102,28 @@ def test_large_group_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
 
 
+def test_large_groups_around_a_passage_and_an_edited_text(spark):
+    """Groups in which most members are linked with no lead: what they share is a passage, or the same few edits."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([prose(r, r.randint(1, 14)), *passage, prose(r, r.randint(1, 14))]) for _ in range(60)]
+    base = [f"b{i}" for i in range(80)]
+    edits = [(r.randrange(80), f"e{k}") for k in range(14)]
+    for _ in range(80):
+        ws = list(base)
+        for i, w in r.sample(edits, r.randint(0, 9)):
+            ws[i] = w
+        texts.append(" ".join(ws))
+    rows = list(enumerate(texts))
+    sets = {i: shingles(t) for i, t in rows}
+    want = union_find(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    # one bucket holds all, so nothing depends on bands
+    items = [(i, [hash(x) for x in sorted(s)]) for i, s in sets.items()]
+    full = spark.createDataFrame(items, "id long, items array<long>")
+    got = dict(linking.bucket_links(full.select(F.lit(1).alias("key"), "id"), lambda ids: full.join(ids, "id", "left_semi"), 80).collect())
+    assert {i: got.get(i, i) for i in sets} == want
+
+
 def test_quality(docs, none, rows):
     for r in quality.quality(docs).collect():
         text = rows[r["doc_id"]][1] or ""
@@ -264,7 +286,7 @@ def test_line_bands_bring_near_lines_together(spark):
         pairs.append((" ".join(ws), " ".join(changed)))
     cut = lambda s: {s[i : i + 8] for i in range(max(1, len(s) - 7))}
     near = [k for k, (a, b) in enumerate(pairs) if len(cut(a) & cut(b)) >= 0.8 * len(cut(a) | cut(b))]
-    table = spark.createDataFrame([(2 * k + j, line) for k, both in enumerate(pairs) for j, line in enumerate(both)], "key long, line string")
+    table = spark.createDataFrame([(2 * k + j, line) for k, both in enumerate(pairs) for j, line in enumerate(both)], "id long, line string")
     keys = collections.defaultdict(set)
     for x in lines.signatures(table).collect():
         keys[x["id"]].add(x["key"])
@@ -287,7 +309,7 @@ def test_line_bands_of_long_lines_with_few_words(spark):
             pairs += [(rule * (n // 9), rule * (n // 5)), ("|---" * (n // 4), "|---" * n + "|")]
     cut = lambda s: {s[i : i + 8] for i in range(max(1, len(s) - 7))}
     near = [k for k, (a, b) in enumerate(pairs) if len(cut(a) & cut(b)) >= 0.8 * len(cut(a) | cut(b))]
-    table = spark.createDataFrame([(2 * k + j, line) for k, both in enumerate(pairs) for j, line in enumerate(both)], "key long, line string")
+    table = spark.createDataFrame([(2 * k + j, line) for k, both in enumerate(pairs) for j, line in enumerate(both)], "id long, line string")
     keys = collections.defaultdict(set)
     for x in lines.signatures(table).collect():
         keys[x["id"]].add(x["key"])
