@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -18,13 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+_COLLECTED = [0.0]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a new one, set for the session."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a session on this machine alone (tests) gets a
+    temporary one, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tablework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="tablework-"))
+    return _OWN[0]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +41,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark deletes the files of a shuffle once the driver's JVM has collected the plan that made it
+    if time.monotonic() > _COLLECTED[0] + 10:
+        spark._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,9 +69,9 @@ def by_row(function):
         odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
         if odd.isEmpty():
             return function(docs, *args, **more)
-        rows = docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("own_doc_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
+        rows = docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_doc_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
         found = function(stage(rows, "rows"), *args, **more)
-        return found.withColumn("doc_id", F.col("own_doc_id")).select(*docs.columns)
+        return found.withColumn("doc_id", F.col("_doc_id")).select(*docs.columns)
 
     return run
 

@@ -39,7 +39,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _masks() -> list[int]:
     draw = random.Random(7)
-    return [draw.getrandbits(64) - (1 << 63) for _ in range(MINIMA)]
+    return [draw.getrandbits(32) - (1 << 31) for _ in range(MINIMA)]
 
 
 def _starts(points: Column) -> Column:
@@ -48,7 +48,7 @@ def _starts(points: Column) -> Column:
 
 
 def _shingle(points: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(points, 4 * at + 1, F.lit(4 * SHINGLE)))
+    return F.substring(points, 4 * at + 1, F.lit(4 * SHINGLE))
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def signatures(distinct: DataFrame) -> DataFrame:
     a line lie in one task, so the least values are found before anything is shuffled.
     """
     points = distinct.select("id", F.encode("line", "UTF-32").alias("u"))
-    each = points.select("id", "u", F.explode(_starts(F.col("u"))).alias("at")).select("id", _shingle(F.col("u"), F.col("at")).alias("h"))
-    each = each.withColumn("g", F.xxhash64("h"))
+    each = points.select("id", "u", F.explode(_starts(F.col("u"))).alias("at")).select("id", F.hash(_shingle(F.col("u"), F.col("at"))).alias("h"))
+    each = each.withColumn("g", F.hash("h"))
     least = [F.min(F.col(c).bitwiseXOR(F.lit(m))).alias(f"{c}{k}") for c in ("h", "g") for k, m in enumerate(_masks())]
     names = [f"{c}{k}" for c in ("h", "g") for k in range(MINIMA)]
     bands = [F.xxhash64(F.lit(k), *names[k : k + ROWS]) for k in range(0, 2 * MINIMA, ROWS)]
@@ -68,7 +68,7 @@ def signatures(distinct: DataFrame) -> DataFrame:
 
 def _hashes(line: Column) -> Column:
     """The hashes of a line's shingles."""
-    of = lambda u: F.transform(_starts(u), lambda at: _shingle(u, at))
+    of = lambda u: F.transform(_starts(u), lambda at: F.xxhash64(_shingle(u, at)))
     return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of))
 
 

@@ -26,6 +26,10 @@ class Rule:
     version: int = 1
     base: bool = False
 
+    @property
+    def name(self) -> str:
+        return f"{self.kind}:{self.version}"
+
 
 #: In this order findings with the same start are listed. Greedy runs that must have n characters are written {n,}.
 RULES = (
@@ -55,41 +59,48 @@ def _lists(rule: Rule) -> Column:
 
 
 def scan(unseen: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, spans) of blobs (blob, text): spans is an array of (start, rank, kind, end), sorted; ends are exclusive, in code points."""
-    lists = F.filter(F.array(*(F.struct(F.lit(i).alias("rank"), _lists(r).alias("matches")) for i, r in enumerate(rules))), lambda x: x["matches"].isNotNull())
-    each = unseen.select("blob", F.explode_outer(lists).alias("m")).select("blob", "m.rank", F.posexplode_outer("m.matches").alias("pos", "x"))
-    so_far = Window.partitionBy("blob", "rank").orderBy("pos")
+    """(blob, rules, spans) of blobs (blob, rules, text), each scanned by those rules it names: spans is an array of (start, rule, end), sorted; ends are exclusive, in code points."""
+    lists = F.filter(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.when(F.array_contains("rules", r.name), _lists(r)).alias("matches")) for r in rules)), lambda x: x["matches"].isNotNull())
+    each = unseen.select("blob", "rules", F.explode_outer(lists).alias("m")).select("blob", "rules", "m.rule", F.posexplode_outer("m.matches").alias("pos", "x"))
+    so_far = Window.partitionBy("blob", "rule").orderBy("pos")
     # a match ends after all gaps up to its own and all matches up to itself
     each = each.withColumn("end", F.sum(F.col("x.gap") + F.coalesce("x.size", F.lit(0))).over(so_far))
-    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("rank") + 1)
-    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("rank") + 1)
-    span = F.struct((F.col("end") - F.col("x.size")).alias("start"), "rank", kind.alias("kind"), "end")
+    least = F.element_at(F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.least))), F.col("rule"))
+    span = F.struct((F.col("end") - F.col("x.size")).alias("start"), "rule", "end")
     good = F.col("x.size").isNotNull() & (F.col("x.counts") >= least)
-    return each.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(good, span))).alias("spans"))
+    return each.groupBy("blob", "rules").agg(F.array_sort(F.collect_list(F.when(good, span))).alias("spans"))
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger (blob, version, spans) of all blobs of versions (text) and all it had, each scanned once.
+    """The ledger (blob, rules, spans) of all blobs of versions (text) and all it had.
 
-    version names the rules' versions, so a change of rules makes all blobs unseen again. The result is written to the
-    shared folder; store it to scan only what is new the next time.
+    A row says which rules, by name and version, have scanned a blob and what they found. Only the pairs of blob and rule
+    version that no row has are scanned, so a new blob is scanned by all rules and a changed rule alone goes over all blobs.
+    The result is written to the shared folder; store it to scan only what is new the next time.
     """
-    version = ",".join(f"{r.kind}:{r.version}" for r in rules)
-    new = blobs(versions.select("text"))
-    if ledger is not None:
-        new = new.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
-    found = scan(new.dropDuplicates(["blob"]), rules).select("blob", F.lit(version).alias("version"), "spans")
-    return stage(found if ledger is None else found.unionByName(ledger.select("blob", "version", "spans")), "ledger")
+    names = F.array(*(F.lit(r.name) for r in rules))
+    new = blobs(versions.select("text")).dropDuplicates(["blob"]).withColumn("rules", names)
+    if ledger is None:
+        return stage(scan(new, rules), "ledger")
+    seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    new = new.join(seen, "blob", "left").withColumn("rules", F.when(F.col("seen").isNull(), names).otherwise(F.array_except(names, "seen")))
+    return stage(scan(new.where(F.size("rules") > 0), rules).unionByName(ledger.select("blob", "rules", "spans")), "ledger")
 
 
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row a document (doc_id, text): doc_id, blob and spans, by way of the ledger.
+    """One row a document (doc_id, text): doc_id, blob and spans (start, rank, kind, end), by way of the ledger.
 
-    Null and empty texts have no spans. Repeated texts are scanned once and reported for every row; repeated doc_ids stay
-    separate rows; an empty table gives no rows; other columns aren't read.
+    Null and empty texts have no spans; texts are scanned whole, however long. Repeated texts are scanned once and reported
+    for every row; repeated doc_ids stay separate rows; spans with equal starts are in the rules' order; an empty table gives
+    no rows; other columns aren't read.
     """
-    version = ",".join(f"{r.kind}:{r.version}" for r in rules)
-    known = update_ledger(docs, ledger, rules).where(F.col("version") == version).select("blob", "spans")
+    known = update_ledger(docs, ledger, rules).select("blob", "spans")
+    if ledger is not None:  # a blob has a row for each time that rules were new to it
+        known = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rank = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.name, k)))
+    kind = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.kind)))
+    spans = F.transform(F.filter("spans", lambda s: s["rule"].isin([r.name for r in rules])), lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, s["rule"]).alias("rank"), F.element_at(kind, s["rule"]).alias("kind"), s["end"].alias("end")))
+    known = known.select("blob", F.array_sort(spans).alias("spans"))
     return blobs(docs.select("doc_id", "text")).select("doc_id", "blob").join(known, "blob", "left").select("doc_id", "blob", "spans")
 
 
@@ -111,7 +122,9 @@ def summary(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 @by_row
 def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every finding in text replaced by mark; overlapping findings by one. Null texts stay null; every row has its own cuts, whatever its doc_id."""
+    """docs with every finding in text replaced by mark; overlapping findings by one. Null texts stay null; every row has its own cuts, whatever its doc_id.
+
+    n_chars, where docs has it, is counted anew for changed texts."""
     found = find_secrets(docs, None, rules).where(F.size("spans") > 0)
     hits = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
     by = Window.partitionBy("doc_id").orderBy("start", "end")
@@ -121,8 +134,13 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...] = RU
     last = Window.partitionBy("doc_id").orderBy("start")
     runs = runs.withColumn("from", F.coalesce(F.lag("end").over(last), F.lit(0)))
     cuts = runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "from"))).alias("cuts"))
-    joined = docs.join(cuts, "doc_id", "left")
+    # columns of docs are packed, so that none of its names can clash
+    joined = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")).join(cuts, "doc_id", "left")
     parts = F.transform("cuts", lambda c: F.concat(F.substring("text", c["from"] + 1, c["start"] - c["from"]), F.lit(mark)))
     tail = F.expr("substring(text, int(element_at(cuts, -1).end) + 1)")
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return joined.withColumn("text", text).select(*docs.columns)
+    clean = F.col("cuts").isNull()
+    joined = joined.select("row", "cuts", F.when(clean, F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail)).alias("text"))
+    new = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.when(clean, F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return joined.select(new.alias("row")).select("row.*")

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import random
@@ -162,6 +163,33 @@ def test_secrets(spark, docs, none):
     assert secrets.summary(secrets.find_secrets(table, ledger)).where("n_assign > 0").count() == 2 * sum(any(x.startswith("assign") for x in brute_secrets(t)) for t in tricky)
     red = {r["doc_id"]: r["text"] for r in secrets.redact(table.select("doc_id", "text")).collect()}
     assert red[0] == "secret=pass [secret]" and red[3] == "[secret]" and red[6] is None and red[9] == "𝒳𝒳 [secret]"
+    # a changed rule alone scans all blobs again, and a new text is scanned by all rules
+    raised = tuple(dataclasses.replace(r, version=2) if r.kind == "hex" else r for r in secrets.RULES)
+    after = secrets.update_ledger(table.union(spark.createDataFrame([(99, "new " + "ab12" * 8)], "doc_id long, text string")), ledger, raised)
+    scanned = collections.Counter(tuple(r["rules"]) for r in after.collect())
+    assert scanned == {tuple(r.name for r in secrets.RULES): ledger.count(), ("hex:2",): ledger.count(), tuple(r.name for r in raised): 1}
+    both = {r["doc_id"]: r["spans"] for r in secrets.summary(secrets.find_secrets(table, after, raised), raised).collect()}
+    assert both == {r["doc_id"]: r["spans"] for r in secrets.summary(secrets.find_secrets(table)).collect()}
+
+
+def test_added_secret_kinds(spark):
+    found = {"github": "ghp_" + "a1B2" * 9, "slack": "xoxb-123456-abcdef", "google": "AIza" + "x_Y-z" * 7, "jwt": "eyJhbGciOi1.eyJzdWIiOi1.s1gn4tur3", "key": "-----BEGIN RSA PRIVATE KEY-----"}
+    missed = ["ghp_" + "z" * 35, "xoxz-1234567890", "AIza" + "x" * 34 + "!", "eyJabc.eyJdef.x", "-----BEGIN PUBLIC KEY-----"]
+    rows = [*enumerate(f"é {x} end" for x in found.values()), *((i + 9, x) for i, x in enumerate(missed)), (50, " ".join(found.values()) * 200)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.summary(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [got[i] for i in range(5)] == [f"{kind}:2:{2 + len(x)}" for kind, x in found.items()]
+    assert {got[i + 9] for i in range(5)} == {""} and got[50].count("slack:") == 200
+
+
+def test_stages_with_clashing_columns(spark):
+    names = ("gone", "cuts", "was", "text_", "row", "lines", "spans", "kept", "key", "line")
+    table = spark.createDataFrame([(1, "a line of some length here\na line of some length here\nsecret=abcdef1", 5)], "doc_id long, text string, n_chars long")
+    for n in names:
+        table = table.withColumn(n, F.lit("x"))
+    for changed, text in ((lines.drop_duplicate_lines(table), "a line of some length here\nsecret=abcdef1"), (secrets.redact(table), "a line of some length here\na line of some length here\n[secret]")):
+        (row,) = changed.collect()
+        assert changed.columns == table.columns and row["text"] == text and row["n_chars"] == len(text) and row["gone"] == row["cuts"] == "x"
+
 
 
 def test_pack(docs, none, rows):
