@@ -6,7 +6,6 @@ Each stage takes all documents that the stage before it kept and is written as P
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablework.llm import lines, minhash, packing, quality, secrets
 from tablework.llm.common import by_row, stage
@@ -37,9 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found gives way to a mark; n_chars of changed texts is counted anew."""
-    new = secrets.redact(docs.withColumn("was", F.col("text")))
-    same = F.col("text").eqNullSafe(F.col("was"))
-    return new.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
