@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -20,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _OWN: list[str] = []
-_COLLECTED = [0.0]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,11 +39,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends there and lost executors cost only their own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark deletes the files of a shuffle once the driver's JVM has collected the plan that made it
-    if time.monotonic() > _COLLECTED[0] + 10:
-        spark._jvm.System.gc()
-        _COLLECTED[0] = time.monotonic()
+    # what has been written needs its shuffles no more, so Spark may delete their files at once
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
