@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablework.operators.quantiles import quantiles
+
 
 def _number(c: Column) -> Column:
     return c.try_cast("double")
@@ -74,5 +76,5 @@ def filter_rows(df: DataFrame, conditions: list[dict]) -> DataFrame:
 
 
 def filter_quantile(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = quantiles(df, [column], (low, high)).withColumnRenamed("q0", "_q")  # one row
     return df.join(F.broadcast(q), F.col(column).between(F.get("_q", F.lit(0)), F.get("_q", F.lit(1)))).drop("_q")

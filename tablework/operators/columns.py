@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablework.operators.quantiles import codes, quantiles
+
 
 def _with_stats(df: DataFrame, use: Column, new: str, **stats: Column) -> DataFrame:
     one = df.agg(*(c.alias(f"_{k}") for k, c in stats.items()))
@@ -21,8 +23,9 @@ def _clamp(x: Column, low: Column, high: Column) -> Column:
     return F.when(x < low, low).when(x > high, high).otherwise(x)
 
 
-def _quantiles(column: str, *q: float) -> Column:
-    return F.percentile(column, F.array(*map(F.lit, q)))
+def _with_quantiles(df: DataFrame, use: Column, new: str, column: str, *at: float) -> DataFrame:
+    one = quantiles(df, [column], at).withColumnRenamed("q0", "_q")
+    return df.crossJoin(F.broadcast(one)).withColumn(new, use).drop("_q")  # one row
 
 
 def _q(k: int) -> Column:
@@ -74,13 +77,13 @@ def cap_outliers(df: DataFrame, column: str, method: str = "iqr", low: float = 0
     x = F.col(column)
     if method == "iqr":
         reach = 1.5 * (_q(1) - _q(0))
-        return _with_stats(df, _clamp(x, _q(0) - reach, _q(1) + reach), column, q=_quantiles(column, low, high))
+        return _with_quantiles(df, _clamp(x, _q(0) - reach, _q(1) + reach), column, column, low, high)
     reach = 3 * F.col("_s")
     return _with_stats(df, _clamp(x, F.col("_m") - reach, F.col("_m") + reach), column, m=F.avg(column), s=F.stddev_samp(column))
 
 
 def winsorize(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    return _with_stats(df, _clamp(F.col(column), _q(0), _q(1)), column, q=_quantiles(column, low, high))
+    return _with_quantiles(df, _clamp(F.col(column), _q(0), _q(1)), column, column, low, high)
 
 
 def normalize(df: DataFrame, column: str, method: str = "minmax", name: str | None = None) -> DataFrame:
@@ -93,7 +96,7 @@ def normalize(df: DataFrame, column: str, method: str = "minmax", name: str | No
 def robust_scale(df: DataFrame, column: str, name: str) -> DataFrame:
     x = F.col(column)
     scaled = F.when(_q(2) > _q(0), (x - _q(1)) / (_q(2) - _q(0))).otherwise(F.when(x.isNotNull(), 0.0))
-    return _with_stats(df, scaled, name, q=_quantiles(column, 0.25, 0.5, 0.75))
+    return _with_quantiles(df, scaled, name, column, 0.25, 0.5, 0.75)
 
 
 def fill_nulls(df: DataFrame, column: str, strategy: str, order_by: list[str] | None = None, partition_by: list[str] | None = None, fill_zeros: bool = False) -> DataFrame:
@@ -106,24 +109,30 @@ def fill_nulls(df: DataFrame, column: str, strategy: str, order_by: list[str] |
         w = Window.partitionBy(*(partition_by or [])).orderBy(*(order_by or []))
         filled = F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if strategy == "ffill" else F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing))
         return df.withColumn(column, filled)
-    value = {"mean": F.avg(column), "median": F.median(column), "mode": F.mode(column, True)}[strategy]
+    if strategy == "median":
+        return _with_quantiles(df, F.coalesce(column, _q(0)), column, column, 0.5)
+    if strategy == "mode":
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
+        top = counts.agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("_t"))
+        return df.crossJoin(F.broadcast(top)).withColumn(column, F.coalesce(column, F.col("_t.v"))).drop("_t")  # one row
+    value = {"mean": F.avg(column)}[strategy]
     return _with_stats(df, F.coalesce(column, F.col("_v")), column, v=value)
 
 
 def drop_duplicates(df: DataFrame, subset: list[str], order_by: list[str], keep: str = "first") -> DataFrame:
     """keep: first or last row of each key by order_by, or none of those that repeat."""
-    w = Window.partitionBy(*subset)
     if keep == "none":
-        return df.withColumn("_n", F.count(F.lit(1)).over(w)).where("_n = 1").drop("_n")
+        counts = df.groupBy(*(F.col(c).alias(f"_{c}") for c in subset)).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in subset]
+        return df.join(counts, on, "left_semi")
+    w = Window.partitionBy(*subset)
     order = [F.col(c).desc() if keep == "last" else F.col(c).asc() for c in order_by]
     return df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Distinct values in order of their text, from 0; null stays null. One row a distinct value is ranked."""
-    codes = df.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
-    codes = codes.withColumn(name, (F.row_number().over(Window.orderBy(F.col(column).cast("string"))) - 1).cast("long"))
-    return df.join(codes, column, "left")
+    """Distinct values in order of their text, from 0; null stays null."""
+    return df.join(codes(df, column).withColumnRenamed("code", name), column, "left")
 
 
 def ordinal_encode(df: DataFrame, column: str, order: list, name: str, unknown: int = -1) -> DataFrame:
@@ -228,8 +237,10 @@ def cumulative(df: DataFrame, column: str, name: str, agg: str, order_by: list[s
 
 
 def log_transform(df: DataFrame, column: str, name: str, method: str = "log1p") -> DataFrame:
-    f = {"log1p": F.log1p, "log2": F.log2, "log10": F.log10, "log": F.ln}[method]
-    return df.withColumn(name, f(F.col(column)))
+    """At the edge of its range a logarithm is minus infinity, below it NaN; null stays null."""
+    f, edge = {"log1p": (F.log1p, -1), "log2": (F.log2, 0), "log10": (F.log10, 0), "log": (F.ln, 0)}[method]
+    x = F.col(column)
+    return df.withColumn(name, F.when(x > edge, f(x)).when(x == edge, float("-inf")).when(x < edge, float("nan")))
 
 
 def sqrt_transform(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -258,18 +269,18 @@ def conditional_assign(df: DataFrame, name: str, rules: list[tuple[Column, objec
 
 
 def bin_column(df: DataFrame, column: str, name: str, bins: int) -> DataFrame:
-    """Number of the equal-width bin (a, b] of [min, max], from 0; the lowest bin holds the minimum."""
+    """Number of the equal-width bin (a, b] of [min, max], from 0; the lowest bin holds the minimum, and the middle one all of a constant column."""
     width = (F.col("_b") - F.col("_a")) / bins
-    k = F.ceil((F.col(column) - F.col("_a")) / width) - 1
+    k = F.coalesce(F.ceil(F.try_divide(F.col(column) - F.col("_a"), width)) - 1, F.lit((bins - 1) // 2))
     return _with_stats(df, F.when(F.col(column).isNotNull(), F.least(F.greatest(k, F.lit(0)), F.lit(bins - 1))).cast("int"), name, a=F.min(column).cast("double"), b=F.max(column).cast("double"))
 
 
 def qbin_column(df: DataFrame, column: str, name: str, q: int) -> DataFrame:
     """Number of the quantile bin (a, b], from 0; equal edges are one."""
-    edges = F.array_sort(F.array_distinct(_quantiles(column, *(i / q for i in range(q + 1)))))
-    inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
+    edges = F.array_sort(F.array_distinct("_q"))
+    inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
     k = F.size(F.filter(inner, lambda e: e < F.col(column)))
-    return _with_stats(df, F.when(F.col(column).isNotNull(), k), name, e=edges)
+    return _with_quantiles(df, F.when(F.col(column).isNotNull(), k), name, column, *(i / q for i in range(q + 1)))
 
 
 def ewm(df: DataFrame, column: str, name: str, span: int, order_by: list[str], partition_by: list[str]) -> DataFrame:

@@ -4,62 +4,48 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablework.functions import distributions as D
 from tablework.operators.profile import anova
-
-#: Ranges of values that are ranked apart from each other.
-RANGES = 64
-
-
-def average_ranks(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
-    """(value, times, rank): each distinct value, how often it occurs, and the average rank of its rows.
-
-    Values are counted first; the distinct ones are ranked within ranges cut at quantiles, of which the driver sees only
-    the bounds, so no task orders all of them.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("times"))
-    bounds = sorted(set(df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("value"))) if bounds else F.lit(0)
-    counts = counts.withColumn("part", part)
-    sizes = counts.groupBy("part").agg(F.sum("times").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
-    below = F.col("before") + F.sum("times").over(Window.partitionBy("part").orderBy("value")) - F.col("times")
-    return counts.join(F.broadcast(before), "part").select("value", "times", (below + (F.col("times") + 1) / 2).alias("rank"))
-
+from tablework.operators.quantiles import group_quantiles, ranked, running
 
 def one_sample_t(df: DataFrame, value: str, mean: float) -> DataFrame:
-    """t statistic of the mean against a given one, and n - 1."""
+    """t statistic of the mean against a given one, n - 1 and two-sided p."""
     n = F.count(value)
-    return df.agg(((F.avg(value) - mean) / (F.stddev_samp(value) / F.sqrt(n))).alias("statistic"), (n - 1).alias("df"))
+    one = df.agg(F.try_divide((F.avg(value) - mean) * F.sqrt(n), F.stddev_samp(value)).alias("statistic"), (n - 1).alias("df"))
+    return one.withColumn("p_value", D.p_value(D.student, F.col("statistic"), F.col("df")))
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
-    """t statistic of a - b over rows that have both."""
+    """t statistic of a - b over rows that have both, degrees of freedom and two-sided p."""
     return one_sample_t(df.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d")), "d", 0.0)
 
 
 def proportion_z(df: DataFrame, hit: Column, group: str, first, second) -> DataFrame:
-    """Pooled two-sample z statistic of the shares of rows that hit."""
+    """Pooled two-sample z statistic of the shares of rows that hit, both shares and two-sided p."""
     side = lambda g: F.col(group) == g
     one = df.agg(*(F.count(F.when(side(g), 1)).alias(f"n{k}") for k, g in ((1, first), (2, second))), *(F.count(F.when(side(g) & hit, 1)).alias(f"h{k}") for k, g in ((1, first), (2, second))))
-    p1, p2 = F.col("h1") / F.col("n1"), F.col("h2") / F.col("n2")
-    pooled = (F.col("h1") + F.col("h2")) / (F.col("n1") + F.col("n2"))
-    return one.select(((p1 - p2) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n2")))).alias("statistic"), p1.alias("share_1"), p2.alias("share_2"))
+    p1, p2 = F.try_divide("h1", "n1"), F.try_divide("h2", "n2")
+    pooled = F.try_divide(F.col("h1") + F.col("h2"), F.col("n1") + F.col("n2"))
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))
+    one = one.select(F.try_divide(p1 - p2, spread).alias("statistic"), p1.alias("share_1"), p2.alias("share_2"))
+    return one.withColumn("p_value", D.p_value(D.normal, F.col("statistic")))
 
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """ANOVA of the absolute differences from each group's median."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
-    middle = rows.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return anova(rows.join(middle, group).select(group, F.abs(F.col(value) - F.col("_m")).alias("d")), "d", group).select("statistic")
+    middle = group_quantiles(rows, value, [group], (0.5,))
+    return anova(rows.join(middle, group).select(group, F.abs(F.col(value) - F.get("q", F.lit(0))).alias("d")), "d", group).select("statistic", "p_value")
 
 
 def _rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFrame]:
     """(group, n, r) with each group's sum of ranks, and one row with the sum of t^3 - t over ties."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("group"), F.col(value).alias("value"))
-    ranks = average_ranks(rows, "value")
+    ranks = ranked(rows, "value")
     cells = rows.groupBy("group", "value").agg(F.count(F.lit(1)).alias("n"))  # a hot value is counted before it is joined
     sums = cells.join(ranks, "value").groupBy("group").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     t = F.col("times").cast("double")
@@ -67,29 +53,91 @@ def _rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFr
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """H statistic, corrected for ties, and degrees of freedom."""
+    """H statistic, corrected for ties, degrees of freedom and p."""
     sums, ties = _rank_sums(df, value, group)
     one = sums.agg(F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s")).crossJoin(F.broadcast(ties))  # one row each
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return one.select(h.alias("statistic"), (F.col("k") - 1).alias("df"))
+    h = F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
+    one = one.select(h.alias("statistic"), (F.col("k") - 1).alias("df"))
+    return one.withColumn("p_value", D.p_value(D.chi_square, F.col("statistic"), F.col("df")))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
-    """U of the first group and the rank-biserial correlation 1 - 2 U / (n1 n2)."""
-    sums, _ = _rank_sums(df.where(F.col(group).isin(first, second)), value, group)
-    pick = lambda c, g: F.max(F.when(F.col("group") == g, F.col(c)))
-    one = sums.agg(pick("n", first).alias("n1"), pick("n", second).alias("n2"), pick("r", first).alias("r1"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    return one.select(u.alias("statistic"), (1 - 2 * u / (F.col("n1") * F.col("n2"))).alias("rank_biserial"))
+    """U of the first group, the rank-biserial correlation 1 - 2 U / (n1 n2) and two-sided p, by the normal limit with ties and continuity."""
+    sums, ties = _rank_sums(df.where(F.col(group).isin(first, second)), value, group)
+    pick = lambda c, g: F.max(F.when(F.col("group") == g, F.col(c))).cast("double")
+    one = sums.agg(pick("n", first).alias("n1"), pick("n", second).alias("n2"), pick("r", first).alias("r1")).crossJoin(F.broadcast(ties))  # one row each
+    u, both, n = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2")
+    spread = F.sqrt(both / 12 * (n + 1 - F.try_divide("ties", n * (n - 1))))
+    z = F.try_divide(F.abs(u - both / 2) - 0.5, spread)
+    one = one.select(u.alias("statistic"), (1 - F.try_divide(2 * u, both)).alias("rank_biserial"), F.greatest(z, F.lit(0.0)).alias("z"))
+    return one.withColumn("p_value", D.p_value(D.normal, F.col("z"))).drop("z")
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The smaller signed-rank sum of a - b, zero differences left out."""
+    """The smaller signed-rank sum of a - b, zero differences left out, and two-sided p by the normal limit with ties."""
     rows = df.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).where("d <> 0").select(F.abs("d").alias("value"), (F.col("d") > 0).alias("up"))
-    cells = rows.groupBy("up", "value").agg(F.count(F.lit(1)).alias("n")).join(average_ranks(rows, "value"), "value")
+    ranks = ranked(rows, "value")
+    cells = rows.groupBy("up", "value").agg(F.count(F.lit(1)).alias("n")).join(ranks, "value")
     side = lambda up: F.coalesce(F.sum(F.when(F.col("up") == up, F.col("n") * F.col("rank"))), F.lit(0.0))
-    return cells.agg(F.least(side(True), side(False)).alias("statistic"))
+    t, n = F.col("times").cast("double"), F.col("n")
+    ties = ranks.agg(F.sum(t * t * t - t).alias("ties"), F.sum(t).alias("n"))
+    one = cells.agg(F.least(side(True), side(False)).alias("statistic")).crossJoin(F.broadcast(ties))  # one row each
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    one = one.select("statistic", F.try_divide(F.col("statistic") - n * (n + 1) / 4, spread).alias("z"))
+    return one.withColumn("p_value", D.p_value(D.normal, F.col("z"))).drop("z")
+
+
+def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
+    """The largest difference of two groups' distribution functions, and its limit p."""
+    rows = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select((F.col(group) == first).alias("one"), F.col(value).cast("double").alias("value"))
+    places = ranked(rows, "value").select("value", (F.col("rank") + (F.col("times") - 1) / 2).alias("upto"))
+    own = rows.groupBy("value").agg(F.count(F.when(F.col("one"), 1)).alias("a")).join(places, "value")
+    counts = rows.agg(F.count(F.when(F.col("one"), 1)).alias("n1"), F.count(F.when(~F.col("one"), 1)).alias("n2"))
+    summed = running(own.select("value", "upto", "a"), "value", "a")
+    d = summed.crossJoin(F.broadcast(counts)).agg(F.max(F.abs(F.col("sum") / F.col("n1") - (F.col("upto") - F.col("sum")) / F.col("n2"))).alias("statistic"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    scale = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
+    return d.select("statistic", D.p_value(D.kolmogorov, F.col("statistic") * scale).alias("p_value"))
+
+
+def fisher(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Odds ratio and two-sided p of a 2 by 2 table of conditions; rows where either is null are left out."""
+    n = lambda x, y: F.count(F.when(x & y, 1))
+    one = df.where(a.isNotNull() & b.isNotNull()).agg(n(a, b).alias("a"), n(a, ~b).alias("b"), n(~a, b).alias("c"), n(~a, ~b).alias("d"))
+    exact = F.udf(lambda *x: D.fisher_exact(*x), "double")
+    return one.select(F.try_divide(F.col("a") * F.col("d"), F.col("b") * F.col("c")).alias("odds_ratio"), exact("a", "b", "c", "d").alias("p_value"))
+
+
+def regression(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """Least squares of y on several columns: one row a term with its coefficient, standard error, t and p, and r2, adjusted r2, F and n.
+
+    Rows with a null in any column are left out. Spark gathers the moments in one pass; the driver solves for as many terms as
+    there are columns.
+    """
+    columns = [y, *xs]
+    rows = df.dropna(subset=columns).select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    one = rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"c{k}").alias(f"m{k}") for k in range(len(columns))), *(F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs)).first()
+    n, k = one["n"], len(xs)
+    spark, schema = df.sparkSession, "term string, coefficient double, std_error double, t double, p_value double, r2 double, adjusted_r2 double, f double, n long"
+    if n <= k + 1:
+        return spark.createDataFrame([], schema)
+    v = np.array([[one[f"v{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) * n
+    means = np.array([one[f"m{i}"] for i in range(k + 1)])
+    inverse = np.linalg.pinv(v[1:, 1:])
+    slopes = inverse @ v[1:, 0]
+    rest = max(0.0, v[0, 0] - slopes @ v[1:, 0])
+    sigma2 = rest / (n - k - 1)
+    r2 = float(1 - rest / v[0, 0]) if v[0, 0] > 0 else None
+    adjusted = None if r2 is None else 1 - (1 - r2) * (n - 1) / (n - k - 1)
+    f = None if r2 is None or r2 >= 1 else r2 / k / ((1 - r2) / (n - k - 1))
+    errors = np.sqrt(np.concatenate([[sigma2 * (1 / n + means[1:] @ inverse @ means[1:])], sigma2 * np.diag(inverse)]))
+    terms = zip(["intercept", *xs], np.concatenate([[means[0] - slopes @ means[1:]], slopes]).tolist(), errors.tolist(), strict=True)
+    out = []
+    for term, b, error in terms:
+        t = b / error if error else None
+        out.append((term, b, error, t, None if t is None else D.student(t, n - k - 1), r2, adjusted, f, n))
+    return spark.createDataFrame(out, schema)
 
 
 def box_cox(df: DataFrame, column: str, name: str, low: float = -2.0, high: float = 2.0) -> tuple[DataFrame, float]:

@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablework.functions import distributions as D
+from tablework.operators.quantiles import quantiles, ranked
+
 NULL_LIKE = ["", "-", "N/A", "null", "None"]
 
 
 def _skew(x: str) -> Column:
     n = F.count(x).cast("double")
-    return F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.try_divide(F.skewness(x) * F.sqrt(n * (n - 1)), n - 2)
 
 
 def _kurtosis(x: str) -> Column:
     n = F.count(x).cast("double")
-    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
+    return F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column, all from one pass: count, mean, std, min, quartiles, max, skew and excess kurtosis (adjusted)."""
-    q = lambda c: F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), q(c).alias("q"), F.max(c).cast("double").alias("max"), _skew(c).alias("skew"), _kurtosis(c).alias("kurtosis")).alias(c) for c in columns))
-    rows = one.select(F.inline(F.array(*map(F.col, columns))))
-    return rows.select("column", "count", "mean", "std", "min", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "max", "skew", "kurtosis")
+    """One row a column: count, mean, std, min, quartiles, max, skew and excess kurtosis (adjusted; null below 3 and 4 values)."""
+    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), _skew(c).alias("skew"), _kurtosis(c).alias("kurtosis")).alias(c) for c in columns))
+    one = one.crossJoin(F.broadcast(quantiles(df, columns, (0.25, 0.5, 0.75))))  # one row each
+    rows = one.select(F.inline(F.array(*(F.struct(F.col(c).alias("s"), F.col(f"q{k}").alias("q")) for k, c in enumerate(columns)))))
+    return rows.select("s.column", "s.count", "s.mean", "s.std", "s.min", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "s.max", "s.skew", "s.kurtosis")
 
 
 def scan_nulls_zeros(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,7 +43,8 @@ def scan_nulls_zeros(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def check_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: IQR limits and how many values lie beyond; two passes over all columns together."""
-    q = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}") for c in columns))
+    q = quantiles(df, columns, (0.25, 0.75))
+    q = q.select(*(F.col(f"q{k}").alias(f"_{c}") for k, c in enumerate(columns)))
     low = lambda c: 2.5 * F.get(f"_{c}", F.lit(0)) - 1.5 * F.get(f"_{c}", F.lit(1))
     high = lambda c: 2.5 * F.get(f"_{c}", F.lit(1)) - 1.5 * F.get(f"_{c}", F.lit(0))
     one = df.crossJoin(F.broadcast(q)).agg(*(F.struct(F.lit(c).alias("column"), F.first(low(c)).alias("low"), F.first(high(c)).alias("high"), F.count(F.when((F.col(c) < low(c)) | (F.col(c) > high(c)), 1)).alias("outliers")).alias(c) for c in columns))
@@ -48,7 +52,7 @@ def check_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def detect_anomalies(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
-    s = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"))
+    s = df.agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s")).crossJoin(F.broadcast(quantiles(df, [column], (0.25, 0.75)).withColumnRenamed("q0", "_q")))  # one row each
     a, b, x = F.get("_q", F.lit(0)), F.get("_q", F.lit(1)), F.col(column)
     iqr = ((x < a - 1.5 * (b - a)) | (x > b + 1.5 * (b - a))).cast("int")
     z = (F.abs(x - F.col("_m")) > threshold * F.col("_s")).cast("int")
@@ -70,45 +74,61 @@ def validate(df: DataFrame, columns: list[str], max_null_pct: float = 5) -> Data
     return one.withColumn("score", F.greatest(F.lit(0), 100 - 5 * F.col("errors") - 2 * F.col("warnings") - F.col("infos")))
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson's r over rows that have both; null where one is constant."""
+    spread = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+    return F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a))
+
+
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
     """(a, b, r) of all pairs of columns: Pearson in one pass; Spearman as Pearson of average ranks."""
     if method == "spearman":
         df = df.where(reduce(lambda p, q: p & q, (F.col(c).isNotNull() for c in columns))).select(*columns)
         for c in columns:
-            ranks = df.groupBy(c).count()
-            below = F.sum("count").over(Window.orderBy(c)) - F.col("count")  # one row a distinct value
-            df = df.join(ranks.select(c, (below + (F.col("count") + 1) / 2).alias(f"_{c}")), c)
+            ranks = ranked(df, c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_{c}"))
+            df = df.join(ranks, F.col(c).cast("double") == F.col("_value")).drop("_value")
         df = df.select(*(F.col(f"_{c}").alias(c) for c in columns))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*(F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
+    one = df.agg(*(_corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))))
 
 
 def t_test(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
-    """Pooled two-sample t statistic, degrees of freedom and Cohen's d."""
+    """Pooled two-sample t statistic, degrees of freedom, Cohen's d and two-sided p."""
     pick = lambda g: F.when(F.col(group) == g, F.col(value))
     one = df.agg(*(f(pick(g)).alias(f"{n}{k}") for k, g in ((1, first), (2, second)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
-    sd = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2))
-    d = (F.col("m1") - F.col("m2")) / sd
-    return one.select((d / F.sqrt(1 / F.col("n1") + 1 / F.col("n2"))).alias("statistic"), (F.col("n1") + F.col("n2") - 2).alias("df"), d.alias("cohens_d"))
+    sd = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), F.col("n1") + F.col("n2") - 2))
+    d = F.try_divide(F.col("m1") - F.col("m2"), sd)
+    t = F.try_divide(d, F.sqrt(F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))
+    one = one.select(t.alias("statistic"), (F.col("n1") + F.col("n2") - 2).alias("df"), d.alias("cohens_d"))
+    return one.withColumn("p_value", D.p_value(D.student, F.col("statistic"), F.col("df")))
 
 
 def anova(df: DataFrame, value: str, group: str) -> DataFrame:
-    """F statistic and eta squared of the groups' means."""
+    """F statistic, eta squared and p of the groups' means."""
     g = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), (F.var_pop(value) * F.count(value)).alias("w"))
     one = g.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("w").alias("within"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum(F.col("n") * F.col("m")) * F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("between"))
-    return one.select((F.col("between") / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("statistic"), (F.col("between") / (F.col("between") + F.col("within"))).alias("eta_squared"))
+    d1, d2 = F.col("k") - 1, F.col("n") - F.col("k")
+    f = F.try_divide(F.try_divide("between", d1), F.try_divide("within", d2))
+    one = one.select(f.alias("statistic"), F.try_divide("between", F.col("between") + F.col("within")).alias("eta_squared"), d1.alias("d1"), d2.alias("d2"))
+    return one.withColumn("p_value", D.p_value(D.fisher_f, F.col("statistic"), F.col("d1"), F.col("d2"))).drop("d1", "d2")
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square statistic (without Yates' correction) and degrees of freedom of a contingency table."""
+    """Chi-square statistic of a contingency table (with Yates' correction if it is 2 by 2), degrees of freedom, Cramér's V and p."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count()
     rows, cols = cells.groupBy(a).agg(F.sum("count").alias("r")), cells.groupBy(b).agg(F.sum("count").alias("c"))
     total = cells.agg(F.sum("count").alias("n"))
     kinds = rows.agg(F.count(F.lit(1)).alias("kr")).crossJoin(cols.agg(F.count(F.lit(1)).alias("kc")))
-    # sum (o - e)^2 / e = n * (sum o^2 / (r c) - 1), so empty cells need no rows
-    part = cells.join(rows, a).join(cols, b).agg(F.sum(F.col("count") * F.col("count") / (F.col("r") * F.col("c"))).alias("s"))
-    return part.crossJoin(total).crossJoin(kinds).select((F.col("n") * (F.col("s") - 1)).alias("statistic"), ((F.col("kr") - 1) * (F.col("kc") - 1)).alias("df"))
+    # sum (o - e)^2 / e = n * (sum o^2 / (r c) - 1), so empty cells need no rows; of a 2 by 2 table all |o - e| are equal
+    share = F.col("count") * F.col("count") / (F.col("r") * F.col("c"))
+    one = cells.join(rows, a).join(cols, b).agg(F.sum(share).alias("s"), F.max(F.struct("count", "r", "c")).alias("cell")).crossJoin(total).crossJoin(kinds)
+    plain = F.col("n") * (F.col("s") - 1)
+    off = F.abs(F.col("cell.count") - F.col("cell.r") * F.col("cell.c") / F.col("n"))
+    yates = plain * F.pow(F.coalesce(F.try_divide(F.greatest(off - 0.5, F.lit(0.0)), off), F.lit(0.0)), 2)
+    statistic = F.when((F.col("kr") == 2) & (F.col("kc") == 2), yates).otherwise(plain)
+    one = one.select(statistic.alias("statistic"), ((F.col("kr") - 1) * (F.col("kc") - 1)).alias("df"), F.sqrt(F.try_divide(statistic, F.col("n") * (F.least("kr", "kc") - 1))).alias("cramers_v"))
+    return one.withColumn("p_value", D.p_value(D.chi_square, F.col("statistic"), F.col("df")))
 
 
 def ols(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -116,7 +136,9 @@ def ols(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def word_frequency(df: DataFrame, column: str) -> DataFrame:
-    words = df.select(F.explode(F.split(F.lower(column), r"\s+")).alias("word")).where("word <> ''")
+    """Words in lower case, without what is neither a letter, a digit, an underscore nor white space."""
+    bare = F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}_\s]", "")
+    words = df.select(F.explode(F.split(bare, r"\s+")).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -86,6 +86,30 @@ def resample(df: DataFrame, date: str, freq: str, value: str, aggs: list[str]) -
     return calendar.join(rows, "_at", "left").select(label(F.col("_at")).alias("bucket"), *fill)
 
 
+def resample_groups(df: DataFrame, date: str, freq: str, values: dict[str, list[str]], group_by: list[str]) -> DataFrame:
+    """resample() of several columns ({column: functions}, as column_function) within groups, each from its own first bucket to its last."""
+    unit, step, label = _BUCKETS[freq]
+    names = {f"{c}_{a}": (c, a) for c, fs in values.items() for a in fs}
+    rows = df.where(F.col(date).isNotNull()).groupBy(*group_by, F.date_trunc(unit, F.col(date)).alias("_at")).agg(*(_AGGREGATES[a](c).alias(n) for n, (c, a) in names.items()))
+    ends = rows.groupBy(*group_by).agg(F.min("_at").alias("a"), F.max("_at").alias("b"))
+    calendar = ends.select(*group_by, F.explode(F.sequence("a", "b", F.expr(step))).alias("_at"))
+    r = rows.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group_by)), F.col("_at").alias("_b"), *names)
+    on = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group_by)), F.col("_at") == F.col("_b"))
+    fill = [F.coalesce(n, F.lit(0)).alias(n) if a in ("sum", "count") else F.col(n) for n, (_, a) in names.items()]
+    return calendar.join(r, on, "left").select(*group_by, label(F.col("_at")).alias("bucket"), *fill)
+
+
+def period_changes(df: DataFrame, date: str, metrics: list[str], unit: str, current: str, before: str, group_by: list[str]) -> DataFrame:
+    """(group_by, metric, current, reference, delta, pct, direction): period_comparison() of several columns within groups."""
+    at = F.date_trunc({"M": "month", "Q": "quarter", "Y": "year"}[unit], F.col(date))
+    total = lambda c, p: F.sum(F.when(at == F.to_timestamp(F.lit(p)), F.col(c)))
+    s = df.where(F.col(date).isNotNull()).groupBy(*group_by).agg(*(F.struct(F.lit(c).alias("metric"), total(c, current).alias("current"), total(c, before).alias("reference")).alias(f"m{k}") for k, c in enumerate(metrics)))
+    s = s.select(*group_by, F.inline(F.array(*(f"m{k}" for k in range(len(metrics))))))
+    delta = F.col("current") - F.col("reference")
+    pct = F.when(F.col("reference") != 0, 100 * delta / F.abs("reference"))
+    return s.select(*group_by, "metric", "current", "reference", delta.alias("delta"), pct.alias("pct"), F.when(pct.isNull(), "no_data").when(delta > 0, "up").when(delta < 0, "down").otherwise("flat").alias("direction"))
+
+
 def period_comparison(df: DataFrame, date: str, value: str, unit: str, current: str, before: str) -> DataFrame:
     """Sums of two periods (starts as dates) with their difference and its share of the earlier one."""
     at = F.date_trunc({"M": "month", "Q": "quarter", "Y": "year"}[unit], F.col(date))

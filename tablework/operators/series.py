@@ -29,6 +29,23 @@ def autocorrelation(df: DataFrame, date: str, value: str, unit: str = "month", l
     return rows.where(F.col("lag") <= F.floor(F.col("n") / 2)).select("lag", "acf", (F.abs("acf") > 2 / F.sqrt("n")).alias("significant"))
 
 
+def partial_autocorrelation(df: DataFrame, date: str, value: str, unit: str = "month", lags: int = 12) -> DataFrame:
+    """(lag, pacf, significant), from the autocorrelations by Durbin and Levinson's recursion; at most lags numbers reach the driver."""
+    found = {r["lag"]: r["acf"] for r in autocorrelation(df, date, value, unit, lags).collect()}
+    n = buckets(df, date, value, unit).count()
+    rho = [1.0] + [found[k] for k in sorted(found)]
+    before: list[float] = []
+    out = []
+    for k in range(1, len(rho)):
+        if rho[k] is None:
+            break
+        below = 1 - sum(p * rho[j + 1] for j, p in enumerate(before))
+        last = (rho[k] - sum(p * rho[k - 1 - j] for j, p in enumerate(before))) / below if below else 0.0
+        before = [p - last * before[k - 2 - j] for j, p in enumerate(before)] + [last]
+        out.append((k, float(last), bool(abs(last) > 2 / n**0.5)))
+    return df.sparkSession.createDataFrame(out, "lag int, pacf double, significant boolean")
+
+
 def smoothed_level(df: DataFrame, date: str, value: str, unit: str = "month", alpha: float = 0.3) -> DataFrame:
     """One row: the level of simple exponential smoothing after the last period, which is the forecast for those to come."""
     b = buckets(df, date, value, unit)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablework.functions import conditions
 from tablework.operators import columns as C
 from tablework.operators import inference as I
+from tablework.operators import inspection as N
 from tablework.operators import profile as P
 from tablework.operators import relations as R
 from tablework.operators import series as S
@@ -39,6 +40,21 @@ def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({n: r(n, digits) for n in names})
 
 
+def student_p(t: str, df: str) -> str:
+    """SQL for the two-sided tail of Student's t: Simpson's rule over the density, 4000 steps of 0.01."""
+    return f"(SELECT 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-({df} + 1) / 2.0 * ln(1 + (abs({t}) + i / 100.0) * (abs({t}) + i / 100.0) / {df}))) / 300 FROM range(0, 4001) steps(i))"
+
+
+def normal_p(z: str) -> str:
+    """SQL for the two-sided normal tail, likewise."""
+    return f"(SELECT 2 / sqrt(2 * pi()) * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(abs({z}) + i / 100.0) * (abs({z}) + i / 100.0) / 2)) / 300 FROM range(0, 4001) steps(i))"
+
+
+def f4_p(f: str, d2: str) -> str:
+    """SQL for the tail of F with 4 degrees of freedom above."""
+    return f"pow({d2} / ({d2} + 4 * ({f})), {d2} / 2.0) * (1 + 4 * ({f}) / ({d2} + 4 * ({f})) * {d2} / 2.0)"
+
+
 LI = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LIK = ", ".join(LI)
 
@@ -235,6 +251,12 @@ def _(t):
     return rounded(rounded(C.clip_values(t, "c_acctbal", 0.0, 5000.0).select("c_custkey", "root", "log", "c_acctbal"), "root"), "log", digits=6)
 
 
+@query("log_transform", "customer", "SELECT c_custkey, round(CASE WHEN c_acctbal - 100 > 0 THEN ln(c_acctbal - 100) WHEN c_acctbal - 100 = 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END, 6) AS log FROM customer")
+def _(t):
+    t = C.log_transform(t.withColumn("over", F.col("c_acctbal") - 100), "over", "log", "log")
+    return rounded(t.select("c_custkey", "log"), "log", digits=6)
+
+
 @query("round_values", "customer", "SELECT c_custkey, round_even(c_acctbal, 0) AS c_acctbal FROM customer")
 def _(t):
     return C.round_values(t.select("c_custkey", "c_acctbal"), "c_acctbal", 0)
@@ -287,8 +309,8 @@ for agg in ("sum", "max", "min"):
 query("ewm", "events", None)(lambda t: rounded(C.ewm(with_nulls(t).select("event_id", "user_id", "value"), "value", "ewm", 7, ["event_id"], ["user_id"]).select("event_id", "ewm"), "ewm"))
 
 for how, sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
-    query(f"merge_{how}", "orders", f"WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 7 <> 0), c AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0) SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, c_name FROM o {sql} c ON o_custkey = c_custkey", "customer")(
-        lambda o, c, h=how: R.merge(o.where("o_custkey % 7 <> 0").select("o_orderkey", "o_custkey"), c.where("c_custkey % 5 <> 0").select("c_custkey", "c_name"), "o_custkey", "c_custkey", h))
+    query(f"merge_{how}", "part", f"SELECT coalesce(p_partkey, c_custkey + 500) AS p_partkey, p_name, c_name, c_acctbal FROM part {sql} customer ON p_partkey = c_custkey + 500", "customer")(
+        lambda p, c, h=how: R.merge(p.select("p_partkey", "p_name"), c.select((F.col("c_custkey") + 500).alias("c_custkey"), "c_name", "c_acctbal"), "p_partkey", "c_custkey", h))
 
 
 @query("merge_null_keys", "events", """WITH l AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN event_type END AS k FROM events), r AS (SELECT k, count(*) AS n FROM l GROUP BY 1)
@@ -298,9 +320,9 @@ def _(t):
     return R.merge(left, left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "k").select("k", "event_id", "n")
 
 
-@query("unmatched_keys", "customer", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", "orders")
-def _(c, o):
-    return R.unmatched_keys(c, o, "c_custkey", "o_custkey")
+@query("unmatched_keys", "customer", "SELECT CAST(c_custkey + 500 AS BIGINT) AS key FROM customer WHERE c_custkey + 500 NOT IN (SELECT p_partkey FROM part)", "part")
+def _(c, p):
+    return R.unmatched_keys(c.select((F.col("c_custkey") + 500).alias("c_custkey")), p, "c_custkey", "p_partkey")
 
 
 @query("concat_rows", "customer", "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS __source FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, 'supplier' FROM supplier", "supplier")
@@ -388,7 +410,8 @@ def _(t):
     return P.detect_anomalies(t, "value").select("event_id", "value_iqr_flag", "value_zscore_flag", "_anomaly_score")
 
 
-query("validate", "events", None)(lambda t: P.validate(with_nulls(t), ["event_id", "event_type", "value"]))
+query("validate", "events", f"""WITH e AS {NULLED}, s AS (SELECT 100 * (count(*) - count(event_id)) / count(*) a, 100 * (count(*) - count(event_type)) / count(*) b, 100 * (count(*) - count(value)) / count(*) c, count(*) FILTER (WHERE event_id = 0) > 0 z1, count(*) FILTER (WHERE value = 0) > 0 z2, (SELECT max(n) > 1 FROM (SELECT count(*) n FROM e GROUP BY event_id, event_type, value)) d FROM e),
+r AS (SELECT CAST((a > 5)::INT + (b > 5)::INT + (c > 5)::INT AS INT) AS errors, CAST((a > 0 AND a <= 5)::INT + (b > 0 AND b <= 5)::INT + (c > 0 AND c <= 5)::INT + z1::INT + z2::INT AS INT) AS warnings, d::INT AS infos FROM s) SELECT *, CAST(greatest(0, 100 - 5 * errors - 2 * warnings - infos) AS INT) AS score FROM r""")(lambda t: P.validate(with_nulls(t), ["event_id", "event_type", "value"]))
 
 
 @query("correlation_pearson", "lineitem", """SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem""")
@@ -401,22 +424,31 @@ def _(t):
     return rounded(P.correlation(t, ["l_quantity", "l_discount"], "spearman"), "r", digits=6)
 
 
-@query("t_test", "orders", """WITH s AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') n1, count(*) FILTER (WHERE o_orderstatus = 'O') n2, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') m1, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') m2, var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'F') v1, var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'O') v2 FROM orders), d AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d FROM s)
-SELECT round(d / sqrt(1 / n1 + 1 / n2), 6) AS statistic, n1 + n2 - 2 AS df, round(d, 6) AS cohens_d FROM d""")
+@query("t_test", "orders", f"""WITH s AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') n1, count(*) FILTER (WHERE o_orderstatus = 'O') n2, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') m1, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') m2, var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'F') v1, var_samp(o_totalprice) FILTER (WHERE o_orderstatus = 'O') v2 FROM orders), d AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS d FROM s)
+SELECT round(d / sqrt(1 / n1 + 1 / n2), 6) AS statistic, n1 + n2 - 2 AS df, round(d, 6) AS cohens_d, round({student_p("(d / sqrt(1 / n1 + 1 / n2))", "(n1 + n2 - 2)")}, 6) AS p_value FROM d""")
 def _(t):
-    return rounded(P.t_test(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", "cohens_d", digits=6)
+    return rounded(P.t_test(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", "cohens_d", "p_value", digits=6)
 
 
-@query("anova", "orders", """WITH g AS (SELECT o_orderpriority, count(*) n, avg(o_totalprice) m, var_pop(o_totalprice) * count(*) w FROM orders GROUP BY 1), a AS (SELECT sum(n) n, count(*) k, sum(w) w, sum(n * m) / sum(n) gm FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) b FROM g, a)
-SELECT round(b / (k - 1) / (w / (n - k)), 4) AS statistic, round(b / (b + w), 6) AS eta_squared FROM a, b""")
+@query("anova", "orders", f"""WITH g AS (SELECT o_orderpriority, count(*) n, avg(o_totalprice) m, var_pop(o_totalprice) * count(*) w FROM orders GROUP BY 1), a AS (SELECT sum(n) n, count(*) k, sum(w) w, sum(n * m) / sum(n) gm FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) b FROM g, a)
+SELECT round(b / (k - 1) / (w / (n - k)), 4) AS statistic, round(b / (b + w), 6) AS eta_squared, round({f4_p("b / (k - 1) / (w / (n - k))", "(n - k)")}, 6) AS p_value FROM a, b""")
 def _(t):
-    return rounded(rounded(P.anova(t, "o_totalprice", "o_orderpriority"), "statistic"), "eta_squared", digits=6)
+    return rounded(rounded(P.anova(t, "o_totalprice", "o_orderpriority"), "statistic"), "eta_squared", "p_value", digits=6)
 
 
-@query("chi_square", "orders", """WITH c AS (SELECT o_orderpriority a, o_orderstatus b, count(*) o FROM orders GROUP BY 1, 2), r AS (SELECT a, sum(o) r FROM c GROUP BY 1), k AS (SELECT b, sum(o) k FROM c GROUP BY 1), n AS (SELECT sum(o) n FROM c), e AS (SELECT r.a, k.b, r * k / n AS e FROM r, k, n)
-SELECT round(sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e), 4) AS statistic, CAST((count(DISTINCT e.a) - 1) * (count(DISTINCT e.b) - 1) AS BIGINT) AS df FROM e LEFT JOIN c ON c.a = e.a AND c.b = e.b""")
+@query("chi_square", "orders", """WITH c AS (SELECT o_orderpriority a, o_orderstatus b, count(*) o FROM orders GROUP BY 1, 2), r AS (SELECT a, sum(o) r FROM c GROUP BY 1), k AS (SELECT b, sum(o) k FROM c GROUP BY 1), n AS (SELECT sum(o) n FROM c), e AS (SELECT r.a, k.b, r * k / n AS e FROM r, k, n),
+x AS (SELECT sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS x, CAST((count(DISTINCT e.a) - 1) * (count(DISTINCT e.b) - 1) AS BIGINT) AS df FROM e LEFT JOIN c ON c.a = e.a AND c.b = e.b)
+SELECT round(x, 4) AS statistic, df, round(sqrt(x / (n * 2)), 6) AS cramers_v, round(exp(-x / 2) * (1 + x / 2 + pow(x / 2, 2) / 2 + pow(x / 2, 3) / 6), 6) AS p_value FROM x, n""")
 def _(t):
-    return rounded(P.chi_square(t, "o_orderpriority", "o_orderstatus"), "statistic")
+    return rounded(rounded(P.chi_square(t, "o_orderpriority", "o_orderstatus"), "statistic"), "cramers_v", "p_value", digits=6)
+
+
+@query("chi_square_2x2", "lineitem", f"""WITH c AS (SELECT l_linestatus = 'O' a, l_discount > 0.05 b, count(*) o FROM lineitem GROUP BY 1, 2), m AS (SELECT sum(o) FILTER (WHERE a AND b) p, sum(o) FILTER (WHERE a AND NOT b) q, sum(o) FILTER (WHERE NOT a AND b) r, sum(o) FILTER (WHERE NOT a AND NOT b) s, CAST(sum(o) AS DOUBLE) n FROM c),
+x AS (SELECT n * pow(greatest(abs(CAST(p AS DOUBLE) * s - CAST(q AS DOUBLE) * r) - n / 2, 0), 2) / (CAST(p + q AS DOUBLE) * (r + s) * (p + r) * (q + s)) AS x, n FROM m)
+SELECT round(x, 4) AS statistic, CAST(1 AS BIGINT) AS df, round(sqrt(x / n), 6) AS cramers_v, round({normal_p("sqrt(x)")}, 6) AS p_value FROM x""")
+def _(t):
+    t = t.select((F.col("l_linestatus") == "O").alias("a"), (F.col("l_discount") > 0.05).alias("b"))
+    return rounded(rounded(P.chi_square(t, "a", "b"), "statistic"), "cramers_v", "p_value", digits=6)
 
 
 @query("ols", "lineitem", "SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem")
@@ -424,9 +456,9 @@ def _(t):
     return rounded(rounded(P.ols(t, "l_extendedprice", "l_quantity"), "slope", "intercept"), "r2", digits=6)
 
 
-@query("word_frequency", "part", "SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(lower(p_name), '\\s+')) AS word FROM part) WHERE word <> '' GROUP BY 1")
+@query("word_frequency", "orders", "SELECT word, count(*) AS count FROM (SELECT unnest(string_split_regex(regexp_replace(lower(o_orderpriority || ': ' || o_orderstatus || '!'), '[^\\w\\s]', '', 'g'), '\\s+')) AS word FROM orders) WHERE word <> '' GROUP BY 1")
 def _(t):
-    return P.word_frequency(t, "p_name")
+    return P.word_frequency(t.select(F.concat("o_orderpriority", F.lit(": "), "o_orderstatus", F.lit("!")).alias("note")), "note")
 
 
 @query("rollup_totals", "orders", "SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total, count(*) AS count FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
@@ -444,58 +476,81 @@ def _(t):
     return t.groupBy(F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-@query("one_sample_t", "orders", "SELECT round((avg(o_totalprice) - 150000) / (stddev_samp(o_totalprice) / sqrt(count(*))), 5) AS statistic, count(*) - 1 AS df FROM orders")
+@query("one_sample_t", "orders", f"WITH s AS (SELECT (avg(o_totalprice) - 150000) / (stddev_samp(o_totalprice) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM orders) SELECT round(t, 5) AS statistic, df, round({student_p('t', 'df')}, 6) AS p_value FROM s")
 def _(t):
-    return rounded(I.one_sample_t(t, "o_totalprice", 150000.0), "statistic", digits=5)
+    return rounded(rounded(I.one_sample_t(t, "o_totalprice", 150000.0), "statistic", digits=5), "p_value", digits=6)
 
 
-@query("paired_t", "lineitem", "SELECT round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 5) AS statistic, count(*) - 1 AS df FROM lineitem")
+@query("paired_t", "lineitem", f"WITH s AS (SELECT avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM lineitem) SELECT round(t, 5) AS statistic, df, round({student_p('t', 'df')}, 6) AS p_value FROM s")
 def _(t):
-    return rounded(I.paired_t(t, "l_discount", "l_tax"), "statistic", digits=5)
+    return rounded(rounded(I.paired_t(t, "l_discount", "l_tax"), "statistic", digits=5), "p_value", digits=6)
 
 
-@query("proportion_z", "orders", """WITH s AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') n1, count(*) FILTER (WHERE o_orderstatus = 'O') n2, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 200000) h1, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_totalprice > 200000) h2 FROM orders)
-SELECT round((h1 / n1 - h2 / n2) / sqrt((h1 + h2) / (n1 + n2) * (1 - (h1 + h2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) AS statistic, round(h1 / n1, 6) AS share_1, round(h2 / n2, 6) AS share_2 FROM s""")
+@query("proportion_z", "orders", f"""WITH s AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') n1, count(*) FILTER (WHERE o_orderstatus = 'O') n2, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 200000) h1, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_totalprice > 200000) h2 FROM orders), z AS (SELECT *, (h1 / n1 - h2 / n2) / sqrt((h1 + h2) / (n1 + n2) * (1 - (h1 + h2) / (n1 + n2)) * (1 / n1 + 1 / n2)) AS z FROM s)
+SELECT round(z, 6) AS statistic, round(h1 / n1, 6) AS share_1, round(h2 / n2, 6) AS share_2, round({normal_p("z")}, 6) AS p_value FROM z""")
 def _(t):
-    return rounded(I.proportion_z(t, F.col("o_totalprice") > 200000, "o_orderstatus", "F", "O"), "statistic", "share_1", "share_2", digits=6)
+    return rounded(I.proportion_z(t, F.col("o_totalprice") > 200000, "o_orderstatus", "F", "O"), "statistic", "share_1", "share_2", "p_value", digits=6)
 
 
-@query("levene", "orders", """WITH d AS (SELECT o_orderpriority p, abs(o_totalprice - median(o_totalprice) OVER (PARTITION BY o_orderpriority)) AS d FROM orders), g AS (SELECT p, count(*) n, avg(d) m, var_pop(d) * count(*) w FROM d GROUP BY 1), a AS (SELECT sum(n) n, count(*) k, sum(w) w, sum(n * m) / sum(n) gm FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) b FROM g, a)
-SELECT round(b / (k - 1) / (w / (n - k)), 4) AS statistic FROM a, b""")
+@query("levene", "orders", f"""WITH d AS (SELECT o_orderpriority p, abs(o_totalprice - median(o_totalprice) OVER (PARTITION BY o_orderpriority)) AS d FROM orders), g AS (SELECT p, count(*) n, avg(d) m, var_pop(d) * count(*) w FROM d GROUP BY 1), a AS (SELECT sum(n) n, count(*) k, sum(w) w, sum(n * m) / sum(n) gm FROM g), b AS (SELECT sum(g.n * (m - gm) * (m - gm)) b FROM g, a)
+SELECT round(b / (k - 1) / (w / (n - k)), 4) AS statistic, round({f4_p("b / (k - 1) / (w / (n - k))", "(n - k)")}, 6) AS p_value FROM a, b""")
 def _(t):
-    return rounded(I.levene(t, "o_totalprice", "o_orderpriority"), "statistic")
+    return rounded(rounded(I.levene(t, "o_totalprice", "o_orderpriority"), "statistic"), "p_value", digits=6)
 
 
 RANKED = "SELECT {g} AS g, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {v}) AS t FROM {t}"
 
 
-@query("kruskal", "lineitem", f"""WITH k AS ({RANKED.format(g="l_returnflag", v="l_quantity", t="lineitem")}), c AS (SELECT 1 - sum(CAST(t AS DOUBLE) * t - 1) / (CAST(count(*) AS DOUBLE) * count(*) * count(*) - count(*)) AS c, CAST(count(*) AS DOUBLE) AS n FROM k), s AS (SELECT sum(r) * sum(r) / count(*) AS q FROM k GROUP BY g)
-SELECT round((12 / (any_value(n) * (any_value(n) + 1)) * sum(q) - 3 * (any_value(n) + 1)) / any_value(c), 4) AS statistic, count(*) - 1 AS df FROM s, c""")
+@query("kruskal", "lineitem", f"""WITH k AS ({RANKED.format(g="l_returnflag", v="l_quantity", t="lineitem")}), c AS (SELECT 1 - sum(CAST(t AS DOUBLE) * t - 1) / (CAST(count(*) AS DOUBLE) * count(*) * count(*) - count(*)) AS c, CAST(count(*) AS DOUBLE) AS n FROM k), s AS (SELECT sum(r) * sum(r) / count(*) AS q FROM k GROUP BY g),
+h AS (SELECT (12 / (any_value(n) * (any_value(n) + 1)) * sum(q) - 3 * (any_value(n) + 1)) / any_value(c) AS h, count(*) - 1 AS df FROM s, c) SELECT round(h, 4) AS statistic, df, round(exp(-h / 2), 6) AS p_value FROM h""")
 def _(t):
-    return rounded(I.kruskal(t, "l_quantity", "l_returnflag"), "statistic")
+    return rounded(rounded(I.kruskal(t, "l_quantity", "l_returnflag"), "statistic"), "p_value", digits=6)
 
 
-@query("mann_whitney", "orders", f"""WITH k AS ({RANKED.format(g="o_orderstatus", v="o_totalprice", t="(SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O'))")}), u AS (SELECT sum(r) FILTER (WHERE g = 'F') - count(*) FILTER (WHERE g = 'F') * (count(*) FILTER (WHERE g = 'F') + 1) / 2 AS u, count(*) FILTER (WHERE g = 'F') * count(*) FILTER (WHERE g = 'O') AS n FROM k)
-SELECT round(u, 2) AS statistic, round(1 - 2 * u / n, 6) AS rank_biserial FROM u""")
+@query("mann_whitney", "orders", f"""WITH k AS ({RANKED.format(g="o_orderstatus", v="o_totalprice", t="(SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O'))")}), u AS (SELECT sum(r) FILTER (WHERE g = 'F') - count(*) FILTER (WHERE g = 'F') * (count(*) FILTER (WHERE g = 'F') + 1) / 2 AS u, count(*) FILTER (WHERE g = 'F') * count(*) FILTER (WHERE g = 'O') AS n, CAST(count(*) AS DOUBLE) AS a, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM k), z AS (SELECT *, greatest((abs(u - n / 2) - 0.5) / sqrt(n / 12 * (a + 1 - ties / (a * (a - 1)))), 0) AS z FROM u)
+SELECT round(u, 2) AS statistic, round(1 - 2 * u / n, 6) AS rank_biserial, round({normal_p("z")}, 6) AS p_value FROM z""")
 def _(t):
-    return rounded(rounded(I.mann_whitney(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", digits=2), "rank_biserial", digits=6)
+    return rounded(rounded(I.mann_whitney(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", digits=2), "rank_biserial", "p_value", digits=6)
 
 
-@query("wilcoxon", "lineitem", """WITH d AS (SELECT round(100 * (l_discount - l_tax)) AS d FROM lineitem), k AS (SELECT d > 0 AS up, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0)
-SELECT round(least(sum(r) FILTER (WHERE up), sum(r) FILTER (WHERE NOT up)), 2) AS statistic FROM k""")
+@query("wilcoxon", "lineitem", f"""WITH d AS (SELECT round(100 * (l_discount - l_tax)) AS d FROM lineitem), k AS (SELECT d > 0 AS up, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, CAST(count(*) OVER (PARTITION BY abs(d)) AS DOUBLE) AS t FROM d WHERE d <> 0),
+w AS (SELECT least(sum(r) FILTER (WHERE up), sum(r) FILTER (WHERE NOT up)) AS w, CAST(count(*) AS DOUBLE) AS n, sum(t * t - 1) AS ties FROM k), z AS (SELECT w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w)
+SELECT round(w, 2) AS statistic, round({normal_p("z")}, 6) AS p_value FROM z""")
 def _(t):
     t = t.select(F.round(100 * (F.col("l_discount") - F.col("l_tax"))).alias("d"), F.lit(0.0).alias("z"))
-    return rounded(I.wilcoxon(t, "d", "z"), "statistic", digits=2)
+    return rounded(rounded(I.wilcoxon(t, "d", "z"), "statistic", digits=2), "p_value", digits=6)
 
 
-query("box_cox", "part", None)(lambda t: rounded(I.box_cox(t, "p_retailprice", "moved")[0].select("p_partkey", "moved"), "moved"))
+@query("kolmogorov_smirnov", "orders", """WITH v AS (SELECT o_totalprice v, o_orderstatus = 'F' f FROM orders WHERE o_orderstatus IN ('F', 'O')), d AS (SELECT count(*) FILTER (WHERE f) OVER (ORDER BY v) / (SELECT count(*) FILTER (WHERE f) FROM v) - count(*) FILTER (WHERE NOT f) OVER (ORDER BY v) / (SELECT count(*) FILTER (WHERE NOT f) FROM v) AS d FROM v), s AS (SELECT max(abs(d)) AS d FROM d),
+l AS (SELECT d, d * sqrt(CAST((SELECT count(*) FILTER (WHERE f) FROM v) AS DOUBLE) * (SELECT count(*) FILTER (WHERE NOT f) FROM v) / (SELECT count(*) FROM v)) AS l FROM s)
+SELECT round(d, 6) AS statistic, round(least(1, (SELECT 2 * sum(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * l * l)) FROM range(1, 101) x(i))), 6) AS p_value FROM l""")
+def _(t):
+    return rounded(I.kolmogorov_smirnov(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", "p_value", digits=6)
+
+
+@query("fisher", "supplier", """WITH m AS (SELECT count(*) FILTER (WHERE x AND y) a, count(*) FILTER (WHERE x AND NOT y) b, count(*) FILTER (WHERE NOT x AND y) c, count(*) FILTER (WHERE NOT x AND NOT y) d FROM (SELECT s_acctbal > 4000 AS x, s_nationkey < 12 AS y FROM supplier)), h AS (SELECT i, i = a AS own, exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + lgamma(c + d + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM m, LATERAL (SELECT unnest(generate_series(greatest(0, a - d), least(a + b, a + c))) AS i))
+SELECT round(CAST(a AS DOUBLE) * d / (b * c), 6) AS odds_ratio, round((SELECT sum(p) FROM h WHERE p <= (SELECT p FROM h WHERE own) * (1 + 1e-7)), 6) AS p_value FROM m""")
+def _(t):
+    return rounded(I.fisher(t, F.col("s_acctbal") > 4000, F.col("s_nationkey") < 12), "odds_ratio", "p_value", digits=6)
 
 
-@query("compare_datasets", "orders", """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 5 <> 1)
-SELECT count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NULL) AS only_b, count(*) FILTER (WHERE a.k = b.k) AS in_both, count(*) FILTER (WHERE a.k = b.k AND a.v IS DISTINCT FROM b.v) AS changed FROM a FULL JOIN b ON a.k = b.k""")
+@query("regression", "lineitem", f"""WITH m AS (SELECT count(*) n, avg(l_extendedprice) my, avg(l_quantity) m1, avg(l_discount) m2, count(*) * var_pop(l_extendedprice) yy, count(*) * var_pop(l_quantity) v11, count(*) * var_pop(l_discount) v22, count(*) * covar_pop(l_quantity, l_discount) v12, count(*) * covar_pop(l_extendedprice, l_quantity) y1, count(*) * covar_pop(l_extendedprice, l_discount) y2 FROM lineitem),
+i AS (SELECT *, v22 / (v11 * v22 - v12 * v12) i11, v11 / (v11 * v22 - v12 * v12) i22, -v12 / (v11 * v22 - v12 * v12) i12 FROM m), b AS (SELECT *, i11 * y1 + i12 * y2 b1, i12 * y1 + i22 * y2 b2 FROM i), e AS (SELECT *, yy - b1 * y1 - b2 * y2 AS rest FROM b), s AS (SELECT *, rest / (n - 3) AS s2, 1 - rest / yy AS r2 FROM e),
+c AS (SELECT 'intercept' AS term, my - b1 * m1 - b2 * m2 AS b, sqrt(s2 * (1 / n + m1 * m1 * i11 + 2 * m1 * m2 * i12 + m2 * m2 * i22)) AS se, r2, n FROM s UNION ALL SELECT 'l_quantity', b1, sqrt(s2 * i11), r2, n FROM s UNION ALL SELECT 'l_discount', b2, sqrt(s2 * i22), r2, n FROM s)
+SELECT term, round(b, 3) AS coefficient, round(se, 4) AS std_error, round(b / se, 4) AS t, round({student_p("(b / se)", "(n - 3)")}, 6) AS p_value, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adjusted_r2, round(r2 / 2 / ((1 - r2) / (n - 3)), 1) AS f, n FROM c""")
 def _(t):
-    a = t.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    b = t.where("o_orderkey % 5 <> 1").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 10 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("v"))
+    out = I.regression(t, "l_extendedprice", ["l_quantity", "l_discount"])
+    return rounded(rounded(rounded(rounded(out, "coefficient", digits=3), "std_error", "t"), "p_value", "r2", "adjusted_r2", digits=6), "f", digits=1)
+
+
+query("box_cox", "part", None)(lambda t: rounded(I.box_cox(t, "p_retailprice", "moved")[0].select("p_partkey", "moved"), "moved"))
+
+
+@query("compare_datasets", "part", """WITH a AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS v FROM part), b AS (SELECT c_custkey + 500 AS k, CAST(c_nationkey AS DOUBLE) AS v FROM customer)
+SELECT count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NULL) AS only_b, count(*) FILTER (WHERE a.k = b.k) AS in_both, count(*) FILTER (WHERE a.k = b.k AND a.v IS DISTINCT FROM b.v) AS changed FROM a FULL JOIN b ON a.k = b.k""", "customer")
+def _(p, c):
+    a = p.select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("v"))
+    b = c.select((F.col("c_custkey") + 500).alias("k"), F.col("c_nationkey").cast("double").alias("v"))
     return I.compare_datasets(a, b, ["k"])
 
 
@@ -530,3 +585,98 @@ def _(t):
         {"op": "replace_values", "column": "o_orderstatus", "mapping": {"F": "done"}}, {"op": "add_column", "name": "thousands", "expression": "o_totalprice / 1000 - 1"},
     ]
     return rounded(pipelines.apply(t, steps).select("o_orderkey", "o_orderstatus", "thousands"), "thousands", digits=6)
+
+
+EVENT_COLUMNS = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "ts": "timestamp_ntz", "value": "double"}
+EVENT_KINDS = {"event_id": "numeric", "user_id": "numeric", "event_type": "categorical", "ts": "datetime", "value": "numeric"}
+
+
+@query("inspect", "events", f"WITH e AS {NULLED} " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS dtype, '{EVENT_KINDS[c]}' AS kind, count(*) AS rows, count(*) - count({c}) AS nulls, round(100 * (count(*) - count({c})) / count(*), 2) AS null_pct, count(DISTINCT {c}) AS distinct FROM e""" for c, t in EVENT_COLUMNS.items()))
+def _(t):
+    return N.inspect(with_nulls(t))
+
+
+@query("search_columns", "events", f"""WITH e AS {NULLED} SELECT 'value' AS "column", 'double' AS dtype, count(*) - count(value) AS nulls, count(*) FILTER (WHERE value = 0) AS zeros FROM e HAVING count(*) > count(value)""")
+def _(t):
+    return N.search_columns(with_nulls(t), has_nulls=True, kind="numeric", name_contains="VAL", min_null_pct=10)
+
+
+@query("detect_schema", "orders", """SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'int'), ('o_totalprice', 'double', 'float'), ('o_orderdate', 'timestamp_ntz', 'datetime'), ('o_orderstatus', 'string', 'category'), ('level', 'string', 'numeric'), ('day', 'string', 'datetime'), ('code', 'string', 'id')) v("column", dtype, inferred)
+UNION ALL SELECT 'size', 'int', CASE WHEN count(DISTINCT length(o_orderpriority)) <= 20 AND count(DISTINCT length(o_orderpriority)) < 0.05 * count(*) THEN 'category_encoded' ELSE 'int' END FROM orders""")
+def _(t):
+    return N.detect_schema(t.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("level"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).alias("code"), F.length("o_orderpriority").alias("size")))
+
+
+@query("sample_tail", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 50")
+def _(t):
+    return N.sample_rows(t.select("o_orderkey", "o_totalprice"), 50, "tail", ["o_orderkey"])
+
+
+@query("smart_impute", "events", """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 4 <> 0 THEN ts END AS ts, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events),
+m AS (SELECT event_type AS top FROM e WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT event_id, user_id, coalesce(event_type, (SELECT top FROM m)) AS event_type, last_value(ts IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts, round(coalesce(value, (SELECT median(value) FROM e)), 4) AS value FROM e""")
+def _(t):
+    i = F.col("event_id")
+    t = t.select("event_id", "user_id", F.when(i % 5 != 0, F.col("event_type")).alias("event_type"), F.when(i % 4 != 0, F.col("ts")).alias("ts"), F.when(i % 3 != 0, F.col("value")).alias("value"))
+    return rounded(N.smart_impute(t, ["event_id"], partition_by=["user_id"]), "value")
+
+
+@query("concat_columns", "customer", "WITH a AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS i FROM customer), b AS (SELECT c_acctbal, c_custkey AS c_custkey_2, row_number() OVER (ORDER BY -c_custkey) AS i FROM customer) SELECT c_custkey, c_name, c_acctbal, c_custkey_2 FROM a JOIN b USING (i)")
+def _(t):
+    right = t.select("c_acctbal", "c_custkey", (-F.col("c_custkey")).alias("back"))
+    return N.concat_columns(t.select("c_custkey", "c_name"), right, "c_custkey", "back").drop("back")
+
+
+@query("transpose", "region", "SELECT 'r_regionkey' AS key, " + ", ".join(f"CAST(max(CASE WHEN r_name = '{n}' THEN r_regionkey END) AS VARCHAR) AS \"{n}\"" for n in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM region")
+def _(t):
+    return N.transpose(t.select("r_name", "r_regionkey"), "r_name")
+
+
+@query("alerts", "events", """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 20 = 0 THEN event_type ELSE 'click' END AS event_type, CASE WHEN event_id % 4 = 0 THEN value END AS value, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS flag, 2.0 * event_id AS twice, 7 AS same FROM events),
+k AS (SELECT count(*) n, count(value) v, count(*) FILTER (WHERE flag = 0) z, (SELECT max(c) FROM (SELECT count(*) c FROM e GROUP BY event_type)) top, corr(event_id, twice) r FROM e)
+SELECT 'same' AS "column", 'CONSTANT' AS type, 'error' AS severity, 1.0::DOUBLE AS figure UNION ALL SELECT 'value', 'HIGH NULLS', 'error', round(100 * (n - v) / n, 1) FROM k UNION ALL SELECT 'flag', 'ZEROS', 'warning', round(100 * z / n, 1) FROM k UNION ALL SELECT 'event_type', 'IMBALANCED', 'warning', round(100 * top / n, 1) FROM k WHERE round(100 * top / n, 1) > 90
+UNION ALL SELECT 'event_id', 'HIGH CORR', 'warning', round(r, 3) FROM k UNION ALL SELECT 'value', 'SKEWED', 'warning', round(skewness(value), 2) FROM e HAVING abs(round(skewness(value), 2)) > 2
+UNION ALL SELECT 'value', 'OUTLIERS', 'warning', round(100 * count(*) FILTER (WHERE value < 2.5 * a - 1.5 * b OR value > 2.5 * b - 1.5 * a) / count(*), 1) AS s FROM e, (SELECT quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b FROM e) HAVING s > 10""")
+def _(t):
+    i = F.col("event_id")
+    return N.alerts(t.select("event_id", "user_id", F.when(i % 20 == 0, F.col("event_type")).otherwise("click").alias("event_type"), F.when(i % 4 == 0, F.col("value")).alias("value"), F.when(i % 3 == 0, 1.0).otherwise(0.0).alias("flag"), (2.0 * i).alias("twice"), F.lit(7).alias("same")))
+
+
+@query("eda", "lineitem", """WITH t AS (SELECT l_quantity, l_discount, l_returnflag FROM lineitem), n AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS d FROM t), q AS (SELECT quantile_cont(l_quantity, 0.25) a, quantile_cont(l_quantity, 0.75) b, quantile_cont(l_discount, 0.25) c, quantile_cont(l_discount, 0.75) d FROM t),
+o AS (SELECT count(*) FILTER (WHERE l_quantity < 2.5 * a - 1.5 * b OR l_quantity > 2.5 * b - 1.5 * a) + count(*) FILTER (WHERE l_discount < 2.5 * c - 1.5 * d OR l_discount > 2.5 * d - 1.5 * c) AS o FROM t, q), s AS (SELECT n AS rows, 0.0::DOUBLE AS null_pct, 100 * (n - d) / n AS duplicate_pct, 100 * o / (2 * n) AS outlier_pct FROM n, o)
+SELECT rows, 3 AS columns, null_pct, round(duplicate_pct, 6) AS duplicate_pct, round(outlier_pct, 6) AS outlier_pct, greatest(0, round(100 - null_pct - 0.5 * duplicate_pct - 0.3 * outlier_pct)) AS score FROM s""")
+def _(t):
+    return rounded(N.eda(t.select("l_quantity", "l_discount", "l_returnflag")), "duplicate_pct", "outlier_pct", digits=6)
+
+
+@query("compare_columns", "customer", """SELECT 'name' AS "column", 'both' AS side, 'string' AS dtype_a, 'string' AS dtype_b, 0 AS nulls_a, 0 AS nulls_b, NULL::DOUBLE AS mean_a, NULL::DOUBLE AS mean_b, NULL::DOUBLE AS pct_change
+UNION ALL SELECT 'balance', 'both', 'double', 'double', 0, 0, round(a, 4), round(b, 4), round(100 * (b - a) / a, 4) FROM (SELECT avg(c_acctbal) a FROM customer), (SELECT avg(s_acctbal) b FROM supplier) UNION ALL SELECT 'segment', 'a', 'string', NULL, 0, NULL, NULL, NULL, NULL UNION ALL SELECT 'supplier', 'b', NULL, 'bigint', NULL, 0, NULL, NULL, NULL""", "supplier")
+def _(c, s):
+    a = c.select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    b = s.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("supplier"))
+    return rounded(N.compare_columns(a, b), "mean_a", "mean_b", "pct_change")
+
+
+@query("resample_groups", "orders", """WITH g AS (SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS mon, sum(o_totalprice) AS s, avg(o_totalprice) AS m, count(o_custkey) AS n FROM orders GROUP BY 1, 2), c AS (SELECT o_orderstatus, unnest(generate_series(min(mon), max(mon), INTERVAL 1 MONTH)) AS mon FROM g GROUP BY 1)
+SELECT c.o_orderstatus, CAST(last_day(c.mon) AS TIMESTAMP) AS bucket, round(coalesce(s, 0), 2) AS o_totalprice_sum, round(m, 4) AS o_totalprice_mean, coalesce(n, 0) AS o_custkey_count FROM c LEFT JOIN g ON g.o_orderstatus = c.o_orderstatus AND g.mon = c.mon""")
+def _(t):
+    out = R.resample_groups(t, "o_orderdate", "M", {"o_totalprice": ["sum", "mean"], "o_custkey": ["count"]}, ["o_orderstatus"])
+    return rounded(rounded(out, "o_totalprice_sum", digits=2), "o_totalprice_mean")
+
+
+@query("period_changes", "orders", """WITH p AS (SELECT o_orderpriority, 'o_totalprice' AS metric, sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1998) AS c, sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997) AS r FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, 'o_custkey', sum(o_custkey) FILTER (WHERE year(o_orderdate) = 1998), sum(o_custkey) FILTER (WHERE year(o_orderdate) = 1997) FROM orders GROUP BY 1)
+SELECT o_orderpriority, metric, round(c, 2) AS current, round(r, 2) AS reference, round(c - r, 2) AS delta, round(100 * (c - r) / abs(r), 4) AS pct, CASE WHEN r IS NULL OR c IS NULL OR r = 0 THEN 'no_data' WHEN c > r THEN 'up' WHEN c < r THEN 'down' ELSE 'flat' END AS direction FROM p""")
+def _(t):
+    out = R.period_changes(t.withColumn("o_custkey", F.col("o_custkey").cast("double")), "o_orderdate", ["o_totalprice", "o_custkey"], "Y", "1998-01-01", "1997-01-01", ["o_orderpriority"])
+    return rounded(rounded(out, "current", "reference", "delta", digits=2), "pct")
+
+
+@query("partial_autocorrelation", "orders", f"""WITH {MONTHS}, d AS (SELECT i, y - avg(y) OVER () AS d, count(*) OVER () AS n FROM b), r AS (SELECT (SELECT sum(x.d * z.d) FROM d x JOIN d z ON x.i = z.i + 1) / (SELECT sum(d * d) FROM d) AS r1, (SELECT sum(x.d * z.d) FROM d x JOIN d z ON x.i = z.i + 2) / (SELECT sum(d * d) FROM d) AS r2, (SELECT max(n) FROM d) AS n),
+p AS (SELECT 1 AS lag, r1 AS pacf, n FROM r UNION ALL SELECT 2, (r2 - r1 * r1) / (1 - r1 * r1), n FROM r) SELECT lag, round(pacf, 6) AS pacf, abs(pacf) > 2 / sqrt(n) AS significant FROM p""")
+def _(t):
+    return rounded(S.partial_autocorrelation(t, "o_orderdate", "o_totalprice", lags=2), "pacf", digits=6)
+
+
+@query("missing_matrix", "events", None)
+def _(t):
+    return N.missing_matrix(with_nulls(t), ["event_id"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +31,14 @@ def convert(spark: SparkSession, source: str, target: str, kind: str = "parquet"
 
 
 def normalize_headers(df: DataFrame, lowercase: bool = True, replace_spaces: bool = True) -> DataFrame:
-    names = [c.strip() for c in df.columns]
-    names = [c.lower() for c in names] if lowercase else names
-    names = ["_".join(c.split()) for c in names] if replace_spaces else names
-    seen: dict[str, int] = {}
-    out = []
-    for c in names:
-        seen[c] = seen.get(c, -1) + 1
-        out.append(f"{c}_{seen[c]}" if seen[c] else c)
+    """Trimmed names, in lower case, with single underscores for spaces; empty ones are col, and repeats get the next free number from 2."""
+    out: list[str] = []
+    for c in (x.strip() for x in df.columns):
+        c = c.lower() if lowercase else c
+        c = re.sub("_+", "_", re.sub(r"\s", "_", c)) if replace_spaces else c
+        c = c or "col"
+        free = (n for n in itertools.chain([c], (f"{c}_{k}" for k in itertools.count(2))) if n not in out)
+        out.append(next(free))
     return df.toDF(*out)
 
 
