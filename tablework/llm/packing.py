@@ -106,12 +106,8 @@ def best_fit(left: dict[int, int], open_bins: Plan, capacity: int) -> Plan:
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Sequences for all pieces of a histogram (length to pieces): the program's rounded patterns, the rest by best fit.
-
-    If best fit alone needs fewer sequences, its plan is taken.
-    """
+    """Sequences for all pieces of a histogram (length to pieces): the program's rounded patterns, the rest by best fit."""
     left = {k: v for k, v in histogram.items() if v}
-    alone = best_fit(left, [], capacity)
     if not left:
         return []
     grain = max(1, -(-capacity // GRAINS))
@@ -140,8 +136,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
                 left[x] -= many * c
             bins.append((many, tuple(lengths)))
             n -= many
-    both = best_fit({k: v for k, v in left.items() if v}, bins, capacity)
-    return min(both, alone, key=lambda p: sum(n for n, _ in p))
+    return best_fit({k: v for k, v in left.items() if v}, bins, capacity)
 
 
 def _places(found: Plan) -> tuple[np.ndarray, ...]:
