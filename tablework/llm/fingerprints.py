@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Tokens in a k-mer; permutations.
 WIDTH, PERMUTATIONS = 2, 32
-#: A k-mer's value holds its place in its low bits, its hash in those above.
-PLACE_BITS = 24
+#: A k-mer's value holds its place in its low bits, as many as an array's length can need, and its hash in those above.
+PLACE_BITS = 31
 
 
 def let(value: Column, use) -> Column:
@@ -27,7 +27,7 @@ def let(value: Column, use) -> Column:
 def smaller(s: Column, bound: Column) -> Column:
     """How many values of s, which is sorted, are smaller than bound; by bisection."""
     step = lambda lo, b: F.when((lo + b <= F.size(s)) & (F.get(s, lo + b - 1) < bound), lo + b).otherwise(lo)
-    halves = F.filter(F.array(*(F.lit(1 << b) for b in range(PLACE_BITS - 1, -1, -1))), lambda b: b <= F.size(s))
+    halves = F.filter(F.array(*(F.lit(1 << b) for b in range(PLACE_BITS - 2, -1, -1))), lambda b: b <= F.size(s))
     return F.aggregate(halves, F.lit(0), step)
 
 
@@ -65,7 +65,7 @@ def _tuple(u: Column, mask: int) -> Column:
 def fingerprint(text: Column, width: int = WIDTH, permutations: int = PERMUTATIONS) -> Column:
     """array<int> of one tuple hash a permutation; empty if the text is null or has no token."""
     draw = random.Random(7)
-    masks = [draw.getrandbits(40) << PLACE_BITS for _ in range(permutations)]
+    masks = [draw.getrandbits(64 - PLACE_BITS) << PLACE_BITS for _ in range(permutations)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0)), lambda w: F.xxhash64(w))
     mer = lambda h: lambda x, i: _base(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, width)))).bitwiseOR(i.cast("long"))

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import mix, stage
+from tablework.llm.common import discard, mix, stage
 
 #: n-gram length; hashes an n-gram; rate of false positives a language at most, from which slots follow.
 N, HASHES, WRONG = 4, 3, 0.01
 #: An n-gram whose rate in a language is below this share of its highest rate in any language counts this share there, others 1.
 SHARE = 0.25
-#: n-grams that reach the driver at a time.
+#: Pairs of n-gram and language that reach the driver at a time, at most.
 AT_ONCE = 2_000_000
 UNKNOWN = "und"
 CHUNK = 2_000_000
@@ -160,11 +160,14 @@ def fit(labelled: DataFrame, n: int = N) -> LanguageFilter:
     top = F.array_max(F.map_values("rates"))
     each = rates.select("ngram", top.alias("top"), F.explode("rates").alias("lang", "rate"))
     each = each.select("ngram", "lang", (F.col("rate") >= SHARE * F.col("top")).alias("typical"))
-    parts = -(-n_ngrams // AT_ONCE)
-    for k, name in enumerate(languages):
-        for part in range(parts):
-            own = each.where((F.col("lang") == name) & (F.pmod("ngram", F.lit(parts)) == part)).select("ngram", "typical").toArrow()
-            out.add(k, own["ngram"].to_numpy().view(np.uint64), own["typical"].to_numpy().astype(bool))
+    parts = -(-n_ngrams * len(languages) // AT_ONCE)
+    for part in range(parts):
+        own = each.where(F.pmod("ngram", F.lit(parts)) == part).toArrow()
+        lang = np.searchsorted(languages, own["lang"].to_numpy(zero_copy_only=False).astype(str))
+        ngram, typical = own["ngram"].to_numpy().view(np.uint64), own["typical"].to_numpy(zero_copy_only=False).astype(bool)
+        for k in range(len(languages)):
+            out.add(k, ngram[lang == k], typical[lang == k])
+    discard(by_gram)
     out.seal()
     return out
 
