@@ -76,9 +76,10 @@ def line_groups(distinct: DataFrame) -> DataFrame:
     """(id, component): for every distinct line (id, line) that is linked with another, the smallest id reachable.
 
     Sets are many times as large as lines, so lines are what is staged and joined; sets are built where lines are compared.
+    distinct must be staged and is deleted once those lines that share a band are known.
     """
     lines = distinct.select("id", F.col("line").alias("items"))
-    return bucket_links(signatures(distinct), lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes)
+    return bucket_links(signatures(distinct), lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
@@ -92,11 +93,12 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     """
     each = lines_of(docs)
     distinct = stage(each.groupBy("key", "other", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "lines")
+    keys = stage(distinct.select("key", "other", "id"), "keys")
     groups = line_groups(distinct)
-    named = distinct.select("key", "other", "id").join(groups, "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))
+    named = keys.join(groups, "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))
     named = each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "key", "other").join(named, ["key", "other"])
     named = stage(named.select("doc_id", "line_no", "group_id"), "groups")
-    discard(distinct)
+    discard(keys)
     heads = named.groupBy("group_id").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
     out = named.join(heads, "group_id")
     kept = (F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.line_no") == F.col("line_no"))

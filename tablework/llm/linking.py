@@ -65,8 +65,10 @@ def differences(pairs: DataFrame, sets: DataFrame, set_of: Callable[[Column], Co
 
 def _linked(percent: int) -> str:
     """Whether the two sets x and y, known by their differences from one and the same set, are linked."""
-    inter = "(x.n - x.lacks - y.lacks + size(array_intersect(x.every, y.every)))"
-    return f"100L * least(x.own, y.own) >= {percent}L * greatest(x.own, y.own) and {100 + percent}L * {inter} >= {percent}L * (x.own + y.own)"
+    own = {c: f"(x.n + size({c}.more) - size({c}.less))" for c in "xy"}
+    inter = "(x.n - size(x.less) - size(y.less) + size(array_intersect(x.more, y.more)) + size(array_intersect(x.less, y.less)))"
+    near = f"100L * least({own['x']}, {own['y']}) >= {percent}L * greatest({own['x']}, {own['y']})"
+    return f"{near} and {100 + percent}L * {inter} >= {percent}L * ({own['x']} + {own['y']})"
 
 
 def _compared(few: DataFrame, percent: int) -> DataFrame:
@@ -131,11 +133,11 @@ def _by_difference(runs: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, set_of: Callable[[Column], Column] = lambda items: items) -> DataFrame:
+def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, set_of: Callable[[Column], Column] = lambda items: items, fetched: Callable[[], None] = lambda: None) -> DataFrame:
     """(id, component) of all members that are linked with another.
 
     members: (key, id), one row a bucket and id. sets_of: takes distinct ids (id) and gives their sets (id, items array<long>),
-    or what set_of makes these arrays from. Links are pairs of members of one bucket with
+    or what set_of makes these arrays from; fetched is called when they are no longer needed. Links are pairs of members of one bucket with
     100 * intersection >= percent * union.
     """
     m = stage(shared_buckets(members), "buckets")
@@ -144,23 +146,25 @@ def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     leaders = m.join(central, "id").groupBy("key").agg(best).select("key", F.col("best.id").alias("lead"))
     led = m.join(leaders, "key").where("id <> lead").select("lead", "id").distinct()
     sets = stage(sets_of(central.select("id")), "sets")
+    fetched()
     apart = stage(differences(led, sets, set_of), "apart")
     discard(m, sets)
     links = stage(apart.where(f"100L * (n - size(less)) >= {percent}L * (n + size(more))").select(F.col("lead").alias("a"), F.col("id").alias("b")), "links")
     found = stage(components(links), "found")
-    none = F.array().cast("array<long>")
-    # the lead is a member without differences; a lead whose members are all in one component needs no more comparisons
-    d = apart.union(apart.groupBy("lead").agg(F.min("n").alias("n")).select("lead", F.col("lead").alias("id"), "n", none.alias("more"), none.alias("less")))
-    d = d.join(found, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    mixed = d.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("members")).where("l <> h").select("lead", "members")
-    d = d.join(mixed, "lead").join(found.select(F.col("id").alias("lead"), F.col("component").alias("lead_label")), "lead", "left").withColumn("lead_label", F.coalesce("lead_label", "lead"))
-    d = stage(d.withColumn("every", F.concat("more", "less")).withColumn("lacks", F.size("less")).withColumn("own", F.col("n") + F.size("more") - F.size("less")), "apart")
+    # the lead is a member too; a lead whose members are all in one component needs no more comparisons
+    slim = apart.select("lead", "id").union(apart.select("lead", F.col("lead").alias("id")).distinct())
+    slim = slim.join(found, "id", "left").select("lead", "id", F.coalesce("component", "id").alias("label"))
+    mixed = slim.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("members"), F.max(F.when(F.col("id") == F.col("lead"), F.col("label"))).alias("lead_label")).where("l <> h")
+    slim = slim.join(mixed.select("lead", "members", "lead_label"), "lead")
+    d = apart.union(apart.groupBy("lead").agg(F.min("n").alias("n")).select("lead", F.col("lead").alias("id"), "n", *(F.array().cast("array<long>") for _ in range(2))))
+    d = stage(slim.join(d, ["lead", "id"]), "apart")
+    discard(apart, found)
     many = d.where(F.col("members") > FEW)
     runs, core = _from_core(many, percent)
     pairs = _by_difference(runs, percent)
     discard(core)
-    side = lambda at, name: many.select("lead", F.col("id").alias(at), F.struct("n", "lacks", "own", "every").alias(name))
+    side = lambda at, name: many.select("lead", F.col("id").alias(at), F.struct("n", "more", "less").alias(name))
     more = pairs.join(side("a", "x"), ["lead", "a"]).join(side("b", "y"), ["lead", "b"]).where(F.expr(_linked(percent))).select("a", "b")
     out = components(links.union(_compared(d.where(F.col("members") <= FEW), percent)).union(more))
-    discard(apart, links, found, d, pairs)
+    discard(links, d, pairs)
     return out
