@@ -114,16 +114,20 @@ def _by_difference(runs: DataFrame, percent: int) -> DataFrame:
     """
     need = F.expr(f"(100L * size(less) + {percent}L * size(more)) div {100 + percent}").cast("int")
     away = (F.size("more") + F.size("less")) / F.greatest(F.col("n") + F.size("more"), F.lit(1))
-    each = runs.select("lead", "run", "id", "label", "free", need.alias("need"), away.alias("away"), F.explode(F.concat("more", "less")).alias("item"))
+    member = F.struct("label", "free", need.alias("need"), away.alias("away"), "n", F.size("less").alias("lacks"), (F.col("n") + F.size("more") - F.size("less")).alias("own"))
+    each = runs.select("lead", "run", "id", member.alias("of"), F.concat("more", "less").alias("every")).select("lead", "run", "id", "of", F.explode("every").alias("item"))
     each = stage(each, "differences")
     # an element of one member, or of none that is free, brings no pair together
-    shared = each.groupBy("lead", "run", "item").agg(F.count(F.lit(1)).alias("times"), F.bit_xor(F.xxhash64("id")).alias("having"), F.max("free").alias("any_free"))
+    shared = each.groupBy("lead", "run", "item").agg(F.count(F.lit(1)).alias("times"), F.bit_xor(F.xxhash64("id")).alias("having"), F.max("of.free").alias("any_free"))
     each = each.join(shared.where("times > 1 and any_free"), ["lead", "run", "item"])
-    parts = each.groupBy("lead", "run", "id", "label", "free", "need", "away", "times", "having").agg(F.count(F.lit(1)).alias("w"))
+    parts = each.groupBy("lead", "run", "id", "of", "times", "having").agg(F.count(F.lit(1)).alias("w")).select("lead", "run", "id", "of.*", "times", "having", "w")
     from_here = Window.partitionBy("lead", "run", "id").orderBy(F.desc("times"), F.desc("having"))
     parts = parts.withColumn("after", F.sum("w").over(from_here.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     parts = stage(parts.where("after >= need or free"), "differences")
     which = "x.free and x.label <> y.label and (not y.free or x.id < y.id) and least(x.after, y.after) >= greatest(y.need, if(y.free, x.need, 0))"
+    # x and y share no more of their differences than what follows the first that they share, and their sizes are known
+    which += f" and {100 + percent}L * (x.n - x.lacks - y.lacks + least(x.after, y.after) + 1) >= {percent}L * (x.own + y.own)"
+    which += f" and 100L * least(x.own, y.own) >= {percent}L * greatest(x.own, y.own)"
     which += f" and abs(x.away - y.away) <= {(100 - percent) / 100 + 1e-9}"
     x, y = parts.where("free").alias("x"), parts.where("after >= need").alias("y")
     found = x.join(y, [*(F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("lead", "run", "times", "having")), F.expr(which)])
