@@ -1,8 +1,8 @@
 """Removal of byte strings that repeat anywhere in the corpus, by way of a sparse suffix sample.
 
 Every string of 200 bytes holds one sample suffix, chosen by content alone (the least-hashed 32-byte string within it), so
-equal strings hold equal samples at the same offset. As in induced sorting, the order of the samples is settled first, by
-Spark's external sorts and aggregations, and it then induces that of all other suffixes: only strings around samples that
+equal strings hold equal samples at the same offset. This is not external induced sorting, which is one sequence of steps over
+all suffixes; it keeps that a sample is settled first and all else follows from it: only strings around samples that
 occur twice are looked at, 32 neighbouring starts at a time, and single starts only where such a block is neither unique
 nor repeated as a whole. Of a text with exact copies one stands for all.
 """
