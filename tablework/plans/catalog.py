@@ -370,8 +370,8 @@ for freq, unit, step, label in (("D", "day", "1 day", "b"), ("H", "hour", "1 hou
     source, date, value = ("events", "ts", "value") if freq == "H" else ("orders", "o_orderdate", "o_totalprice")
     query(f"resample_{freq}", source, f"""WITH g AS (SELECT CAST(date_trunc('{unit}', {date}) AS TIMESTAMP) AS b, sum({value}) AS s, count({value}) AS n, avg({value}) AS m FROM {source} GROUP BY 1),
 c AS (SELECT unnest(generate_series((SELECT min(b) FROM g), (SELECT max(b) FROM g), INTERVAL '{step}')) AS b)
-SELECT CAST({label} AS TIMESTAMP) AS bucket, round(coalesce(s, 0), 2) AS sum, coalesce(n, 0) AS count, round(m, 6) AS mean FROM c LEFT JOIN g USING (b)""")(
-        lambda t, f=freq, d=date, v=value: rounded(rounded(R.resample(t, d, f, v, ["sum", "count", "mean"]), "mean", digits=6), "sum", digits=2))
+SELECT CAST({label} AS TIMESTAMP) AS bucket, round(coalesce(s, 0), 2) AS sum, coalesce(n, 0) AS count, round(m, 5) AS mean FROM c LEFT JOIN g USING (b)""")(
+        lambda t, f=freq, d=date, v=value: rounded(rounded(R.resample(t, d, f, v, ["sum", "count", "mean"]), "mean", digits=5), "sum", digits=2))
 
 
 @query("period_comparison", "orders", """WITH s AS (SELECT sum(o_totalprice) FILTER (WHERE date_trunc('month', o_orderdate) = DATE '1997-03-01') AS c, sum(o_totalprice) FILTER (WHERE date_trunc('month', o_orderdate) = DATE '1996-03-01') AS p FROM orders)
