@@ -1,9 +1,9 @@
 """Links between the members of band buckets, and the components they form.
 
 A bucket that holds a large group of near copies is never expanded into all its pairs. Its most central member, the lead
-(the one that shares the most bucket places), is compared with the rest; what that links needs no more comparisons. Members
-that are still apart are compared by how they differ from what most of them have, so that only those meet that differ from it
-in the same way. No link between parts is lost and a group of n near copies costs about n comparisons.
+(the one that shares the most bucket places), is compared with the rest; what that links needs no more comparisons, and neither
+does a bucket of two. Members of larger buckets that are still apart are compared by how they differ from what most of them
+have, so that only those meet that differ from it in the same way. No link between parts is lost and a group of n near copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -53,14 +53,14 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def differences(pairs: DataFrame, sets: DataFrame, set_of: Callable[[Column], Column] = lambda items: items) -> DataFrame:
-    """(lead, id, n, more, less) for pairs (lead, id): size of the lead's set, what the other set has besides, what it lacks.
+    """(lead, id, wide, n, more, less) for pairs (lead, id, wide): size of the lead's set, what the other set has besides, what it lacks.
 
     sets: (id, items); set_of makes an array of the set's values from items. So every set is built once for each lead it is
     compared with, and all later comparisons work on these differences.
     """
     both = pairs.join(sets.select("id", F.col("items").alias("p")), "id").join(sets.select(F.col("id").alias("lead"), F.col("items").alias("c")), "lead")
-    both = both.select("lead", "id", F.inline(F.array(F.struct(set_of(F.col("p")).alias("p"), F.array_distinct(set_of(F.col("c"))).alias("c")))))
-    return both.select("lead", "id", F.size("c").alias("n"), F.array_except("p", "c").alias("more"), F.array_except("c", "p").alias("less"))
+    both = both.select("lead", "id", "wide", F.inline(F.array(F.struct(set_of(F.col("p")).alias("p"), F.array_distinct(set_of(F.col("c"))).alias("c")))))
+    return both.select("lead", "id", "wide", F.size("c").alias("n"), F.array_except("p", "c").alias("more"), F.array_except("c", "p").alias("less"))
 
 
 def _linked(percent: int) -> str:
@@ -148,21 +148,26 @@ def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     central = m.groupBy("id").agg(F.sum("places").alias("score"))
     best = F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("best")
     leaders = m.join(central, "id").groupBy("key").agg(best).select("key", F.col("best.id").alias("lead"))
-    led = m.join(leaders, "key").where("id <> lead").select("lead", "id").distinct()
+    held = m.join(leaders, "key").where("id <> lead")
+    led = stage(held.groupBy("lead", "id").agg(F.max(F.col("places") > 2).alias("wide")), "led")
+    # a bucket of two is settled by the comparison with its lead
+    larger = stage(held.where("places > 2").select("key", "lead", "id"), "larger")
     sets = stage(sets_of(central.select("id")), "sets")
     fetched()
-    apart = stage(differences(led, sets, set_of), "apart")
-    discard(m, sets)
-    links = stage(apart.where(f"100L * (n - size(less)) >= {percent}L * (n + size(more))").select(F.col("lead").alias("a"), F.col("id").alias("b")), "links")
+    apart = differences(led, sets, set_of).withColumn("near", F.expr(f"100L * (n - size(less)) >= {percent}L * (n + size(more))"))
+    # differences are of use only to those that meet others than the lead
+    apart = stage(apart.select("lead", "id", "n", "wide", "near", *(F.when(F.col("wide"), F.col(c)).alias(c) for c in ("more", "less"))), "apart")
+    discard(m, led, sets)
+    links = stage(apart.where("near").select(F.col("lead").alias("a"), F.col("id").alias("b")), "links")
     found = stage(components(links), "found")
-    # the lead is a member too; a lead whose members are all in one component needs no more comparisons
-    slim = apart.select("lead", "id").union(apart.select("lead", F.col("lead").alias("id")).distinct())
-    slim = slim.join(found, "id", "left").select("lead", "id", F.coalesce("component", "id").alias("label"))
-    mixed = slim.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("members"), F.max(F.when(F.col("id") == F.col("lead"), F.col("label"))).alias("lead_label")).where("l <> h")
-    slim = slim.join(mixed.select("lead", "members", "lead_label"), "lead")
-    d = apart.union(apart.groupBy("lead").agg(F.min("n").alias("n")).select("lead", F.col("lead").alias("id"), "n", *(F.array().cast("array<long>") for _ in range(2))))
-    d = stage(slim.join(d, ["lead", "id"]), "apart")
-    discard(apart, found)
+    # a bucket whose members, but for the lead, are all in one component needs no more comparisons
+    larger_now = larger.join(found, "id", "left").select("key", "lead", "id", F.coalesce("component", "id").alias("label"))
+    mixed = larger_now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+    slim = stage(larger_now.join(mixed, "key").select("lead", "id", "label").distinct(), "slim")
+    each = slim.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
+    each = each.join(found.select(F.col("id").alias("lead"), "component"), "lead", "left").select("lead", "members", F.coalesce("component", "lead").alias("lead_label"))
+    d = stage(slim.join(each, "lead").join(apart.where("wide").select("lead", "id", "n", "more", "less"), ["lead", "id"]), "apart")
+    discard(apart, found, larger, slim)
     many = d.where(F.col("members") > FEW)
     runs, core = _from_core(many, percent)
     pairs = _by_difference(runs, percent)
