@@ -140,6 +140,21 @@ def regression(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return spark.createDataFrame(out, schema)
 
 
+def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(term, vif): how much each column's coefficient varies more for being told by the other columns; null where they tell it fully.
+
+    Rows with a null in any column are left out. Spark gathers the correlations in one pass; the driver inverts a matrix as
+    large as there are columns.
+    """
+    rows = df.dropna(subset=columns).select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    k = len(columns)
+    one = rows.agg(*(F.try_divide(F.covar_pop(f"c{i}", f"c{j}"), F.stddev_pop(f"c{i}") * F.stddev_pop(f"c{j}")).alias(f"r{i}_{j}") for i in range(k) for j in range(i))).first() if k > 1 else {}
+    r = np.array([[1.0 if i == j else one[f"r{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)], float)
+    fine = np.isfinite(r).all() and np.linalg.matrix_rank(r) == k
+    found = np.diag(np.linalg.inv(r)).tolist() if fine else [None] * k
+    return df.sparkSession.createDataFrame(list(zip(columns, found, strict=True)), "term string, vif double")
+
+
 def box_cox(df: DataFrame, column: str, name: str, low: float = -2.0, high: float = 2.0) -> tuple[DataFrame, float]:
     """The Box-Cox transform with the likeliest exponent, and that exponent; values of 0 or less are an error.
 

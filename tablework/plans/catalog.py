@@ -543,6 +543,14 @@ def _(t):
     return rounded(rounded(rounded(rounded(out, "coefficient", digits=3), "std_error", "t"), "p_value", "r2", "adjusted_r2", digits=6), "f", digits=1)
 
 
+query(
+    "variance_inflation",
+    "lineitem",
+    """WITH m AS (SELECT corr(l_quantity, l_extendedprice) a, corr(l_quantity, l_discount) b, corr(l_extendedprice, l_discount) c FROM lineitem), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM m)
+SELECT 'l_quantity' AS term, round((1 - c * c) / det, 4) AS vif FROM d UNION ALL SELECT 'l_extendedprice', round((1 - b * b) / det, 4) FROM d UNION ALL SELECT 'l_discount', round((1 - a * a) / det, 4) FROM d""",
+)(lambda t: rounded(I.variance_inflation(t, ["l_quantity", "l_extendedprice", "l_discount"]), "vif"))
+
+
 query("box_cox", "part", None)(lambda t: rounded(I.box_cox(t, "p_retailprice", "moved")[0].select("p_partkey", "moved"), "moved"))
 
 

@@ -55,3 +55,12 @@ def test_headers(spark):
 def test_words(spark):
     df = spark.createDataFrame([("Hi, hi! don't_stop",)], "t string")
     assert {r["word"]: r["count"] for r in P.word_frequency(df, "t").collect()} == {"hi": 2, "dont_stop": 1}
+
+
+def test_variance_inflation_of_small_tables(spark):
+    from tablework.operators import inference
+
+    for rows in ([], [(1.0, 2.0)], [(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], [(1.0, 5.0), (2.0, 5.0)]):
+        found = inference.variance_inflation(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()
+        assert [tuple(x) for x in found] == [("a", None), ("b", None)]
+    assert inference.variance_inflation(spark.createDataFrame([(1.0,)], "a double"), ["a"]).first()["vif"] == 1.0
