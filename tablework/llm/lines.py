@@ -30,11 +30,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     key and other: two hashes of its normal form, 128 bits together. Normal form: lower case, runs of white space as one space, none at the ends.
     """
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # this test is cheaper than one on the normal form, which would be worked out twice
+    each = each.where(F.ltrim("line", F.lit(" \t\x0b\f\r")) != "")
     # most lines have single spaces alone, and a search for others costs far less than a replacement
     others = reduce(or_, (F.col("line").contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")))
     single = F.when(others, F.regexp_replace("line", r"\s+", " ")).otherwise(F.col("line"))
     each = each.select("doc_id", "line_no", F.trim(F.lower(single)).alias("line"))
-    return each.where("line <> ''").withColumn("key", F.xxhash64("line")).withColumn("other", F.xxhash64(F.lit(1), "line"))
+    return each.withColumn("key", F.xxhash64("line")).withColumn("other", F.xxhash64(F.lit(1), "line"))
 
 
 def _masks() -> list[int]:
@@ -51,19 +53,24 @@ def _shingle(points: Column, at: Column) -> Column:
     return F.substring(points, 4 * at + 1, F.lit(4 * SHINGLE))
 
 
-def signatures(distinct: DataFrame) -> DataFrame:
-    """(key, id) for every band of distinct lines (id, line), signed over all their shingles.
+def bands(distinct: DataFrame, *by: str) -> DataFrame:
+    """(by, bands): the band keys of distinct lines (by, line), signed over all their shingles.
 
     A shingle's hash is put in as many orders as there are masks; the least value under each is one of the signature. Rows of
-    a line lie in one task, so the least values are found before anything is shuffled.
+    a line lie in one task; where distinct is dealt by the same columns already, nothing is shuffled.
     """
-    points = distinct.select("id", F.encode("line", "UTF-32").alias("u"))
-    each = points.select("id", "u", F.explode(_starts(F.col("u"))).alias("at")).select("id", F.hash(_shingle(F.col("u"), F.col("at"))).alias("h"))
+    points = distinct.select(*by, F.encode("line", "UTF-32").alias("u"))
+    each = points.select(*by, "u", F.explode(_starts(F.col("u"))).alias("at")).select(*by, F.hash(_shingle(F.col("u"), F.col("at"))).alias("h"))
     each = each.withColumn("g", F.hash("h"))
     least = [F.min(F.col(c).bitwiseXOR(F.lit(m))).alias(f"{c}{k}") for c in ("h", "g") for k, m in enumerate(_masks())]
     names = [f"{c}{k}" for c in ("h", "g") for k in range(MINIMA)]
-    bands = [F.xxhash64(F.lit(k), *names[k : k + ROWS]) for k in range(0, 2 * MINIMA, ROWS)]
-    return each.groupBy("id").agg(*least).select(F.explode(F.array(*bands)).alias("key"), "id")
+    keys = [F.xxhash64(F.lit(k), *names[k : k + ROWS]) for k in range(0, 2 * MINIMA, ROWS)]
+    return each.groupBy(*by).agg(*least).select(*by, F.array(*keys).alias("bands"))
+
+
+def signatures(distinct: DataFrame) -> DataFrame:
+    """(key, id) for every band of distinct lines (id, line)."""
+    return bands(distinct, "id").select(F.explode("bands").alias("key"), "id")
 
 
 def _hashes(line: Column) -> Column:
@@ -72,14 +79,24 @@ def _hashes(line: Column) -> Column:
     return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of))
 
 
+def signed_lines(each: DataFrame) -> DataFrame:
+    """(key, other, line, bands, id): the distinct lines of lines_of(), with numbers of their own.
+
+    Lines are dealt once, by key and other, and signed where they then lie; the join of bands and lines reuses that shuffle.
+    """
+    distinct = each.groupBy("key", "other").agg(F.min("line").alias("line"))
+    return distinct.join(bands(distinct, "key", "other").hint("merge"), ["key", "other"]).withColumn("id", F.monotonically_increasing_id())
+
+
 def line_groups(distinct: DataFrame) -> DataFrame:
-    """(id, component): for every distinct line (id, line) that is linked with another, the smallest id reachable.
+    """(id, component): for every distinct line (id, line, bands) that is linked with another, the smallest id reachable.
 
     Sets are many times as large as lines, so lines are what is staged and joined; sets are built where lines are compared.
     distinct must be staged and is deleted once those lines that share a band are known.
     """
     lines = distinct.select("id", F.col("line").alias("items"))
-    return bucket_links(signatures(distinct), lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
+    members = distinct.select(F.explode("bands").alias("key"), "id")
+    return bucket_links(members, lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
 
 
 def line_duplicates(docs: DataFrame) -> DataFrame:
@@ -92,7 +109,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     columns aren't read.
     """
     each = lines_of(docs)
-    distinct = stage(each.groupBy("key", "other", "line").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "lines")
+    distinct = stage(signed_lines(each), "lines")
     keys = stage(distinct.select("key", "other", "id"), "keys")
     groups = line_groups(distinct)
     named = keys.join(groups, "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))

@@ -47,9 +47,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """(key, id, places): the members of buckets that hold two or more; places: how many they hold."""
-    full = members.groupBy("key").agg(F.count(F.lit(1)).alias("places")).where("places > 1")
-    return members.join(full, "key")
+    """(key, id, places), staged: the members of buckets that hold two or more; places: how many they hold.
+
+    Most buckets hold one member, and most others two, whose ids the least and the greatest are; so only members of the rest
+    are looked up.
+    """
+    ends = members.groupBy("key").agg(F.count(F.lit(1)).alias("places"), F.min("id").alias("low"), F.max("id").alias("high"))
+    full = stage(ends.where("low < high"), "full")
+    two = full.where("places = 2").select("key", F.explode(F.array("low", "high")).alias("id"), "places")
+    found = stage(two.union(members.join(full.where("places > 2").select("key", "places"), "key").select("key", "id", "places")), "buckets")
+    discard(full)
+    return found
 
 
 def differences(pairs: DataFrame, sets: DataFrame, set_of: Callable[[Column], Column] = lambda items: items) -> DataFrame:
@@ -144,8 +152,8 @@ def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     or what set_of makes these arrays from; fetched is called when they are no longer needed. Links are pairs of members of one bucket with
     100 * intersection >= percent * union.
     """
-    m = stage(shared_buckets(members), "buckets")
-    central = m.groupBy("id").agg(F.sum("places").alias("score"))
+    m = shared_buckets(members)
+    central = stage(m.groupBy("id").agg(F.sum("places").alias("score")), "central")
     best = F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("best")
     leaders = m.join(central, "id").groupBy("key").agg(best).select("key", F.col("best.id").alias("lead"))
     held = m.join(leaders, "key").where("id <> lead")
@@ -157,7 +165,7 @@ def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     apart = differences(led, sets, set_of).withColumn("near", F.expr(f"100L * (n - size(less)) >= {percent}L * (n + size(more))"))
     # differences are of use only to those that meet others than the lead
     apart = stage(apart.select("lead", "id", "n", "wide", "near", *(F.when(F.col("wide"), F.col(c)).alias(c) for c in ("more", "less"))), "apart")
-    discard(m, led, sets)
+    discard(m, central, led, sets)
     links = stage(apart.where("near").select(F.col("lead").alias("a"), F.col("id").alias("b")), "links")
     found = stage(components(links), "found")
     # a bucket whose members, but for the lead, are all in one component needs no more comparisons
