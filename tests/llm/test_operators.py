@@ -138,7 +138,17 @@ def test_quality(docs, none, rows):
         assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(ws), sum(map(len, ws)), sum(text.count(c) for c in "#*$%&|<>"))
         assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(own) - len(set(own)), len(cover))
         failed = len(ws) < 20 or 100 * len(cover) > 30 * len(ws)
-        assert r["base_failed"] == failed and not (failed and r["kept"])
+        # the verdict, with the longest repeat found by trying lengths
+        again = lambda n: len({tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}) < len(ws) - n + 1
+        longest = 0
+        for step in (1 << k for k in range(len(ws).bit_length(), -1, -1)):
+            if longest + step < len(ws) and again(longest + step):
+                longest += step
+        longest = longest if longest >= quality.WINDOW else 0
+        share = sum(len(ws[i]) for i in cover) / max(1, sum(map(len, ws)))
+        bad = share > quality.MOST_COVERED or (longest > quality.LONG_WORDS and longest > quality.MOST_LONGEST * len(ws))
+        assert (r["longest_repeat"] if r["longest_repeat"] >= quality.WINDOW else 0) == longest and abs(r["covered_fraction"] - share) < 1e-9
+        assert r["base_failed"] == failed and r["kept"] == (not failed and not bad)
     assert quality.quality(none).count() == 0
 
 
