@@ -155,26 +155,45 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(columns, found, strict=True)), "term string, vif double")
 
 
-def box_cox(df: DataFrame, column: str, name: str, low: float = -2.0, high: float = 2.0) -> tuple[DataFrame, float]:
-    """The Box-Cox transform with the likeliest exponent, and that exponent; values of 0 or less are an error.
+def _likeliest(df: DataFrame, x: Column, power, slope: Column, low: float, high: float) -> float:
+    """The exponent k under which power(k) is likeliest normal, where slope is the sum of its log derivatives a unit of k - 1.
 
     Each pass tries 41 exponents in one aggregation and the next looks closer around the best; four passes give it to
-    about 1e-5.
+    about 1e-5. 0 without values or where they are all equal.
     """
-    x = F.col(column).cast("double")
-    if (df.agg(F.min(x)).first()[0] or 1) <= 0:
-        raise ValueError(f"{column!r} has values of 0 or less")
-    power = lambda k: F.ln(x) if abs(k) < 1e-9 else (F.pow(x, F.lit(k)) - 1) / k
     best = 0.0
     for _ in range(4):
         tried = [low + (high - low) * i / 40 for i in range(41)]
-        one = df.agg(F.sum(F.ln(x)).alias("s"), F.count(x).alias("n"), *(F.var_pop(power(k)).alias(f"v{i}") for i, k in enumerate(tried)))
+        one = df.agg(slope.alias("s"), F.count(x).alias("n"), *(F.var_pop(power(k)).alias(f"v{i}") for i, k in enumerate(tried)))
         each = [F.struct(((k - 1) * F.col("s") - F.col("n") / 2 * F.ln(f"v{i}")).alias("likely"), F.lit(k).alias("k")) for i, k in enumerate(tried)]
         found = one.select(F.array_max(F.filter(F.array(*each), lambda e: e["likely"].isNotNull())).alias("b")).first()["b"]
         if found is None:
             break
         best, reach = found["k"], (high - low) / 20
         low, high = best - reach / 2, best + reach / 2
+    return best
+
+
+def box_cox(df: DataFrame, column: str, name: str, low: float = -2.0, high: float = 2.0) -> tuple[DataFrame, float]:
+    """The Box-Cox transform with the likeliest exponent, and that exponent; values of 0 or less are an error."""
+    x = F.col(column).cast("double")
+    if (df.agg(F.min(x)).first()[0] or 1) <= 0:
+        raise ValueError(f"{column!r} has values of 0 or less")
+    power = lambda k: F.ln(x) if abs(k) < 1e-9 else (F.pow(x, F.lit(k)) - 1) / k
+    best = _likeliest(df, x, power, F.sum(F.ln(x)), low, high)
+    return df.withColumn(name, power(best)), best
+
+
+def yeo_johnson(df: DataFrame, column: str, name: str, exponent: float | None = None, low: float = -2.0, high: float = 2.0) -> tuple[DataFrame, float]:
+    """The Yeo-Johnson transform, for values of either sign, and its exponent: the one given or else the likeliest; nulls stay."""
+    x = F.col(column).cast("double")
+
+    def power(k: float) -> Column:
+        up = F.log1p(x) if abs(k) < 1e-9 else (F.pow(1 + x, F.lit(k)) - 1) / k
+        down = -F.log1p(-x) if abs(k - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - k)) - 1) / (2 - k)
+        return F.when(x >= 0, up).when(x < 0, down)
+
+    best = _likeliest(df, x, power, F.sum(F.signum(x) * F.log1p(F.abs(x))), low, high) if exponent is None else exponent
     return df.withColumn(name, power(best)), best
 
 

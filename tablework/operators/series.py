@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablework.operators.inference import regression
+
+# MacKinnon's response surface for the test with a constant, by level: limit, 1 / n, 1 / n^2, 1 / n^3.
+DICKEY_FULLER = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040), 0.10: (-2.56677, -1.5384, -2.809, 0.0)}
+
 
 def buckets(df: DataFrame, date: str, value: str, unit: str = "month") -> DataFrame:
     """(at, i, y): sums a period that has rows, numbered from 0 in time."""
@@ -52,3 +57,19 @@ def smoothed_level(df: DataFrame, date: str, value: str, unit: str = "month", al
     last = b.agg((F.count(F.lit(1)) - 1).alias("_n"))
     weight = F.pow(F.lit(1 - alpha), F.col("_n") - F.col("i")) * F.when(F.col("i") == 0, 1.0).otherwise(alpha)
     return b.crossJoin(F.broadcast(last)).agg(F.sum(weight * F.col("y")).alias("level"))  # one row
+
+
+def dickey_fuller(df: DataFrame, date: str, value: str, unit: str = "month", lags: int = 0) -> DataFrame:
+    """One row: statistic of the augmented Dickey-Fuller test with a constant, lags, n, critical values and stationary (at 5 %).
+
+    Changes are regressed on the level before and on lags earlier changes. Without enough periods, or where changes follow
+    the level exactly, statistic is null.
+    """
+    order = Window.orderBy("i")
+    rows = buckets(df, date, value, unit).select("i", (F.col("y") - F.lag("y").over(order)).alias("change"), F.lag("y").over(order).alias("level"))
+    earlier = [f"change_{k}" for k in range(1, lags + 1)]
+    rows = rows.select("change", "level", *(F.lag("change", k).over(order).alias(c) for k, c in enumerate(earlier, 1)))
+    found = regression(rows, "change", ["level", *earlier]).where("term = 'level'").select(F.col("t").alias("statistic"), "n")
+    one = df.sparkSession.createDataFrame([(lags,)], "lags int").join(found, how="left")  # one row each
+    at = [sum((F.lit(c) / F.pow(F.col("n"), F.lit(float(k))) for k, c in enumerate(row)), F.lit(0.0)).alias(f"critical_{round(100 * p)}") for p, row in DICKEY_FULLER.items()]
+    return one.select("statistic", "lags", "n", *at).withColumn("stationary", F.col("statistic") < F.col("critical_5"))

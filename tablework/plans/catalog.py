@@ -551,6 +551,11 @@ SELECT 'l_quantity' AS term, round((1 - c * c) / det, 4) AS vif FROM d UNION ALL
 )(lambda t: rounded(I.variance_inflation(t, ["l_quantity", "l_extendedprice", "l_discount"]), "vif"))
 
 
+query("yeo_johnson", "customer", "SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN (pow(1 + c_acctbal, 0.5) - 1) / 0.5 ELSE -(pow(1 - c_acctbal, 1.5) - 1) / 1.5 END, 4) AS moved FROM customer")(
+    lambda t: rounded(I.yeo_johnson(t, "c_acctbal", "moved", 0.5)[0].select("c_custkey", "moved"), "moved")
+)
+
+
 query("box_cox", "part", None)(lambda t: rounded(I.box_cox(t, "p_retailprice", "moved")[0].select("p_partkey", "moved"), "moved"))
 
 
@@ -685,6 +690,13 @@ def _(t):
     return rounded(S.partial_autocorrelation(t, "o_orderdate", "o_totalprice", lags=2), "pacf", digits=6)
 
 
+@query("dickey_fuller", "orders", f"""WITH {MONTHS}, d AS (SELECT y - lag(y) OVER (ORDER BY i) AS dy, lag(y) OVER (ORDER BY i) AS level FROM b), s AS (SELECT count(*) n, regr_slope(dy, level) AS k, count(*) * var_pop(level) AS xx, count(*) * var_pop(dy) AS yy FROM d WHERE level IS NOT NULL),
+t AS (SELECT n, k / sqrt((yy - k * k * xx) / (n - 2) / xx) AS t, -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n) AS c FROM s)
+SELECT round(t, 4) AS statistic, 0 AS lags, n, round(-3.43035 - 6.5393 / n - 16.786 / (n * n) - 79.433 / (n * n * n), 4) AS critical_1, round(c, 4) AS critical_5, round(-2.56677 - 1.5384 / n - 2.809 / (n * n), 4) AS critical_10, t < c AS stationary FROM t""")
+def _(t):
+    return rounded(S.dickey_fuller(t, "o_orderdate", "o_totalprice"), "statistic", "critical_1", "critical_5", "critical_10")
+
+
 @query("missing_matrix", "events", None)
 def _(t):
     return N.missing_matrix(with_nulls(t), ["event_id"])

@@ -64,3 +64,36 @@ def test_variance_inflation_of_small_tables(spark):
         found = inference.variance_inflation(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()
         assert [tuple(x) for x in found] == [("a", None), ("b", None)]
     assert inference.variance_inflation(spark.createDataFrame([(1.0,)], "a double"), ["a"]).first()["vif"] == 1.0
+
+
+def test_yeo_johnson(spark):
+    import numpy as np
+
+    from tablework.operators import inference
+
+    x = np.random.default_rng(3).normal(size=400) * 3 + 1
+    x = np.sign(x) * np.abs(x) ** 1.6
+
+    def moved(k):
+        up, down = np.maximum(x, 0), np.minimum(x, 0)
+        return np.where(x >= 0, np.log1p(up) if k == 0 else ((1 + up) ** k - 1) / k, -np.log1p(-down) if k == 2 else -((1 - down) ** (2 - k) - 1) / (2 - k))
+
+    likely = lambda k: -len(x) / 2 * np.log(moved(k).var()) + (k - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    out, k = inference.yeo_johnson(df, "x", "y")
+    assert abs(k - max(np.arange(-2, 2, 0.001), key=likely)) < 2e-3
+    assert np.allclose(sorted(r["y"] for r in out.collect() if r["x"] is not None), sorted(moved(k)))
+    for rows in ([], [(None,)], [(2.0,)], [(2.0,), (2.0,)]):
+        out, k = inference.yeo_johnson(spark.createDataFrame(rows, "x double"), "x", "y")
+        assert out.count() == len(rows)
+
+
+def test_dickey_fuller_of_small_series(spark):
+    from tablework.operators import series
+
+    for n in (0, 1, 2, 3):
+        df = spark.sql(f"SELECT make_date(2020, 1 + CAST(id AS INT), 1) AS d, CAST(id AS DOUBLE) AS v FROM range({n})")
+        assert [tuple(r)[:2] for r in series.dickey_fuller(df, "d", "v").collect()] == [(None, 0)]
+    df = spark.sql("SELECT make_date(2020 + CAST(id AS INT) DIV 12, 1 + CAST(id AS INT) % 12, 1) AS d, CAST(hash(id) % 1000 AS DOUBLE) AS v FROM range(120)")
+    found = series.dickey_fuller(df, "d", "v", lags=2).first()
+    assert found["n"] == 117 and found["stationary"] and found["statistic"] < found["critical_1"] < found["critical_5"] < found["critical_10"]
