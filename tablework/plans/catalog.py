@@ -671,10 +671,10 @@ def _(c, s):
 
 
 @query("resample_groups", "orders", """WITH g AS (SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS mon, sum(o_totalprice) AS s, avg(o_totalprice) AS m, count(o_custkey) AS n FROM orders GROUP BY 1, 2), c AS (SELECT o_orderstatus, unnest(generate_series(min(mon), max(mon), INTERVAL 1 MONTH)) AS mon FROM g GROUP BY 1)
-SELECT c.o_orderstatus, CAST(last_day(c.mon) AS TIMESTAMP) AS bucket, round(coalesce(s, 0), 2) AS o_totalprice_sum, round(m, 4) AS o_totalprice_mean, coalesce(n, 0) AS o_custkey_count FROM c LEFT JOIN g ON g.o_orderstatus = c.o_orderstatus AND g.mon = c.mon""")
+SELECT c.o_orderstatus, CAST(last_day(c.mon) AS TIMESTAMP) AS bucket, round(coalesce(s, 0), 2) AS o_totalprice_sum, round(m, 5) AS o_totalprice_mean, coalesce(n, 0) AS o_custkey_count FROM c LEFT JOIN g ON g.o_orderstatus = c.o_orderstatus AND g.mon = c.mon""")
 def _(t):
     out = R.resample_groups(t, "o_orderdate", "M", {"o_totalprice": ["sum", "mean"], "o_custkey": ["count"]}, ["o_orderstatus"])
-    return rounded(rounded(out, "o_totalprice_sum", digits=2), "o_totalprice_mean")
+    return rounded(rounded(out, "o_totalprice_sum", digits=2), "o_totalprice_mean", digits=5)
 
 
 @query("period_changes", "orders", """WITH p AS (SELECT o_orderpriority, 'o_totalprice' AS metric, sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1998) AS c, sum(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997) AS r FROM orders GROUP BY 1 UNION ALL SELECT o_orderpriority, 'o_custkey', sum(o_custkey) FILTER (WHERE year(o_orderdate) = 1998), sum(o_custkey) FILTER (WHERE year(o_orderdate) = 1997) FROM orders GROUP BY 1)
