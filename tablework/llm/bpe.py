@@ -379,14 +379,14 @@ def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON
     return Lexicon.build(words, merge_words(words, vocabulary))
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of batches with their texts, of bounded size unless one text is longer; null texts as empty."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
         at, ends = 0, np.cumsum(sizes)
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             part = batch.slice(at, to - at)
             yield part, [x or "" for x in part["text"].to_pylist()]
             at = to

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import bpe, fingerprints, langid, lines, minhash, packing, quality, repeats, secrets, toxicity
+from tablework.llm import alignment, bpe, embeddings, fingerprints, langid, lines, minhash, packing, quality, repeats, secrets, spelling, toxicity
 from tablework.llm.common import table
 
 #: Where the tokenizer's file lies unless told otherwise.
@@ -69,8 +69,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_toxicity, op4_minmax_near_duplicates, op5_pack, op6_repeated_substrings, op7_fingerprints, op8_language, op9_bpe, op10_quality)}
+def op11_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
-#: None of the ten has an ORACLE: positions of matches, signatures, tokens and fits are beyond what DuckDB's SQL states
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), dropped=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_toxicity, op4_minmax_near_duplicates, op5_pack, op6_repeated_substrings, op7_fingerprints, op8_language, op9_bpe, op10_quality, op11_embedding_near_duplicates, op12_token_alignment, op13_spelling_variants)}
+
+#: None of these has an ORACLE: positions of matches, signatures, tokens and fits are beyond what DuckDB's SQL states
 #: plainly or runs over whole tables in time. tests/llm holds each against brute force or the tokenizers library instead.
 ORACLE: dict[str, str] = {}
