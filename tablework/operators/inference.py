@@ -63,41 +63,61 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
-    """U of the first group, the rank-biserial correlation 1 - 2 U / (n1 n2) and two-sided p, by the normal limit with ties and continuity."""
+    """U of the first group, the rank-biserial correlation 1 - 2 U / (n1 n2) and two-sided p.
+
+    p is exact where there are no ties and the smaller group has at most 8 values (and n1 n2 <= D.RANK_SUMS, beyond which the
+    two agree), else by the normal limit with ties and continuity.
+    """
     sums, ties = _rank_sums(df.where(F.col(group).isin(first, second)), value, group)
     pick = lambda c, g: F.max(F.when(F.col("group") == g, F.col(c))).cast("double")
     one = sums.agg(pick("n", first).alias("n1"), pick("n", second).alias("n2"), pick("r", first).alias("r1")).crossJoin(F.broadcast(ties))  # one row each
     u, both, n = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2")
     spread = F.sqrt(both / 12 * (n + 1 - F.try_divide("ties", n * (n - 1))))
     z = F.try_divide(F.abs(u - both / 2) - 0.5, spread)
-    one = one.select(u.alias("statistic"), (1 - F.try_divide(2 * u, both)).alias("rank_biserial"), F.greatest(z, F.lit(0.0)).alias("z"))
-    return one.withColumn("p_value", D.p_value(D.normal, F.col("z"))).drop("z")
+    few = (F.col("ties") == 0) & (F.least("n1", "n2") <= 8) & (both <= D.RANK_SUMS)
+    exact = D.p_value(lambda u, a, b, few, z: D.rank_sum_exact(u, int(a), int(b)) if few else D.normal(z), u, F.col("n1"), F.col("n2"), few, F.greatest(z, F.lit(0.0)))
+    return one.select(u.alias("statistic"), (1 - F.try_divide(2 * u, both)).alias("rank_biserial"), exact.alias("p_value"))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The smaller signed-rank sum of a - b, zero differences left out, and two-sided p by the normal limit with ties."""
-    rows = df.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d")).where("d <> 0").select(F.abs("d").alias("value"), (F.col("d") > 0).alias("up"))
+    """The smaller signed-rank sum of a - b, zero differences left out, and two-sided p.
+
+    p is exact for up to 50 pairs without ties or zero differences, else by the normal limit with ties.
+    """
+    every = df.select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
+    zeros = every.agg(F.count(F.when(F.col("d") == 0, 1)).alias("zeros"))
+    rows = every.where("d <> 0").select(F.abs("d").alias("value"), (F.col("d") > 0).alias("up"))
     ranks = ranked(rows, "value")
     cells = rows.groupBy("up", "value").agg(F.count(F.lit(1)).alias("n")).join(ranks, "value")
     side = lambda up: F.coalesce(F.sum(F.when(F.col("up") == up, F.col("n") * F.col("rank"))), F.lit(0.0))
     t, n = F.col("times").cast("double"), F.col("n")
     ties = ranks.agg(F.sum(t * t * t - t).alias("ties"), F.sum(t).alias("n"))
-    one = cells.agg(F.least(side(True), side(False)).alias("statistic")).crossJoin(F.broadcast(ties))  # one row each
+    one = cells.agg(F.least(side(True), side(False)).alias("statistic")).crossJoin(F.broadcast(ties)).crossJoin(F.broadcast(zeros))  # one row each
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    one = one.select("statistic", F.try_divide(F.col("statistic") - n * (n + 1) / 4, spread).alias("z"))
-    return one.withColumn("p_value", D.p_value(D.normal, F.col("z"))).drop("z")
+    few = (F.col("ties") == 0) & (F.col("zeros") == 0) & (n <= D.SIGNED)
+    z = F.try_divide(F.col("statistic") - n * (n + 1) / 4, spread)
+    return one.select("statistic", D.p_value(lambda t, n, few, z: D.signed_rank_exact(t, int(n)) if few else D.normal(z), F.col("statistic"), n, few, z).alias("p_value"))
 
 
-def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
-    """The largest difference of two groups' distribution functions, and its limit p."""
+def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first, second, method: str = "auto") -> DataFrame:
+    """The largest difference of two groups' distribution functions, and its p; null where a group has no values.
+
+    method: exact counts paths, limit takes the limit distribution, auto is exact for groups of up to D.PATHS values.
+    """
     rows = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select((F.col(group) == first).alias("one"), F.col(value).cast("double").alias("value"))
     places = ranked(rows, "value").select("value", (F.col("rank") + (F.col("times") - 1) / 2).alias("upto"))
     own = rows.groupBy("value").agg(F.count(F.when(F.col("one"), 1)).alias("a")).join(places, "value")
     counts = rows.agg(F.count(F.when(F.col("one"), 1)).alias("n1"), F.count(F.when(~F.col("one"), 1)).alias("n2"))
     summed = running(own.select("value", "upto", "a"), "value", "a")
-    d = summed.crossJoin(F.broadcast(counts)).agg(F.max(F.abs(F.col("sum") / F.col("n1") - (F.col("upto") - F.col("sum")) / F.col("n2"))).alias("statistic"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
-    scale = F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))
-    return d.select("statistic", D.p_value(D.kolmogorov, F.col("statistic") * scale).alias("p_value"))
+    d = summed.crossJoin(F.broadcast(counts)).agg(F.max(F.abs(F.try_divide("sum", "n1") - F.try_divide(F.col("upto") - F.col("sum"), F.col("n2")))).alias("statistic"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    if method not in ("auto", "exact", "limit"):
+        raise ValueError(f"unknown method {method!r}")
+
+    def tail(d: float, a: float, b: float) -> float:
+        few = method == "exact" or method == "auto" and max(a, b) <= D.PATHS
+        return D.kolmogorov_exact(d, int(a), int(b)) if few else D.kolmogorov(d * (a * b / (a + b)) ** 0.5)
+
+    return d.select("statistic", D.p_value(tail, F.col("statistic"), F.col("n1"), F.col("n2")).alias("p_value"))
 
 
 def fisher(df: DataFrame, a: Column, b: Column) -> DataFrame:

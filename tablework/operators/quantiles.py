@@ -21,7 +21,7 @@ def _bounds(df: DataFrame, columns: list[str], ranges: int) -> list[list[float]]
     return [sorted(set(x)) for x in found]
 
 
-def _places(df: DataFrame, columns: list[str], by: Sequence[str], ranges: int) -> DataFrame:
+def places(df: DataFrame, columns: list[str], by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """(by, k, v, times, before, n) for each distinct value v of column number k: how many rows have it, are smaller, are there."""
     bounds = _bounds(df, columns, ranges)
     names = [f"g{i}" for i in range(len(by))]
@@ -50,7 +50,7 @@ def _picked(q: float) -> F.Column:
 
 def quantiles(df: DataFrame, columns: list[str], at: Sequence[float], ranges: int = RANGES) -> DataFrame:
     """One row with an array of quantiles for each column, named q0, q1, ...; nulls are left out."""
-    one = _places(df, columns, (), ranges).groupBy("k").agg(*(_picked(q).alias(f"p{i}") for i, q in enumerate(at)))
+    one = places(df, columns, (), ranges).groupBy("k").agg(*(_picked(q).alias(f"p{i}") for i, q in enumerate(at)))
     whole = F.array(*(f"p{i}" for i in range(len(at))))
     none = F.array(*(F.lit(None).cast("double") for _ in at))
     return one.agg(*(F.coalesce(F.max(F.when(F.col("k") == k, whole)), none).alias(f"q{k}") for k in range(len(columns))))
@@ -58,13 +58,13 @@ def quantiles(df: DataFrame, columns: list[str], at: Sequence[float], ranges: in
 
 def group_quantiles(df: DataFrame, column: str, by: list[str], at: Sequence[float], ranges: int = RANGES) -> DataFrame:
     """(by, q): an array of quantiles for each group; groups without any value are missing."""
-    one = _places(df, [column], by, ranges).groupBy(*(f"g{i}" for i in range(len(by)))).agg(F.array(*(_picked(q) for q in at)).alias("q"))
+    one = places(df, [column], by, ranges).groupBy(*(f"g{i}" for i in range(len(by)))).agg(F.array(*(_picked(q) for q in at)).alias("q"))
     return one.select(*(F.col(f"g{i}").alias(b) for i, b in enumerate(by)), "q")
 
 
 def ranked(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
     """(value, times, rank): each distinct value, how often it occurs, and the average rank of its rows."""
-    return _places(df, [column], (), ranges).select(F.col("v").alias("value"), "times", (F.col("before") + (F.col("times") + 1) / 2).alias("rank"))
+    return places(df, [column], (), ranges).select(F.col("v").alias("value"), "times", (F.col("before") + (F.col("times") + 1) / 2).alias("rank"))
 
 
 def running(df: DataFrame, value: str, amount: str, ranges: int = RANGES) -> DataFrame:

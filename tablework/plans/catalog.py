@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from tablework.functions import conditions
 from tablework.operators import columns as C
+from tablework.operators import decompose as L
 from tablework.operators import inference as I
 from tablework.operators import inspection as N
+from tablework.operators import models as M
 from tablework.operators import profile as P
+from tablework.operators import ranking as K
 from tablework.operators import relations as R
 from tablework.operators import series as S
 from tablework.plans import pipelines
@@ -525,7 +528,7 @@ def _(t):
 l AS (SELECT d, d * sqrt(CAST((SELECT count(*) FILTER (WHERE f) FROM v) AS DOUBLE) * (SELECT count(*) FILTER (WHERE NOT f) FROM v) / (SELECT count(*) FROM v)) AS l FROM s)
 SELECT round(d, 6) AS statistic, round(least(1, (SELECT 2 * sum(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * l * l)) FROM range(1, 101) x(i))), 6) AS p_value FROM l""")
 def _(t):
-    return rounded(I.kolmogorov_smirnov(t, "o_totalprice", "o_orderstatus", "F", "O"), "statistic", "p_value", digits=6)
+    return rounded(I.kolmogorov_smirnov(t, "o_totalprice", "o_orderstatus", "F", "O", method="limit"), "statistic", "p_value", digits=6)
 
 
 @query("fisher", "supplier", """WITH m AS (SELECT count(*) FILTER (WHERE x AND y) a, count(*) FILTER (WHERE x AND NOT y) b, count(*) FILTER (WHERE NOT x AND y) c, count(*) FILTER (WHERE NOT x AND NOT y) d FROM (SELECT s_acctbal > 4000 AS x, s_nationkey < 12 AS y FROM supplier)), h AS (SELECT i, i = a AS own, exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + lgamma(c + d + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM m, LATERAL (SELECT unnest(generate_series(greatest(0, a - d), least(a + b, a + c))) AS i))
@@ -700,3 +703,56 @@ def _(t):
 @query("missing_matrix", "events", None)
 def _(t):
     return N.missing_matrix(with_nulls(t), ["event_id"])
+
+
+@query("kendall", "customer", f"""WITH p AS (SELECT sign(a.c_acctbal - b.c_acctbal) * sign(a.c_nationkey - b.c_nationkey) AS s, a.c_acctbal = b.c_acctbal AS tx, a.c_nationkey = b.c_nationkey AS ty FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey),
+t AS (SELECT CAST(sum(s) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS pairs, CAST(count(*) FILTER (WHERE tx) AS DOUBLE) AS xt, CAST(count(*) FILTER (WHERE ty) AS DOUBLE) AS yt FROM p),
+x AS (SELECT sum(CAST(t AS DOUBLE) * (t - 1) * (t - 2)) AS x0, sum(CAST(t AS DOUBLE) * (t - 1) * (2 * t + 5)) AS x1 FROM (SELECT count(*) AS t FROM customer GROUP BY c_acctbal)), y AS (SELECT sum(CAST(t AS DOUBLE) * (t - 1) * (t - 2)) AS y0, sum(CAST(t AS DOUBLE) * (t - 1) * (2 * t + 5)) AS y1 FROM (SELECT count(*) AS t FROM customer GROUP BY c_nationkey)), k AS (SELECT count(*) AS n FROM customer),
+z AS (SELECT c / sqrt(pairs - xt) / sqrt(pairs - yt) AS tau, n, c / sqrt((2 * pairs * (2.0 * n + 5) - x1 - y1) / 18 + 2 * xt * yt / (2 * pairs) + x0 * y0 / (9 * 2 * pairs * (n - 2))) AS z FROM t, x, y, k)
+SELECT round(tau, 9) AS tau, n, round({normal_p("z")}, 6) AS p_value FROM z""")
+def _(t):
+    return rounded(rounded(K.kendall(t, "c_acctbal", "c_nationkey"), "tau", digits=9), "p_value", digits=6)
+
+
+@query("anderson_darling", "supplier", f"""WITH s AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) AS i, count(*) OVER () AS n, avg(s_acctbal) OVER () AS m, stddev_samp(s_acctbal) OVER () AS sd FROM supplier), z AS (SELECT i, n, (x - m) / sd AS z FROM s),
+u AS (SELECT i, n, CASE WHEN z > 0 THEN {normal_p("z")} / 2 ELSE 1 - {normal_p("z")} / 2 END AS high FROM z)
+SELECT round(-any_value(n) - sum((2 * i - 1) * ln(1 - high) + (2 * (n - i) + 1) * ln(high)) / any_value(n), 5) AS statistic, any_value(n) AS n, round(0.787 / (1 + 4.0 / any_value(n) - 25.0 / (any_value(n) * any_value(n))), 3) AS critical_5 FROM u""")
+def _(t):
+    return rounded(K.anderson_darling(t, "s_acctbal").select("statistic", "n", "critical_5"), "statistic", digits=5)
+
+
+query("shapiro_wilk", "supplier", None)(lambda t: rounded(K.shapiro_wilk(t, "s_acctbal"), "statistic", "p_value", digits=6))
+
+
+PRIORITIES = "g AS (SELECT o_orderpriority AS term, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS a, avg(o_totalprice) AS m FROM orders GROUP BY 1), f AS (SELECT * FROM g ORDER BY term LIMIT 1)"
+
+
+@query("logistic", "orders", f"""WITH {PRIORITIES}, b AS (SELECT 'intercept' AS term, ln(a / CAST(n - a AS DOUBLE)) AS b, sqrt(1.0 / a + 1.0 / (n - a)) AS e FROM f UNION ALL SELECT 'o_orderpriority_' || g.term, ln(g.a / CAST(g.n - g.a AS DOUBLE)) - ln(f.a / CAST(f.n - f.a AS DOUBLE)), sqrt(1.0 / g.a + 1.0 / (g.n - g.a) + 1.0 / f.a + 1.0 / (f.n - f.a)) FROM g, f WHERE g.term <> f.term),
+l AS (SELECT sum(a * ln(a / CAST(n AS DOUBLE)) + (n - a) * ln(1 - a / CAST(n AS DOUBLE))) AS l, sum(a) * ln(sum(a) / sum(n)) + (sum(n) - sum(a)) * ln(1 - sum(a) / sum(n)) AS l0, sum(n) AS n FROM g)
+SELECT term, round(b, 5) AS coefficient, round(e, 5) AS std_error, round(b / e, 4) AS z, round({normal_p("(b / e)")}, 5) AS p_value, round(b - 1.959963984540054 * e, 5) AS ci_lower, round(b + 1.959963984540054 * e, 5) AS ci_upper, CAST(l.n AS BIGINT) AS n, round(1 - l / l0, 8) AS pseudo_r2, round(l, 4) AS log_likelihood, round(10 - 2 * l, 4) AS aic, round(5 * ln(l.n) - 2 * l, 4) AS bic FROM b, l""")
+def _(t):
+    found = M.logistic(t.withColumn("filled", (F.col("o_orderstatus") == "F").cast("int")), "filled", ["o_orderpriority"]).drop("significant")
+    return rounded(rounded(rounded(found, "coefficient", "std_error", "p_value", "ci_lower", "ci_upper", digits=5), "z", "log_likelihood", "aic", "bic"), "pseudo_r2", digits=8)
+
+
+# Student's quantile of 97.5 % by its expansion around the normal one, for the many degrees of freedom here
+REACH = "(1.959963984540054 + 2.372271230298562 / (n - 5) + 2.8224986157396112 / ((n - 5) * (n - 5)))"
+
+
+@query("least_squares", "orders", f"""WITH {PRIORITIES}, r AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(pow(o_totalprice - m, 2)) AS s, sum(abs(o_totalprice - m)) AS d, var_pop(o_totalprice) * count(*) AS w FROM orders JOIN g ON term = o_orderpriority),
+b AS (SELECT 'intercept' AS term, m AS b, sqrt(1.0 / n) AS e FROM f UNION ALL SELECT 'o_orderpriority_' || g.term, g.m - f.m, sqrt(1.0 / g.n + 1.0 / f.n) FROM g, f WHERE g.term <> f.term), c AS (SELECT term, b, e * sqrt(s / (n - 5)) AS e, n, s, d, w FROM b, r)
+SELECT term, round(b, 2) AS coefficient, round(e, 3) AS std_error, round(b / e, 4) AS t, round({student_p("(b / e)", "(n - 5)")}, 5) AS p_value, round(b - {REACH} * e, 1) AS ci_lower, round(b + {REACH} * e, 1) AS ci_upper, CAST(n AS BIGINT) AS n, round(1 - s / w, 8) AS r2, round(1 - (s / w) * (n - 1) / (n - 5), 8) AS adjusted_r2, round(sqrt(s / (n - 5)), 3) AS rmse, round(d / n, 3) AS mae, round((w - s) / 4 / (s / (n - 5)), 4) AS f, round({f4_p("(w - s) / 4 / (s / (n - 5))", "(n - 5)")}, 6) AS f_p_value, round(10 + n * (ln(2 * pi()) + ln(s / n) + 1), 3) AS aic, round(5 * ln(n) + n * (ln(2 * pi()) + ln(s / n) + 1), 3) AS bic FROM c""")
+def _(t):
+    found = M.least_squares(t, "o_totalprice", ["o_orderpriority"]).drop("significant")
+    found = rounded(rounded(rounded(found, "coefficient", digits=2), "std_error", "rmse", "mae", "aic", "bic", digits=3), "t", "f")
+    return rounded(rounded(rounded(rounded(found, "p_value", digits=5), "ci_lower", "ci_upper", digits=1), "r2", "adjusted_r2", digits=8), "f_p_value", digits=6)
+
+
+@query("uncentred_inflation", "lineitem", """WITH s AS (SELECT sum(l_quantity * l_discount) / sqrt(sum(l_quantity * l_quantity) * sum(l_discount * l_discount)) AS r FROM lineitem)
+SELECT unnest(['l_quantity', 'l_discount']) AS term, round(1 / (1 - r * r), 6) AS vif FROM s""")
+def _(t):
+    return rounded(M.uncentred_inflation(t, ["l_quantity", "l_discount"]), "vif", digits=6)
+
+
+query("dickey_fuller_auto", "orders", None)(lambda t: rounded(S.dickey_fuller_auto(t, "o_orderdate", "o_totalprice"), "statistic", "p_value"))
+query("stl_strengths", "orders", None)(lambda t: rounded(L.strengths(t, "o_orderdate", "o_totalprice"), "trend_strength", "seasonal_strength"))

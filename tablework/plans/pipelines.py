@@ -37,11 +37,16 @@ STEPS = {
 }
 
 
-def apply(df: DataFrame, steps: list[dict]) -> DataFrame:
-    """All steps in order; an unknown name is an error before any of them is planned."""
+def check(steps: list[dict]) -> None:
+    """An unknown name is an error."""
     unknown = [s.get("op") for s in steps if s.get("op") not in STEPS]
     if unknown:
         raise ValueError(f"unknown steps {unknown}; known: {', '.join(sorted(STEPS))}")
+
+
+def apply(df: DataFrame, steps: list[dict]) -> DataFrame:
+    """All steps in order; an unknown name is an error before any of them is planned."""
+    check(steps)
     for s in steps:
         df = STEPS[s["op"]](df, **{k: v for k, v in s.items() if k != "op"})
     return df
