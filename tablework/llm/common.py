@@ -67,8 +67,7 @@ def by_row(function):
 
     @functools.wraps(function)
     def run(docs: DataFrame, *args, **more) -> DataFrame:
-        odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
-        if odd.isEmpty():
+        if not _odd(docs):
             return function(docs, *args, **more)
         rows = docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("_doc_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
         found = function(stage(rows, "rows"), *args, **more)
@@ -77,6 +76,36 @@ def by_row(function):
     return run
 
 
+def own_rows(*names: str):
+    """Decorates function(docs, ...) whose result has doc_ids in columns of these names: it sees each row as a document of its own.
+
+    Where doc_ids are null or repeated, rows are numbered as by_row() does, nulls last and equal ids by their texts, and the
+    result has the rows' own doc_ids again. So a smallest doc_id is that of the first row in this order.
+    """
+
+    def decorate(function):
+        @functools.wraps(function)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            if not _odd(docs):
+                return function(docs, *args, **more)
+            rows = stage(docs.select("doc_id", "text").orderBy(F.asc_nulls_last("doc_id"), F.asc_nulls_last("text")).select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("own")), "rows")
+            found = function(rows.select("doc_id", "text"), *args, **more)
+            columns = found.columns
+            for k, name in enumerate(names):
+                number, own = f"_number_{k}", f"_own_{k}"
+                found = found.join(rows.select(F.col("doc_id").alias(number), F.col("own").alias(own)), F.col(name) == F.col(number), "left").drop(name, number).withColumnRenamed(own, name)
+            return found.select(*columns)
+
+        return run
+
+    return decorate
+
+
+def _odd(docs: DataFrame) -> bool:
+    """Whether any doc_id is null or repeated."""
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
 def ranges(lengths: np.ndarray) -> np.ndarray:
     """Offsets of consecutive slices that have these lengths."""
     out = np.zeros(len(lengths) + 1, np.int64)
@@ -106,27 +135,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: ASCII white space, the only word separator of `[^\x20\x09-\x0D]+`.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: list[np.ndarray] = []
+#: Places in a word whose bytes' numbers are kept at hand.
+PLACES = 64
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64; grown as longer batches come."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        out = []
-        for base in (_BASE, _INVERSE):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        _POWERS[:] = out
-    return _POWERS
+@functools.lru_cache(1)
+def _numbers() -> np.ndarray:
+    return mix(np.arange(1, 1 + PLACES * 256, dtype=np.uint64))
 
 
 def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, split at ASCII white space, and the number of words of each text.
 
-    A word's hash is that of its bytes alone, the same in every process. lower: A-Z count as a-z.
+    A word's hash is that of its bytes alone, the same in every process: each byte and its place in the word make one
+    pseudo-random number, and these are summed. So no pattern of bytes, as periodic or self-similar words have, makes two
+    words agree more often than chance. lower: A-Z count as a-z.
     """
     joined = b"\n".join(texts)
     joined = joined.lower() if lower else joined
@@ -141,11 +164,13 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     with np.errstate(over="ignore"):
         while at < len(starts):
             to = max(at + 1, int(np.searchsorted(ends, starts[at] + step)))
-            a, b = starts[at], ends[to - 1]
-            power, inverse = _powers(max(step, int(b - a)) + 1)
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((buf[a:b].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=total[1:])
-            x, y = starts[at:to] - a, ends[at:to] - a
-            hashes.append((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
+            size = ends[at:to] - starts[at:to]
+            first = ranges(size)
+            place = np.arange(first[-1]) - np.repeat(first[:-1], size)
+            letters = buf[place + np.repeat(starts[at:to], size)]
+            cell = place * 256 + letters
+            # words are short as a rule, and looking numbers up is faster than making them
+            numbers = _numbers()[cell] if size.max() <= PLACES else mix(cell.astype(np.uint64) + np.uint64(1))
+            hashes.append(mix(np.add.reduceat(numbers, first[:-1]) + size.astype(np.uint64)))
             at = to
-    return mix(np.concatenate([np.zeros(0, np.uint64), *hashes])), counts
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), counts

@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, sensitive to the order of a text as well as to its content.
 
-A text's tokens are its runs of characters other than white space, cut after 16. Under each permutation the two smallest
+A text's tokens are its runs of up to 16 characters other than white space; a longer run, as scripts without spaces have, is
+taken letter by letter, so that what follows an insertion keeps its tokens. Under each permutation the two smallest
 k-mers of tokens, told apart by how often they occurred before, are put back into text order and hashed as a tuple. The
 permutations are rotations of one random order, so each needs a bisection of the sorted values instead of a pass over them.
 All of it is DataFrame expressions.
@@ -13,8 +14,12 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablework.llm.common import own_rows
+
 #: Tokens in a k-mer; permutations.
 WIDTH, PERMUTATIONS = 2, 32
+#: A token: a short word, or one character of a longer run.
+TOKEN = r"(?<!\S)\S{1,16}(?!\S)|\S"
 #: A k-mer's value holds its place in its low bits, as many as an array's length can need, and its hash in those above.
 PLACE_BITS = 31
 
@@ -67,7 +72,7 @@ def fingerprint(text: Column, width: int = WIDTH, permutations: int = PERMUTATIO
     draw = random.Random(7)
     masks = [draw.getrandbits(64 - PLACE_BITS) << PLACE_BITS for _ in range(permutations)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0)), lambda w: F.xxhash64(w))
+    tokens = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
     mer = lambda h: lambda x, i: _base(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, width)))).bitwiseOR(i.cast("long"))
     values = let(tokens, lambda h: F.sort_array(F.transform(h, mer(h))))
     numbered = let(values, lambda s: F.sort_array(_numbered(s)))
@@ -88,7 +93,7 @@ def with_next(docs: DataFrame, columns: list[str], rows_a_part: int = 4096) -> D
     """docs (doc_id, columns) with next_<column>: those of the row with the next larger doc_id; the last row's are the first's.
 
     doc_ids are cut into ranges of about rows_a_part rows at percentiles. Each range also gets the first row of the one
-    after it, so every range is complete by itself and rows move once. Rows of equal doc_id follow each other in any order.
+    after it, so every range is complete by itself and rows move once. doc_ids must be distinct and not null.
     """
     ids = docs.select("doc_id")
     n = ids.count()
@@ -119,11 +124,14 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, permutations: int = PERMUT
     return docs.select("doc_id", fingerprint(F.col("text"), width, permutations).alias("fingerprint"))
 
 
+@own_rows("doc_id")
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document (ascending doc_id, then the first).
 
     Edited: the last quarter of the code points, rounded down, gives way to as many (or all) first ones of the next text.
-    Null texts are empty; a single document is its own next; an empty table gives no rows; other columns aren't read.
+    Null texts are empty; a single document is its own next; each row is a document of its own, those of equal doc_id in the
+    order of their texts and nulls last; an empty table gives no rows; other columns aren't read. A text is one value of a
+    task, which holds a few dozen bytes a token.
     """
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
     both = with_next(marked, ["text", "fp"])

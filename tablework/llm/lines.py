@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import by_row, discard, stage
+from tablework.llm.common import by_row, discard, own_rows, stage
 from tablework.llm.fingerprints import let
 from tablework.llm.linking import bucket_links
 
@@ -99,12 +99,13 @@ def line_groups(distinct: DataFrame) -> DataFrame:
     return bucket_links(members, lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
 
 
+@own_rows("doc_id", "first_doc_id")
 def line_duplicates(docs: DataFrame) -> DataFrame:
     """One row a line: doc_id, line_no, group_id, first_doc_id, first_line_no, kept.
 
     Lines of equal normal form, and lines whose sets of 8-character shingles have a Jaccard similarity of 0.8 or more, are
     linked; of each component the first line by doc_id and line_no is kept; group_id is one number a component and may differ
-    from run to run. doc_ids must be distinct (drop_duplicate_lines() takes any). Null and empty texts have no lines, and lines
+    from run to run. Each row is a document of its own, also where doc_ids are repeated or null, which come last. Null and empty texts have no lines, and lines
     of white space alone are none; a line shorter than a shingle is its own shingle; an empty table gives no rows; other
     columns aren't read.
     """

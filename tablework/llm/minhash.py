@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import byte_texts, long_lists, mix, stage, word_hashes
+from tablework.llm.common import byte_texts, long_lists, mix, own_rows, stage, word_hashes
 from tablework.llm.linking import bucket_links
 
 #: Signature: BANDS bands of ROWS values; two values come from each permutation.
@@ -97,13 +97,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return wanted.mapInArrow(run, "id long, items array<long>")
 
 
+@own_rows("doc_id", "component_id")
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): near-duplicate groups of documents (doc_id, text).
 
     Documents whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest
     doc_id reachable and kept marks that document. Equal sets are one class, compared once. Null or empty texts and texts
-    without words have no shingles and are linked with nothing; other columns are not read, repeated doc_ids are one
-    document each row. An empty table gives no rows.
+    without words have no shingles and are linked with nothing; very long texts are signed in slices of their shingles. Other
+    columns are not read; each row is a document of its own, also where doc_ids are repeated or null (of which the first by
+    text is kept; nulls are larger than any). An empty table gives no rows.
     """
     seen = stage(signatures(docs, width, n_bands, rows), "signatures")
     full = seen.where("size > 0")

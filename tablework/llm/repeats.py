@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import byte_texts, discard, mix, stage
+from tablework.llm.common import byte_texts, discard, mix, own_rows, stage
 
 #: Bytes of a sample suffix's name; neighbouring starts that are looked at together.
 NAME, BLOCK = 32, 32
@@ -208,12 +208,13 @@ def repeated_spans(docs: DataFrame, classes: DataFrame, length: int) -> DataFram
     return spans
 
 
+@own_rows("doc_id")
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """One row a document (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (null: none).
 
     Every byte that a string of length bytes covers which also starts anywhere else in the texts, the same one included,
     is removed; spans are the removed runs (start, end). Null texts are empty; texts shorter than length are left whole;
-    exact copies of longer ones are removed whole; doc_ids must be distinct; an empty table gives no rows; other columns
+    exact copies of longer ones are removed whole; each row is a document of its own, whatever its doc_id; an empty table gives no rows; other columns
     aren't read. Strings are told apart by 64-bit hashes, of which no two among 10^8 agree but with odds of 1 to 3000.
     """
     docs = docs.select("doc_id", "text")
