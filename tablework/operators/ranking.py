@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.functions import distributions as D
-from tablework.operators.quantiles import RANGES, places
+from tablework.operators.quantiles import places
 
 #: Ranges per column when pairs of values are counted, at most: the driver sees so many bounds, and Spark a count for each
 #: pair of ranges.
@@ -87,7 +87,7 @@ def kendall(df: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFra
     rows = df.select(x.alias("x"), y.alias("y")).dropna()
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     if ranges is None:
-        ranges = min(MOST_RANGES, max(RANGES, math.ceil(rows.count() / RANGE)))
+        ranges = min(MOST_RANGES, max(1, math.ceil(rows.count() / RANGE)))
     bounds = [sorted(set(q)) for q in rows.approxQuantile(["x", "y"], [i / ranges for i in range(1, ranges)], 0.25 / ranges)] if ranges > 1 else [[], []]
     cells = cells.select("x", "y", "n", _part(F.col("x"), bounds[0]).alias("p"), _part(F.col("y"), bounds[1]).alias("q"))
     # the count of rows further left and up, for each pair of ranges: two running sums over a table of ranges
