@@ -11,12 +11,21 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.operators.quantiles import codes, quantiles
+from tablework.operators.quantiles import codes, nan_to_null, quantiles, quoted
 
 
 def _with_stats(df: DataFrame, use: Column, new: str, **stats: Column) -> DataFrame:
-    one = df.agg(*(c.alias(f"_{k}") for k, c in stats.items()))
-    return df.crossJoin(F.broadcast(one)).withColumn(new, use).drop(*one.columns)  # one row
+    """df with column new, made from a row of figures that use refers to as _of(name)."""
+    one = df.agg(F.struct(*(c.alias(k) for k, c in stats.items())).alias(FIGURES))
+    return df.crossJoin(F.broadcast(one)).withColumn(new, use).drop(FIGURES)  # one row
+
+
+#: What a table's figures are called while they are joined to its rows: a name that no table has.
+FIGURES = "\x01figures"
+
+
+def _of(name: str) -> Column:
+    return F.col(f"`{FIGURES}`.{name}")
 
 
 def _clamp(x: Column, low: Column, high: Column) -> Column:
@@ -24,12 +33,12 @@ def _clamp(x: Column, low: Column, high: Column) -> Column:
 
 
 def _with_quantiles(df: DataFrame, use: Column, new: str, column: str, *at: float) -> DataFrame:
-    one = quantiles(df, [column], at).withColumnRenamed("q0", "_q")
-    return df.crossJoin(F.broadcast(one)).withColumn(new, use).drop("_q")  # one row
+    one = quantiles(df, [column], at).withColumnRenamed("q0", FIGURES)
+    return df.crossJoin(F.broadcast(one)).withColumn(new, use).drop(FIGURES)  # one row
 
 
 def _q(k: int) -> Column:
-    return F.get("_q", F.lit(k))
+    return F.get(F.col(f"`{FIGURES}`"), F.lit(k))
 
 
 def clean_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,33 +83,38 @@ def keep_frequent(df: DataFrame, source: str, name: str, threshold: int) -> Data
 
 
 def cap_outliers(df: DataFrame, column: str, method: str = "iqr", low: float = 0.25, high: float = 0.75) -> DataFrame:
+    df = nan_to_null(df, [column])
     x = F.col(column)
     if method == "iqr":
         reach = 1.5 * (_q(1) - _q(0))
         return _with_quantiles(df, _clamp(x, _q(0) - reach, _q(1) + reach), column, column, low, high)
-    reach = 3 * F.col("_s")
-    return _with_stats(df, _clamp(x, F.col("_m") - reach, F.col("_m") + reach), column, m=F.avg(column), s=F.stddev_samp(column))
+    reach = 3 * _of("s")
+    return _with_stats(df, _clamp(x, _of("m") - reach, _of("m") + reach), column, m=F.avg(column), s=F.stddev_samp(column))
 
 
 def winsorize(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    df = nan_to_null(df, [column])
     return _with_quantiles(df, _clamp(F.col(column), _q(0), _q(1)), column, column, low, high)
 
 
 def normalize(df: DataFrame, column: str, method: str = "minmax", name: str | None = None) -> DataFrame:
+    df = nan_to_null(df, [column])
     x, zero = F.col(column), F.when(F.col(column).isNotNull(), 0.0)
     if method == "minmax":
-        return _with_stats(df, F.when(F.col("_b") > F.col("_a"), (x - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(zero), name or column, a=F.min(column), b=F.max(column))
-    return _with_stats(df, F.when(F.col("_s") > 0, (x - F.col("_m")) / F.col("_s")).otherwise(zero), name or column, m=F.avg(column), s=F.stddev_samp(column))
+        return _with_stats(df, F.when(_of("b") > _of("a"), (x - _of("a")) / (_of("b") - _of("a"))).otherwise(zero), name or column, a=F.min(column), b=F.max(column))
+    return _with_stats(df, F.when(_of("s") > 0, (x - _of("m")) / _of("s")).otherwise(zero), name or column, m=F.avg(column), s=F.stddev_samp(column))
 
 
 def robust_scale(df: DataFrame, column: str, name: str) -> DataFrame:
+    df = nan_to_null(df, [column])
     x = F.col(column)
     scaled = F.when(_q(2) > _q(0), (x - _q(1)) / (_q(2) - _q(0))).otherwise(F.when(x.isNotNull(), 0.0))
     return _with_quantiles(df, scaled, name, column, 0.25, 0.5, 0.75)
 
 
 def fill_nulls(df: DataFrame, column: str, strategy: str, order_by: list[str] | None = None, partition_by: list[str] | None = None, fill_zeros: bool = False) -> DataFrame:
-    """mean, median, mode (ties: the smallest), ffill, bfill or drop; fill_zeros: zeros count as nulls."""
+    """mean, median, mode (ties: the smallest), ffill, bfill or drop; NaN counts as null, and so do zeros if fill_zeros."""
+    df = nan_to_null(df, [column])
     if fill_zeros:
         df = df.withColumn(column, F.when(F.col(column) != 0, F.col(column)))
     if strategy == "drop":
@@ -110,24 +124,25 @@ def fill_nulls(df: DataFrame, column: str, strategy: str, order_by: list[str] |
         filled = F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if strategy == "ffill" else F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing))
         return df.withColumn(column, filled)
     if strategy == "median":
-        return _with_quantiles(df, F.coalesce(column, _q(0)), column, column, 0.5)
+        return _with_quantiles(df, F.coalesce(F.col(column), _q(0)), column, column, 0.5)
     if strategy == "mode":
         counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
         top = counts.agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("_t"))
         return df.crossJoin(F.broadcast(top)).withColumn(column, F.coalesce(column, F.col("_t.v"))).drop("_t")  # one row
     value = {"mean": F.avg(column)}[strategy]
-    return _with_stats(df, F.coalesce(column, F.col("_v")), column, v=value)
+    return _with_stats(df, F.coalesce(F.col(column), _of("v")), column, v=value)
 
 
 def drop_duplicates(df: DataFrame, subset: list[str], order_by: list[str], keep: str = "first") -> DataFrame:
-    """keep: first or last row of each key by order_by, or none of those that repeat."""
+    """keep: first or last row of each key by order_by (nulls come first), or none of those that repeat; null keys are one key."""
     if keep == "none":
-        counts = df.groupBy(*(F.col(c).alias(f"_{c}") for c in subset)).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1")
-        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in subset]
-        return df.join(counts, on, "left_semi")
-    w = Window.partitionBy(*subset)
-    order = [F.col(c).desc() if keep == "last" else F.col(c).asc() for c in order_by]
-    return df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_n")
+        # a key that occurs once has that row alone as its least
+        rows = df.groupBy(*(F.col(quoted(c)).alias(f"key{i}") for i, c in enumerate(subset))).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*map(quoted, df.columns))).alias("row"))
+        return rows.where("n = 1").select("row.*")
+    # the row with the least or greatest order is found within tasks first, so a frequent key is no task's alone
+    pick = F.max_by if keep == "last" else F.min_by
+    row = pick(F.struct(*map(quoted, df.columns)), F.struct(*map(quoted, order_by))).alias("row")
+    return df.groupBy(*(F.col(quoted(c)).alias(f"key{i}") for i, c in enumerate(subset))).agg(row).select("row.*")
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -270,14 +285,16 @@ def conditional_assign(df: DataFrame, name: str, rules: list[tuple[Column, objec
 
 def bin_column(df: DataFrame, column: str, name: str, bins: int) -> DataFrame:
     """Number of the equal-width bin (a, b] of [min, max], from 0; the lowest bin holds the minimum, and the middle one all of a constant column."""
-    width = (F.col("_b") - F.col("_a")) / bins
-    k = F.coalesce(F.ceil(F.try_divide(F.col(column) - F.col("_a"), width)) - 1, F.lit((bins - 1) // 2))
+    df = nan_to_null(df, [column])
+    width = (_of("b") - _of("a")) / bins
+    k = F.coalesce(F.ceil(F.try_divide(F.col(column) - _of("a"), width)) - 1, F.lit((bins - 1) // 2))
     return _with_stats(df, F.when(F.col(column).isNotNull(), F.least(F.greatest(k, F.lit(0)), F.lit(bins - 1))).cast("int"), name, a=F.min(column).cast("double"), b=F.max(column).cast("double"))
 
 
 def qbin_column(df: DataFrame, column: str, name: str, q: int) -> DataFrame:
     """Number of the quantile bin (a, b], from 0; equal edges are one."""
-    edges = F.array_sort(F.array_distinct("_q"))
+    df = nan_to_null(df, [column])
+    edges = F.array_sort(F.array_distinct(F.col(f"`{FIGURES}`")))
     inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
     k = F.size(F.filter(inner, lambda e: e < F.col(column)))
     return _with_quantiles(df, F.when(F.col(column).isNotNull(), k), name, column, *(i / q for i in range(q + 1)))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tablework.operators.columns import fill_nulls
 from tablework.operators.profile import _skew, correlation
-from tablework.operators.quantiles import quantiles, running
+from tablework.operators.quantiles import nan_to_null, quantiles, quoted, running
 
 
 def kinds(df: DataFrame) -> dict[str, str]:
@@ -25,6 +25,7 @@ def kinds(df: DataFrame) -> dict[str, str]:
 def value_figures(df: DataFrame) -> DataFrame:
     """(column, rows, nulls, distinct, top, zeros, dates, numbers) of every column; top: rows of its most frequent value; dates and
     numbers: rows whose text reads as one; empty for an empty table."""
+    df = nan_to_null(df)
     melted = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns))).alias("x"))
     counts = melted.groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
     there, n, number = F.col("value").isNotNull(), F.col("n"), F.col("value").try_cast("double")
@@ -47,7 +48,12 @@ def inspect(df: DataFrame) -> DataFrame:
 
 def search_columns(df: DataFrame, has_nulls: bool = False, has_zeros: bool = False, kind: str = "", name_contains: str = "", min_null_pct: float = 0.0) -> DataFrame:
     """(column, dtype, nulls, zeros) of the columns that meet all criteria; zeros are counted in numeric columns only."""
-    out = _described(df).withColumn("zeros", F.when(F.col("kind") == "numeric", F.col("zeros")).otherwise(0))
+    of = kinds(df)
+    # nulls and zeros are one aggregate; no value is shuffled
+    count = lambda cond: F.count(F.when(cond, 1))
+    zero = lambda c: count(F.col(quoted(c)) == 0) if of[c] == "numeric" else F.lit(0).cast("long")
+    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), F.lit(of[c]).alias("kind"), F.count(F.lit(1)).alias("rows"), count(F.col(quoted(c)).isNull()).alias("nulls"), zero(c).alias("zeros")).alias(f"c{k}") for k, (c, t) in enumerate(df.dtypes)))
+    out = one.select(F.inline(F.array(*(f"c{k}" for k in range(len(df.columns)))))).where("rows > 0").withColumn("null_pct", 100 * F.try_divide("nulls", "rows"))
     tests = [F.lit(True)]
     tests += [F.col("nulls") > 0] * has_nulls + [F.col("zeros") > 0] * has_zeros + [F.col("null_pct") >= min_null_pct] * (min_null_pct > 0)
     tests += [F.col("kind") == kind] * bool(kind) + [F.lower("column").contains(name_contains.lower())] * bool(name_contains)
@@ -160,6 +166,7 @@ def alerts(df: DataFrame) -> DataFrame:
 
 def eda(df: DataFrame) -> DataFrame:
     """One row: rows, columns, mean share of nulls, share of repeated rows, mean share of outliers, and the score 100 less the first, half the second and 0.3 of the third, all in percent."""
+    df = nan_to_null(df).toDF(*(f"c{k}" for k in range(len(df.columns))))
     numeric = [c for c, k in kinds(df).items() if k == "numeric"]
     one = df.agg(F.count(F.lit(1)).alias("rows"), reduce(lambda a, b: a + b, (F.count(F.when(F.col(c).isNull(), 1)) for c in df.columns)).alias("nulls")).crossJoin(F.broadcast(_repeated_rows(df)))  # one row each
     beyond: Column = F.lit(0)

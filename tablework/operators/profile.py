@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablework.functions import distributions as D
-from tablework.operators.quantiles import quantiles, ranked
+from tablework.operators.quantiles import nan_to_null, places, quantiles, quoted
+from tablework.operators.ranking import kendall
 
 NULL_LIKE = ["", "-", "N/A", "null", "None"]
 
@@ -25,9 +26,11 @@ def _kurtosis(x: str) -> Column:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: count, mean, std, min, quartiles, max, skew and excess kurtosis (adjusted; null below 3 and 4 values)."""
-    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), _skew(c).alias("skew"), _kurtosis(c).alias("kurtosis")).alias(c) for c in columns))
-    one = one.crossJoin(F.broadcast(quantiles(df, columns, (0.25, 0.5, 0.75))))  # one row each
-    rows = one.select(F.inline(F.array(*(F.struct(F.col(c).alias("s"), F.col(f"q{k}").alias("q")) for k, c in enumerate(columns)))))
+    df = nan_to_null(df.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns))))
+    own = df.columns
+    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"), _skew(x).alias("skew"), _kurtosis(x).alias("kurtosis")).alias(x) for c, x in zip(columns, own, strict=True)))
+    one = one.crossJoin(F.broadcast(quantiles(df, own, (0.25, 0.5, 0.75))))  # one row each
+    rows = one.select(F.inline(F.array(*(F.struct(F.col(x).alias("s"), F.col(f"q{k}").alias("q")) for k, x in enumerate(own)))))
     return rows.select("s.column", "s.count", "s.mean", "s.std", "s.min", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "s.max", "s.skew", "s.kurtosis")
 
 
@@ -43,6 +46,7 @@ def scan_nulls_zeros(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def check_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: IQR limits and how many values lie beyond; two passes over all columns together."""
+    df = nan_to_null(df, columns)
     q = quantiles(df, columns, (0.25, 0.75))
     q = q.select(*(F.col(f"q{k}").alias(f"_{c}") for k, c in enumerate(columns)))
     low = lambda c: 2.5 * F.get(f"_{c}", F.lit(0)) - 1.5 * F.get(f"_{c}", F.lit(1))
@@ -52,6 +56,7 @@ def check_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def detect_anomalies(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
+    df = nan_to_null(df, [column])
     s = df.agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s")).crossJoin(F.broadcast(quantiles(df, [column], (0.25, 0.75)).withColumnRenamed("q0", "_q")))  # one row each
     a, b, x = F.get("_q", F.lit(0)), F.get("_q", F.lit(1)), F.col(column)
     iqr = ((x < a - 1.5 * (b - a)) | (x > b + 1.5 * (b - a))).cast("int")
@@ -64,30 +69,43 @@ def validate(df: DataFrame, columns: list[str], max_null_pct: float = 5) -> Data
     """One row: errors, warnings, infos and the score max(0, 100 - 5 errors - 2 warnings - infos)."""
     kinds = dict(df.dtypes)
     total = F.count(F.lit(1))
-    share = lambda c: 100 * F.count(F.when(F.col(c).isNull(), 1)) / total
+    share = lambda c: F.coalesce(100 * F.try_divide(F.count(F.when(F.col(c).isNull(), 1)), total), F.lit(0.0))
     add = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0))
     errors = add([(share(c) > max_null_pct).cast("int") for c in columns])
     zeros = [(F.count(F.when(F.col(c) == 0, 1)) > 0).cast("int") for c in columns if kinds[c] not in ("string", "timestamp", "date", "boolean")]
     warnings = add([((share(c) > 0) & (share(c) <= max_null_pct)).cast("int") for c in columns] + zeros)
-    repeats = df.groupBy(*columns).count().agg((F.max("count") > 1).cast("int").alias("infos"))
+    repeats = df.groupBy(*columns).count().agg(F.coalesce((F.max("count") > 1).cast("int"), F.lit(0)).alias("infos"))
     one = df.agg(errors.alias("errors"), warnings.alias("warnings")).crossJoin(F.broadcast(repeats))
     return one.withColumn("score", F.greatest(F.lit(0), 100 - 5 * F.col("errors") - 2 * F.col("warnings") - F.col("infos")))
 
 
 def _corr(a: str, b: str) -> Column:
     """Pearson's r over rows that have both; null where one is constant."""
-    spread = lambda x, y: F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
-    return F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a))
+    x, y = F.col(quoted(a)), F.col(quoted(b))
+    spread = lambda x, y: F.stddev_pop(F.when(y.isNotNull(), x))
+    return F.try_divide(F.covar_pop(x, y), spread(x, y) * spread(y, x))
 
 
 def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """(a, b, r) of all pairs of columns: Pearson in one pass; Spearman as Pearson of average ranks."""
+    """(a, b, r) of all pairs of columns: Pearson in one pass; Spearman as Pearson of average ranks over rows that have all
+    columns; Kendall's tau-b pair by pair. NaN counts as null.
+
+    For Spearman all columns are ranked together, from one set of bounds, and each column's ranks are joined once.
+    """
+    if method not in ("pearson", "spearman", "kendall"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "kendall":
+        every = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+        found = [kendall(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("tau").alias("r")) for a, b in every]
+        return reduce(lambda x, y: x.unionByName(y), found)
+    df = nan_to_null(df.select(*map(quoted, columns)))
     if method == "spearman":
-        df = df.where(reduce(lambda p, q: p & q, (F.col(c).isNotNull() for c in columns))).select(*columns)
-        for c in columns:
-            ranks = ranked(df, c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_{c}"))
-            df = df.join(ranks, F.col(c).cast("double") == F.col("_value")).drop("_value")
-        df = df.select(*(F.col(f"_{c}").alias(c) for c in columns))
+        df = df.dropna().toDF(*(f"c{k}" for k in range(len(columns))))
+        ranks = places(df, df.columns).select("k", "v", (F.col("before") + (F.col("times") + 1) / 2).alias("rank"))
+        for k in range(len(columns)):
+            own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"v{k}"), F.col("rank").alias(f"r{k}"))
+            df = df.join(own, F.col(f"c{k}").cast("double") == F.col(f"v{k}")).drop(f"c{k}", f"v{k}")
+        df = df.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(columns)))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = df.agg(*(_corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))))

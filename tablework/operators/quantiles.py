@@ -8,15 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of values that are ordered apart from each other.
 RANGES = 64
 
 
+def quoted(column: str) -> str:
+    """A column's name as expressions take it, whatever is in it."""
+    return f"`{column.replace('`', '``')}`"
+
+
+def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """NaN as null in the columns given, or all: it is a missing value, and would be larger than any number otherwise."""
+    of = [c for c, t in df.dtypes if t in ("double", "float") and (columns is None or c in columns)]
+    return df.withColumns({c: F.when(~F.isnan(quoted(c)), F.col(quoted(c))) for c in of}) if of else df
+
+
+def _double(column: str) -> Column:
+    """The column as a number; NaN is null."""
+    x = F.col(quoted(column)).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _bounds(df: DataFrame, columns: list[str], ranges: int) -> list[list[float]]:
-    numbers = df.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    numbers = df.select(*(_double(c).alias(f"c{k}") for k, c in enumerate(columns)))
     found = numbers.approxQuantile(numbers.columns, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     return [sorted(set(x)) for x in found]
 
@@ -25,7 +42,7 @@ def places(df: DataFrame, columns: list[str], by: Sequence[str] = (), ranges: in
     """(by, k, v, times, before, n) for each distinct value v of column number k: how many rows have it, are smaller, are there."""
     bounds = _bounds(df, columns, ranges)
     names = [f"g{i}" for i in range(len(by))]
-    long = df.select(*(F.col(b).alias(n) for b, n in zip(by, names, strict=True)), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)))).alias("x"))
+    long = df.select(*(F.col(quoted(b)).alias(n) for b, n in zip(by, names, strict=True)), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _double(c).alias("v")) for k, c in enumerate(columns)))).alias("x"))
     counts = long.where("x.v is not null").groupBy(*names, "x.k", "x.v").agg(F.count(F.lit(1)).alias("times"))
     own = F.get(F.array(*(F.array(*map(F.lit, b)).cast("array<double>") for b in bounds)), F.col("k"))
     counts = counts.withColumn("part", F.size(F.filter(own, lambda b: b < F.col("v"))))

@@ -8,15 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablework.operators.columns import _AGGREGATES
+from tablework.operators.quantiles import group_quantiles, quoted
 
 
 def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "inner", suffix: str = "_right") -> DataFrame:
-    """Single-key join in which null keys match; clashing columns of the right side get the suffix, its key goes."""
-    names = {c: f"{c}{suffix}" if c in left.columns else c for c in right.columns}
-    r = right.select(*(F.col(c).alias(f"_r_{n}") for c, n in names.items()))
-    key = F.col(f"_r_{names[right_on]}")
-    joined = left.join(r, F.col(left_on).eqNullSafe(key), {"outer": "full"}.get(how, how))
-    return joined.select(F.coalesce(F.col(left_on), key).alias(left_on), *(c for c in left.columns if c != left_on), *(F.col(f"_r_{n}").alias(n) for c, n in names.items() if c != right_on))
+    """Single-key join in which null keys match; clashing columns of the right side get the suffix, as often as it takes, and its key goes."""
+    names: dict[str, str] = {}
+    for c in right.columns:
+        n = c
+        while n in left.columns or n in names.values() or n != c and n in right.columns:
+            n += suffix
+        names[c] = n
+    r = right.select(*(F.col(quoted(c)).alias(f"_r_{k}") for k, c in enumerate(names)))
+    key = F.col(f"_r_{list(names).index(right_on)}")
+    lk = F.col(quoted(left_on))
+    packed = left.select(F.struct(*map(quoted, left.columns)).alias("_l"), lk.alias("_k"))  # so that no name of left's can be one of these
+    joined = packed.join(r, F.col("_k").eqNullSafe(key), {"outer": "full"}.get(how, how))
+    own = [F.col(f"_l.{quoted(c)}").alias(c) for c in left.columns if c != left_on]
+    return joined.select(F.coalesce("_k", key).alias(left_on), *own, *(F.col(f"_r_{k}").alias(n) for k, (c, n) in enumerate(names.items()) if c != right_on))
 
 
 def unmatched_keys(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
@@ -35,7 +44,13 @@ def aggregate(df: DataFrame, group_by: list[str], agg: dict[str, list[str]]) ->
     """{column: functions} as column_function; rows with a null key are dropped, sums of nothing are 0."""
     make = lambda c, f: (F.coalesce(F.sum(c), F.lit(0)) if f == "sum" else _AGGREGATES[f](c)).alias(f"{c}_{f}")
     kept = reduce(lambda a, k: a.where(F.col(k).isNotNull()), group_by, df)
-    return kept.groupBy(*group_by).agg(*(make(c, f) for c, fs in agg.items() for f in fs))
+    plain = [make(c, f) for c, fs in agg.items() for f in fs if f != "median"]
+    out = kept.groupBy(*group_by).agg(*plain or [F.count(F.lit(1)).alias("_rows")])
+    # exact medians by ranges of values, as a group's distinct values needn't fit into one task
+    for c in (c for c, fs in agg.items() if "median" in fs):
+        middle = group_quantiles(kept, c, group_by, (0.5,)).select(*group_by, F.get("q", F.lit(0)).alias(f"{c}_median"))
+        out = out.join(middle, group_by, "left")
+    return out.select(*group_by, *(f"{c}_{f}" for c, fs in agg.items() for f in fs))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -55,11 +70,22 @@ def melt(df: DataFrame, ids: list[str], values: list[str], var_name: str = "vari
 
 
 def cross_tabulate(df: DataFrame, row: str, column: str, values: list, normalize: str | None = None) -> DataFrame:
+    """Counts of each value of column by row; normalize: shares of each row (index), of each column (columns) or of all (all).
+
+    Rows with a null in either column, or another value, don't count.
+    """
+    df = df.where(F.col(row).isNotNull() & F.col(column).isin(values))
     out = pivot(df, [row], column, values, F.count(F.lit(1)), 0)
+    if normalize is None:
+        return out
+    whole = lambda parts: reduce(lambda a, b: a + b, parts)
     if normalize == "index":
-        total = reduce(lambda a, b: a + b, (F.col(f"`{v}`") for v in values))
-        out = out.select(row, *((F.col(f"`{v}`") / total).alias(str(v)) for v in values))
-    return out
+        return out.select(row, *((F.col(f"`{v}`") / whole(F.col(f"`{w}`") for w in values)).alias(str(v)) for v in values))
+    if normalize not in ("columns", "all"):
+        raise ValueError(f"unknown normalize {normalize!r}")
+    totals = df.agg(*(F.count(F.when(F.col(column) == v, 1)).alias(f"t{k}") for k, v in enumerate(values)))  # one row
+    share = lambda k: F.col(f"t{k}") if normalize == "columns" else whole(F.col(f"t{j}") for j in range(len(values)))
+    return out.crossJoin(F.broadcast(totals)).select(row, *(F.try_divide(F.col(f"`{v}`"), share(k)).alias(str(v)) for k, v in enumerate(values)))
 
 
 #: Start of the bucket that a timestamp falls into, the step between buckets, and the label of a bucket from its start.

@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablework.operators.quantiles import nan_to_null
 from tablework.plans import pipelines
 from tablework.sources.files import read_csv
 
@@ -126,11 +127,11 @@ def _now() -> str:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its path's ending: .csv, .tsv, .json, else Parquet."""
+    """A table by its path's ending: .csv, .tsv, .json, else Parquet; NaN is null."""
     ending = path.rstrip("/").rpartition(".")[2].lower()
     if ending in ("csv", "tsv"):
         return read_csv(spark, path, "\t" if ending == "tsv" else ",")
-    return spark.read.json(path) if ending in ("json", "jsonl") else spark.read.parquet(path)
+    return nan_to_null(spark.read.json(path) if ending in ("json", "jsonl") else spark.read.parquet(path))
 
 
 def resolve(spark: SparkSession, reference: str, base: str) -> DataFrame:
