@@ -10,8 +10,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablework.operators.quantiles import codes, nan_to_null, quantiles, quoted
+from tablework.operators.quantiles import FIGURES, codes, nan_to_null, quantiles, quoted
 
 
 def _with_stats(df: DataFrame, use: Column, new: str, **stats: Column) -> DataFrame:
@@ -20,10 +21,6 @@ def _with_stats(df: DataFrame, use: Column, new: str, **stats: Column) -> DataFr
     return df.crossJoin(F.broadcast(one)).withColumn(new, use).drop(FIGURES)  # one row
 
 
-#: What a table's figures are called while they are joined to its rows: a name that no table has.
-FIGURES = "\x01figures"
-
-
 def _of(name: str) -> Column:
     return F.col(f"`{FIGURES}`.{name}")
 
@@ -188,8 +185,17 @@ def str_slice(df: DataFrame, column: str, name: str, start: int = 0, end: int |
     return df.withColumn(name, F.substring(F.col(column), first + 1, F.greatest(last - first, F.lit(0))))
 
 
-def split_column(df: DataFrame, column: str, delimiter: str, names: list[str]) -> DataFrame:
-    parts = F.split(column, re.escape(delimiter) if len(delimiter) == 1 else delimiter)
+def split_column(df: DataFrame, column: str, delimiter: str = ",", names: list[str] | None = None, n_splits: int | None = None) -> DataFrame:
+    """The parts of a text between delimiters as columns; parts that a text lacks are null.
+
+    n_splits: cut so often at most, the last part holds the rest. names: of the parts, or column_1, column_2, ...; without
+    names or n_splits, one pass finds the most parts that any text has.
+    """
+    pattern = re.escape(delimiter) if len(delimiter) == 1 else delimiter
+    parts = F.split(F.col(quoted(column)), pattern, -1 if n_splits is None else n_splits + 1)
+    if names is None:
+        n = df.agg(F.max(F.size(parts))).first()[0] if n_splits is None else n_splits + 1
+        names = [f"{column}_{i + 1}" for i in range(max(n or 0, 0))]
     return df.withColumns({n: F.get(parts, F.lit(i)) for i, n in enumerate(names)})
 
 
@@ -235,6 +241,7 @@ def shift(df: DataFrame, column: str, name: str, kind: str, order_by: list[str],
     return df.withColumn(name, out)
 
 
+#: Aggregates by name.
 _AGGREGATES = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "count": F.count, "median": F.median, "nunique": F.count_distinct, "first": F.first, "last": F.last}
 
 
@@ -283,32 +290,111 @@ def conditional_assign(df: DataFrame, name: str, rules: list[tuple[Column, objec
     return df.withColumn(name, out.otherwise(F.lit(default)))
 
 
-def bin_column(df: DataFrame, column: str, name: str, bins: int) -> DataFrame:
-    """Number of the equal-width bin (a, b] of [min, max], from 0; the lowest bin holds the minimum, and the middle one all of a constant column."""
-    df = nan_to_null(df, [column])
-    width = (_of("b") - _of("a")) / bins
-    k = F.coalesce(F.ceil(F.try_divide(F.col(column) - _of("a"), width)) - 1, F.lit((bins - 1) // 2))
-    return _with_stats(df, F.when(F.col(column).isNotNull(), F.least(F.greatest(k, F.lit(0)), F.lit(bins - 1))).cast("int"), name, a=F.min(column).cast("double"), b=F.max(column).cast("double"))
-
+def bin_column(df: DataFrame, column: str, name: str, bins: int | list[float], labels: list[str] | None = None, right: bool = True) -> DataFrame:
+    """Number of the bin a value falls into, from 0, or its label.
 
-def qbin_column(df: DataFrame, column: str, name: str, q: int) -> DataFrame:
-    """Number of the quantile bin (a, b], from 0; equal edges are one."""
+    bins: so many of equal width over [min, max], the lowest of which holds the minimum (with right=False the highest the
+    maximum) and the middle one all of a constant column; or the edges of bins, beyond which is null. right: bins are (a, b],
+    else [a, b). NaN counts as null.
+    """
+    n = bins if isinstance(bins, int) else len(bins) - 1
+    if labels is not None and len(labels) != n:
+        raise ValueError(f"{n} bins need as many labels")
+    named = lambda k: k.cast("int") if labels is None else F.get(F.array(*map(F.lit, labels)), k.cast("int"))
+    df = nan_to_null(df, [column])
+    x = F.col(quoted(column))
+    if not isinstance(bins, int):
+        if sorted({*bins}) != list(bins) or n < 1:
+            raise ValueError("edges must ascend")
+        k = F.size(F.filter(F.array(*map(F.lit, bins)).cast("array<double>"), lambda e: (e < x) if right else (e <= x))) - 1
+        return df.withColumn(name, F.when(x.isNotNull() & k.between(0, n - 1), named(k)))
+    at = F.try_divide(x - _of("a"), (_of("b") - _of("a")) / n)
+    k = F.coalesce(F.ceil(at) - 1 if right else F.floor(at), F.lit((n - 1) // 2))
+    return _with_stats(df, F.when(x.isNotNull(), named(F.least(F.greatest(k, F.lit(0)), F.lit(n - 1)))), name, a=F.min(x).cast("double"), b=F.max(x).cast("double"))
+
+
+def qbin_column(df: DataFrame, column: str, name: str, q: int, labels: list[str] | None = None) -> DataFrame:
+    """Number of the quantile bin (a, b], from 0, or its label; equal edges are one."""
     df = nan_to_null(df, [column])
     edges = F.array_sort(F.array_distinct(F.col(f"`{FIGURES}`")))
     inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
     k = F.size(F.filter(inner, lambda e: e < F.col(column)))
+    if labels is not None:
+        k = F.get(F.array(*map(F.lit, labels)), k)
     return _with_quantiles(df, F.when(F.col(column).isNotNull(), k), name, column, *(i / q for i in range(q + 1)))
 
 
-def ewm(df: DataFrame, column: str, name: str, span: int, order_by: list[str], partition_by: list[str]) -> DataFrame:
-    """Exponentially weighted mean within partitions, in Arrow batches of one partition each."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+#: Rows of a block of the exponentially weighted mean.
+EWM_BLOCK = 10_000
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order_by)
-        return part.assign(**{name: part[column].ewm(span=span, adjust=False).mean()})
 
-    return df.groupBy(*partition_by).applyInPandas(run, schema)
+def ewm(df: DataFrame, column: str, name: str, span: int, order_by: list[str], partition_by: list[str]) -> DataFrame:
+    """Exponentially weighted mean within partitions: each value counts 2 / (span + 1), the mean before it the rest.
+
+    A null (or NaN) leaves the mean as it is and makes what was before it count less at the next value; before the first value
+    the mean is null. Every step maps the mean y to a y + b, and such maps compose, so blocks of rows are worked out side by
+    side: each block gives its map, the maps of a partition's blocks are chained, and blocks start from what comes out. Only
+    the number of a row within its partition takes a sort of the partition, which Spark spills.
+    """
+    alpha = 2 / (span + 1)
+    w = Window.partitionBy(*map(quoted, partition_by)).orderBy(*map(quoted, order_by))
+    x = F.when(~F.isnan(F.col(quoted(column)).cast("double")), F.col(quoted(column)).cast("double"))
+    rows = df.select(F.struct(*map(quoted, df.columns)).alias("row"), F.struct(*map(quoted, partition_by)).alias("part"), x.alias("x"), F.row_number().over(w).cast("long").alias("at"))
+    rows = rows.withColumn("block", F.floor((F.col("at") - 1) / EWM_BLOCK))
+    # the place of the value before each, so that a block knows how long what it starts from has waited
+    before = F.last(F.when(F.col("x").isNotNull(), F.col("at")), True).over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("wait", F.col("at") - before)
+    keep = F.pow(F.lit(1 - alpha), F.col("wait"))
+    a = F.when(F.col("x").isNull(), 1.0).when(F.col("wait").isNull(), 0.0).otherwise(keep / (keep + alpha))
+    b = F.when(F.col("x").isNull(), 0.0).when(F.col("wait").isNull(), F.col("x")).otherwise(alpha * F.col("x") / (keep + alpha))
+    rows = rows.select("row", "part", "block", "at", a.alias("a"), b.alias("b"), (F.col("x").isNull() & F.col("wait").isNull()).alias("empty"))
+
+    def composed(table):
+        import numpy as np
+
+        order = np.argsort(table["at"].to_numpy())
+        a, b = table["a"].to_numpy()[order], table["b"].to_numpy()[order]
+        return order, *_chained(a, b)
+
+    def maps(key, table):
+        import pyarrow as pa
+
+        _, a, b = composed(table)
+        return pa.table({"part": table["part"].slice(0, 1), "block": table["block"].slice(0, 1), "a": pa.array([a[-1]]), "b": pa.array([b[-1]])})
+
+    def starts(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        order = np.argsort(table["block"].to_numpy())
+        _, b = _chained(table["a"].to_numpy()[order], table["b"].to_numpy()[order])
+        return pa.table({"part": table["part"].slice(0, 1).take(pa.array(np.zeros(len(b), np.int64))), "block": table["block"].take(pa.array(order)), "start": pa.array(np.append(0.0, b[:-1]))})
+
+    of = lambda *fields: T.StructType([T.StructField(n, rows.schema[n].dataType if n in ("part", "row") else T.LongType() if n == "block" else T.DoubleType()) for n in fields])
+    slim = rows.select("part", "block", "at", "a", "b")
+    ends = slim.groupBy("part", "block").applyInArrow(maps, of("part", "block", "a", "b"))
+    first = ends.groupBy("part").applyInArrow(starts, of("part", "block", "start"))
+    joined = rows.join(first.withColumnsRenamed({"part": "p", "block": "k"}), F.col("part").eqNullSafe(F.col("p")) & (F.col("block") == F.col("k")))
+
+    def finish(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        order, a, b = composed(table)
+        y = np.empty(len(a))
+        y[order] = a * table["start"].to_numpy()[order] + b
+        return pa.table({"row": table["row"], "y": pa.array(y, mask=table["empty"].to_numpy(zero_copy_only=False))})
+
+    out = joined.select("part", "block", "row", "at", "a", "b", "empty", "start").groupBy("part", "block").applyInArrow(finish, of("row", "y"))
+    return out.select("row.*", F.col("y").alias(name))
+
+
+def _chained(a, b):
+    """The maps y -> a y + b one after another, as one map for each place, by doubling how many are taken together."""
+    a, b = a.copy(), b.copy()
+    step = 1
+    while step < len(a):
+        b[step:] = a[step:] * b[:-step] + b[step:]
+        a[step:] = a[step:] * a[:-step]
+        step *= 2
+    return a, b

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablework.functions import distributions as D
-from tablework.operators.profile import anova
+from tablework.operators.profile import _corr, anova, chi_square, t_test
 from tablework.operators.quantiles import group_quantiles, ranked, running
+from tablework.operators.ranking import shapiro_wilk
 
 def one_sample_t(df: DataFrame, value: str, mean: float) -> DataFrame:
     """t statistic of the mean against a given one, n - 1 and two-sided p."""
@@ -236,3 +237,50 @@ def text_profile(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
     words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     return df.agg(F.count(c).alias("texts"), F.count(F.when(c.isNull(), 1)).alias("nulls"), F.count(F.when(F.trim(c) == "", 1)).alias("blanks"), F.count_distinct(c).alias("distinct"), F.min(F.length(c)).cast("long").alias("shortest"), F.max(F.length(c)).cast("long").alias("longest"), F.avg(F.length(c)).alias("mean_length"), F.sum(F.when(c.isNotNull(), words)).alias("words"))
+
+
+def choose_test(df: DataFrame, a: str = "", b: str = "", group: str = "") -> str:
+    """Which test fits the columns given: correlation of two numbers; of a number by a group without numbers ttest for up to two
+    groups and anova for more; chi_square of two columns without numbers. Anything else is an error."""
+    kinds = dict(df.dtypes)
+    number = lambda c: bool(c) and kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    if missing := [c for c in (a, b, group) if c and c not in kinds]:
+        raise ValueError(f"no columns {missing}")
+    if number(a) and number(b):
+        return "correlation"
+    if number(a) and group and not number(group):
+        return "anova" if df.select(group).dropna().distinct().limit(3).count() > 2 else "ttest"
+    if a and b and not number(a) and not number(b):
+        return "chi_square"
+    raise ValueError("no test fits these columns; name one")
+
+
+def auto_test(df: DataFrame, a: str = "", b: str = "", group: str = "") -> DataFrame:
+    """One row: test, statistic and p_value of the test that choose_test() finds; groups of a t test are taken in their order."""
+    test = choose_test(df, a, b, group)
+    if test == "correlation":
+        n, r = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)), _corr(a, b)
+        one = df.agg(r.alias("statistic"), n.alias("n"))
+        t = F.col("statistic") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("statistic") * F.col("statistic")))
+        found = one.select("statistic", D.p_value(D.student, F.when(F.col("n") > 2, t), F.col("n") - 2).alias("p_value"))
+    elif test == "ttest":
+        values = sorted(r[0] for r in df.select(group).dropna().distinct().limit(2).collect())
+        first, second = [*values, None, None][:2]
+        found = t_test(df, a, group, first, second)
+    else:
+        found = anova(df, a, group) if test == "anova" else chi_square(df, a, b)
+    return found.select(F.lit(test).alias("test"), "statistic", "p_value")
+
+
+def auto_scan(df: DataFrame, columns: list[str] | None = None, top: int = 10) -> DataFrame:
+    """(kind, a, b, figure, p_value): normality of each number column by Shapiro and Wilk, and the top pairs by Pearson's r.
+
+    columns: numbers to look at, all of the table's by default.
+    """
+    columns = columns or [c for c, t in df.dtypes if t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    normal = [shapiro_wilk(df, c).where("tested >= 3").select(F.lit("normality").alias("kind"), F.lit(c).alias("a"), F.lit(None).cast("string").alias("b"), F.col("statistic").alias("figure"), "p_value") for c in columns]
+    pairs = [auto_test(df, x, y).select(F.lit("correlation").alias("kind"), F.lit(x).alias("a"), F.lit(y).alias("b"), F.col("statistic").alias("figure"), "p_value") for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    union = lambda parts: reduce(lambda p, q: p.unionByName(q), parts)
+    if not pairs:
+        return union(normal)
+    return union([*normal, union(pairs).orderBy(F.desc_nulls_last(F.abs("figure")), "a", "b").limit(top)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablework.functions import distributions as D
-from tablework.operators.quantiles import nan_to_null, places, quantiles, quoted
+from tablework.operators.quantiles import FIGURES, nan_to_null, places, quantiles, quoted
 from tablework.operators.ranking import kendall
 
 NULL_LIKE = ["", "-", "N/A", "null", "None"]
@@ -34,6 +34,34 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("s.column", "s.count", "s.mean", "s.std", "s.min", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))), "s.max", "s.skew", "s.kurtosis")
 
 
+#: Shares at which extended figures take quantiles.
+PERCENTILES = (5, 10, 25, 50, 75, 90, 95, 99)
+
+
+def extended_stats(df: DataFrame, columns: list[str], percentiles: tuple[int, ...] = PERCENTILES, level: float = 0.95) -> DataFrame:
+    """One row a column: count, mean, std, variance, min, max, range, cv (std by mean), mad (median distance from the median),
+    skew, kurtosis, ci_lower and ci_upper (Student's interval of the mean at level), p_<percentile> for each, and shape.
+
+    NaN counts as null; what needs more values than there are is null. shape: symmetric where skew is within 0.5, else
+    right-skewed or left-skewed, highly beyond 1. Two rounds of quantiles over all columns together.
+    """
+    df = nan_to_null(df.select(*(F.col(quoted(c)).cast("double").alias(f"c{k}") for k, c in enumerate(columns))))
+    own = df.columns
+    middle = quantiles(df, own, (0.5,)).select(*(F.get(f"q{k}", F.lit(0)).alias(f"m{k}") for k in range(len(own))))
+    apart = df.crossJoin(F.broadcast(middle)).select(*(F.abs(F.col(c) - F.col(f"m{k}")).alias(c) for k, c in enumerate(own)))
+    mad = quantiles(apart, own, (0.5,)).select(*(F.get(f"q{k}", F.lit(0)).alias(f"d{k}") for k in range(len(own))))
+    figures = lambda c, x: F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.min(x).alias("min"), F.max(x).alias("max"), _skew(x).alias("skew"), _kurtosis(x).alias("kurtosis")).alias(x)
+    one = df.agg(*(figures(c, x) for c, x in zip(columns, own, strict=True))).crossJoin(F.broadcast(quantiles(df, own, [p / 100 for p in percentiles]))).crossJoin(F.broadcast(mad))  # one row each
+    rows = one.select(F.inline(F.array(*(F.struct(F.col(x).alias("s"), F.col(f"q{k}").alias("q"), F.col(f"d{k}").alias("mad")) for k, x in enumerate(own)))))
+    reach = D.p_value(lambda n: D.student_quantile((1 + level) / 2, n - 1), F.when(F.col("s.count") > 1, F.col("s.count"))) * F.col("s.std") / F.sqrt("s.count")
+    skew = F.col("s.skew")
+    side = F.when(skew > 0, "right-skewed").otherwise("left-skewed")
+    shape = F.when(F.abs(skew) <= 0.5, "symmetric").when(F.abs(skew) > 1, F.concat(F.lit("highly "), side)).otherwise(side)
+    return rows.select(
+        "s.column", "s.count", "s.mean", "s.std", "s.variance", "s.min", "s.max", (F.col("s.max") - F.col("s.min")).alias("range"), F.try_divide("s.std", F.abs("s.mean")).alias("cv"), "mad", "s.skew", "s.kurtosis",
+        (F.col("s.mean") - reach).alias("ci_lower"), (F.col("s.mean") + reach).alias("ci_upper"), *(F.get("q", F.lit(i)).alias(f"p_{p}") for i, p in enumerate(percentiles)), shape.alias("shape"))
+
+
 def scan_nulls_zeros(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: nulls, null-like texts and zeros."""
     kinds = dict(df.dtypes)
@@ -44,25 +72,35 @@ def scan_nulls_zeros(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*map(F.col, columns))))
 
 
-def check_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: IQR limits and how many values lie beyond; two passes over all columns together."""
-    df = nan_to_null(df, columns)
-    q = quantiles(df, columns, (0.25, 0.75))
-    q = q.select(*(F.col(f"q{k}").alias(f"_{c}") for k, c in enumerate(columns)))
-    low = lambda c: 2.5 * F.get(f"_{c}", F.lit(0)) - 1.5 * F.get(f"_{c}", F.lit(1))
-    high = lambda c: 2.5 * F.get(f"_{c}", F.lit(1)) - 1.5 * F.get(f"_{c}", F.lit(0))
-    one = df.crossJoin(F.broadcast(q)).agg(*(F.struct(F.lit(c).alias("column"), F.first(low(c)).alias("low"), F.first(high(c)).alias("high"), F.count(F.when((F.col(c) < low(c)) | (F.col(c) > high(c)), 1)).alias("outliers")).alias(c) for c in columns))
-    return one.select(F.inline(F.array(*map(F.col, columns))))
+def check_outliers(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
+    """One row a column (and method): limits and how many values lie beyond; two passes over all columns together.
+
+    method: iqr (1.5 times the quartiles' distance), std (three deviations from the mean) or both, with a column method.
+    """
+    if method not in ("iqr", "std", "both"):
+        raise ValueError(f"unknown method {method!r}")
+    df = nan_to_null(df.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns))))
+    own = df.columns
+    limits = quantiles(df, own, (0.25, 0.75)).crossJoin(F.broadcast(df.agg(*(f(c).alias(f"{n}{k}") for k, c in enumerate(own) for n, f in (("m", F.avg), ("s", F.stddev_samp))))))  # one row each
+    edge = lambda k, i, j: 2.5 * F.get(f"q{k}", F.lit(i)) - 1.5 * F.get(f"q{k}", F.lit(j))
+    sides = {"iqr": lambda k: (edge(k, 0, 1), edge(k, 1, 0)), "std": lambda k: (F.col(f"m{k}") - 3 * F.col(f"s{k}"), F.col(f"m{k}") + 3 * F.col(f"s{k}"))}
+    each = [(k, c, kind, *sides[kind](k)) for k, c in enumerate(columns) for kind in (("iqr", "std") if method == "both" else (method,))]
+    first = lambda x: F.any_value(x, True)
+    found = [F.struct(F.lit(c).alias("column"), *([F.lit(kind).alias("method")] if method == "both" else []), first(low).alias("low"), first(high).alias("high"), F.count(F.when((F.col(f"c{k}") < low) | (F.col(f"c{k}") > high), 1)).alias("outliers")).alias(f"r{i}") for i, (k, c, kind, low, high) in enumerate(each)]
+    return df.crossJoin(F.broadcast(limits)).agg(*found).select(F.inline(F.array(*(f"r{i}" for i in range(len(each))))))
 
 
 def detect_anomalies(df: DataFrame, column: str, threshold: float = 3.0) -> DataFrame:
     df = nan_to_null(df, [column])
-    s = df.agg(F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s")).crossJoin(F.broadcast(quantiles(df, [column], (0.25, 0.75)).withColumnRenamed("q0", "_q")))  # one row each
-    a, b, x = F.get("_q", F.lit(0)), F.get("_q", F.lit(1)), F.col(column)
+    x = F.col(quoted(column))
+    one = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).crossJoin(F.broadcast(quantiles(df, [column], (0.25, 0.75)))).select(F.struct("m", "s", "q0").alias(FIGURES))  # one row each
+    f = lambda c: F.col(f"`{FIGURES}`.{c}")
+    a, b = F.get(f("q0"), F.lit(0)), F.get(f("q0"), F.lit(1))
     iqr = ((x < a - 1.5 * (b - a)) | (x > b + 1.5 * (b - a))).cast("int")
-    z = (F.abs(x - F.col("_m")) > threshold * F.col("_s")).cast("int")
-    out = df.crossJoin(F.broadcast(s)).withColumn(f"{column}_iqr_flag", F.coalesce(iqr, F.lit(0))).withColumn(f"{column}_zscore_flag", F.coalesce(z, F.lit(0)))
-    return out.withColumn("_anomaly_score", F.col(f"{column}_iqr_flag") + F.col(f"{column}_zscore_flag")).drop("_q", "_m", "_s")
+    z = (F.abs(x - f("m")) > threshold * f("s")).cast("int")
+    flags = {f"{column}_iqr_flag": F.coalesce(iqr, F.lit(0)), f"{column}_zscore_flag": F.coalesce(z, F.lit(0))}
+    out = df.crossJoin(F.broadcast(one)).withColumns(flags).drop(FIGURES)
+    return out.withColumn("_anomaly_score", F.col(quoted(f"{column}_iqr_flag")) + F.col(quoted(f"{column}_zscore_flag")))
 
 
 def validate(df: DataFrame, columns: list[str], max_null_pct: float = 5) -> DataFrame:

@@ -309,7 +309,10 @@ for agg, sql in (("mean", "avg"), ("sum", "sum"), ("std", "stddev_samp"), ("min"
 RUN = f"{W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 for agg in ("sum", "max", "min"):
     query(f"cumulative_{agg}", "events", f"WITH e AS {NULLED} SELECT event_id, CASE WHEN value IS NOT NULL THEN round({agg}(value) {RUN}, 4) END AS total FROM e")(lambda t, a=agg: rounded(C.cumulative(with_nulls(t), "value", "total", a, ["event_id"], ["user_id"]).select("event_id", "total"), "total"))
-query("ewm", "events", None)(lambda t: rounded(C.ewm(with_nulls(t).select("event_id", "user_id", "value"), "value", "ewm", 7, ["event_id"], ["user_id"]).select("event_id", "ewm"), "ewm"))
+query("ewm", "events", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM {NULLED}),
+r AS (SELECT event_id, user_id, pos, value AS y, 0 AS wait FROM e WHERE pos = 1 UNION ALL SELECT e.event_id, e.user_id, e.pos, CASE WHEN e.value IS NULL THEN r.y WHEN r.y IS NULL THEN e.value ELSE (pow(0.75, r.wait + 1) * r.y + 0.25 * e.value) / (pow(0.75, r.wait + 1) + 0.25) END, CASE WHEN e.value IS NULL THEN r.wait + 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.pos = r.pos + 1)
+SELECT event_id, round(y + 1.2345e-7, 4) AS ewm FROM r""")(  # moved a little, as quarters of sums in thousandths lie halfway between roundings
+    lambda t: rounded(C.ewm(with_nulls(t).select("event_id", "user_id", "value"), "value", "ewm", 7, ["event_id"], ["user_id"]).select("event_id", (F.col("ewm") + 1.2345e-7).alias("ewm")), "ewm"))
 
 for how, sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     query(f"merge_{how}", "part", f"SELECT coalesce(p_partkey, c_custkey + 500) AS p_partkey, p_name, c_name, c_acctbal FROM part {sql} customer ON p_partkey = c_custkey + 500", "customer")(
@@ -756,3 +759,40 @@ def _(t):
 
 query("dickey_fuller_auto", "orders", None)(lambda t: rounded(S.dickey_fuller_auto(t, "o_orderdate", "o_totalprice"), "statistic", "p_value"))
 query("stl_strengths", "orders", None)(lambda t: rounded(L.strengths(t, "o_orderdate", "o_totalprice"), "trend_strength", "seasonal_strength"))
+
+
+REACH_1 = "(1.959963984540054 + 2.372271230298562 / (n - 1) + 2.8224986157396112 / ((n - 1) * (n - 1)))"
+
+
+@query("extended_stats", "orders", f"""WITH m AS (SELECT median(o_totalprice) AS med FROM orders), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS d, min(o_totalprice) AS lo, max(o_totalprice) AS hi, median(abs(o_totalprice - med)) AS mad, skewness(o_totalprice) AS sk, quantile_cont(o_totalprice, 0.05) AS p5, quantile_cont(o_totalprice, 0.99) AS p99 FROM orders, m)
+SELECT 'o_totalprice' AS "column", CAST(n AS BIGINT) AS count, round(d * d, 0) AS variance, round(hi - lo, 2) AS range, round(d / a, 6) AS cv, round(mad, 3) AS mad, round(a - {REACH_1} * d / sqrt(n), 2) AS ci_lower, round(a + {REACH_1} * d / sqrt(n), 2) AS ci_upper, round(p5, 3) AS p_5, round(p99, 3) AS p_99, CASE WHEN abs(sk) <= 0.5 THEN 'symmetric' ELSE (CASE WHEN abs(sk) > 1 THEN 'highly ' ELSE '' END) || (CASE WHEN sk > 0 THEN 'right-skewed' ELSE 'left-skewed' END) END AS shape FROM s""")
+def _(t):
+    found = P.extended_stats(t, ["o_totalprice"]).select("column", "count", "variance", "range", "cv", "mad", "ci_lower", "ci_upper", "p_5", "p_99", "shape")
+    return rounded(rounded(rounded(rounded(found, "variance", digits=0), "range", "ci_lower", "ci_upper", digits=2), "mad", "p_5", "p_99", digits=3), "cv", digits=6)
+
+
+@query("check_outliers_both", "lineitem", """WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b, avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem), l AS (SELECT 'iqr' AS method, 2.5 * a - 1.5 * b AS low, 2.5 * b - 1.5 * a AS high FROM q UNION ALL SELECT 'std', m - 3 * s, m + 3 * s FROM q)
+SELECT 'l_extendedprice' AS "column", method, round(low, 3) AS low, round(high, 3) AS high, count(*) FILTER (WHERE l_extendedprice < low OR l_extendedprice > high) AS outliers FROM lineitem, l GROUP BY method, low, high""")
+def _(t):
+    return rounded(P.check_outliers(t, ["l_extendedprice"], "both"), "low", "high", digits=3)
+
+
+@query("cross_tabulate_all", "orders", "SELECT o_orderpriority, round(count(*) FILTER (WHERE o_orderstatus = 'F') / sum(count(*)) OVER (), 8) AS F, round(count(*) FILTER (WHERE o_orderstatus = 'O') / sum(count(*)) OVER (), 8) AS O, round(count(*) FILTER (WHERE o_orderstatus = 'P') / sum(count(*)) OVER (), 8) AS P FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1")
+def _(t):
+    return rounded(R.cross_tabulate(t, "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "all"), "F", "O", "P", digits=8)
+
+
+@query("bin_edges", "customer", "SELECT c_custkey, CASE WHEN c_acctbal < 0 OR c_acctbal >= 9000 THEN NULL WHEN c_acctbal < 1000 THEN 'low' WHEN c_acctbal < 5000 THEN 'middle' ELSE 'high' END AS band FROM customer")
+def _(t):
+    return C.bin_column(t.select("c_custkey", "c_acctbal"), "c_acctbal", "band", [0, 1000, 5000, 9000], ["low", "middle", "high"], right=False).select("c_custkey", "band")
+
+
+@query("split_column_default", "orders", "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS o_orderpriority_1, CASE WHEN o_orderpriority LIKE '%-%' THEN split_part(o_orderpriority, '-', 2) END AS o_orderpriority_2 FROM orders")
+def _(t):
+    return C.split_column(t.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "-").drop("o_orderpriority")
+
+
+@query("correlation_kendall", "supplier", """WITH p AS (SELECT sign(a.s_acctbal - b.s_acctbal) * sign(a.s_nationkey - b.s_nationkey) AS s, a.s_acctbal = b.s_acctbal AS tx, a.s_nationkey = b.s_nationkey AS ty FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey)
+SELECT 's_acctbal' AS a, 's_nationkey' AS b, round(sum(s) / sqrt(CAST(count(*) FILTER (WHERE NOT tx) AS DOUBLE)) / sqrt(CAST(count(*) FILTER (WHERE NOT ty) AS DOUBLE)), 9) AS r FROM p""")
+def _(t):
+    return rounded(P.correlation(t, ["s_acctbal", "s_nationkey"], "kendall"), "r", digits=9)
