@@ -27,16 +27,24 @@ LOOKS = {
 #: an end of the token, where it may be punctuation or is one of LETTERLIKE.
 LOOK, REPEAT, SEPARATOR, KEPT, EDGE, LETTER_EDGE = -1.0, -0.5, -0.5, -6.0, -1.0, -3.0
 LETTERLIKE = "@$€£"
-#: Words the model may use, those with the most evidence; words with fewer toxic documents aren't considered.
-MOST_WORDS, LEAST_DOCS = 2_000, 4
+#: Evidence in nats, the gain in log-likelihood from knowing a word, from which the model takes it; and the most words it takes,
+#: those with the most evidence: the bound of what is fitted on the driver.
+EVIDENCE, MOST_WORDS = 6.0, 50_000
 #: Labelled rows that the logistic model is fitted on at most, by smallest hash of doc_id; word counts take all rows.
 MOST_ROWS = 50_000
-#: Characters of the character model at most, the most frequent ones.
-MOST_CHARS = 128
+#: Strings of one to three letters that the character model holds at most, the most frequent ones, whatever their script.
+MOST_STRINGS = 1_000_000
+#: Strings a task counts before it hands its counts on.
+COUNTED = 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Single characters, letters, digits or look-alike signs, with one space between them.
-_SPACED = re.compile(r"(?<!\S)[\w{0}](?: [\w{0}]){{2,}}(?!\S)".format(re.escape("".join(c for c in LOOKS if not c.isdigit()))))
+_SIGNS = re.escape("".join(c for c in LOOKS if not c.isdigit()))
+#: Characters that are set apart: three or more letters, digits or look-alike signs, each alone or repeated, with any white space
+#: or other signs between them.
+_SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:([\w{_SIGNS}])\1*[^\w{_SIGNS}]{{1,8}}){{2,}}([\w{_SIGNS}])\2*(?![\w{_SIGNS}])")
+_APART = re.compile(rf"([\w{_SIGNS}])\1*[^\w{_SIGNS}]*")
+#: What is not seen: soft hyphens, joiners, marks of direction.
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _SEPARATORS = " .-_*"
 #: What is at the ends of a token and neither a letter, a digit nor a look-alike.
@@ -137,24 +145,29 @@ def decode(token: str, model: CharModel, whole: bool = False) -> str:
     return "".join(done + _settled(back, {best})[0]).strip()
 
 
-def char_model(docs: DataFrame, most: int = MOST_CHARS) -> CharModel:
-    """Counts of one to three characters over the words of all texts. At most most^3 of them reach the driver."""
+def char_model(docs: DataFrame, most: int = MOST_STRINGS) -> CharModel:
+    """Counts of one to three letters, of any script, over the words of all texts; the most frequent strings reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter = np.array([c.isalpha() for c in map(chr, range(0x3000))])
+        letter = np.zeros(0x110000, bool)
+        letter[[c for c in range(0x110000) if chr(c).isalpha()]] = True
         total: dict[int, int] = {}
+
+        def counts() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
+            total.clear()
+            return out
+
         for batch in batches:
             texts = " ".join(x.lower() for x in batch["text"].to_pylist() if x)
             for at in range(0, len(texts), 2_000_000):
                 codes = np.frombuffer(texts[at : at + 2_000_000].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-                codes = np.concatenate([[32], np.where((codes < 0x3000) & letter[np.minimum(codes, 0x2FFF)], codes, 32), [32]])
+                codes = np.concatenate([[32], np.where(letter[codes], codes, 32), [32]])
                 keep = np.ones(len(codes), bool)
                 keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
                 codes = codes[keep]
-                used = np.flatnonzero(np.bincount(codes, minlength=0x3000))
-                k, dense = len(used), np.zeros(0x3000, np.int64)
-                dense[used] = np.arange(k)
-                d = dense[codes]
+                used, d = np.unique(codes, return_inverse=True)
+                k = len(used)
                 for width in (1, 2, 3):
                     key = d[: len(d) - width + 1]
                     for x in range(1, width):
@@ -164,25 +177,29 @@ def char_model(docs: DataFrame, most: int = MOST_CHARS) -> CharModel:
                         times = times[seen]
                     else:
                         seen, times = np.unique(key, return_counts=True)
-                    code = sum(used[seen // k**x % k] << 16 * x for x in range(width))
+                    code = sum(used[seen // k**x % k] << 21 * x for x in range(width))
                     for c, n in zip(code.tolist(), times.tolist(), strict=True):
                         total[c] = total.get(c, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
+                if len(total) > COUNTED:
+                    yield counts()
+        yield counts()
 
     rows = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = [r["key"] for r in rows.where("key < 65536").orderBy(F.desc("n"), "key").limit(most).collect()]
-    inside = lambda shift: (F.shiftright("key", shift).bitwiseAND(F.lit(0xFFFF))).isin(top) | (F.shiftright("key", shift) == 0)
-    kept = rows.where(inside(0) & inside(16) & inside(32)).collect() if top else []
-    text = lambda k: "".join(chr(k >> s & 0xFFFF) for s in (32, 16, 0) if k >> s)
-    return CharModel({text(r["key"]): r["n"] for r in kept})
+    # shorter strings first among equals, as longer ones rest on them
+    kept = rows.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    text = lambda k: "".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0) if k >> s)
+    return CharModel({text(k): n for k, n in zip(kept["key"].to_pylist(), kept["n"].to_pylist(), strict=True)})
 
 
 class Restorer(dict):
-    """Restores texts within a task: token to what use() makes of its words; tokens are remembered up to a bound."""
+    """Restores texts within a task: token to what use() makes of its words; tokens are remembered up to a bound.
+
+    halves: what to make of neighbouring tokens written together, if anything.
+    """
 
-    def __init__(self, model: CharModel, use=tuple, most: int = 500_000):
+    def __init__(self, model: CharModel, use=tuple, halves=None, most: int = 500_000):
         super().__init__()
-        self.model, self.use, self.most = model, use, most
+        self.model, self.use, self.halves, self.most = model, use, halves, most
 
     def __missing__(self, token: str):
         if len(self) > self.most:
@@ -211,9 +228,15 @@ class Restorer(dict):
     def words(self, text: str) -> set:
         """What use() made of all distinct words of the restored text, in lower case."""
         text = text.lower()
-        found = set().union(*map(self.__getitem__, set(text.split())))
+        if not text.isascii():
+            text = _HIDDEN.sub("", text)
+        tokens = text.split()
+        found = set().union(*map(self.__getitem__, set(tokens)))
         for m in _SPACED.finditer(text):
-            found.update(self.use(self.decoded(m[0])))
+            found.update(self.use(self.decoded(" ".join(x[1] for x in _APART.finditer(m[0])))))
+        if self.halves:
+            # a word in two pieces is taken for one only where the model knows it
+            found.update(self.halves(set(map(str.__add__, tokens[:-1], tokens[1:]))))
         return found
 
 
@@ -228,8 +251,8 @@ class Model:
 def fit(labelled: DataFrame, docs: DataFrame) -> Model:
     """A model from labelled (doc_id, text, toxic) and all docs (doc_id, text), those labelled among them; the others teach the character model alone.
 
-    Words are counted over all labelled rows. The logistic model takes the MOST_WORDS words with the most evidence for
-    toxic documents, fitted on at most MOST_ROWS rows. Rows without a label or text teach nothing.
+    Words are counted over all labelled rows. The logistic model takes the words with EVIDENCE or more for toxic documents,
+    MOST_WORDS at most, fitted on at most MOST_ROWS rows. Rows without a label or text teach nothing.
     """
     chars = char_model(docs)
     shared = docs.sparkSession.sparkContext.broadcast(chars)
@@ -261,7 +284,7 @@ def fit(labelled: DataFrame, docs: DataFrame) -> Model:
     p, q = F.col("p"), F.col("q")
     rate = F.lit(n1 / (n0 + n1))
     gain = p * F.log(p / ((p + q) * rate)) + F.when(q > 0, q * F.log(q / ((p + q) * (1 - rate)))).otherwise(0)
-    top = counts.where((p >= LEAST_DOCS) & (p / n1 > q / n0)).orderBy(F.desc(gain), "word").limit(MOST_WORDS).collect()
+    top = counts.where((gain >= EVIDENCE) & (p / n1 > q / n0)).orderBy(F.desc(gain), "word").limit(MOST_WORDS).collect()
     words = [r["word"] for r in top]
     index = {w: i for i, w in enumerate(words)}
     held = docs.sparkSession.sparkContext.broadcast(index)
@@ -307,7 +330,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         number = {w: k for k, w in enumerate(m.words)}
-        restorer = Restorer(m.chars, lambda words: tuple(number[w] for w in words if w in number))
+        known = number.keys()
+        restorer = Restorer(m.chars, lambda words: tuple(number[w] for w in words if w in number), lambda pairs: [number[w] for w in known & pairs])
         for batch in batches:
             z = np.array([m.bias + sum(m.weights[k] for k in restorer.words(t or "")) for t in batch["text"].to_pylist()], float)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))

@@ -97,3 +97,24 @@ def test_fingerprints_without_spaces(spark):
         df = spark.createDataFrame([(text, e) for e in edits], "a string, b string")
         near = [x["n"] for x in df.select(fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("n")).collect()]
         assert near[0] == 1 and min(near[1:4]) > 0.8 and near[4] < 0.6, near
+
+
+def test_set_apart_words_are_scored(spark):
+    """However a toxic word is set apart, it scores as it does in plain, and clean texts stay clean."""
+    from tablework.llm import toxicity
+
+    r = random.Random(9)
+    common_words = "the weather of this house was good and we all went home again with some bread".split()
+    clean = [" ".join(r.choice(common_words) for _ in range(20)) for _ in range(120)]
+    toxic = [f"{t} {w} {t}" for t in clean[:60] for w in ["wretched"]]
+    foreign = ["这是一个很好的地方" * 3, "дом и хлеб были хороши " * 3]
+    docs = spark.createDataFrame(list(enumerate(clean + toxic + foreign)), "doc_id long, text string")
+    labelled = docs.withColumn("toxic", F.when(F.col("doc_id") >= 120, 1).otherwise(0)).where("doc_id < 180")
+    model = toxicity.fit(labelled, docs)
+    assert "wretched" in model.words and model.chars.counts["很"] == 3 and model.chars.counts["хле"] == 3
+    w = "wretched"
+    forms = [w, "  ".join(w), "\t".join(w), "\n".join(w), " . ".join(w), "/".join(w), ",".join(w), " ".join(c * 3 for c in w), "wret ched", "​".join(w), "w­retched", "wr3tch3d", "w.r.e.t.c.h.e.d", "wrrretched"]
+    rows = [(i, f"the house was {f} and good") for i, f in enumerate(forms)] + [(100 + i, t) for i, t in enumerate([*clean[:20], "a b c d e", "1, 2, 3, 4, 5", "i. ii. iii", "", "- - - -", foreign[0]])]
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[i] == got[0] > 0.5 for i in range(len(forms))), got
+    assert all(v < 0.5 for k, v in got.items() if k >= 100)
