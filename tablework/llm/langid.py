@@ -8,21 +8,23 @@ an n-gram is typical of it, and where it isn't, it weighs less.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import discard, mix, stage
+from tablework.llm.common import discard, mix, shared_dir, stage
 
 #: n-gram length; hashes an n-gram; rate of false positives a language at most, from which slots follow.
 N, HASHES, WRONG = 4, 3, 0.01
 #: An n-gram whose rate in a language is below this share of its highest rate in any language counts this share there, others 1.
 SHARE = 0.25
-#: Pairs of n-gram and language that reach the driver at a time, at most.
-AT_ONCE = 2_000_000
+#: Bytes of the filter that one task fills, and that the driver holds at a time.
+SEGMENT = 1 << 20
 UNKNOWN = "und"
 CHUNK = 2_000_000
 
@@ -87,22 +89,31 @@ def slots_for(n: int, hashes: int = HASHES, wrong: float = WRONG) -> int:
     return 1 << max(10, int(np.ceil(np.log2(max(1, need)))))
 
 
+def planes_of(languages: list[str]) -> int:
+    """Bytes of a slot."""
+    return max(1, -(-2 * len(languages) // 8))
+
+
 class LanguageFilter:
-    """languages: names, two bits each, that an n-gram occurs and that it is typical; masks: (slots, planes) bytes; wrong: each bit's rate of false positives."""
+    """languages: names, two bits each, that an n-gram occurs and that it is typical; wrong: each bit's rate of false positives.
+
+    masks, (slots, planes) bytes, lie in a file that Spark gives to every executor; whoever asks for them maps it into memory.
+    """
 
-    def __init__(self, languages: list[str], n_ngrams: int = 0, hashes: int = HASHES):
-        self.languages, self.slots, self.hashes = languages, slots_for(n_ngrams, hashes), hashes
-        self.masks = np.zeros((self.slots, max(1, -(-2 * len(languages) // 8))), np.uint8)
-        self.wrong = np.zeros(2 * len(languages))
+    def __init__(self, languages: list[str], slots: int, ones: np.ndarray, file: str | None, hashes: int = HASHES):
+        self.languages, self.slots, self.hashes, self.file = languages, slots, hashes, file
+        self.planes = planes_of(languages)
+        self.wrong = (ones / slots) ** hashes
+        self._masks: np.ndarray | None = None
 
-    def add(self, language: int, hashes: np.ndarray, typical: np.ndarray) -> None:
-        for bit, own in ((2 * language, hashes), (2 * language + 1, hashes[typical])):
-            for slot in _slots(own, self.slots, self.hashes):
-                np.bitwise_or.at(self.masks[:, bit // 8], slot, np.uint8(1 << bit % 8))
+    @property
+    def masks(self) -> np.ndarray:
+        if self._masks is None:
+            self._masks = np.memmap(SparkFiles.get(self.file), np.uint8, "r", shape=(self.slots, self.planes))
+        return self._masks
 
-    def seal(self) -> None:
-        for k in range(len(self.wrong)):
-            self.wrong[k] = (self.masks[:, k // 8] >> (k % 8) & 1).mean() ** self.hashes
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_masks": None}
 
     def counts(self, hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
         """(texts, languages): n-grams of each text that the language holds, less the expected false positives, weighed."""
@@ -131,9 +142,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def fit(labelled: DataFrame, n: int = N) -> LanguageFilter:
     """A filter of all n-grams of (text, lang), over all its rows; rows without a language or text teach nothing.
 
-    n-grams are counted within tasks, then by Spark, and reach the driver AT_ONCE at a time; the filter's size is in
-    proportion to their number.
+    n-grams are counted within tasks, then by Spark. The filter is filled a range of slots at a time, each by one task, and
+    put together in a file in the shared folder; the driver holds one range at a time and never an n-gram. The file's size is
+    in proportion to the number of n-grams.
     """
+    spark = labelled.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches):
@@ -146,30 +159,56 @@ def fit(labelled: DataFrame, n: int = N) -> LanguageFilter:
     rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, ngram long, n long")
     counts = rows.groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
     # an n-gram has one row a language at most; totals has one row a language
-    by_gram = counts.groupBy("ngram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"))
-    by_gram = stage(by_gram, "ngrams")
-    pairs = by_gram.select("ngram", F.explode("ns").alias("lang", "n"))
-    totals = {r["lang"]: r["t"] for r in pairs.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
+    by_gram = stage(counts.groupBy("ngram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns")), "ngrams")
+    totals = {r["lang"]: r["t"] for r in by_gram.select(F.explode("ns").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     languages = sorted(totals)
-    n_ngrams = by_gram.count() if languages else 0
-    out = LanguageFilter(languages, n_ngrams)
+    slots, planes = slots_for(by_gram.count()), planes_of(languages)
     if not languages:
-        return out
+        discard(by_gram)
+        return LanguageFilter([], slots, np.zeros(0), None)
     total = F.create_map(*(F.lit(x) for name in languages for x in (name, float(totals[name]))))
+    number = F.create_map(*(F.lit(x) for k, name in enumerate(languages) for x in (name, 2 * k)))
     rates = by_gram.select("ngram", F.transform_values("ns", lambda k, v: v / F.element_at(total, k)).alias("rates"))
-    top = F.array_max(F.map_values("rates"))
-    each = rates.select("ngram", top.alias("top"), F.explode("rates").alias("lang", "rate"))
-    each = each.select("ngram", "lang", (F.col("rate") >= SHARE * F.col("top")).alias("typical"))
-    parts = -(-n_ngrams * len(languages) // AT_ONCE)
-    for part in range(parts):
-        own = each.where(F.pmod("ngram", F.lit(parts)) == part).toArrow()
-        lang = np.searchsorted(languages, own["lang"].to_numpy(zero_copy_only=False).astype(str))
-        ngram, typical = own["ngram"].to_numpy().view(np.uint64), own["typical"].to_numpy(zero_copy_only=False).astype(bool)
-        for k in range(len(languages)):
-            out.add(k, ngram[lang == k], typical[lang == k])
+    rates = rates.withColumn("top", F.array_max(F.map_values("rates")))
+    typical = lambda e: F.when(e["value"] >= SHARE * F.col("top"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    bits = F.flatten(F.transform(F.map_entries("rates"), lambda e: F.transform(typical(e), lambda x: F.element_at(number, e["key"]) + x)))
+    size = min(slots, 1 << max(0, (SEGMENT // planes).bit_length() - 1))  # slots of a range
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, k = batch["bits"], batch.num_rows
+            masks = np.zeros((k, planes), np.uint8)
+            bit = own.flatten().to_numpy()
+            np.bitwise_or.at(masks, (np.repeat(np.arange(k), own.value_lengths().to_numpy()), bit // 8), (1 << bit % 8).astype(np.uint8))
+            column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(planes), k, [None, pa.py_buffer(masks.tobytes())]).cast(pa.binary())
+            for slot in _slots(batch["ngram"].to_numpy().view(np.uint64), slots, HASHES):
+                yield pa.RecordBatch.from_arrays([pa.array(slot // size), pa.array(slot % size), column], ["part", "slot", "mask"])
+
+    def filled(table: pa.Table) -> pa.Table:
+        masks = np.zeros((size, planes), np.uint8)
+        for chunk in table.to_batches():
+            np.bitwise_or.at(masks, chunk["slot"].to_numpy(), np.frombuffer(b"".join(chunk["mask"].to_pylist()), np.uint8).reshape(-1, planes))
+        ones = np.unpackbits(masks, 1, bitorder="little").sum(0, dtype=np.int64)[: 2 * len(languages)]
+        return pa.table({"part": table["part"].slice(0, 1), "masks": pa.array([masks.tobytes()], pa.binary()), "ones": pa.array([ones.tolist()], pa.list_(pa.int64()))})
+
+    each = rates.select("ngram", bits.alias("bits")).mapInArrow(spread, "part long, slot long, mask binary")
+    parts = stage(each.groupBy("part").applyInArrow(filled, "part long, masks binary, ones array<long>"), "filter")
     discard(by_gram)
-    out.seal()
-    return out
+    name, ones = f"languages-{uuid.uuid4().hex}.bin", np.zeros(2 * len(languages), np.int64)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, done = fs.create(path, True), 0
+    for r in parts.orderBy("part").toLocalIterator():
+        for _ in range(r["part"] - done):  # ranges that no n-gram falls into
+            out.write(bytearray(size * planes))
+        out.write(r["masks"])
+        ones, done = ones + np.array(r["ones"]), r["part"] + 1
+    for _ in range(slots // size - done):
+        out.write(bytearray(size * planes))
+    out.close()
+    spark.sparkContext.addFile(fs.makeQualified(path).toString())
+    discard(parts)
+    return LanguageFilter(languages, slots, ones, name)
 
 
 def predict(docs: DataFrame, model: LanguageFilter, n: int = N) -> DataFrame:
@@ -179,7 +218,7 @@ def predict(docs: DataFrame, model: LanguageFilter, n: int = N) -> DataFrame:
     0 where no language has any of the n-grams. Null texts and texts without a letter are "und" with score 0. Texts are read
     whole; repeated rows are predicted each; an empty table gives no rows; other columns aren't read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # slots bytes for each four languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # names and rates; the filter itself is a file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -118,3 +118,47 @@ def test_set_apart_words_are_scored(spark):
     got = {x["doc_id"]: x["score"] for x in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert all(got[i] == got[0] > 0.5 for i in range(len(forms))), got
     assert all(v < 0.5 for k, v in got.items() if k >= 100)
+
+
+def test_language_filter_against_exact_sets(spark, monkeypatch):
+    """The filter, filled in many ranges, holds all that exact sets hold and little else, and predicts as they do."""
+    from tablework.llm import langid
+
+    monkeypatch.setattr(langid, "SEGMENT", 512)
+    r = random.Random(6)
+    names = [f"l{k:02d}" for k in range(9)]  # more than a byte of bits
+    make = lambda k: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz"[2 * k : 2 * k + 10]) for _ in range(5)) for _ in range(30))
+    rows = [(make(k), name) for k, name in enumerate(names) for _ in range(12)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert model.languages == names and model.slots * model.planes > 3 * 512
+    counts = {name: collections.Counter() for name in names}
+    for text, name in rows:
+        counts[name].update(langid.ngrams([text])[0].tolist())
+    totals = {name: sum(c.values()) for name, c in counts.items()}
+    best = collections.defaultdict(float)
+    for name, c in counts.items():
+        for g, n in c.items():
+            best[g] = max(best[g], n / totals[name])
+    weight = {name: {g: 1.0 if n / totals[name] >= langid.SHARE * best[g] else langid.SHARE for g, n in c.items()} for name, c in counts.items()}
+    texts = [make(k) for k in range(9) for _ in range(4)]
+    wrong = total = 0
+    for text in texts:
+        grams, doc, _ = langid.ngrams([text])
+        exact = [sum(weight[name].get(g, 0.0) for g in grams.tolist()) for name in names]
+        found = model.counts(grams, doc, 1)[0]
+        assert max(abs(a - b) for a, b in zip(exact, found)) < 0.06 * len(grams)
+        for k, name in enumerate(names):
+            for g in set(grams.tolist()):
+                held = model.counts(langid.np.array([g], langid.np.uint64), doc[:1], 1)[0, k] > 0
+                assert held or g not in counts[name]
+                wrong, total = wrong + (held and g not in counts[name]), total + (g not in counts[name])
+    assert wrong < 0.02 * total
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    sure = 0
+    for x in got:
+        exact = [sum(weight[name].get(g, 0.0) for g in langid.ngrams([texts[x["doc_id"]]])[0].tolist()) for name in names]
+        first, second = sorted(exact)[:-3:-1]
+        if first > 1.2 * second:
+            sure += 1
+            assert x["lang_pred"] == names[exact.index(first)]
+    assert sure > 20
