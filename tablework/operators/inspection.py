@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -192,3 +192,35 @@ def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:
             F.lit(c).alias("column"), F.lit("both" if c in da and c in db else "a" if c in da else "b").alias("side"), F.lit(da.get(c)).cast("string").alias("dtype_a"), F.lit(db.get(c)).cast("string").alias("dtype_b"),
             at(a, c, "n", "a").alias("nulls_a"), at(b, c, "n", "b").alias("nulls_b"), x.alias("mean_a"), y.alias("mean_b"), (100 * F.try_divide(y - x, x)).alias("pct_change")))
     return one.select(F.inline(F.array(*rows)))
+
+
+def profile_columns(df: DataFrame, top: int = 10) -> DataFrame:
+    """One row a column: column, dtype, kind, rows, nulls, null_pct, distinct, unique_pct, mode, top_values and quality.
+
+    Shares are in percent to one digit. mode and top_values ([{value, count}], the largest counts, ties by value) are of columns
+    that are neither numbers nor dates, null for others. quality: 0.7 times the share of filled rows and 0.3 times unique_pct.
+    """
+    text = [c for c, k in kinds(df).items() if k == "categorical"]
+    figures = _described(df)
+    pct = lambda x: F.coalesce(F.round(100 * F.try_divide(x, F.col("rows")), 1), F.lit(0.0))
+    figures = figures.select("column", "dtype", "kind", "rows", "nulls", pct(F.col("nulls")).alias("null_pct"), "distinct", pct(F.col("distinct")).alias("unique_pct"))
+    schema = "column string, mode string, top_values array<struct<value:string,count:bigint>>"
+    if text:
+        long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in text))).alias("x")).select("x.*").where("value is not null")
+        counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+        # each task hands on its own largest counts of a column alone
+        order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+        first = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+        listed = first.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value", "count"))).alias("t"))
+        tops = listed.select("column", F.get("t", F.lit(0))["value"].alias("mode"), F.transform("t", lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("top_values"))
+    else:
+        tops = df.sparkSession.createDataFrame([], schema)
+    return figures.join(F.broadcast(tops), "column", "left").withColumn("quality", 0.7 * (100 - F.col("null_pct")) + 0.3 * F.col("unique_pct"))  # a row a column
+
+
+def load_summary(df: DataFrame) -> DataFrame:
+    """(column, dtype, rows, nulls, distinct, sample): what a table that was just read holds; sample: its first two rows' values as text."""
+    first = df.limit(2).select(*(F.col(quoted(c)).cast("string").alias(f"c{k}") for k, c in enumerate(df.columns)))
+    gathered = first.agg(*(F.collect_list(F.coalesce(f"c{k}", F.lit("null"))).alias(f"c{k}") for k in range(len(df.columns))))  # two rows
+    samples = gathered.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"c{k}").alias("sample")) for k, c in enumerate(df.columns)))))
+    return inspect(df).select("column", "dtype", "rows", "nulls", "distinct").join(F.broadcast(samples), "column")  # a row a column

@@ -138,7 +138,7 @@ def correlation(df: DataFrame, columns: list[str], method: str = "pearson") -> D
         return reduce(lambda x, y: x.unionByName(y), found)
     df = nan_to_null(df.select(*map(quoted, columns)))
     if method == "spearman":
-        df = df.dropna().toDF(*(f"c{k}" for k in range(len(columns))))
+        df = df.toDF(*(f"c{k}" for k in range(len(columns)))).dropna()
         ranks = places(df, df.columns).select("k", "v", (F.col("before") + (F.col("times") + 1) / 2).alias("rank"))
         for k in range(len(columns)):
             own = ranks.where(F.col("k") == k).select(F.col("v").alias(f"v{k}"), F.col("rank").alias(f"r{k}"))

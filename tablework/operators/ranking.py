@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.functions import distributions as D
-from tablework.operators.quantiles import places
+from tablework.operators.quantiles import places, quoted
 
 #: Ranges per column when pairs of values are counted, at most: the driver sees so many bounds, and Spark a count for each
 #: pair of ranges.
@@ -83,7 +83,7 @@ def kendall(df: DataFrame, a: str, b: str, ranges: int | None = None) -> DataFra
     columns, which a table of counts tells, and those that share a range of either column, which tasks count by sorting;
     pairs that share both are counted twice by that, so they are taken off once. Bounds of ranges are sought when called.
     """
-    x, y = (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b))
+    x, y = (F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")) for c in (a, b))
     rows = df.select(x.alias("x"), y.alias("y")).dropna()
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     if ranges is None:
@@ -134,7 +134,7 @@ def anderson_darling(df: DataFrame, column: str) -> DataFrame:
     Nulls and NaN are left out; statistic and normal are null below two values or where all are equal. Ranks come from ranges,
     and each distinct value counts for all its ranks at once.
     """
-    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    x = F.nanvl(F.col(quoted(column)).cast("double"), F.lit(None).cast("double"))
     rows = df.select(x.alias("x")).dropna()
     spread = rows.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
     each = places(rows, ["x"]).crossJoin(F.broadcast(spread))  # one row
@@ -209,7 +209,7 @@ def shapiro_wilk(df: DataFrame, column: str, most: int = SHAPIRO_ROWS) -> DataFr
     Nulls and NaN are left out. The test is defined for up to 5,000 rows; of more, the most values whose hash is least are
     tested, the same ones each time. They are ordered in one task, as there are no more.
     """
-    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    x = F.nanvl(F.col(quoted(column)).cast("double"), F.lit(None).cast("double"))
     rows = df.select(x.alias("x")).dropna()
     # equal values differ by their number among their like, so that hashes do too
     sample = rows.withColumn("k", F.xxhash64("x", F.monotonically_increasing_id())).orderBy("k").limit(most).select("x")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.functions import conditions
+from tablework.operators import charts as G
 from tablework.operators import columns as C
 from tablework.operators import decompose as L
 from tablework.operators import inference as I
@@ -796,3 +797,64 @@ def _(t):
 SELECT 's_acctbal' AS a, 's_nationkey' AS b, round(sum(s) / sqrt(CAST(count(*) FILTER (WHERE NOT tx) AS DOUBLE)) / sqrt(CAST(count(*) FILTER (WHERE NOT ty) AS DOUBLE)), 9) AS r FROM p""")
 def _(t):
     return rounded(P.correlation(t, ["s_acctbal", "s_nationkey"], "kendall"), "r", digits=9)
+
+
+@query("chart_multi_bar", "orders", "SELECT o_orderpriority, round(avg(o_totalprice), 3) AS o_totalprice, avg(o_custkey) AS o_custkey FROM orders GROUP BY 1")
+def _(t):
+    return rounded(G.multi_bar(t, ["o_totalprice", "o_custkey"], "o_orderpriority", "mean"), "o_totalprice", digits=3)
+
+
+@query("chart_multi_line", "orders", "SELECT strftime(o_orderdate, '%Y-%m') AS period, round(sum(o_totalprice), 2) AS o_totalprice, CAST(sum(o_custkey) AS BIGINT) AS o_custkey FROM orders GROUP BY 1")
+def _(t):
+    return rounded(G.multi_line(t, ["o_totalprice", "o_custkey"], "o_orderdate"), "o_totalprice", digits=2)
+
+
+@query("chart_pairwise", "events", f"SELECT event_id, user_id, value FROM {NULLED} WHERE value IS NOT NULL AND user_id IS NOT NULL")
+def _(t):
+    return G.complete_rows(with_nulls(t), ["event_id", "user_id", "value"])
+
+
+@query("chart_parallel", "lineitem", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
+def _(t):
+    return G.complete_rows(t, most=G.PARALLEL)
+
+
+@query("chart_map_points", "supplier", "SELECT CAST(s_suppkey AS DOUBLE) AS lat, s_acctbal AS lon, CAST(s_nationkey AS DOUBLE) AS value, s_name AS color FROM supplier WHERE s_nationkey <> 3")
+def _(t):
+    return G.map_points(t.withColumn("lat", F.when(F.col("s_nationkey") == 3, "none").otherwise(F.col("s_suppkey").cast("string"))), "lat", "s_acctbal", "s_nationkey", "s_name")
+
+
+@query("chart_map_locations", "customer", "SELECT n_name AS location, round(sum(c_acctbal), 2) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", "nation")
+def _(c, n):
+    return rounded(G.map_locations(c.join(n, c["c_nationkey"] == n["n_nationkey"]), "n_name", "c_acctbal"), "value", digits=2)
+
+
+query("chart_points_3d", "lineitem", None)(lambda t: G.points_3d(t, "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"))
+
+
+@query("chart_surface", "lineitem", "SELECT l_linenumber AS x, l_discount AS y, round(avg(l_extendedprice), 3) AS z FROM lineitem GROUP BY 1, 2")
+def _(t):
+    return rounded(G.surface(t, "l_linenumber", "l_discount", "l_extendedprice"), "z", digits=3)
+
+
+@query("chart_distributions", "customer", """WITH e AS (SELECT min(c_acctbal) AS a, (max(c_acctbal) - min(c_acctbal)) / 30 AS w FROM customer), b AS (SELECT CAST(least(floor((c_acctbal - a) / w), 29) AS INTEGER) AS bin, a, w FROM customer, e)
+SELECT 'c_acctbal' AS "column", bin, round(a + bin * w, 4) AS start, round(a + (bin + 1) * w, 4) AS "end", count(*) AS count FROM b GROUP BY bin, a, w""")
+def _(t):
+    return rounded(G.distributions(t, ["c_acctbal"]), "start", "end")
+
+
+@query("chart_boxes", "orders", """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q25, quantile_cont(o_totalprice, 0.5) AS q50, quantile_cont(o_totalprice, 0.75) AS q75 FROM orders)
+SELECT 'o_totalprice' AS "column", round(min(o_totalprice), 4) AS low, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75, round(max(o_totalprice), 4) AS high FROM orders, q WHERE o_totalprice BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) GROUP BY q25, q50, q75""")
+def _(t):
+    return rounded(G.boxes(t, ["o_totalprice"]), "low", "q25", "q50", "q75", "high")
+
+
+@query("profile_columns", "orders", """WITH f AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS a, count(DISTINCT o_orderpriority) AS b FROM orders), m AS (SELECT o_orderpriority AS mode FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT 'o_orderkey' AS "column", 'numeric' AS kind, a AS distinct, round(100.0 * a / n, 1) AS unique_pct, CAST(NULL AS VARCHAR) AS mode, round(70 + 0.3 * round(100.0 * a / n, 1), 4) AS quality FROM f UNION ALL SELECT 'o_orderpriority', 'categorical', b, round(100.0 * b / n, 1), mode, round(70 + 0.3 * round(100.0 * b / n, 1), 4) FROM f, m""")
+def _(t):
+    return rounded(N.profile_columns(t.select("o_orderkey", "o_orderpriority")).select("column", "kind", "distinct", "unique_pct", "mode", "quality"), "quality")
+
+
+@query("load_summary", "nation", """SELECT 'n_nationkey' AS "column", count(*) AS rows, count(*) - count(n_nationkey) AS nulls, count(DISTINCT n_nationkey) AS distinct FROM nation UNION ALL SELECT 'n_name', count(*), count(*) - count(n_name), count(DISTINCT n_name) FROM nation""")
+def _(t):
+    return N.load_summary(t.select("n_nationkey", "n_name")).select("column", "rows", "nulls", "distinct")

@@ -49,7 +49,8 @@ def test_names(spark):
     assert sorted(r["_q"] for r in C.cap_outliers(df, "_q").collect()) == [2, 4, 9]
     assert P.detect_anomalies(df, "_q").columns == [*df.columns, "_q_iqr_flag", "_q_zscore_flag", "_anomaly_score"]
     assert C.drop_duplicates(df, ["a b"], ["v.x"], "last").count() == 2 and C.drop_duplicates(df, ["a b"], [], "none").count() == 1
-    assert [tuple(r) for r in P.correlation(df, ["v.x", "_q"]).select("a", "b").collect()] == [("v.x", "_q")]
+    for method in ("pearson", "spearman", "kendall"):
+        assert [tuple(r) for r in P.correlation(df, ["v.x", "_q"], method).select("a", "b").collect()] == [("v.x", "_q")]
     assert N.search_columns(df, kind="numeric").count() == 3
     left, right = df.select(F.col("_n").alias("k"), F.col("_q").alias("v")), df.select(F.col("_n").alias("k"), F.lit(1).alias("v"), F.lit(2).alias("v_right"))
     got = R.merge(left, right, "k", "k")
