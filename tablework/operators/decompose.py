@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.operators.series import buckets
+from tablework.operators.quantiles import quoted
+from tablework.operators.series import autocorrelation, buckets, dickey_fuller_auto, partial_autocorrelation, smoothed_level, trend
 
 #: Periods of a season, by unit.
 SEASONS = {"month": 12, "quarter": 4, "week": 52, "day": 7, "year": 1}
@@ -119,3 +121,24 @@ def strengths(df: DataFrame, date: str, value: str, unit: str = "month", period:
     share = lambda c: F.greatest(F.lit(0.0), F.coalesce(1 - F.try_divide(F.var_samp("rest"), F.var_samp(F.col(c) + F.col("rest"))), F.lit(0.0)))
     found = lambda c: F.when(F.count(F.lit(1)) > 0, share(c)).alias(f"{c}_strength")
     return parts.agg(found("trend"), found("seasonal"), F.count(F.lit(1)).alias("periods"))
+
+
+def time_series(df: DataFrame, date: str, values: list[str], unit: str = "month", alpha: float = 0.3) -> DataFrame:
+    """One row a column: column, periods, slope, r2 and direction of its sums a period, adf_p_value and stationary, the lags of
+    significant autocorrelation and partial autocorrelation, trend_strength and seasonal_strength, and forecast (the smoothed
+    level, which holds for all periods to come).
+
+    What needs more periods than there are is null or empty; autocorrelations go up to 12 lags or half the periods.
+    """
+
+    def one(column: str) -> DataFrame:
+        rows = df.select(F.col(quoted(date)).alias("at"), F.col(quoted(column)).alias("v"))
+        line = trend(rows, "at", "v", unit).withColumn("direction", F.when(F.col("slope") > 0, "up").when(F.col("slope") < 0, "down").when(F.col("slope") == 0, "flat"))
+        lags = lambda found, name: found.agg(F.sort_array(F.collect_list(F.when(F.col("significant"), F.col("lag")))).alias(name))
+        count = buckets(rows, "at", "v", unit).agg(F.count(F.lit(1)).alias("periods"))
+        test = dickey_fuller_auto(rows, "at", "v", unit).select(F.col("p_value").alias("adf_p_value"), "stationary")
+        parts = [line, test, lags(autocorrelation(rows, "at", "v", unit), "acf_lags"), lags(partial_autocorrelation(rows, "at", "v", unit), "pacf_lags"), strengths(rows, "at", "v", unit).drop("periods"), smoothed_level(rows, "at", "v", unit, alpha).withColumnRenamed("level", "forecast")]
+        whole = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts, count)  # one row each
+        return whole.select(F.lit(column).alias("column"), "periods", "slope", "r2", "direction", "adf_p_value", "stationary", "acf_lags", "pacf_lags", "trend_strength", "seasonal_strength", "forecast")
+
+    return reduce(lambda a, b: a.unionByName(b), map(one, values))

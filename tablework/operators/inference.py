@@ -36,6 +36,13 @@ def proportion_z(df: DataFrame, hit: Column, group: str, first, second) -> DataF
     return one.withColumn("p_value", D.p_value(D.normal, F.col("statistic")))
 
 
+def proportion_z_one(df: DataFrame, hit: Column, share: float) -> DataFrame:
+    """z statistic of the share of rows that hit (among those for which that is known) against a given one, the share and two-sided p."""
+    one = df.agg(F.count(hit).alias("n"), F.avg(hit.cast("double")).alias("share"))
+    z = F.try_divide(F.col("share") - share, F.sqrt(F.try_divide(F.lit(share * (1 - share)), F.col("n"))))
+    return one.select(z.alias("statistic"), "share", D.normal_p(z).alias("p_value"))
+
+
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """ANOVA of the absolute differences from each group's median."""
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)

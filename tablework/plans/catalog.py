@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -858,3 +859,74 @@ def _(t):
 @query("load_summary", "nation", """SELECT 'n_nationkey' AS "column", count(*) AS rows, count(*) - count(n_nationkey) AS nulls, count(DISTINCT n_nationkey) AS distinct FROM nation UNION ALL SELECT 'n_name', count(*), count(*) - count(n_name), count(DISTINCT n_name) FROM nation""")
 def _(t):
     return N.load_summary(t.select("n_nationkey", "n_name")).select("column", "rows", "nulls", "distinct")
+
+
+DOUBLED = "c_custkey * 2"  # beyond the parts' keys for a third of the customers, whatever the size of the tables
+
+query("unmatched_keys_doubled", "customer", f"SELECT {DOUBLED} AS key FROM customer WHERE {DOUBLED} NOT IN (SELECT p_partkey FROM part)", "part")(
+    lambda c, p: R.unmatched_keys(c.select((F.col("c_custkey") * 2).alias("c_custkey")), p, "c_custkey", "p_partkey"))
+for how, sql in (("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    query(f"merge_{how}_doubled", "part", f"SELECT coalesce(p_partkey, {DOUBLED}) AS p_partkey, p_name, c_name FROM part {sql} customer ON p_partkey = {DOUBLED}", "customer")(
+        lambda p, c, h=how: R.merge(p.select("p_partkey", "p_name"), c.select((F.col("c_custkey") * 2).alias("c_custkey"), "c_name"), "p_partkey", "c_custkey", h))
+
+TEXTS = [("contains", "ro"), ("icontains", "RO"), ("not_contains", "a"), ("starts_with", "A"), ("ends_with", "E"), ("equals", "MACHINERY"), ("not_equals", "MACHINERY"), ("search", "[AB]U"), ("not_search", "U")]
+TEXT_SQL = ["s LIKE '%ro%'", "s ILIKE '%RO%'", "s IS NULL OR s NOT LIKE '%a%'", "s LIKE 'A%'", "s LIKE '%E'", "s = 'MACHINERY'", "s IS DISTINCT FROM 'MACHINERY'", "regexp_matches(s, '[AB]U')", "NOT coalesce(regexp_matches(s, 'U'), FALSE)"]
+
+
+@query("filter_texts", "customer", "WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS s FROM customer) " + " UNION ALL ".join(f"SELECT '{op}' AS op, c_custkey FROM c WHERE {sql}" for (op, _), sql in zip(TEXTS, TEXT_SQL, strict=True)))
+def _(t):
+    rows = t.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("s"))
+    return reduce(lambda a, b: a.union(b), (conditions.filter_rows(rows, [{"column": "s", "op": op, "value": v}]).select(F.lit(op).alias("op"), "c_custkey") for op, v in TEXTS))
+
+
+NUMBERS = {"gt": ">", "lt": "<", "gte": ">=", "lte": "<="}
+
+
+@query("filter_numbers", "events", f"WITH e AS {NULLED} " + " UNION ALL ".join([*(f"SELECT '{op}' AS op, event_id FROM e WHERE value {sign} 50" for op, sign in NUMBERS.items()), "SELECT 'is_null', event_id FROM e WHERE value IS NULL", "SELECT 'not_null', event_id FROM e WHERE value IS NOT NULL", "SELECT 'left', event_id FROM e WHERE value >= 10 AND value < 50"]))
+def _(t):
+    rows = with_nulls(t)
+    specs = [*({"op": op, "value": 50} for op in NUMBERS), {"op": "is_null"}, {"op": "not_null"}]
+    parts = [conditions.filter_rows(rows, [{"column": "value", **s}]).select(F.lit(s["op"]).alias("op"), "event_id") for s in specs]
+    parts.append(conditions.filter_rows(rows, [{"column": "value", "op": "between", "min": 10, "max": 50, "inclusive": "left"}]).select(F.lit("left").alias("op"), "event_id"))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query("filter_open_dates", "orders", "SELECT 'from' AS side, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' UNION ALL SELECT 'to', o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01'")
+def _(t):
+    side = lambda name, **s: conditions.filter_rows(t, [{"column": "o_orderdate", "op": "date_range", **s}]).select(F.lit(name).alias("side"), "o_orderkey")
+    return side("from", start="1996-01-01").union(side("to", end="1996-01-01"))
+
+
+@query("steps_abs_drop_top", "customer", "SELECT c_custkey, abs(c_acctbal) AS size FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20")
+def _(t):
+    steps = [{"op": "abs_values", "column": "c_acctbal", "name": "size"}, {"op": "filter_top_n", "column": "c_acctbal", "n": 20, "order_by": ["c_custkey"], "keep": "bottom"}, {"op": "sort", "by": ["size"], "ascending": False}, {"op": "drop_column", "columns": ["c_acctbal"]}]
+    return pipelines.apply(t.select("c_custkey", "c_acctbal"), steps)
+
+
+@query("dedup_last", "lineitem", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1")
+def _(t):
+    return C.drop_duplicates(t.select("l_partkey", "l_orderkey", "l_linenumber"), ["l_partkey"], ["l_orderkey", "l_linenumber"], "last")
+
+
+@query("cumulative_product", "lineitem", "SELECT l_orderkey, l_linenumber, round(exp(sum(ln(1 + l_tax)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM lineitem")
+def _(t):
+    rows = t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (1 + F.col("l_tax")).alias("f"))
+    return rounded(C.cumulative(rows, "f", "growth", "product", ["l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey"]).select("l_orderkey", "l_linenumber", "growth"), "growth", digits=6)
+
+
+@query("sample_head", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
+def _(t):
+    return N.sample_rows(t.select("o_orderkey", "o_totalprice"), 50, "head", ["o_orderkey"])
+
+
+query("sample_random", "orders", None)(lambda t: N.sample_rows(t.select("o_orderkey"), 50))
+
+
+@query("proportion_z_one", "orders", f"WITH s AS (SELECT count(*) AS n, avg(CASE WHEN o_totalprice > 200000 THEN 1.0 ELSE 0.0 END) AS p FROM orders), z AS (SELECT (p - 0.25) / sqrt(0.25 * 0.75 / n) AS z, p FROM s) SELECT round(z, 6) AS statistic, round(p, 6) AS share, round({normal_p('z')}, 6) AS p_value FROM z")
+def _(t):
+    return rounded(I.proportion_z_one(t, F.col("o_totalprice") > 200000, 0.25), "statistic", "share", "p_value", digits=6)
+
+
+@query("time_series", "orders", f"WITH {MONTHS} SELECT 'o_totalprice' AS \"column\", count(*) AS periods, round(regr_slope(y, i), 2) AS slope, round(regr_r2(y, i), 6) AS r2, CASE WHEN regr_slope(y, i) > 0 THEN 'up' WHEN regr_slope(y, i) < 0 THEN 'down' ELSE 'flat' END AS direction FROM b")
+def _(t):
+    return rounded(rounded(L.time_series(t, "o_orderdate", ["o_totalprice"]).select("column", "periods", "slope", "r2", "direction"), "slope", digits=2), "r2", digits=6)

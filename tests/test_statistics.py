@@ -340,3 +340,13 @@ def test_stl_of_short_series(spark):
     for y in ([], [1.0], [3.0] * 23):
         assert tuple(L.strengths(months(spark, y), "d", "v").first()) == (None, None, 0)
     assert tuple(L.strengths(months(spark, [3.0] * 30), "d", "v").first())[2] == 30
+
+
+def test_time_series_of_several_columns(spark):
+    r = np.random.default_rng(3)
+    df = months(spark, np.arange(40) * 2.0 + 5 * np.sin(np.arange(40) * np.pi / 6) + r.normal(size=40)).withColumn("w.x", F.lit(-1.0)).withColumn("i", F.lit("x"))
+    v, w = L.time_series(df, "d", ["v", "w.x"]).collect()
+    assert (v["column"], v["periods"], v["direction"]) == ("v", 40, "up") and v["slope"] == pytest.approx(2, abs=0.2) and v["trend_strength"] > 0.9 and 1 in v["acf_lags"] and 1 in v["pacf_lags"]
+    assert (w["direction"], w["adf_p_value"], w["acf_lags"]) == ("flat", None, []) and w["forecast"] == pytest.approx(-1)
+    (empty,) = L.time_series(df.where("v is null"), "d", ["v"]).collect()
+    assert (empty["periods"], empty["slope"], empty["acf_lags"], empty["pacf_lags"], empty["forecast"]) == (0, None, [], [], None)
