@@ -39,10 +39,12 @@ COUNTED = 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(c for c in LOOKS if not c.isdigit()))
-#: Characters that are set apart: three or more letters, digits or look-alike signs, each alone or repeated, with any white space
-#: or other signs between them.
+#: Characters of a token that are set apart: three or more letters, digits or look-alike signs, each alone or repeated, with any
+#: other signs between them.
 _SPACED = re.compile(rf"(?<![\w{_SIGNS}])(?:([\w{_SIGNS}])\1*[^\w{_SIGNS}]{{1,8}}){{2,}}([\w{_SIGNS}])\2*(?![\w{_SIGNS}])")
 _APART = re.compile(rf"([\w{_SIGNS}])\1*[^\w{_SIGNS}]*")
+#: A token that is one character, alone or repeated, or none, with other signs around it.
+_UNIT = re.compile(rf"[^\w{_SIGNS}]*(?:([\w{_SIGNS}])\1*)?[^\w{_SIGNS}]*")
 #: What is not seen: soft hyphens, joiners, marks of direction.
 _HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufe00-\ufe0f\ufeff]")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
@@ -151,6 +153,7 @@ def char_model(docs: DataFrame, most: int = MOST_STRINGS) -> CharModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = np.zeros(0x110000, bool)
         letter[[c for c in range(0x110000) if chr(c).isalpha()]] = True
+        place = np.zeros(len(letter), np.int64)
         total: dict[int, int] = {}
 
         def counts() -> pa.RecordBatch:
@@ -166,8 +169,10 @@ def char_model(docs: DataFrame, most: int = MOST_STRINGS) -> CharModel:
                 keep = np.ones(len(codes), bool)
                 keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
                 codes = codes[keep]
-                used, d = np.unique(codes, return_inverse=True)
+                used = np.flatnonzero(np.bincount(codes, minlength=len(letter)))
                 k = len(used)
+                place[used] = np.arange(k)
+                d = place[codes]
                 for width in (1, 2, 3):
                     key = d[: len(d) - width + 1]
                     for x in range(1, width):
@@ -194,12 +199,13 @@ def char_model(docs: DataFrame, most: int = MOST_STRINGS) -> CharModel:
 class Restorer(dict):
     """Restores texts within a task: token to what use() makes of its words; tokens are remembered up to a bound.
 
-    halves: what to make of neighbouring tokens written together, if anything.
+    wholes: words that count even if they are written in two pieces.
     """
 
-    def __init__(self, model: CharModel, use=tuple, halves=None, most: int = 500_000):
+    def __init__(self, model: CharModel, use=tuple, wholes=frozenset(), most: int = 500_000):
         super().__init__()
-        self.model, self.use, self.halves, self.most = model, use, halves, most
+        self.model, self.use, self.wholes, self.most = model, use, wholes, most
+        self.fronts = {w[:k] for w in wholes for k in range(2, len(w))}
 
     def __missing__(self, token: str):
         if len(self) > self.most:
@@ -212,6 +218,8 @@ class Restorer(dict):
         words = _WORD.findall(token)
         if len(words) == 1 and len(words[0]) == len(token) and not _REPEATED.search(token):
             return words
+        for m in _SPACED.finditer(token):
+            words += self.decoded(" ".join(x[1] for x in _APART.finditer(m[0])))
         core = _ENDS.sub("", token)
         if not _NOISE.isdisjoint(core) or _REPEATED.search(core):
             words += self.decoded(core)
@@ -231,12 +239,22 @@ class Restorer(dict):
         if not text.isascii():
             text = _HIDDEN.sub("", text)
         tokens = text.split()
-        found = set().union(*map(self.__getitem__, set(tokens)))
-        for m in _SPACED.finditer(text):
-            found.update(self.use(self.decoded(" ".join(x[1] for x in _APART.finditer(m[0])))))
-        if self.halves:
-            # a word in two pieces is taken for one only where the model knows it
-            found.update(self.halves(set(map(str.__add__, tokens[:-1], tokens[1:]))))
+        own = set(tokens)
+        found = set().union(*map(self.__getitem__, own))
+        # characters set apart by white space: neighbouring tokens of one character each
+        units = {t: m[1] or "" for t in own if (len(t) < 3 or t[0] == t[-1] or not t[0].isalnum()) and (m := _UNIT.fullmatch(t))}
+        if len(units) > 1:
+            run, last = "", -2
+            for i in [i for i, t in enumerate(tokens) if t in units] + [len(tokens) + 1]:
+                if i != last + 1:
+                    if len(run) > 2:
+                        found.update(self.use(self.decoded(" ".join(run))))
+                    run = ""
+                last = i
+                run += units[tokens[i]] if i < len(tokens) else ""
+        # a word in two pieces is taken for one only where the model knows it
+        if not self.fronts.isdisjoint(own):
+            found.update(self.use([w for a, b in zip(tokens, tokens[1:]) if a in self.fronts and (w := a + b) in self.wholes]))
         return found
 
 
@@ -330,8 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         number = {w: k for k, w in enumerate(m.words)}
-        known = number.keys()
-        restorer = Restorer(m.chars, lambda words: tuple(number[w] for w in words if w in number), lambda pairs: [number[w] for w in known & pairs])
+        restorer = Restorer(m.chars, lambda words: tuple(number[w] for w in words if w in number), frozenset(number))
         for batch in batches:
             z = np.array([m.bias + sum(m.weights[k] for k in restorer.words(t or "")) for t in batch["text"].to_pylist()], float)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
