@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -183,22 +184,31 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(columns, found, strict=True)), "term string, vif double")
 
 
+#: Exponents beyond which transforms no longer fit into numbers.
+WIDEST = 64.0
+
+
 def _likeliest(df: DataFrame, x: Column, power, slope: Column, low: float, high: float) -> float:
     """The exponent k under which power(k) is likeliest normal, where slope is the sum of its log derivatives a unit of k - 1.
 
-    Each pass tries 41 exponents in one aggregation and the next looks closer around the best; four passes give it to
-    about 1e-5. 0 without values or where they are all equal.
+    Each pass tries 41 exponents in one aggregation and the next looks closer around the best; where that is the first or last,
+    the next pass looks as far beyond it instead, up to WIDEST. Four passes around it give the exponent to about 1e-5. 0 without
+    values or where they are all equal.
     """
-    best = 0.0
-    for _ in range(4):
+    best, closer = 0.0, 0
+    while closer < 4:
         tried = [low + (high - low) * i / 40 for i in range(41)]
         one = df.agg(slope.alias("s"), F.count(x).alias("n"), *(F.var_pop(power(k)).alias(f"v{i}") for i, k in enumerate(tried)))
         each = [F.struct(((k - 1) * F.col("s") - F.col("n") / 2 * F.ln(f"v{i}")).alias("likely"), F.lit(k).alias("k")) for i, k in enumerate(tried)]
-        found = one.select(F.array_max(F.filter(F.array(*each), lambda e: e["likely"].isNotNull())).alias("b")).first()["b"]
+        found = one.select(F.array_max(F.filter(F.array(*each), lambda e: e["likely"].isNotNull() & ~F.isnan(e["likely"]) & (F.abs(e["likely"]) < float("inf")))).alias("b")).first()["b"]
         if found is None:
             break
-        best, reach = found["k"], (high - low) / 20
-        low, high = best - reach / 2, best + reach / 2
+        best, width = found["k"], high - low
+        if not closer and best in (tried[0], tried[-1]) and abs(best) < WIDEST:
+            low, high = (best - width, best + width / 40) if best == tried[0] else (best - width / 40, best + width)
+            continue
+        closer += 1
+        low, high = best - width / 40, best + width / 40
     return best
 
 
@@ -207,9 +217,12 @@ def box_cox(df: DataFrame, column: str, name: str, low: float = -2.0, high: floa
     x = F.col(column).cast("double")
     if (df.agg(F.min(x)).first()[0] or 1) <= 0:
         raise ValueError(f"{column!r} has values of 0 or less")
-    power = lambda k: F.ln(x) if abs(k) < 1e-9 else (F.pow(x, F.lit(k)) - 1) / k
-    best = _likeliest(df, x, power, F.sum(F.ln(x)), low, high)
-    return df.withColumn(name, power(best)), best
+    power = lambda x, k: F.ln(x) if abs(k) < 1e-9 else (F.pow(x, F.lit(k)) - 1) / k
+    # the likeliest exponent is the same for multiples of the values; around 1 their powers keep their digits
+    middle = math.exp(df.agg(F.avg(F.ln(x))).first()[0] or 0.0)
+    scaled = x / F.lit(middle)
+    best = _likeliest(df, scaled, lambda k: power(scaled, k), F.sum(F.ln(scaled)), low, high)
+    return df.withColumn(name, power(x, best)), best
 
 
 def yeo_johnson(df: DataFrame, column: str, name: str, exponent: float | None = None, low: float = -2.0, high: float = 2.0) -> tuple[DataFrame, float]:

@@ -113,7 +113,7 @@ def transpose(df: DataFrame, header: str) -> DataFrame:
 
 def missing_matrix(df: DataFrame, order_by: list[str], rows: int = 300) -> DataFrame:
     """For a sample of rows, spread by hash, one flag a column: whether its value is missing."""
-    taken = df.orderBy(F.xxhash64(*order_by), *order_by).limit(rows)
+    taken = df.orderBy(F.md5(F.concat_ws(",", *(F.col(quoted(c)).cast("string") for c in order_by))), *map(quoted, order_by)).limit(rows)
     return taken.select(*order_by, *(F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in df.columns if c not in order_by))
 
 

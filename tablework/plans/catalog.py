@@ -705,7 +705,7 @@ def _(t):
     return rounded(S.dickey_fuller(t, "o_orderdate", "o_totalprice"), "statistic", "critical_1", "critical_5", "critical_10")
 
 
-@query("missing_matrix", "events", None)
+@query("missing_matrix", "events", f"SELECT event_id, " + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}_missing" for c in EVENT_COLUMNS if c != "event_id") + f" FROM {NULLED} ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 300")
 def _(t):
     return N.missing_matrix(with_nulls(t), ["event_id"])
 
@@ -930,3 +930,10 @@ def _(t):
 @query("time_series", "orders", f"WITH {MONTHS} SELECT 'o_totalprice' AS \"column\", count(*) AS periods, round(regr_slope(y, i), 2) AS slope, round(regr_r2(y, i), 6) AS r2, CASE WHEN regr_slope(y, i) > 0 THEN 'up' WHEN regr_slope(y, i) < 0 THEN 'down' ELSE 'flat' END AS direction FROM b")
 def _(t):
     return rounded(rounded(L.time_series(t, "o_orderdate", ["o_totalprice"]).select("column", "periods", "slope", "r2", "direction"), "slope", digits=2), "r2", digits=6)
+
+
+@query("box_cox_exponent", "part", """WITH x AS (SELECT p_retailprice / (SELECT exp(avg(ln(p_retailprice))) FROM part) AS x FROM part), g AS (SELECT i / 100.0::DOUBLE AS k FROM range(-500, 501) r(i)),
+l AS (SELECT k, (k - 1) * sum(ln(x)) - count(*) / 2.0 * ln(var_pop(CASE WHEN k = 0 THEN ln(x) ELSE (pow(x, k) - 1) / k END)) AS likely FROM x, g GROUP BY k)
+SELECT round(arg_max(k, likely), 2) AS exponent FROM l""")
+def _(t):
+    return t.limit(1).select(F.round(F.lit(I.box_cox(t, "p_retailprice", "moved")[1]), 2).alias("exponent"))

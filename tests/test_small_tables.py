@@ -97,3 +97,16 @@ def test_dickey_fuller_of_small_series(spark):
     df = spark.sql("SELECT make_date(2020 + CAST(id AS INT) DIV 12, 1 + CAST(id AS INT) % 12, 1) AS d, CAST(hash(id) % 1000 AS DOUBLE) AS v FROM range(120)")
     found = series.dickey_fuller(df, "d", "v", lags=2).first()
     assert found["n"] == 117 and found["stationary"] and found["statistic"] < found["critical_1"] < found["critical_5"] < found["critical_10"]
+
+
+def test_exponents_beyond_the_first_reach(spark):
+    import numpy as np
+
+    from tablework.operators import inference
+
+    for power in (0.2, -0.25, 1 / 6):  # what makes these normal again is their inverse
+        x = np.abs(np.random.default_rng(5).normal(10, 2, size=3000)) ** power
+        _, k = inference.box_cox(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", "y")
+        likely = lambda k: (k - 1) * np.log(x).sum() - len(x) / 2 * np.log(((x**k - 1) / k).var())  # noqa: B023, E731
+        grid = np.arange(-9, 9, 0.001) + 0.0005
+        assert abs(k - max(grid, key=likely)) < 2e-3 and abs(k) > 2
