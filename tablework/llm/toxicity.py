@@ -206,10 +206,15 @@ class Restorer(dict):
         super().__init__()
         self.model, self.use, self.wholes, self.most = model, use, wholes, most
         self.fronts = {w[:k] for w in wholes for k in range(2, len(w))}
+        self.letters: dict[str, str] = {}  # of tokens that are one character, or none
+        self.units: set[str] = set()
 
     def __missing__(self, token: str):
         if len(self) > self.most:
-            self.clear()
+            self.clear(), self.letters.clear(), self.units.clear()
+        if (len(token) < 3 or token[0] == token[-1] or not token[0].isalnum()) and (m := _UNIT.fullmatch(token)):
+            self.letters[token] = m[1] or ""
+            self.units.add(token)
         found = self[token] = self.use(self.restored(token))
         return found
 
@@ -242,7 +247,7 @@ class Restorer(dict):
         own = set(tokens)
         found = set().union(*map(self.__getitem__, own))
         # characters set apart by white space: neighbouring tokens of one character each
-        units = {t: m[1] or "" for t in own if (len(t) < 3 or t[0] == t[-1] or not t[0].isalnum()) and (m := _UNIT.fullmatch(t))}
+        units = own & self.units
         if len(units) > 1:
             run, last = "", -2
             for i in [i for i, t in enumerate(tokens) if t in units] + [len(tokens) + 1]:
@@ -251,7 +256,7 @@ class Restorer(dict):
                         found.update(self.use(self.decoded(" ".join(run))))
                     run = ""
                 last = i
-                run += units[tokens[i]] if i < len(tokens) else ""
+                run += self.letters[tokens[i]] if i < len(tokens) else ""
         # a word in two pieces is taken for one only where the model knows it
         if not self.fronts.isdisjoint(own):
             found.update(self.use([w for a, b in zip(tokens, tokens[1:]) if a in self.fronts and (w := a + b) in self.wholes]))
