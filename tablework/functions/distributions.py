@@ -223,3 +223,47 @@ def kolmogorov_exact(d: float, n1: int, n2: int) -> float:
         return 1.0
     every = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
     return min(1.0, max(0.0, -math.expm1(math.log(row[n2]) + scale - every)))
+
+
+#: Rows up to which one distribution function is held against a given one exactly.
+ONE_SAMPLE = 1000
+
+
+def kolmogorov_one(d: float, n: int) -> float:
+    """Tail of the largest difference d of n values' distribution function from the true one.
+
+    Exact up to ONE_SAMPLE values, by the power of a matrix that carries the chances of staying within d from value to value;
+    beyond, the limit distribution with a correction for n.
+    """
+    import numpy as np
+
+    if n > ONE_SAMPLE:
+        return kolmogorov((math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d)
+    if d <= 0.5 / n:
+        return 1.0
+    if d >= 1:
+        return 0.0
+    k = math.floor(n * d) + 1
+    h, m = k - n * d, 2 * k - 1
+    step = np.tri(m, m, 1)
+    for i in range(m):
+        step[i, 0] -= h ** (i + 1)
+        step[m - 1, i] -= h ** (m - i)
+    step[m - 1, 0] += max(0.0, 2 * h - 1) ** m
+    gap = np.subtract.outer(np.arange(m), np.arange(m)) + 1
+    step = step * np.exp([[-math.lgamma(g + 1) if g > 0 else 0.0 for g in row] for row in gap.tolist()])
+    # the power, scaled so that it stays within range
+    power, base, scale, shift, left = np.eye(m), step, 0.0, 0.0, n
+    while left:
+        if left & 1:
+            power, scale = power @ base, scale + shift
+        base, shift = base @ base, 2 * shift
+        top = base.max()
+        base, shift = base / top, shift + math.log(top)
+        left >>= 1
+    inside = power[k - 1, k - 1]
+    return 1.0 if inside <= 0 else min(1.0, max(0.0, -math.expm1(math.log(inside) + scale + math.lgamma(n + 1) - n * math.log(n))))
+
+
+def normal_cdf(z: Column) -> Column:
+    return erfc(-z / F.lit(math.sqrt(2))) / 2

@@ -221,3 +221,16 @@ def shapiro_wilk(df: DataFrame, column: str, most: int = SHAPIRO_ROWS) -> DataFr
 
     found = sample.coalesce(1).mapInArrow(run, "statistic double, p_value double, tested long")
     return found.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).select("statistic", "p_value", "n", "tested")  # one row each
+
+
+def kolmogorov_smirnov_normal(df: DataFrame, column: str, mean: float = 0.0, deviation: float = 1.0) -> DataFrame:
+    """One row: the largest difference of a column's distribution function from a given normal one, n and p.
+
+    Nulls and NaN are left out; statistic and p are null without values. Each distinct value is compared where the function
+    steps, below and above. p is exact up to D.ONE_SAMPLE values.
+    """
+    each = places(df, [column])
+    expected = D.normal_cdf((F.col("v") - mean) / deviation)
+    below, above = F.col("before") / F.col("n"), (F.col("before") + F.col("times")) / F.col("n")
+    one = each.agg(F.max(F.greatest(expected - below, above - expected)).alias("statistic"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    return one.withColumn("p_value", D.p_value(lambda d, n: D.kolmogorov_one(d, int(n)), F.col("statistic"), F.col("n")))

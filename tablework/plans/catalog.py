@@ -937,3 +937,9 @@ l AS (SELECT k, (k - 1) * sum(ln(x)) - count(*) / 2.0 * ln(var_pop(CASE WHEN k =
 SELECT round(arg_max(k, likely), 2) AS exponent FROM l""")
 def _(t):
     return t.limit(1).select(F.round(F.lit(I.box_cox(t, "p_retailprice", "moved")[1]), 2).alias("exponent"))
+
+
+@query("ks_normal", "supplier", f"""WITH s AS (SELECT (s_acctbal - 4500) / 3000 AS z, row_number() OVER (ORDER BY s_acctbal) AS i, CAST(count(*) OVER () AS DOUBLE) AS n FROM supplier), u AS (SELECT i, n, CASE WHEN z > 0 THEN 1 - {normal_p("z")} / 2 ELSE {normal_p("z")} / 2 END AS c FROM s)
+SELECT round(max(greatest(c - (i - 1) / n, i / n - c)), 6) AS statistic, CAST(any_value(n) AS BIGINT) AS n FROM u""")
+def _(t):
+    return rounded(K.kolmogorov_smirnov_normal(t, "s_acctbal", 4500, 3000).select("statistic", "n"), "statistic", digits=6)

@@ -350,3 +350,18 @@ def test_time_series_of_several_columns(spark):
     assert (w["direction"], w["adf_p_value"], w["acf_lags"]) == ("flat", None, []) and w["forecast"] == pytest.approx(-1)
     (empty,) = L.time_series(df.where("v is null"), "d", ["v"]).collect()
     assert (empty["periods"], empty["slope"], empty["acf_lags"], empty["pacf_lags"], empty["forecast"]) == (0, None, [], [], None)
+
+
+def test_kolmogorov_of_one_sample(spark):
+    assert 1 - D.kolmogorov_one(0.274, 10) == pytest.approx(0.6284796154565043, abs=1e-10)  # published
+    assert D.kolmogorov_one(0.6, 1) == pytest.approx(0.8) and D.kolmogorov_one(0.5, 1) == 1 and D.kolmogorov_one(1.0, 5) == 0
+    for d in (0.03, 0.045, 0.06):  # the two sides of the switch agree
+        limit = D.kolmogorov((math.sqrt(1000) + 0.12 + 0.11 / math.sqrt(1000)) * d)
+        assert D.kolmogorov_one(d, 1000) == pytest.approx(limit, abs=2e-3)
+    x = [-1.2, 0.1, 0.1, 0.4, 2.5, None, float("nan")]
+    got = K.kolmogorov_smirnov_normal(spark.createDataFrame([(v,) for v in x], "x double"), "x").first()
+    v = sorted(x[:5])
+    cdf = [NormalDist().cdf(a) for a in v]
+    assert got["statistic"] == pytest.approx(max(max(c - i / 5, (i + 1) / 5 - c) for i, c in enumerate(cdf))) and got["n"] == 5
+    assert got["p_value"] == pytest.approx(D.kolmogorov_one(got["statistic"], 5))
+    assert tuple(K.kolmogorov_smirnov_normal(spark.createDataFrame([(None,)], "x double"), "x").first()) == (None, 0, None)
