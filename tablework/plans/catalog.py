@@ -879,13 +879,13 @@ def _(t):
     return reduce(lambda a, b: a.union(b), (conditions.filter_rows(rows, [{"column": "s", "op": op, "value": v}]).select(F.lit(op).alias("op"), "c_custkey") for op, v in TEXTS))
 
 
-NUMBERS = {"gt": ">", "lt": "<", "gte": ">=", "lte": "<="}
+SIGNS = {"gt": ">", "lt": "<", "gte": ">=", "lte": "<="}
 
 
-@query("filter_numbers", "events", f"WITH e AS {NULLED} " + " UNION ALL ".join([*(f"SELECT '{op}' AS op, event_id FROM e WHERE value {sign} 50" for op, sign in NUMBERS.items()), "SELECT 'is_null', event_id FROM e WHERE value IS NULL", "SELECT 'not_null', event_id FROM e WHERE value IS NOT NULL", "SELECT 'left', event_id FROM e WHERE value >= 10 AND value < 50"]))
+@query("filter_numbers", "events", f"WITH e AS {NULLED} " + " UNION ALL ".join([*(f"SELECT '{op}' AS op, event_id FROM e WHERE value {sign} 50" for op, sign in SIGNS.items()), "SELECT 'is_null', event_id FROM e WHERE value IS NULL", "SELECT 'not_null', event_id FROM e WHERE value IS NOT NULL", "SELECT 'left', event_id FROM e WHERE value >= 10 AND value < 50"]))
 def _(t):
     rows = with_nulls(t)
-    specs = [*({"op": op, "value": 50} for op in NUMBERS), {"op": "is_null"}, {"op": "not_null"}]
+    specs = [*({"op": op, "value": 50} for op in SIGNS), {"op": "is_null"}, {"op": "not_null"}]
     parts = [conditions.filter_rows(rows, [{"column": "value", **s}]).select(F.lit(s["op"]).alias("op"), "event_id") for s in specs]
     parts.append(conditions.filter_rows(rows, [{"column": "value", "op": "between", "min": 10, "max": 50, "inclusive": "left"}]).select(F.lit("left").alias("op"), "event_id"))
     return reduce(lambda a, b: a.union(b), parts)
