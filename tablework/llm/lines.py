@@ -6,7 +6,6 @@ is DataFrame expressions.
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 from operator import or_
 
@@ -19,9 +18,10 @@ from tablework.llm.linking import bucket_links
 
 #: Characters of a shingle; similarity in percent from which lines are linked.
 SHINGLE, PERCENT = 8, 80
-#: The signature: MINIMA least values of each of two hashes, under as many orders; ROWS of them make a band. Two lines of 80 %
-#: similarity share a band with a chance of 99.6 %.
-MINIMA, ROWS = 12, 3
+#: The signature: the hashes of a line's shingles lie on a circle, and the one that follows each of BANDS * ROWS evenly spaced
+#: points is its least value in the order that begins there. ROWS values that follow each other make a band. Two lines of
+#: 80 % similarity share a band with a chance of 99.6 % or more.
+BANDS, ROWS = 8, 3
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,38 +39,40 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.withColumn("key", F.xxhash64("line")).withColumn("other", F.xxhash64(F.lit(1), "line"))
 
 
-def _masks() -> list[int]:
-    draw = random.Random(7)
-    return [draw.getrandbits(32) - (1 << 31) for _ in range(MINIMA)]
+def _points() -> list[int]:
+    return [(k << 32) // (BANDS * ROWS) - (1 << 31) for k in range(BANDS * ROWS)]
 
 
 def _starts(points: Column) -> Column:
-    """Where the shingles of a line begin, given its UTF-32 form; a line shorter than a shingle is its own shingle."""
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(points), 2) - SHINGLE, F.lit(0)))
+    """The bytes, from 1, at which the shingles of a line begin, given its UTF-32 form; a line shorter than a shingle is its own shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.length(points) - 4 * SHINGLE, F.lit(0)) + 1, F.lit(4))
 
 
 def _shingle(points: Column, at: Column) -> Column:
-    return F.substring(points, 4 * at + 1, F.lit(4 * SHINGLE))
+    return F.substring(points, at, F.lit(4 * SHINGLE))
 
 
-def bands(distinct: DataFrame, *by: str) -> DataFrame:
-    """(by, bands): the band keys of distinct lines (by, line), signed over all their shingles.
+def bands(distinct: DataFrame) -> DataFrame:
+    """distinct with bands: the band keys of its lines (line), signed over all their shingles.
 
-    A shingle's hash is put in as many orders as there are masks; the least value under each is one of the signature. Rows of
-    a line lie in one task; where distinct is dealt by the same columns already, nothing is shuffled.
+    With the points sorted in among a line's hashes, a point's place tells how many hashes lie before it, and so the one that
+    follows; from the last, the circle begins again.
     """
-    points = distinct.select(*by, F.encode("line", "UTF-32").alias("u"))
-    each = points.select(*by, "u", F.explode(_starts(F.col("u"))).alias("at")).select(*by, F.hash(_shingle(F.col("u"), F.col("at"))).alias("h"))
-    each = each.withColumn("g", F.hash("h"))
-    least = [F.min(F.col(c).bitwiseXOR(F.lit(m))).alias(f"{c}{k}") for c in ("h", "g") for k, m in enumerate(_masks())]
-    names = [f"{c}{k}" for c in ("h", "g") for k in range(MINIMA)]
-    keys = [F.xxhash64(F.lit(k), *names[k : k + ROWS]) for k in range(0, 2 * MINIMA, ROWS)]
-    return each.groupBy(*by).agg(*least).select(*by, F.array(*keys).alias("bands"))
+    own = distinct.columns
+    # the line is a variable of an expression, as every reading of a column would copy it
+    sign = lambda u: F.transform(_starts(u), lambda at: F.hash(_shingle(u, at)))
+    each = distinct.select(*own, F.sort_array(F.flatten(F.transform(F.array(F.encode("line", "UTF-32")), sign))).alias("_h"))
+    each = each.select(*own, "_h", F.sort_array(F.concat("_h", F.array(*map(F.lit, _points())))).alias("_s"))
+    # two steps of their own, as the virtual machine compiles no method beyond a size
+    each = each.select(*own, "_h", *((F.array_position("_s", F.lit(p)).cast("int") - 1 - k).alias(f"_{k}") for k, p in enumerate(_points())))
+    least = [F.get("_h", F.col(f"_{k}") % F.size("_h")) for k in range(BANDS * ROWS)]
+    keys = [F.xxhash64(F.lit(k), *least[k : k + ROWS]) for k in range(0, BANDS * ROWS, ROWS)]
+    return each.select(*own, F.array(*keys).alias("bands"))
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
     """(key, id) for every band of distinct lines (id, line)."""
-    return bands(distinct, "id").select(F.explode("bands").alias("key"), "id")
+    return bands(distinct.select("id", "line")).select(F.explode("bands").alias("key"), "id")
 
 
 def _hashes(line: Column) -> Column:
@@ -82,10 +84,9 @@ def _hashes(line: Column) -> Column:
 def signed_lines(each: DataFrame) -> DataFrame:
     """(key, other, line, bands, id): the distinct lines of lines_of(), with numbers of their own.
 
-    Lines are dealt once, by key and other, and signed where they then lie; the join of bands and lines reuses that shuffle.
+    Lines are dealt once, by key and other, and signed where they then lie.
     """
-    distinct = each.groupBy("key", "other").agg(F.min("line").alias("line"))
-    return distinct.join(bands(distinct, "key", "other").hint("merge"), ["key", "other"]).withColumn("id", F.monotonically_increasing_id())
+    return bands(each.groupBy("key", "other").agg(F.min("line").alias("line"))).withColumn("id", F.monotonically_increasing_id())
 
 
 def line_groups(distinct: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def line_groups(distinct: DataFrame) -> DataFrame:
     """
     lines = distinct.select("id", F.col("line").alias("items"))
     members = distinct.select(F.explode("bands").alias("key"), "id")
-    return bucket_links(members, lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
+    return bucket_links(members, lambda ids: lines.join(ids.hint("merge"), "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
 
 
 @own_rows("doc_id", "first_doc_id")
@@ -112,13 +113,14 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     each = lines_of(docs)
     distinct = stage(signed_lines(each), "lines")
     keys = stage(distinct.select("key", "other", "id"), "keys")
+    # all that is joined grows with the corpus, so nothing is broadcast at any size
     groups = line_groups(distinct)
-    named = keys.join(groups, "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))
-    named = each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "key", "other").join(named, ["key", "other"])
+    named = keys.join(groups.hint("merge"), "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))
+    named = each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "key", "other").join(named.hint("merge"), ["key", "other"])
     named = stage(named.select("doc_id", "line_no", "group_id"), "groups")
     discard(keys)
     heads = named.groupBy("group_id").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
-    out = named.join(heads, "group_id")
+    out = named.join(heads.hint("merge"), "group_id")
     kept = (F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.line_no") == F.col("line_no"))
     return out.select("doc_id", "line_no", "group_id", F.col("head.doc_id").alias("first_doc_id"), F.col("head.line_no").alias("first_line_no"), kept.alias("kept"))
 
