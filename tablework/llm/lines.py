@@ -20,8 +20,10 @@ from tablework.llm.linking import bucket_links
 #: Characters of a shingle; similarity in percent from which lines are linked.
 SHINGLE, PERCENT = 8, 80
 #: The signature: MINIMA least values of each of two hashes, under as many orders; ROWS of them make a band. Two lines of 80 %
-#: similarity share a band with a chance of 99.6 %.
-MINIMA, ROWS = 12, 3
+#: similarity share a band with a chance of 99.7 %, two of 1 % with one of 1 in 9 million, so that of millions of unlike lines few meet.
+MINIMA, ROWS = 22, 4
+#: Shingles that are signed in one row.
+BLOCK = 4
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -56,16 +58,19 @@ def _shingle(points: Column, at: Column) -> Column:
 def bands(distinct: DataFrame, *by: str) -> DataFrame:
     """(by, bands): the band keys of distinct lines (by, line), signed over all their shingles.
 
-    A shingle's hash is put in as many orders as there are masks; the least value under each is one of the signature. Rows of
-    a line lie in one task; where distinct is dealt by the same columns already, nothing is shuffled.
+    A shingle's hash is put in as many orders as there are masks; the least value under each is one of the signature. A row
+    has BLOCK shingles in turn (the last one again where a line ends), whose least values are found before rows are grouped.
+    Rows of a line lie in one task; where distinct is dealt by the same columns already, nothing is shuffled.
     """
     points = distinct.select(*by, F.encode("line", "UTF-32").alias("u"))
-    each = points.select(*by, "u", F.explode(_starts(F.col("u"))).alias("at")).select(*by, F.hash(_shingle(F.col("u"), F.col("at"))).alias("h"))
-    each = each.withColumn("g", F.hash("h"))
-    least = [F.min(F.col(c).bitwiseXOR(F.lit(m))).alias(f"{c}{k}") for c in ("h", "g") for k, m in enumerate(_masks())]
-    names = [f"{c}{k}" for c in ("h", "g") for k in range(MINIMA)]
+    points = points.select(*by, "u", F.greatest(F.shiftright(F.length("u"), 2) - SHINGLE, F.lit(0)).alias("last"))
+    each = points.select(*by, "u", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(BLOCK))).alias("at"))
+    each = each.select(*by, *(F.hash(_shingle(F.col("u"), F.least(F.col("at") + i, "last"))).alias(f"h{i}") for i in range(BLOCK)))
+    each = each.select("*", *(F.hash(f"h{i}").alias(f"g{i}") for i in range(BLOCK)))
+    names = [f"{c}_{k}" for c in "hg" for k in range(MINIMA)]
+    least = [F.min(F.least(*(F.col(f"{c}{i}").bitwiseXOR(F.lit(m)) for i in range(BLOCK)))) for c in "hg" for m in _masks()]
     keys = [F.xxhash64(F.lit(k), *names[k : k + ROWS]) for k in range(0, 2 * MINIMA, ROWS)]
-    return each.groupBy(*by).agg(*least).select(*by, F.array(*keys).alias("bands"))
+    return each.groupBy(*by).agg(*(x.alias(name) for x, name in zip(least, names, strict=True))).select(*by, F.array(*keys).alias("bands"))
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def line_groups(distinct: DataFrame) -> DataFrame:
     """
     lines = distinct.select("id", F.col("line").alias("items"))
     members = distinct.select(F.explode("bands").alias("key"), "id")
-    return bucket_links(members, lambda ids: lines.join(ids, "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
+    return bucket_links(members, lambda ids: lines.join(ids.hint("merge"), "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
 
 
 @own_rows("doc_id", "first_doc_id")
@@ -113,8 +118,9 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     distinct = stage(signed_lines(each), "lines")
     keys = stage(distinct.select("key", "other", "id"), "keys")
     groups = line_groups(distinct)
-    named = keys.join(groups, "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))
-    named = each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "key", "other").join(named, ["key", "other"])
+    # what grows with the corpus is merged with it at every size
+    named = keys.join(groups.hint("merge"), "id", "left").select("key", "other", F.coalesce("component", "id").alias("group_id"))
+    named = each.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "key", "other").join(named.hint("merge"), ["key", "other"])
     named = stage(named.select("doc_id", "line_no", "group_id"), "groups")
     discard(keys)
     heads = named.groupBy("group_id").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))

@@ -2,8 +2,9 @@
 
 A bucket that holds a large group of near copies is never expanded into all its pairs. Its most central member, the lead
 (the one that shares the most bucket places), is compared with the rest; what that links needs no more comparisons, and neither
-does a bucket of two. Members of larger buckets that are still apart are compared by how they differ from what most of them
-have, so that only those meet that differ from it in the same way. No link between parts is lost and a group of n near copies costs about n comparisons.
+does a bucket of two. Members of larger buckets that are still apart are compared with each other by how they differ from their
+lead, many within one row. No link between parts is lost; a group of n near copies costs about n comparisons and n m more for m
+members that its lead is not linked with, of which no rows but links come out.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tablework.llm.common import discard, stage
 
-#: Where a lead has up to so many members, those that are still apart are compared directly.
-FEW = 8
+#: Members of an array whose members are compared within one row, about; steps of distance from the lead by which they are put together.
+TOGETHER, ZONES = 128, 10
 
 
 def _mark(df: DataFrame) -> tuple:
@@ -72,77 +73,35 @@ def differences(pairs: DataFrame, sets: DataFrame, set_of: Callable[[Column], Co
 
 
 def _linked(percent: int) -> str:
-    """Whether the two sets x and y, known by their differences from one and the same set, are linked."""
-    own = {c: f"(x.n + size({c}.more) - size({c}.less))" for c in "xy"}
-    inter = "(x.n - size(x.less) - size(y.less) + size(array_intersect(x.more, y.more)) + size(array_intersect(x.less, y.less)))"
-    near = f"100L * least({own['x']}, {own['y']}) >= {percent}L * greatest({own['x']}, {own['y']})"
-    return f"{near} and {100 + percent}L * {inter} >= {percent}L * ({own['x']} + {own['y']})"
+    """Whether a row's set and y, both known by their size and their differences from one and the same set, are linked."""
+    inter = "(n - size(less) - size(y.less) + size(array_intersect(more, y.more)) + size(array_intersect(less, y.less)))"
+    return f"{100 + percent}L * {inter} >= {percent}L * (own + y.own)"
 
 
-def _compared(few: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different labels, where a lead has FEW members at most."""
-    found = few.alias("x").join(few.alias("y"), F.expr(f"x.lead = y.lead and x.label < y.label and {_linked(percent)}"))
-    return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _links_between(d: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels of which some members are linked, for members (lead, members, id, label, n, more, less) of one lead and different labels.
 
-
-def _from_core(many: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """many with run 0: differences from the core, the set of what most members of the lead have; and run 1: members near the core, as they are.
-
-    free: in run 0, that a member wouldn't be linked with the core; in run 1, that it isn't in the lead's component. Also gives
-    what was staged for it.
+    A lead's members are put into arrays of about TOGETHER and every member meets every array once, so pairs of members are
+    compared within a row and only labels come out: there are as many rows as members times arrays. Jaccard distances are a
+    metric, so linked members lie at distances from their lead that differ by no more than a link's; members at like
+    distances share an array, and arrays that hold no member within reach are passed over. No link is lost.
     """
-    each = many.select("lead", "members", F.explode(F.array(F.struct("more", F.lit(False).alias("kept")), F.struct(F.col("less").alias("more"), F.lit(True).alias("kept")))).alias("s"))
-    often = each.select("lead", "members", F.explode("s.more").alias("item"), "s.kept").groupBy("lead", "members", "item", "kept").count().where("2 * count > members")
-    pick = lambda kept: F.coalesce(F.collect_list(F.when(F.col("kept") == kept, F.col("item"))), F.array().cast("array<long>"))
-    turned = often.groupBy("lead").agg(pick(False).alias("gained"), pick(True).alias("lost"))
-    core = many.join(turned, "lead", "left")
-    for c in ("gained", "lost"):
-        core = core.withColumn(c, F.coalesce(c, F.array().cast("array<long>")))
-    more = F.concat(F.array_except("more", "gained"), F.array_except("lost", "less"))
-    less = F.concat(F.array_except("less", "lost"), F.array_except("gained", "more"))
-    own = (F.col("n") - F.size("lost") + F.size("gained")).alias("n")
-    core = core.select("lead", "lead_label", "id", "label", F.inline(F.array(F.struct(own, more.alias("more"), less.alias("less"), F.struct("n", "more", "less").alias("was")))))
-    core = core.withColumn("free", F.expr(f"100L * (n - size(less)) < {percent}L * (n + size(more))"))
-    core = stage(core, "core")
-    near = core.where("not free").select("lead", "lead_label", "id", "label", "was.*")
-    mixed = near.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("lead")
-    near = near.join(mixed, "lead").withColumn("free", F.expr("label <> lead_label")).withColumn("run", F.lit(1))
-    return core.drop("was").withColumn("run", F.lit(0)).unionByName(near).drop("lead_label"), core
-
-
-def _by_difference(runs: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (lead, a, b) of different labels, from how their sets differ from one set c, the same for a lead and run.
-
-    Let R = c - y and A = y - c. If x isn't linked with c (it is free) but is with y, x shares more than
-    need(y) = (100 |R| + percent |A|) / (100 + percent) of the elements in R and A with y (from the sizes of the
-    intersections). In any fixed order, the first element they share is then followed by need(y) or more in both. The order
-    is by how many members have an element, the rarest first, so few pairs meet; elements that the same members have are
-    taken together. Where y is free too, need(x) holds as well. Jaccard distances are a metric, so distances to c differ by
-    no more than a link's. No link is lost.
-    """
-    need = F.expr(f"(100L * size(less) + {percent}L * size(more)) div {100 + percent}").cast("int")
     away = (F.size("more") + F.size("less")) / F.greatest(F.col("n") + F.size("more"), F.lit(1))
-    member = F.struct("label", "free", need.alias("need"), away.alias("away"), "n", F.size("less").alias("lacks"), (F.col("n") + F.size("more") - F.size("less")).alias("own"))
-    each = runs.select("lead", "run", "id", member.alias("of"), F.concat("more", "less").alias("every")).select("lead", "run", "id", "of", F.explode("every").alias("item"))
-    each = stage(each, "differences")
-    # an element of one member, or of none that is free, brings no pair together
-    shared = each.groupBy("lead", "run", "item").agg(F.count(F.lit(1)).alias("times"), F.bit_xor(F.xxhash64("id")).alias("having"), F.max("of.free").alias("any_free"))
-    each = each.join(shared.where("times > 1 and any_free"), ["lead", "run", "item"])
-    parts = each.groupBy("lead", "run", "id", "of", "times", "having").agg(F.count(F.lit(1)).alias("w")).select("lead", "run", "id", "of.*", "times", "having", "w")
-    from_here = Window.partitionBy("lead", "run", "id").orderBy(F.desc("times"), F.desc("having"))
-    parts = parts.withColumn("after", F.sum("w").over(from_here.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    parts = stage(parts.where("after >= need or free"), "differences")
-    which = "x.free and x.label <> y.label and (not y.free or x.id < y.id) and least(x.after, y.after) >= greatest(y.need, if(y.free, x.need, 0))"
-    # x and y share no more of their differences than what follows the first that they share, and their sizes are known
-    which += f" and {100 + percent}L * (x.n - x.lacks - y.lacks + least(x.after, y.after) + 1) >= {percent}L * (x.own + y.own)"
-    which += f" and 100L * least(x.own, y.own) >= {percent}L * greatest(x.own, y.own)"
-    which += f" and abs(x.away - y.away) <= {(100 - percent) / 100 + 1e-9}"
-    x, y = parts.where("free").alias("x"), parts.where("after >= need").alias("y")
-    found = x.join(y, [*(F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("lead", "run", "times", "having")), F.expr(which)])
-    found = found.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.min("x.lead").alias("lead"))
-    found = stage(found, "pairs")
-    discard(each, parts)
-    return found
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / TOGETHER)).cast("int")
+    own = F.col("n") + F.size("more") - F.size("less")
+    d = d.select("lead", "id", "label", "n", "more", "less", own.alias("own"), away.alias("away"), F.struct(F.floor(away * ZONES), part).alias("chunk"))
+    each = F.collect_list(F.struct("id", "label", "n", "own", "away", "more", "less")).alias("ys")
+    bounds = [f(c).alias(f"{name}_{c}") for c in ("label", "away", "own") for f, name in ((F.min, "low"), (F.max, "high"))]
+    arrays = d.groupBy("lead", "chunk").agg(each, *bounds).withColumnRenamed("lead", "of").withColumnRenamed("chunk", "other")
+    most = (100 - percent) / 100 + 1e-9
+    met = "lead = of and chunk <= other and (label <> low_label or label <> high_label)"
+    met += f" and away >= low_away - {most} and away <= high_away + {most} and 100L * own >= {percent}L * low_own and 100L * high_own >= {percent}L * own"
+    both = d.join(arrays.hint("merge"), F.expr(met))
+    near = f"y.label <> label and (chunk < other or id < y.id) and abs(y.away - away) <= {most}"
+    near += f" and 100L * least(own, y.own) >= {percent}L * greatest(own, y.own) and {_linked(percent)}"
+    found = both.select("label", F.expr(f"array_distinct(transform(filter(ys, y -> {near}), y -> y.label))").alias("others"))
+    found = found.where(F.size("others") > 0).select("label", F.explode("others").alias("other"))
+    return found.select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct()
 
 
 def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, set_of: Callable[[Column], Column] = lambda items: items, fetched: Callable[[], None] = lambda: None) -> DataFrame:
@@ -173,15 +132,10 @@ def bucket_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     mixed = larger_now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     slim = stage(larger_now.join(mixed, "key").select("lead", "id", "label").distinct(), "slim")
     each = slim.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
-    each = each.join(found.select(F.col("id").alias("lead"), "component"), "lead", "left").select("lead", "members", F.coalesce("component", "lead").alias("lead_label"))
     d = stage(slim.join(each, "lead").join(apart.where("wide").select("lead", "id", "n", "more", "less"), ["lead", "id"]), "apart")
     discard(apart, found, larger, slim)
-    many = d.where(F.col("members") > FEW)
-    runs, core = _from_core(many, percent)
-    pairs = _by_difference(runs, percent)
-    discard(core)
-    side = lambda at, name: many.select("lead", F.col("id").alias(at), F.struct("n", "more", "less").alias(name))
-    more = pairs.join(side("a", "x"), ["lead", "a"]).join(side("b", "y"), ["lead", "b"]).where(F.expr(_linked(percent))).select("a", "b")
-    out = components(links.union(_compared(d.where(F.col("members") <= FEW), percent)).union(more))
-    discard(links, d, pairs)
+    between = stage(_links_between(d, percent), "pairs")
+    discard(d)
+    out = components(links.union(between))
+    discard(links, between)
     return out
