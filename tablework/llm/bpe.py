@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import sha256
@@ -297,7 +297,7 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Encodes texts within a task; the ids of words seen before are remembered in one flat array."""
+    """Encodes texts within tasks; the ids of words seen before are remembered in one flat array."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.v, self.lexicon = vocabulary, lexicon
@@ -354,6 +354,17 @@ class Encoder:
         return out
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def kept_encoder(key: str, make: Callable[[], Encoder]) -> Encoder:
+    """The encoder of this key, made once a worker process: its next tasks find the words remembered. Only the last one is kept."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def frequent_words(docs: DataFrame, pattern: str, most: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words of all texts, at most so many. Text is counted by Spark; only the top comes to the driver."""
     # one space is found much faster than any white space; what else a piece holds is split with the few that are taken
@@ -393,13 +404,17 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tup
 
 
 def encode_map(docs: DataFrame, path: str, make, schema: str, most: int = LEXICON_WORDS) -> DataFrame:
-    """mapInArrow over (doc_id, text): make(vocabulary, doc_ids, ids, counts) gives the output columns."""
+    """mapInArrow over (doc_id, text): make(vocabulary, doc_ids, ids, counts) gives the output columns.
+
+    most: words of the lexicon; with 0 there is none, texts are read once and every word is merged where it is first met.
+    """
     vocabulary = Vocabulary.load(path)
-    name = ship(docs.sparkSession, compile_lexicon(docs, vocabulary, most))
+    name = ship(docs.sparkSession, compile_lexicon(docs, vocabulary, most)) if most else None
+    key = name or uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, Lexicon.map(SparkFiles.get(name)))
+        encoder = kept_encoder(key, lambda: Encoder(shared.value, Lexicon.map(SparkFiles.get(name)) if name else Lexicon.build([], [])))
         for part, texts in chunks(batches):
             yield make(shared.value, part["doc_id"], *encoder.encode(texts))
 

@@ -185,7 +185,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1)
             ["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return encode_map(docs, path, make, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    # a lexicon would need a pass over all texts to count their words, which costs more than merging its words in each worker
+    return encode_map(docs, path, make, "doc_id long, piece long, start long, length long, ids_crc32 long", most=0)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
