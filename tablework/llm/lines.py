@@ -115,7 +115,8 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     columns aren't read.
     """
     each = lines_of(docs)
-    distinct = stage(signed_lines(each), "lines")
+    # distinct lines lie there beside the next shuffles, so they decide how much disk is needed at most
+    distinct = stage(signed_lines(each), "lines", "zstd")
     keys = stage(distinct.select("key", "other", "id"), "keys")
     groups = line_groups(distinct)
     # what grows with the corpus is merged with it at every size

@@ -43,3 +43,18 @@ def test_arrays_of_members_lose_no_link(spark, monkeypatch):
     assert len(set(parent.values())) > 5 and len({a for a, _ in links}) > 50
     got = dict(linking.bucket_links(full.select(F.lit(1).alias("key"), "id"), lambda ids: full.join(ids, "id", "left_semi"), 80).collect())
     assert {i: got.get(i, i) for i in sets} == parent
+
+
+def test_distinct_lines_are_staged_compressed(spark, monkeypatch):
+    """They lie in the shared folder beside the shuffles that come next, and so decide how much disk line dedup needs."""
+    files, stage = {}, lines.stage
+
+    def staged(df, name, *more):
+        out = stage(df, name, *more)
+        files[name] = out.inputFiles()
+        return out
+
+    monkeypatch.setattr(lines, "stage", staged)
+    table = spark.createDataFrame([(1, "a line of some length here\nand another of them"), (2, "a line of some length here")], "doc_id long, text string")
+    assert sorted(x["kept"] for x in lines.line_duplicates(table).collect()) == [False, True, True]
+    assert files["lines"] and all(x.endswith(".zstd.parquet") for x in files["lines"])
