@@ -46,9 +46,9 @@ def _masks() -> list[int]:
     return [draw.getrandbits(32) - (1 << 31) for _ in range(MINIMA)]
 
 
-def _starts(points: Column) -> Column:
-    """Where the shingles of a line begin, given its UTF-32 form; a line shorter than a shingle is its own shingle."""
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(points), 2) - SHINGLE, F.lit(0)))
+def _last(points: Column) -> Column:
+    """Where the last shingle of a line begins, given its UTF-32 form; a line shorter than a shingle is its own shingle."""
+    return F.greatest(F.shiftright(F.length(points), 2) - SHINGLE, F.lit(0))
 
 
 def _shingle(points: Column, at: Column) -> Column:
@@ -60,10 +60,10 @@ def bands(distinct: DataFrame, *by: str) -> DataFrame:
 
     A shingle's hash is put in as many orders as there are masks; the least value under each is one of the signature. A row
     has BLOCK shingles in turn (the last one again where a line ends), whose least values are found before rows are grouped.
-    Rows of a line lie in one task; where distinct is dealt by the same columns already, nothing is shuffled.
+    Rows of a line lie in one task, so it is its least values that are shuffled, not its text.
     """
     points = distinct.select(*by, F.encode("line", "UTF-32").alias("u"))
-    points = points.select(*by, "u", F.greatest(F.shiftright(F.length("u"), 2) - SHINGLE, F.lit(0)).alias("last"))
+    points = points.select(*by, "u", _last(F.col("u")).alias("last"))
     each = points.select(*by, "u", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(BLOCK))).alias("at"))
     each = each.select(*by, *(F.hash(_shingle(F.col("u"), F.least(F.col("at") + i, "last"))).alias(f"h{i}") for i in range(BLOCK)))
     each = each.select("*", *(F.hash(f"h{i}").alias(f"g{i}") for i in range(BLOCK)))
@@ -80,28 +80,29 @@ def signatures(distinct: DataFrame) -> DataFrame:
 
 def _hashes(line: Column) -> Column:
     """The hashes of a line's shingles."""
-    of = lambda u: F.transform(_starts(u), lambda at: F.xxhash64(_shingle(u, at)))
+    # places are counted in bytes, from 1: what is worked out for each shingle counts
+    of = lambda u: F.transform(F.sequence(F.lit(1), 4 * _last(u) + 1, F.lit(4)), lambda at: F.xxhash64(F.substring(u, at, F.lit(4 * SHINGLE))))
     return F.flatten(F.transform(F.array(F.encode(line, "UTF-32")), of))
 
 
-def signed_lines(each: DataFrame) -> DataFrame:
-    """(key, other, line, bands, id): the distinct lines of lines_of(), with numbers of their own.
+def distinct_lines(each: DataFrame) -> DataFrame:
+    """(key, other, line, id): the distinct lines of lines_of(), with numbers of their own.
 
-    Lines are dealt once, by key and other, and signed where they then lie; the join of bands and lines reuses that shuffle.
+    Lines are part of what they are grouped by, so they are hashed; a least line as an aggregate would be sorted for.
     """
-    distinct = each.groupBy("key", "other").agg(F.min("line").alias("line"))
-    return distinct.join(bands(distinct, "key", "other").hint("merge"), ["key", "other"]).withColumn("id", F.monotonically_increasing_id())
+    return each.select("key", "other", "line").distinct().withColumn("id", F.monotonically_increasing_id())
 
 
 def line_groups(distinct: DataFrame) -> DataFrame:
-    """(id, component): for every distinct line (id, line, bands) that is linked with another, the smallest id reachable.
+    """(id, component): for every distinct line (id, line) that is linked with another, the smallest id reachable.
 
     Sets are many times as large as lines, so lines are what is staged and joined; sets are built where lines are compared.
     distinct must be staged and is deleted once those lines that share a band are known.
     """
     lines = distinct.select("id", F.col("line").alias("items"))
-    members = distinct.select(F.explode("bands").alias("key"), "id")
-    return bucket_links(members, lambda ids: lines.join(ids.hint("merge"), "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct))
+    signed = stage(bands(distinct, "id"), "bands")
+    members = signed.select(F.explode("bands").alias("key"), "id")
+    return bucket_links(members, lambda ids: lines.join(ids.hint("merge"), "id", "left_semi"), PERCENT, _hashes, lambda: discard(distinct, signed))
 
 
 @own_rows("doc_id", "first_doc_id")
@@ -116,7 +117,7 @@ def line_duplicates(docs: DataFrame) -> DataFrame:
     """
     each = lines_of(docs)
     # distinct lines lie there beside the next shuffles, so they decide how much disk is needed at most
-    distinct = stage(signed_lines(each), "lines", "zstd")
+    distinct = stage(distinct_lines(each), "lines", "zstd")
     keys = stage(distinct.select("key", "other", "id"), "keys")
     groups = line_groups(distinct)
     # what grows with the corpus is merged with it at every size

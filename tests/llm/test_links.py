@@ -58,3 +58,12 @@ def test_distinct_lines_are_staged_compressed(spark, monkeypatch):
     table = spark.createDataFrame([(1, "a line of some length here\nand another of them"), (2, "a line of some length here")], "doc_id long, text string")
     assert sorted(x["kept"] for x in lines.line_duplicates(table).collect()) == [False, True, True]
     assert files["lines"] and all(x.endswith(".zstd.parquet") for x in files["lines"])
+
+
+def test_distinct_lines_are_hashed_and_not_sorted(spark):
+    """A least line as an aggregate was sorted for, twice, and lines were shuffled beside their bands."""
+    table = spark.createDataFrame([(1, "one line\nTWO  lines\none line"), (2, "two lines")], "doc_id long, text string")
+    distinct = lines.distinct_lines(lines.lines_of(table))
+    assert sorted(x["line"] for x in distinct.collect()) == ["one line", "two lines"]
+    plan = distinct._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "bands" not in distinct.columns
